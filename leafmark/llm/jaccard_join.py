@@ -1,10 +1,13 @@
 """N-gram Jaccard join: pairs of documents whose sets of word shingles have a Jaccard index of at least a threshold,
 found by rare-first prefix filtering and verified once per pair, and the groups that these links form.
 
-1. Each text becomes its set of hashed shingles; equal sets are one class, and only the class's first document goes on.
-2. All shingles of all classes are counted: each task sends one packed block for each range of hashes, not a row for
-   each shingle. Blocks return how many shingles of each document occur elsewhere, and which.
-3. A document whose shingles are unique beyond what the threshold allows can have no partner and stops here.
+1. Each text becomes its set of hashed shingles, in the one pass over the texts. Tasks send packed blocks of hashes,
+   one for each range of hashes, not a row for each shingle; documents with equal sets in one block are sent once.
+2. Each range counts its shingles over all documents and returns to each document those that others have too. What
+   is unique to a document can be in no intersection, so all later steps, verification included, need only these.
+   Shingles that a bounded sample finds in many documents (HOT_SHARE) are not sent: they count as most frequent. The
+   sample decides the order of shingles and so the cost, never a result: any one order for all documents is right.
+3. A document whose unique shingles exceed what the threshold allows has no partner and stops here.
 4. The rest order their shingles rare-first. The first |x| - ceil(t|x|) + 1 are the prefix; two sets that pass share a
    shingle of their prefixes. Prefix rows meet by shingle, under the length and the positional filter.
 5. Copies of one text would meet all in all. So first each document meets one hub of each shingle's group; what
@@ -13,8 +16,9 @@ found by rare-first prefix filtering and verified once per pair, and the groups
 6. Each pair is verified once, after the suffix filter, on the two whole sets.
 
 Handling of special cases: null, empty and white-space texts have an empty set and link with nothing; fewer words
-than k make one shingle; rows repeated with the same key are one document if their sets are equal, else each row
-counts; null keys are no documents; very long texts are whole sets; columns of other names are not read.
+than k make one shingle; each row gets an answer, and rows with one key count as one document (with all their
+shingles, and the size of the largest set); null keys are no documents; very long texts are whole sets; columns of
+other names are not read.
 """
 
 from __future__ import annotations
@@ -26,11 +30,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmark.llm.common import read_table, shingle_set, stored, texts_of
+from leafmark.llm.common import hashed_share, read_table, shingle_set, stored, texts_of
 
 WORDS, THRESHOLD = 5, 75  # shingle length; the least Jaccard index in hundredths
 HUB_ROUNDS = 2
-SHINGLES_PER_RANGE = 1_500_000
+BYTES_PER_RANGE = 9_000_000  # of text, for each range of hashes
+HOT_SAMPLE, HOT_SHARE, HOT_LEAST = 2000, 0.02, 20  # documents; a hot shingle is in this share and number of them
 BLOCK_SHINGLES = 400_000
 
 
@@ -44,64 +49,72 @@ def least_own(n, percent: int):
     return -(n * -percent // 100)
 
 
-# ---------------------------------------------------------------- sets and their classes
+# ---------------------------------------------------------------- sets, and the counts of all shingles
 
 
-def shingle_sets(docs: DataFrame, k: int = WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of doc_id, n_shingles, set_key (a 128-bit digest of the set, null if empty) and shingles (packed)."""
+def hot_shingles(docs: DataFrame, k: int, rows: int) -> np.ndarray:
+    """Sorted shingles of many documents of a bounded sample; at most 1 / HOT_SHARE sets' worth of them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            ids, texts = b["k"].tolist(), texts_of(b["t"])
-            for at in range(0, len(ids), 500):
-                sets = [shingle_set(t, k) for t in texts[at : at + 500]]
-                yield pd.DataFrame({"doc_id": ids[at : at + 500], "n_shingles": [len(s) for s in sets], "set_key": [set_digest(s) for s in sets], "shingles": [s.tobytes() for s in sets]})
+            for t in texts_of(b["t"]):
+                yield pd.DataFrame({"h": shingle_set(t, k).view(np.int64)})
 
-    return docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInPandas(run, "doc_id long, n_shingles long, set_key binary, shingles binary")
+    share = min(1.0, HOT_SAMPLE / max(1, rows))
+    found = docs.filter(hashed_share("k", share, "hot")).select("t").mapInPandas(run, "h long").groupBy("h").count()
+    least = max(HOT_LEAST, HOT_SHARE * min(HOT_SAMPLE, rows))
+    return np.sort(np.array([r["h"] for r in found.filter(F.col("count") >= least).select("h").collect()], np.int64).view(np.uint64))
 
 
-def set_digest(s: np.ndarray) -> bytes | None:
-    if len(s) == 0:
-        return None
-    both = np.array([np.bitwise_xor.reduce(s), (s * (s | np.uint64(1))).sum(dtype=np.uint64)], np.uint64)
-    return both.tobytes() + len(s).to_bytes(4, "little")
+HOT_COUNT = (1 << 31) - 1
 
 
-# ---------------------------------------------------------------- counts of all shingles
+def shared_shingles(docs: DataFrame, k: int, ranges: int, hot: np.ndarray) -> DataFrame:
+    """Rows of doc_id, first, n, n_shared, shared (packed hashes) and counts (how many documents each is in).
 
-
-def shared_counts(sets: DataFrame, ranges: int, of_docs: DataFrame | None = None) -> DataFrame:
-    """Rows of doc_id, shared (packed hashes that other documents have too), counts (how many documents each is in).
-
-    One row for each document and range of hashes in which it shares something. Without of_docs only the numbers
-    (n_shared) return; with it, the hashes of those documents.
+    Each document (k, t) has one row with n (its set's size), first (the document of its block that stands for its
+    set) and its hot shingles; and one row, with null n, for each range in which it shares something.
     """
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, sets_in, size = [], [], 0
+        columns = ["part", "docs", "sizes", "hashes"]
+        ids, sets_in, size, firsts = [], [], 0, {}
 
         def blocks() -> pd.DataFrame:
             hashes = np.concatenate(sets_in)
             owner = np.repeat(np.array(ids, np.int64), [len(s) for s in sets_in])
-            place = ((hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+            place = ((hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int16 if ranges < 32768 else np.int32)
             order = np.argsort(place, kind="stable")
             cuts = np.searchsorted(place[order], np.arange(ranges + 1))
             rows = []
             for r in np.flatnonzero(np.diff(cuts)):
                 at = order[cuts[r] : cuts[r + 1]]
-                own, first, many = np.unique(owner[at], return_index=True, return_counts=True)
-                by = np.argsort(first)
-                rows.append((int(r), own[by].tobytes(), many[by].astype(np.int32).tobytes(), hashes[at].tobytes()))
-            return pd.DataFrame(rows, columns=["part", "docs", "sizes", "hashes"])
+                own = owner[at]
+                change = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                rows.append((int(r), own[change].tobytes(), np.diff(np.append(change, len(own))).astype(np.int32).tobytes(), hashes[at].tobytes()))
+            return pd.DataFrame(rows, columns=columns)
 
         for b in batches:
-            for i, s in zip(b["doc_id"].tolist(), b["shingles"].tolist()):
-                ids.append(i)
-                sets_in.append(np.frombuffer(s, np.uint64))
-                size += len(sets_in[-1])
+            own = []
+            for i, t in zip(b["k"].tolist(), texts_of(b["t"])):
+                s = shingle_set(t, k)
+                first = firsts.setdefault(s.tobytes()[:64] + set_digest(s), i) if len(s) else i
+                common = s[:0]
+                if first == i and len(s):
+                    if len(hot):
+                        is_hot = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s
+                        common, rest = s[is_hot], s[~is_hot]
+                    else:
+                        rest = s
+                    if len(rest):
+                        ids.append(i)
+                        sets_in.append(rest)
+                        size += len(rest)
+                own.append((-1 - i % ranges, np.array([i, first], np.int64).tobytes(), np.array([len(s)], np.int32).tobytes(), common.tobytes()))
                 if size >= BLOCK_SHINGLES:
                     yield blocks()
-                    ids, sets_in, size = [], [], 0
+                    ids, sets_in, size, firsts = [], [], 0, {}
+            yield pd.DataFrame(own, columns=columns)
         if size:
             yield blocks()
 
@@ -110,59 +123,75 @@ def shared_counts(sets: DataFrame, ranges: int, of_docs: DataFrame | None = None
         part = None
 
         def counted() -> pd.DataFrame:
-            docs = np.concatenate([np.repeat(np.frombuffer(d, np.int64), np.frombuffer(n, np.int32)) for d, n, _ in held])
+            docs_in = np.concatenate([np.repeat(np.frombuffer(d, np.int64), np.frombuffer(n, np.int32)) for d, n, _ in held])
             hashes = np.concatenate([np.frombuffer(h, np.uint64) for _, _, h in held])
-            order = np.argsort(hashes, kind="stable")
+            order = np.argsort(hashes)
             h = hashes[order]
-            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            many = np.repeat(np.diff(np.append(first, len(h))), np.diff(np.append(first, len(h))))
-            keep = many > 1
-            d, h, many = docs[order][keep], h[keep], many[keep]
+            same = h[1:] == h[:-1]
+            more = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+            d, h = docs_in[order[more]], h[more]
+            by = np.lexsort((d, h))
+            d, h = d[by], h[by]
+            if len(d):
+                new = np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])
+                d, h = d[new], h[new]
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
+            each = np.diff(np.append(first, len(h)))
+            many = np.repeat(each, each)
+            d, h, many = d[many > 1], h[many > 1], many[many > 1].astype(np.int32)
             by = np.argsort(d, kind="stable")
-            d, h, many = d[by], h[by], many[by].astype(np.int32)
+            d, h, many = d[by], h[by], many[by]
             first = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]])) if len(d) else np.empty(0, np.int64)
             ends = np.append(first[1:], len(d))
-            return pd.DataFrame({"doc_id": d[first], "n_shared": ends - first, "shared": [h[a:z].tobytes() for a, z in zip(first, ends)], "counts": [many[a:z].tobytes() for a, z in zip(first, ends)]})
+            return pd.DataFrame({"doc_id": d[first], "first": None, "n": None, "n_shared": ends[: len(first)] - first, "shared": [h[a:z].tobytes() for a, z in zip(first, ends)], "counts": [many[a:z].tobytes() for a, z in zip(first, ends)]})
 
         for b in batches:
+            own = []
             for p, d, n, h in zip(b["part"].tolist(), b["docs"], b["sizes"], b["hashes"]):
+                if p < 0:
+                    i, first = np.frombuffer(d, np.int64).tolist()
+                    own.append((i, first, int(np.frombuffer(n, np.int32)[0]), len(h) // 8, h, np.full(len(h) // 8, HOT_COUNT, np.int32).tobytes()))
+                    continue
                 if p != part and held:
                     yield counted()
                     held = []
                 part = p
                 held.append((d, n, h))
+            yield pd.DataFrame(own, columns=["doc_id", "first", "n", "n_shared", "shared", "counts"])
         if held:
             yield counted()
 
-    blocks = sets.select("doc_id", "shingles").mapInPandas(pack, "part int, docs binary, sizes binary, hashes binary")
-    return blocks.repartition(ranges, "part").sortWithinPartitions("part").mapInPandas(count, "doc_id long, n_shared long, shared binary, counts binary")
+    blocks = docs.mapInPandas(pack, "part int, docs binary, sizes binary, hashes binary")
+    return blocks.repartition(ranges, "part").sortWithinPartitions("part").mapInPandas(count, "doc_id long, first long, n long, n_shared long, shared binary, counts binary")
 
 
-# ---------------------------------------------------------------- prefixes
+def set_digest(s: np.ndarray) -> bytes:
+    return np.array([np.bitwise_xor.reduce(s), (s * (s | np.uint64(1))).sum(dtype=np.uint64), len(s)], np.uint64).tobytes()
 
 
-def prefix_rows(shared: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Rows of token, doc_id, n_shingles, place: the shared shingles in each prefix, rare-first (by count, then hash).
+# ---------------------------------------------------------------- prefixes
+
 
-    shared: rows of shared_counts; sizes: doc_id, n_shingles. Unique shingles come before all these and count as
-    the first places."""
-    per_doc = shared.groupBy("doc_id").agg(F.sum("n_shared").alias("n_shared"), F.collect_list(F.struct("shared", "counts")).alias("blocks")).join(sizes, "doc_id")
+def sets_and_prefixes(shared: DataFrame, percent: int) -> DataFrame:
+    """Of the documents that may have partners: doc_id, n, shingles (packed, sorted, without unique ones), set_key (a
+    digest, of sets without unique shingles), n_unique and prefix (the shared shingles of the prefix, rare-first)."""
+    alive = shared.groupBy("doc_id").agg(F.sum("n_shared").alias("s"), F.max("n").alias("n"), F.min("first").alias("first")).filter((F.col("first") == F.col("doc_id")) & (F.col("n") > 0) & (F.col("s") * 100 >= F.col("n") * percent)).select("doc_id", F.col("n").alias("size"))
+    blocks = shared.filter("n_shared > 0").join(alive, "doc_id").groupBy("doc_id").agg(F.max("size").alias("n"), F.collect_list(F.struct("shared", "counts")).alias("blocks"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for doc, n, blocks in zip(b["doc_id"].tolist(), b["n_shingles"].tolist(), b["blocks"]):
-                h = np.concatenate([np.frombuffer(x["shared"], np.uint64) for x in blocks])
-                c = np.concatenate([np.frombuffer(x["counts"], np.int32) for x in blocks])
-                unique = n - len(h)
-                keep = n - least_own(n, percent) + 1 - unique
-                if keep > 0:
-                    first = np.lexsort((h, c))[:keep]
-                    out.append(pd.DataFrame({"token": h[first].view(np.int64), "doc_id": doc, "n_shingles": n, "place": unique + np.arange(len(first))}))
-            if out:
-                yield pd.concat(out)
+            for doc, n, own in zip(b["doc_id"].tolist(), b["n"].tolist(), b["blocks"]):
+                h = np.concatenate([np.frombuffer(x["shared"], np.uint64) for x in own])
+                c = np.concatenate([np.frombuffer(x["counts"], np.int32) for x in own])
+                h, at = np.unique(h, return_index=True)
+                c = c[at]
+                unique = max(0, n - len(h))
+                keep = max(0, n - least_own(n, percent) + 1 - unique)
+                out.append((doc, n, h.tobytes(), set_digest(h) if unique == 0 else None, unique, h[np.lexsort((h, c))[:keep]].view(np.int64)))
+            yield pd.DataFrame(out, columns=["doc_id", "n", "shingles", "set_key", "n_unique", "prefix"])
 
-    return per_doc.mapInPandas(run, "token long, doc_id long, n_shingles long, place long")
+    return blocks.mapInPandas(run, "doc_id long, n long, shingles binary, set_key binary, n_unique long, prefix array<long>")
 
 
 # ---------------------------------------------------------------- verification
@@ -178,33 +207,36 @@ def suffix_bound(a: np.ndarray, b: np.ndarray, depth: int = 3) -> int:
     return suffix_bound(a[:mid], b[:at], depth - 1) + int(same) + suffix_bound(a[mid + 1 :], b[at + same :], depth - 1)
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    least = least_overlap(len(a), len(b), percent)
+def linked(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int, percent: int) -> bool:
+    """a, b: the shingles of two sets, of sizes n_a and n_b, that others have too."""
+    least = least_overlap(n_a, n_b, percent)
     if min(len(a), len(b)) < least or suffix_bound(a, b) < least:
         return False
     return len(np.intersect1d(a, b, assume_unique=True)) >= least
 
 
-SALTS = 64
+PARTNERS = 256  # that meet one copy of a set
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the distinct pairs (a, b) that link. Each pair's sets meet in one task: a's set goes once to each of
-    its salted shares of partners, b's set to the pair."""
-    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
-    second = dealt.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("s")), "b").select("a", "salt", "b", "s")
-    first = dealt.select("a", "salt").distinct().join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("s")), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "s")
-    met = first.unionByName(second).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    """Those of the distinct pairs (a, b) that link. a's set goes once to each of its salted shares of at most about
+    PARTNERS partners, b's set to the pair."""
+    sets = sets.select("doc_id", "n", "shingles")
+    dealt = pairs.join(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m")), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / PARTNERS)).alias("salt"))
+    second = dealt.join(sets.withColumnRenamed("doc_id", "b"), "b").select("a", "salt", "b", "n", "shingles")
+    first = dealt.select("a", "salt").distinct().join(sets.withColumnRenamed("doc_id", "a"), "a").select("a", "salt", F.lit(-1).cast("long").alias("b"), "n", "shingles", F.lit(0).alias("turn"))
+    met = first.unionByName(second.withColumn("turn", F.lit(1))).repartition("a", "salt").sortWithinPartitions("a", "salt", "turn")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        left = None
+        left, n_left = None, 0
         for batch in batches:
             out = []
-            for a, b, s in zip(batch["a"].tolist(), batch["b"], batch["s"]):
-                if pd.isna(b):
-                    left = np.frombuffer(s, np.uint64)
-                elif linked(left, np.frombuffer(s, np.uint64), percent):
-                    out.append((a, int(b)))
+            for a, b, n, s, turn in zip(*(batch[c].tolist() for c in ("a", "b", "n", "shingles", "turn"))):
+                s = np.frombuffer(s, np.uint64)
+                if turn == 0:
+                    left, n_left = s, n
+                elif linked(left, n_left, s, n, percent):
+                    out.append((a, b))
             yield pd.DataFrame(out, columns=["a", "b"])
 
     return met.mapInPandas(run, "a long, b long")
@@ -252,56 +284,61 @@ def passes(n1: Column, p1: Column, n2: Column, p2: Column, percent: int) -> Colu
     """Length filter and positional filter for two prefix rows of one token."""
     longest, least = F.greatest(n1, n2), F.least(n1, n2)
     need = F.ceil((n1 + n2) * percent / (100 + percent))
-    return (least * 100 >= longest * percent) & (1 + F.least(n1 - p1, n2 - p2) - 1 >= need)
-
-
-def links_of(classes: DataFrame, percent: int = THRESHOLD) -> tuple[DataFrame, DataFrame | None]:
-    """Verified links (a, b) between classes that suffice for the components, and the components so far.
-
-    classes: doc_id, n_shingles, shingles, one row for each distinct non-empty set."""
-    total = classes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("n")).first()["n"]
-    ranges = max(1, -(-total // SHINGLES_PER_RANGE))
-    sizes = classes.select("doc_id", "n_shingles")
-    shared = stored(shared_counts(classes, ranges), "shared")
-    counted = shared.groupBy("doc_id").agg(F.sum("n_shared").alias("s")).join(sizes, "doc_id")
-    alive = stored(counted.filter(F.col("s") >= F.ceil(F.col("n_shingles") * percent / 100)).select("doc_id", "n_shingles"), "alive")
-    rows = stored(prefix_rows(shared.join(alive.select("doc_id"), "doc_id", "left_semi"), alive, percent), "prefixes")
-    sets = stored(classes.join(alive.select("doc_id"), "doc_id", "left_semi").select("doc_id", "shingles"), "sets")
-    links, tried, found = None, None, None
+    return (least * 100 >= longest * percent) & (F.least(n1 - p1, n2 - p2) >= need)
+
+
+ROW = ("doc_id", "n", "place", "c")
+
+
+def links_of(sets: DataFrame, percent: int) -> DataFrame | None:
+    """Components (doc_id, component_id) of the sets that link, by verified links that suffice for them."""
+    same = sets.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("m")).filter("m > 1")
+    equal = sets.select("doc_id", "set_key").join(same, "set_key").filter("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    links = stored(equal, "links")
+    lone = sets.select("doc_id", "n", "n_unique", "prefix").join(links.select(F.col("a").alias("doc_id")), "doc_id", "left_anti")
+    rows = stored(lone.select("doc_id", "n", "n_unique", F.posexplode("prefix").alias("at", "token")).select("token", "doc_id", "n", (F.col("n_unique") + F.col("at")).alias("place")), "prefixes")
+    found = components(links) if links.head(1) else None
+    tried = None
     for turn in range(HUB_ROUNDS + 1):
-        placed = rows.withColumn("c", F.col("doc_id")) if found is None else rows.join(found, "doc_id", "left").withColumn("c", F.coalesce("component_id", "doc_id")).drop("component_id")
-        mixed = placed.groupBy("token").agg(F.min("c").alias("least_c"), F.max("c").alias("most_c"), F.min(F.struct("doc_id", "n_shingles", "place", "c")).alias("hub"), F.max(F.struct("doc_id", "n_shingles", "place", "c")).alias("other")).filter("least_c != most_c")
+        placed = rows.withColumn("c", F.col("doc_id")) if found is None else rows.join(found, "doc_id", "left").select("token", "doc_id", "n", "place", F.coalesce("component_id", "doc_id").alias("c"))
+        mixed = placed.groupBy("token").agg(F.min("c").alias("least_c"), F.max("c").alias("most_c"), F.min(F.struct(*ROW)).alias("hub"), F.max(F.struct(*ROW)).alias("other")).filter("least_c != most_c")
         if turn < HUB_ROUNDS:
-            hub = "hub" if turn == 0 else "other"
-            near = placed.join(mixed.select("token", F.col(hub).alias("h")), "token").filter((F.col("c") != F.col("h.c")) & passes(F.col("n_shingles"), F.col("place"), F.col("h.n_shingles"), F.col("h.place"), percent))
+            near = placed.join(mixed.select("token", F.col("hub" if turn == 0 else "other").alias("h")), "token").filter((F.col("c") != F.col("h.c")) & passes(F.col("n"), F.col("place"), F.col("h.n"), F.col("h.place"), percent))
             pairs = near.select(F.least("doc_id", "h.doc_id").alias("a"), F.greatest("doc_id", "h.doc_id").alias("b"))
         else:
             open_rows = placed.join(mixed.select("token"), "token", "left_semi")
-            one, two = (open_rows.select("token", *(F.col(c).alias(c + n) for c in ("doc_id", "n_shingles", "place", "c"))) for n in ("1", "2"))
-            near = one.join(two, "token").filter((F.col("doc_id1") < F.col("doc_id2")) & (F.col("c1") != F.col("c2")) & passes(F.col("n_shingles1"), F.col("place1"), F.col("n_shingles2"), F.col("place2"), percent))
+            one, two = (open_rows.select("token", *(F.col(c).alias(c + k) for c in ROW)) for k in ("1", "2"))
+            near = one.join(two, "token").filter((F.col("doc_id1") < F.col("doc_id2")) & (F.col("c1") != F.col("c2")) & passes(F.col("n1"), F.col("place1"), F.col("n2"), F.col("place2"), percent))
             pairs = near.select(F.col("doc_id1").alias("a"), F.col("doc_id2").alias("b"))
         pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
+        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        if not pairs.head(1):
+            continue
         tried = pairs if tried is None else tried.unionByName(pairs)
         new = stored(verified(pairs, sets, percent), "links")
-        links = new if links is None else links.unionByName(new)
-        found = stored(components(links), "components")
-    return links, found
+        if new.head(1):
+            known = new if found is None else new.unionByName(found.filter("doc_id != component_id").toDF("a", "b"))
+            found = components(known)
+    return found
 
 
 def jaccard_groups(docs: DataFrame, k: int = WORDS, percent: int = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each document: doc_id, n_shingles, component_id, n_same (documents with an equal set).
-
-    component_id is the smallest doc_id reachable by links (a document without links is its own)."""
-    sets = stored(shingle_sets(docs, k, key, text), "shingle-sets")
-    same = sets.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_same"))
-    of = stored(sets.select("doc_id", "n_shingles", "set_key").join(same, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("n_same", F.lit(1)).alias("n_same")), "members")
-    firsts = of.filter("n_shingles > 0 and doc_id = rep").select("doc_id").distinct()
-    classes = sets.join(firsts, "doc_id", "left_semi").filter("n_shingles > 0").dropDuplicates(["doc_id", "set_key"]).select("doc_id", "n_shingles", "shingles")
-    _, found = links_of(classes, percent)
-    return of.join(found.withColumnRenamed("doc_id", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"), "n_same")
+    """One row for each document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself
+    included) and n_members (documents of the component)."""
+    rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("b")).first()
+    ranges = max(1, -(-size["b"] // BYTES_PER_RANGE))
+    shared = stored(shared_shingles(rows, k, ranges, hot_shingles(rows, k, size["n"])), "shared")
+    found = links_of(stored(sets_and_prefixes(shared, percent), "sets"), percent)
+    members = shared.filter("n is not null").select("doc_id", F.col("n").alias("n_shingles"), "first")
+    # the documents of one block with equal sets: the first one stands for them, and the smallest names them
+    least = members.groupBy("first").agg(F.min("doc_id").alias("least"))
+    named = least if found is None else least.join(found.withColumnRenamed("doc_id", "first"), "first", "left").withColumn("group", F.coalesce("component_id", "first")).drop("component_id")
+    named = named.withColumn("group", F.col("first")) if found is None else named
+    groups = named.groupBy("group").agg(F.min("least").alias("component_id"))
+    of = members.join(named.select("first", "group"), "first").join(groups, "group").select("doc_id", "n_shingles", "component_id")
+    sizes = of.groupBy("component_id").agg(F.count(F.lit(1)).alias("n_members"))
+    return of.join(sizes, "component_id").select("doc_id", "n_shingles", "component_id", "n_members")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

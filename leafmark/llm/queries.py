@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from leafmark.llm.decontamination import op2_decontamination
 from leafmark.llm.fingerprints import op8_fingerprints
+from leafmark.llm.jaccard_join import op5_jaccard_join
+from leafmark.llm.language_id import op3_language_id
 from leafmark.llm.sentencepiece_codec import op9_sentencepiece
 from leafmark.llm.token_files import op10_token_files
+from leafmark.llm.toxicity import op4_toxicity
 
 QUERIES = {
+    "op2_decontamination": op2_decontamination,
+    "op3_language_id": op3_language_id,
+    "op4_toxicity": op4_toxicity,
+    "op5_jaccard_join": op5_jaccard_join,
     "op8_fingerprints": op8_fingerprints,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_token_files": op10_token_files,

@@ -20,6 +20,7 @@ import ahocorasick
 import pandas as pd
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafmark.llm.common import read_table, texts_of
@@ -259,3 +260,13 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return round_trip_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: every document's ids, counts and digests, and its text as decoded from the ids."""
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    kept = docs.select("doc_id", "text", "lang", "source")
+    encoded = decode_documents(encode_documents(kept, model), model).withColumn("n_tokens", F.size("ids").cast("long"))
+    return encoded.select("doc_id", "lang", "source", "n_tokens", "ids", "decoded")
