@@ -1,10 +1,32 @@
-"""A training-corpus pipeline over `documents`."""
+"""A training-corpus pipeline over `documents`: harmless, identified, deduplicated, uncontaminated, encoded.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet to the shared folder
+and read again as the next stage's docs. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
-ORACLE_SQL = None
+from pyspark.sql import DataFrame, SparkSession
+
+from leafmark.llm.common import read_table, stored
+from leafmark.llm.decontamination import keep_uncontaminated
+from leafmark.llm.jaccard_join import keep_one_of_each_group
+from leafmark.llm.language_id import keep_identified
+from leafmark.llm.sentencepiece_codec import encode_stage
+from leafmark.llm.toxicity import keep_harmless
+
+STAGES = [
+    ("toxicity", keep_harmless),
+    ("language ID", keep_identified),
+    ("n-gram Jaccard join", keep_one_of_each_group),
+    ("benchmark decontamination", keep_uncontaminated),
+    ("SentencePiece encoding and decoding", encode_stage),
+]
+ORACLE_SQL = None  # trained models and a tokenizer are no SQL; tests hold the stages against brute force
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), "stage-" + name.lower().replace(" ", "-"))
+    return docs
