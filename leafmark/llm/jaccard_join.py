@@ -30,11 +30,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmark.llm.common import hashed_share, read_table, shingle_set, stored, texts_of
+from leafmark.llm.common import hashed_share, mixed, read_table, shingle_set, stored, texts_of
 
 WORDS, THRESHOLD = 5, 75  # shingle length; the least Jaccard index in hundredths
 HUB_ROUNDS = 2
-BYTES_PER_RANGE = 9_000_000  # of text, for each range of hashes
+BYTES_PER_RANGE = 12_000_000  # of text, for each range of hashes
 HOT_SAMPLE, HOT_SHARE, HOT_LEAST = 2000, 0.02, 20  # documents; a hot shingle is in this share and number of them
 BLOCK_SHINGLES = 400_000
 
@@ -69,11 +69,13 @@ def hot_shingles(docs: DataFrame, k: int, rows: int) -> np.ndarray:
 HOT_COUNT = (1 << 31) - 1
 
 
-def shared_shingles(docs: DataFrame, k: int, ranges: int, hot: np.ndarray) -> DataFrame:
-    """Rows of doc_id, first, n, n_shared, shared (packed hashes) and counts (how many documents each is in).
+def sets_of(docs: DataFrame, k: int, percent: int, ranges: int, hot: np.ndarray) -> DataFrame:
+    """One row for each document (k, t): doc_id, first (the document of its block that stands for its set), n (the
+    set's size); and for those that may have partners also shingles (packed, sorted, without unique ones), set_key (a
+    digest, of sets without unique shingles), n_unique and prefix (the shared shingles of the prefix, rare-first).
 
-    Each document (k, t) has one row with n (its set's size), first (the document of its block that stands for its
-    set) and its hot shingles; and one row, with null n, for each range in which it shares something.
+    Both shuffles carry packed blocks. The first deals hashes to ranges, where they are counted; the second takes
+    those that several documents have back to their documents' buckets.
     """
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -83,15 +85,14 @@ def shared_shingles(docs: DataFrame, k: int, ranges: int, hot: np.ndarray) -> Da
         def blocks() -> pd.DataFrame:
             hashes = np.concatenate(sets_in)
             owner = np.repeat(np.array(ids, np.int64), [len(s) for s in sets_in])
-            place = ((hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int16 if ranges < 32768 else np.int32)
+            place = range_of(hashes, ranges).astype(np.int16 if ranges < 32768 else np.int32)
             order = np.argsort(place, kind="stable")
             cuts = np.searchsorted(place[order], np.arange(ranges + 1))
             rows = []
             for r in np.flatnonzero(np.diff(cuts)):
                 at = order[cuts[r] : cuts[r + 1]]
-                own = owner[at]
-                change = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-                rows.append((int(r), own[change].tobytes(), np.diff(np.append(change, len(own))).astype(np.int32).tobytes(), hashes[at].tobytes()))
+                docs_in, sizes = runs(owner[at])
+                rows.append((int(r), docs_in.tobytes(), sizes.tobytes(), low_bytes(hashes[at])))
             return pd.DataFrame(rows, columns=columns)
 
         for b in batches:
@@ -101,16 +102,13 @@ def shared_shingles(docs: DataFrame, k: int, ranges: int, hot: np.ndarray) -> Da
                 first = firsts.setdefault(s.tobytes()[:64] + set_digest(s), i) if len(s) else i
                 common = s[:0]
                 if first == i and len(s):
-                    if len(hot):
-                        is_hot = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s
-                        common, rest = s[is_hot], s[~is_hot]
-                    else:
-                        rest = s
+                    is_hot = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s if len(hot) else np.zeros(len(s), bool)
+                    common, rest = named(s[is_hot], ranges), s[~is_hot]
                     if len(rest):
                         ids.append(i)
                         sets_in.append(rest)
                         size += len(rest)
-                own.append((-1 - i % ranges, np.array([i, first], np.int64).tobytes(), np.array([len(s)], np.int32).tobytes(), common.tobytes()))
+                own.append((-1 - i % ranges, np.array([i, first], np.int64).tobytes(), np.array([len(s)], np.int64).tobytes(), common.tobytes()))
                 if size >= BLOCK_SHINGLES:
                     yield blocks()
                     ids, sets_in, size, firsts = [], [], 0, {}
@@ -119,79 +117,148 @@ def shared_shingles(docs: DataFrame, k: int, ranges: int, hot: np.ndarray) -> Da
             yield blocks()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["bucket", "info", "docs", "sizes", "hashes", "counts"]
         held: list[tuple] = []
         part = None
 
         def counted() -> pd.DataFrame:
-            docs_in = np.concatenate([np.repeat(np.frombuffer(d, np.int64), np.frombuffer(n, np.int32)) for d, n, _ in held])
-            hashes = np.concatenate([np.frombuffer(h, np.uint64) for _, _, h in held])
-            order = np.argsort(hashes)
-            h = hashes[order]
-            same = h[1:] == h[:-1]
-            more = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-            d, h = docs_in[order[more]], h[more]
-            by = np.lexsort((d, h))
-            d, h = d[by], h[by]
-            if len(d):
-                new = np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])
-                d, h = d[new], h[new]
-            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
-            each = np.diff(np.append(first, len(h)))
-            many = np.repeat(each, each)
-            d, h, many = d[many > 1], h[many > 1], many[many > 1].astype(np.int32)
-            by = np.argsort(d, kind="stable")
-            d, h, many = d[by], h[by], many[by]
-            first = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]])) if len(d) else np.empty(0, np.int64)
-            ends = np.append(first[1:], len(d))
-            return pd.DataFrame({"doc_id": d[first], "first": None, "n": None, "n_shared": ends[: len(first)] - first, "shared": [h[a:z].tobytes() for a, z in zip(first, ends)], "counts": [many[a:z].tobytes() for a, z in zip(first, ends)]})
+            docs_in = np.concatenate([np.repeat(np.frombuffer(d, np.int64), np.frombuffer(n, np.uint16)) for d, n, _ in held])
+            d, h, many = shared_of(docs_in, np.concatenate([whole(x, part) for _, _, x in held]))
+            bucket = bucket_of_doc(d, ranges)
+            order = np.lexsort((d, bucket))
+            d, h, many, bucket = d[order], h[order], many[order], bucket[order]
+            cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(d) else np.empty(0, np.int64)
+            rows = []
+            for a, z in zip(cuts, np.append(cuts[1:], len(d))):
+                docs_in, sizes = runs(d[a:z])
+                rows.append((int(bucket[a]), False, docs_in.tobytes(), sizes.tobytes(), h[a:z].tobytes(), many[a:z].tobytes()))
+            return pd.DataFrame(rows, columns=columns)
 
         for b in batches:
             own = []
             for p, d, n, h in zip(b["part"].tolist(), b["docs"], b["sizes"], b["hashes"]):
                 if p < 0:
-                    i, first = np.frombuffer(d, np.int64).tolist()
-                    own.append((i, first, int(np.frombuffer(n, np.int32)[0]), len(h) // 8, h, np.full(len(h) // 8, HOT_COUNT, np.int32).tobytes()))
+                    own.append((int(bucket_of_doc(np.frombuffer(d, np.int64)[1:], ranges)[0]), True, d, n, h, b""))
                     continue
                 if p != part and held:
                     yield counted()
                     held = []
                 part = p
                 held.append((d, n, h))
-            yield pd.DataFrame(own, columns=["doc_id", "first", "n", "n_shared", "shared", "counts"])
+            yield pd.DataFrame(own, columns=columns)
         if held:
             yield counted()
 
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["doc_id", "first", "n", "shingles", "set_key", "n_unique", "prefix"]
+        bucket, info, found = None, [], []
+
+        def gathered() -> pd.DataFrame:
+            docs_in = [np.repeat(np.frombuffer(d, np.int64), np.frombuffer(n, np.uint16)) for d, n, _, _ in found]
+            hashes, counts = [np.frombuffer(h, np.uint64) for _, _, h, _ in found], [np.frombuffer(c, np.int32) for _, _, _, c in found]
+            sizes: dict[int, int] = {}
+            for d, n, h in info:
+                i, first = np.frombuffer(d, np.int64).tolist()
+                if first == i:
+                    sizes[i] = max(sizes.get(i, 0), int(np.frombuffer(n, np.int64)[0]))
+                if h:
+                    hashes.append(np.frombuffer(h, np.uint64))
+                    docs_in.append(np.full(len(h) // 8, first, np.int64))
+                    counts.append(np.full(len(h) // 8, HOT_COUNT, np.int32))
+            d, h, c = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((docs_in, np.int64), (hashes, np.uint64), (counts, np.int32)))
+            order = np.lexsort((h, d))
+            d, h, c = d[order], h[order], c[order]
+            parts = {}
+            for i, n in sizes.items():
+                a, z = np.searchsorted(d, [i, i + 1])
+                own, at = np.unique(h[a:z], return_index=True)
+                if n and len(own) * 100 >= n * percent:
+                    unique = max(0, n - len(own))
+                    keep = max(0, n - least_own(n, percent) + 1 - unique)
+                    parts[i] = (own.tobytes(), set_digest(own) if unique == 0 else None, unique, own[np.lexsort((own, c[a:z][at]))[:keep]].view(np.int64))
+            rows = []
+            for d, n, _ in info:
+                i, first = np.frombuffer(d, np.int64).tolist()
+                rows.append((i, first, int(np.frombuffer(n, np.int64)[0]), *((parts.pop(i, None) if i == first else None) or (None, None, 0, None))))
+            return pd.DataFrame(rows, columns=columns)
+
+        for b in batches:
+            for k, is_info, d, n, h, c in zip(b["bucket"].tolist(), b["info"].tolist(), b["docs"], b["sizes"], b["hashes"], b["counts"]):
+                if k != bucket and info:
+                    yield gathered()
+                    info, found = [], []
+                bucket = k
+                if is_info:
+                    info.append((d, n, h))
+                else:
+                    found.append((d, n, h, c))
+        if info:
+            yield gathered()
+
     blocks = docs.mapInPandas(pack, "part int, docs binary, sizes binary, hashes binary")
-    return blocks.repartition(ranges, "part").sortWithinPartitions("part").mapInPandas(count, "doc_id long, first long, n long, n_shared long, shared binary, counts binary")
+    counted_rows = blocks.repartition(ranges, "part").sortWithinPartitions("part").mapInPandas(count, "bucket int, info boolean, docs binary, sizes binary, hashes binary, counts binary")
+    return counted_rows.repartition(ranges, "bucket").sortWithinPartitions("bucket").mapInPandas(gather, "doc_id long, first long, n long, shingles binary, set_key binary, n_unique long, prefix array<long>")
 
 
-def set_digest(s: np.ndarray) -> bytes:
-    return np.array([np.bitwise_xor.reduce(s), (s * (s | np.uint64(1))).sum(dtype=np.uint64), len(s)], np.uint64).tobytes()
+def range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
+    return ((hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
 
-# ---------------------------------------------------------------- prefixes
+def bucket_of_doc(docs: np.ndarray, buckets: int) -> np.ndarray:
+    return (mixed(docs.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
 
 
-def sets_and_prefixes(shared: DataFrame, percent: int) -> DataFrame:
-    """Of the documents that may have partners: doc_id, n, shingles (packed, sorted, without unique ones), set_key (a
-    digest, of sets without unique shingles), n_unique and prefix (the shared shingles of the prefix, rare-first)."""
-    alive = shared.groupBy("doc_id").agg(F.sum("n_shared").alias("s"), F.max("n").alias("n"), F.min("first").alias("first")).filter((F.col("first") == F.col("doc_id")) & (F.col("n") > 0) & (F.col("s") * 100 >= F.col("n") * percent)).select("doc_id", F.col("n").alias("size"))
-    blocks = shared.filter("n_shared > 0").join(alive, "doc_id").groupBy("doc_id").agg(F.max("size").alias("n"), F.collect_list(F.struct("shared", "counts")).alias("blocks"))
+LOW_48 = np.uint64((1 << 48) - 1)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for doc, n, own in zip(b["doc_id"].tolist(), b["n"].tolist(), b["blocks"]):
-                h = np.concatenate([np.frombuffer(x["shared"], np.uint64) for x in own])
-                c = np.concatenate([np.frombuffer(x["counts"], np.int32) for x in own])
-                h, at = np.unique(h, return_index=True)
-                c = c[at]
-                unique = max(0, n - len(h))
-                keep = max(0, n - least_own(n, percent) + 1 - unique)
-                out.append((doc, n, h.tobytes(), set_digest(h) if unique == 0 else None, unique, h[np.lexsort((h, c))[:keep]].view(np.int64)))
-            yield pd.DataFrame(out, columns=["doc_id", "n", "shingles", "set_key", "n_unique", "prefix"])
 
-    return blocks.mapInPandas(run, "doc_id long, n long, shingles binary, set_key binary, n_unique long, prefix array<long>")
+def low_bytes(hashes: np.ndarray) -> bytes:
+    """The low 48 bits of each hash: the range says the rest."""
+    return np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def whole(low: bytes, part: int) -> np.ndarray:
+    """Names of shingles from low_bytes() and their range."""
+    out = np.zeros((len(low) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(low, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel() | np.uint64((part & 0xFFFF) << 48)
+
+
+def named(hashes: np.ndarray, ranges: int) -> np.ndarray:
+    """The same names from whole hashes."""
+    return hashes & LOW_48 | (range_of(hashes, ranges).astype(np.uint64) & np.uint64(0xFFFF)) << np.uint64(48)
+
+
+def runs(docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Run-length code of documents; longer runs are cut to fit 16 bits."""
+    n = len(docs)
+    if n == 0:
+        return docs, np.empty(0, np.uint16)
+    first = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]]))
+    if n > 65535:
+        first = np.unique(np.concatenate([first, np.arange(0, n, 65535)]))
+    return docs[first], np.diff(np.append(first, n)).astype(np.uint16)
+
+
+def shared_of(docs: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents, hashes and numbers of documents, of the hashes that several documents have."""
+    order = np.argsort(hashes)
+    h = hashes[order]
+    same = h[1:] == h[:-1]
+    more = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+    d, h = docs[order[more]], h[more]
+    by = np.lexsort((d, h))
+    d, h = d[by], h[by]
+    if len(d):
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])
+        d, h = d[new], h[new]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
+    each = np.diff(np.append(first, len(h)))
+    many = np.repeat(each, each)
+    return d[many > 1], h[many > 1], many[many > 1].astype(np.int32)
+
+
+def set_digest(s: np.ndarray) -> bytes:
+    return np.array([np.bitwise_xor.reduce(s), (s * (s | np.uint64(1))).sum(dtype=np.uint64), len(s)], np.uint64).tobytes()
 
 
 # ---------------------------------------------------------------- verification
@@ -328,9 +395,9 @@ def jaccard_groups(docs: DataFrame, k: int = WORDS, percent: int = THRESHOLD, ke
     rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("b")).first()
     ranges = max(1, -(-size["b"] // BYTES_PER_RANGE))
-    shared = stored(shared_shingles(rows, k, ranges, hot_shingles(rows, k, size["n"])), "shared")
-    found = links_of(stored(sets_and_prefixes(shared, percent), "sets"), percent)
-    members = shared.filter("n is not null").select("doc_id", F.col("n").alias("n_shingles"), "first")
+    sets = stored(sets_of(rows, k, percent, ranges, hot_shingles(rows, k, size["n"])), "sets")
+    found = links_of(sets.filter("shingles is not null").select("doc_id", "n", "shingles", "set_key", "n_unique", "prefix"), percent)
+    members = sets.select("doc_id", F.col("n").alias("n_shingles"), "first")
     # the documents of one block with equal sets: the first one stands for them, and the smallest names them
     least = members.groupBy("first").agg(F.min("doc_id").alias("least"))
     named = least if found is None else least.join(found.withColumnRenamed("doc_id", "first"), "first", "left").withColumn("group", F.coalesce("component_id", "first")).drop("component_id")
