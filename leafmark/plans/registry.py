@@ -1,5 +1,291 @@
 """All queries of the library by name, with the SQL they are held against."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from leafmark import config as C
+from leafmark.functions import text as T
+from leafmark.operators import conversation, ocr, pages, sections
+from leafmark.plans.oracle import ORACLE_SQL as ORACLE_SQL
+from leafmark.sources.html_nodes import html_nodes
+from leafmark.sources.tables import table
+from leafmark.streaming import state
+
 FLAGSHIP = "bm25_search"
+SEARCHES = [("q1", "apache license version"), ("q2", "general public license"), ("q3", "worthless pathetic loser"), ("q4", "copyright"), ("q5", "thanedble attion")]
+QUERIES: dict = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents")
+
+
+def _sections(spark: SparkSession, d: str) -> DataFrame:
+    return sections.text_sections(_docs(spark, d))
+
+
+def _vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select(F.explode(F.transform(T.tokens(F.col("text")), lambda t: t["term"])).alias("term")).distinct()
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Each word of the vocabulary and the one after it among those with its first letter."""
+    from pyspark.sql import Window
+
+    before = F.lag("term").over(Window.partitionBy(F.substring("term", 1, 1)).orderBy("term"))
+    return _vocabulary(spark, d).withColumn("before", before).filter("before is not null")
+
+
+def _searches(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(SEARCHES, "query_id string, query string")
+
+
+@query
+def word_count(spark, d):
+    words = T.count_words(F.col("text"))
+    return _docs(spark, d).select("doc_id", words.alias("words"), F.greatest(F.lit(1), F.ceil(words / C.READING_WORDS_PER_MINUTE)).cast("long").alias("minutes"))
+
+
+@query
+def clean_text(spark, d):
+    c = T.clean_text(F.col("text"))
+    return _docs(spark, d).select("doc_id", F.length(c).cast("long").alias("n"), F.md5(c).alias("digest"))
+
+
+@query
+def hash_text(spark, d):
+    return _docs(spark, d).select("doc_id", T.hash_text(F.substring(T.clean_text(F.col("text")), 1, 280)).alias("hash"))
+
+
+@query
+def tokenize(spark, d):
+    t = T.tokens(F.col("text"))
+    made = _docs(spark, d).select("doc_id", t.alias("t"))
+    return made.select("doc_id", F.size("t").cast("long").alias("tokens"), F.md5(F.array_join(F.transform("t", lambda x: x["term"]), " ")).alias("digest"), F.aggregate("t", F.lit(0.0), lambda a, x: a + x["weight"]).alias("weight"))
+
+
+@query
+def stem(spark, d):
+    return _vocabulary(spark, d).select("term", T.stem(F.col("term")).alias("stem"))
+
+
+@query
+def trigram_similarity(spark, d):
+    return _pairs(spark, d).select("term", "before", T.half_up(T.trigram_similarity(F.col("term"), F.col("before"))).alias("similarity"))
+
+
+@query
+def edit_distance(spark, d):
+    return _pairs(spark, d).select("term", "before", F.levenshtein("term", "before").cast("long").alias("distance"))
+
+
+@query
+def minor_typo(spark, d):
+    return _pairs(spark, d).select("term", "before", T.is_minor_typo(F.col("before"), F.col("term")).alias("typo"))
+
+
+@query
+def ocr_normalize(spark, d):
+    return _docs(spark, d).select("doc_id", F.md5(T.ocr_comparable(F.col("text"))).alias("comparable"), F.md5(T.ocr_term(F.col("text"))).alias("term"))
+
+
+@query
+def page_titles(spark, d):
+    return table(spark, d, "pages").select("page_id", T.shortened(F.regexp_extract(F.coalesce("html", F.lit("")), "<h1>([^<]*)</h1>", 1), 40).alias("title"))
+
+
+@query
+def url_features(spark, d):
+    return table(spark, d, "pages").select("page_id", *(c.alias(n) for n, c in pages.url_features(F.col("url")).items()))
+
+
+@query
+def page_statistics(spark, d):
+    return pages.page_statistics(html_nodes(table(spark, d, "pages"))).select("page_id", "paragraphs", "list_items", "links", "headings")
+
+
+@query
+def page_density(spark, d):
+    return pages.page_statistics(html_nodes(table(spark, d, "pages")))
+
+
+@query
+def page_blocks(spark, d):
+    return pages.blocks(html_nodes(table(spark, d, "pages"))).select("page_id", "pos", "tag", "words")
+
+
+@query
+def heading_sections(spark, d):
+    nodes = html_nodes(table(spark, d, "pages"))
+    return pages.heading_sections(pages.headings(nodes), pages.blocks(nodes))
+
+
+@query
+def text_sections(spark, d):
+    return _sections(spark, d).select("page_id", F.col("section").cast("long").alias("section"), "words", F.md5("body").alias("digest"))
+
+
+@query
+def section_terms(spark, d):
+    t = sections.section_terms(_sections(spark, d))
+    return t.groupBy("page_id", F.col("section").cast("long").alias("section")).agg(F.count(F.lit(1)).alias("terms"), F.sum("weight").alias("length"))
+
+
+@query
+def doc_frequency(spark, d):
+    docs = _docs(spark, d)
+    n = docs.agg(F.count(F.lit(1)).alias("n"))
+    t = docs.select("doc_id", F.explode(F.array_distinct(F.transform(T.tokens(F.col("text")), lambda x: x["term"]))).alias("term"))
+    df = t.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return df.join(F.broadcast(n)).select("term", "df", T.half_up(sections.idf(F.col("n"), F.col("df"))).alias("idf"))
+
+
+@query
+def distinctive_terms(spark, d):
+    return sections.distinctive_terms(sections.section_terms(_sections(spark, d))).select("page_id", "term", "df", "weight")
+
+
+@query
+def bm25_search(spark, d):
+    return sections.search(_sections(spark, d), _searches(spark))
+
+
+@query
+def query_expansion(spark, d):
+    asked = spark.createDataFrame([("q1", "license fees"), ("q2", "applying erations"), ("q3", "stupids")], "query_id string, query string")
+    return sections.query_expansion(_vocabulary(spark, d), asked)
+
+
+@query
+def repeated_text(spark, d):
+    return sections.repeated_text(_docs(spark, d))
+
+
+@query
+def signal_flags(spark, d):
+    f = sections.signals(_sections(spark, d))
+    return f.select("page_id", F.col("section").cast("long").alias("section"), *(F.col(f"s_{n}").alias(n) for n, *_ in C.SIGNALS))
+
+
+@query
+def section_scores(spark, d):
+    return sections.scores(sections.signals(_sections(spark, d))).withColumn("section", F.col("section").cast("long"))
+
+
+@query
+def rank_sections(spark, d):
+    return sections.ranked(sections.scores(sections.signals(_sections(spark, d)))).withColumn("section", F.col("section").cast("long"))
+
+
+@query
+def saved_minutes(spark, d):
+    return sections.saved_minutes(_sections(spark, d)).withColumn("section", F.col("section").cast("long"))
+
+
+@query
+def jaccard_similarity(spark, d):
+    return sections.neighbour_similarity(_sections(spark, d)).withColumn("section", F.col("section").cast("long"))
+
+
+@query
+def paged_section_type(spark, d):
+    return _sections(spark, d).select("page_id", F.col("section").cast("long").alias("section"), sections.paged_type(F.col("body")).alias("type"))
+
+
+@query
+def asof_current(spark, d):
+    marks = _docs(spark, d).select(F.col("doc_id").alias("page_id"), (F.pmod("doc_id", F.lit(5)) * 700).cast("double").alias("marker"))
+    return sections.current_section(_sections(spark, d), marks)
+
+
+@query
+def next_section(spark, d):
+    s = _sections(spark, d)
+    return sections.next_section(sections.ranked(sections.scores(sections.signals(s))), sections.neighbour_similarity(s))
+
+
+@query
+def chat_flags(spark, d):
+    return conversation.turn_flags(table(spark, d, "conversations")).drop("text")
+
+
+@query
+def chat_priority(spark, d):
+    return conversation.turn_priorities(table(spark, d, "conversations"))
+
+
+@query
+def role_alternation(spark, d):
+    return conversation.role_alternation(table(spark, d, "conversations"))
+
+
+@query
+def latest_of_role(spark, d):
+    return conversation.latest_of_role(table(spark, d, "conversations"))
+
+
+@query
+def head_tail_sample(spark, d):
+    return conversation.sampled_turns(table(spark, d, "conversations"), head=1, middle=1, tail=2, most=4)
+
+
+@query
+def turn_groups(spark, d):
+    return conversation.turn_groups(table(spark, d, "conversations"))
+
+
+def _events(spark, d):
+    return state.with_time(table(spark, d, "events"))
+
+
+@query
+def debounce_sessions(spark, d):
+    return state.debounced(_events(spark, d)).select("user_id", F.unix_micros("started").alias("started_us"), F.unix_micros("fires_at").alias("fires_us"), "n")
+
+
+@query
+def signature_changes(spark, d):
+    return state.signature_changes(_events(spark, d)).select("event_id", "user_id", "event_type")
+
+
+@query
+def recent_k(spark, d):
+    return state.recent_distinct(_events(spark, d), 3)
+
+
+@query
+def ttl_filter(spark, d):
+    return state.alive(_events(spark, d), 60 * 24).select("user_id", "event_type", F.unix_micros("ts").alias("ts_us"))
+
+
+@query
+def request_order(spark, d):
+    return state.in_request_order(_events(spark, d)).select("event_id", "user_id")
+
+
+@query
+def route_changes(spark, d):
+    return state.route_changes(_events(spark, d))
+
+
+@query
+def excluded_sections(spark, d):
+    """Anti-membership: sections not next to a page's first one, of pages that a label covers (semi)."""
+    s = _sections(spark, d).select("page_id", F.col("section").cast("long").alias("section"))
+    seen = s.groupBy("page_id").agg(F.min("section").alias("section"))
+    return s.join(table(spark, d, "labels").select(F.col("doc_id").alias("page_id")), "page_id", "left_semi").join(seen, ["page_id", "section"], "left_anti")
+
+
+@query
+def line_geometry(spark, d):
+    """Union boxes of the words of each part as if lines of a scan: a fixture made of numbers of the table part."""
+    p = table(spark, d, "part")
+    lines = p.select(F.pmod("p_partkey", F.lit(50)).alias("chunk_id"), F.pmod("p_partkey", F.lit(2)).cast("string").alias("variant"), *(F.pmod(F.col("p_partkey") * m, F.lit(n)).cast("double").alias(c) for c, m, n in (("x0", 7, 97), ("y0", 11, 89), ("x1", 13, 211), ("y1", 17, 193))))
+    return ocr.line_geometry(lines)
