@@ -23,10 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmark.llm.common import mixed, read_table, texts_of, window_hashes
+from leafmark.llm.common import mixed, read_table, stored, texts_of, window_hashes
 
 WORDS, LITERALS = 8, 5
 COVERED, LONG_RUN = 0.5, 40
@@ -38,33 +39,40 @@ TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[%$€£°]|[.!?\n]")
 NUMBER, UNIT, NAME = "\x01number", "\x01unit", "\x01name"
 
 
-def template(text: str) -> tuple[list[str], list[str]]:
-    """The template's tokens, and what fills each slot (empty for a word)."""
-    words, fills = [], []
+def template(text: str) -> tuple[list[str], dict[int, str]]:
+    """The template's tokens, and what fills each slot, by its place."""
+    words: list[str] = []
+    fills: dict[int, str] = {}
     begins, after_number = True, False
     for token in TOKEN.findall(text):
+        if token.islower():  # most tokens
+            if after_number and token in UNITS:
+                fills[len(words)] = token
+                token = UNIT
+            words.append(token)
+            begins = after_number = False
+            continue
         first = token[0]
         if first in ".!?\n":
             begins, after_number = True, False
             continue
         if first.isdigit():
+            fills[len(words)] = token
             words.append(NUMBER)
-            fills.append(token)
             after_number, begins = True, False
             continue
         low = token.lower()
         if first in "%$€£°" or after_number and low in UNITS:
             if after_number:
+                fills[len(words)] = low
                 words.append(UNIT)
-                fills.append(low)
             after_number = False
             continue
         if first != low[0] and not begins and (len(token) == 1 or token[1:] == low[1:]):
+            fills[len(words)] = low
             words.append(NAME)
-            fills.append(low)
         else:
             words.append(low)
-            fills.append("")
         begins = after_number = False
     return words, fills
 
@@ -73,26 +81,23 @@ _hash_of: dict[str, int] = {}
 
 
 def token_hashes(words: list[str]) -> np.ndarray:
-    """64-bit hashes of tokens; those of frequent short ones are kept."""
-    out = np.empty(len(words), np.uint64)
-    for i, w in enumerate(words):
-        h = _hash_of.get(w)
-        if h is None:
-            h = 0xCBF29CE484222325
-            for b in w.encode():
-                h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-            if len(_hash_of) > 400_000:
-                _hash_of.clear()
-            _hash_of[w] = h
-        out[i] = h
-    return mixed(out)
-
-
-def windows(words: list[str], size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of tokens; those seen are kept, up to a bound."""
+    try:
+        return mixed(np.fromiter(map(_hash_of.__getitem__, words), np.uint64, len(words)))
+    except KeyError:
+        if len(_hash_of) > 400_000:
+            _hash_of.clear()
+        for w in set(words) - _hash_of.keys():
+            _hash_of[w] = xxhash.xxh64_intdigest(w)
+        return mixed(np.fromiter(map(_hash_of.__getitem__, words), np.uint64, len(words)))
+
+
+def windows(words: list[str], fills: dict[int, str], size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of the windows with enough words that are no slots."""
     if len(words) < size or size == 0:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    literal = np.array([w[0] != "\x01" for w in words])
+    literal = np.ones(len(words), np.int64)
+    literal[list(fills)] = 0
     sums = np.concatenate([[0], np.cumsum(literal)])
     enough = sums[size:] - sums[:-size] >= -(-LITERALS * size // WORDS)
     return np.flatnonzero(enough), window_hashes(token_hashes(words), size)[enough]
@@ -107,16 +112,16 @@ def template_windows(texts: DataFrame, key: str, text: str, sizes: tuple[int, ..
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for i, t in zip(b["id"].tolist(), texts_of(b["t"])):
+            for key, t in zip(b["id"].tolist(), texts_of(b["t"])):
                 words, fills = template(t)
                 for size in sizes or (min(WORDS, len(words)),):
-                    places, hashes = windows(words, size)
+                    places, hashes = windows(words, fills, size)
                     total = len(places)
                     if bitmap is not None and total:
                         bit = hashes & np.uint64(BITS - 1)
                         hit = bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1 == 1
                         places, hashes = places[hit], hashes[hit]
-                    rows += [(i, int(p), size, total, h, fills[p : p + size]) for p, h in zip(places, hashes.view(np.int64).tolist())]
+                    rows += [(key, int(p), size, total, h, [fills.get(i, "") for i in range(p, p + size)]) for p, h in zip(places, hashes.view(np.int64).tolist())]
             yield pd.DataFrame(rows, columns=["id", "place", "size", "n_windows", "h", "fills"])
 
     return texts.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).mapInPandas(run, "id long, place int, size int, n_windows int, h long, fills array<string>")
@@ -138,6 +143,7 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", ite
     seen = template_windows(docs, doc_key, text, sizes, bitmap_of(asked))
     met = seen.select(F.col("id").alias("doc_id"), F.col("place").alias("at"), "size", "h", F.col("fills").alias("has")).join(asked.select(F.col("id").alias("item_id"), "place", "size", "n_windows", "h", "fills"), ["h", "size"])
     met = met.withColumn("diagonal", F.col("at") - F.col("place")).dropDuplicates(["doc_id", "item_id", "diagonal", "place"])
+    met = stored(met, "met")  # read twice below: the slots' and the places' sides
     line = ["doc_id", "item_id", "diagonal"]
     slots = met.select(*line, F.explode(F.filter(F.arrays_zip("fills", "has"), lambda x: x["fills"] != "")).alias("x")).groupBy(*line, F.col("x.fills").alias("value")).agg(F.count_distinct("x.has").alias("fillings"), F.max((F.col("x.fills") != F.col("x.has")).cast("int")).alias("other"))
     clash = slots.groupBy(*line).agg(F.max("fillings").alias("fillings"), F.max("other").alias("other"))
