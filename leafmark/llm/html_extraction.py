@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmark.llm.common import read_table, texts_of
+from leafmark.llm.common import read_table, stored, texts_of
 
 MIN_PAGES, MIN_SHARE = 10, 0.05
 FEW_WORDS, LINKED = 25, 0.3  # of a recurring container inside the main element
@@ -238,7 +238,7 @@ def subtree_counts(pages: DataFrame, page_key: str = "page_id", url: str = "url"
 def templates(pages: DataFrame, page_key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """host, hash of the subtrees that recur on at least MIN_PAGES pages and MIN_SHARE of the host's pages."""
     counts = subtree_counts(pages, page_key, url, html)
-    often = counts.filter((F.col("hash") == 0) | (F.col("pages") >= MIN_PAGES))
+    often = stored(counts.filter((F.col("hash") == 0) | (F.col("pages") >= MIN_PAGES)), "subtrees")  # read twice below
     hosts = often.filter("hash = 0").select("host", F.col("pages").alias("of_host"))
     return often.filter("hash != 0").join(hosts, "host").filter(F.col("pages") >= MIN_SHARE * F.col("of_host")).select("host", "hash")
 
