@@ -87,8 +87,9 @@ def token_hashes(words: list[str]) -> np.ndarray:
     except KeyError:
         if len(_hash_of) > 400_000:
             _hash_of.clear()
-        for w in set(words) - _hash_of.keys():
-            _hash_of[w] = xxhash.xxh64_intdigest(w)
+        for w in words:
+            if w not in _hash_of:
+                _hash_of[w] = xxhash.xxh64_intdigest(w)
         return mixed(np.fromiter(map(_hash_of.__getitem__, words), np.uint64, len(words)))
 
 

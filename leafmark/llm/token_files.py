@@ -223,7 +223,7 @@ def read_token_files(manifest: DataFrame, wanted: np.ndarray | None = None) -> D
                 with store.open_input_file(inner) as source:
                     r = Reader(source)
                     places = np.arange(r.n) if chosen is None else np.flatnonzero(np.isin(r.doc_ids, chosen))
-                    for part in np.array_split(places, max(1, len(places) // 500)):
+                    for part in np.array_split(places, max(1, len(places) // 500)) if len(places) else ():
                         got = [r.ids(int(p)) for p in part]
                         yield pd.DataFrame({"doc_id": r.doc_ids[part], "start": before + r.starts[:-1][part], "n_tokens": r.counts[part], "ids_crc32": [zlib.crc32(i.tobytes()) for i in got], "ids": [i.astype(np.int64) for i in got]})
 
