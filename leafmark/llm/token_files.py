@@ -14,6 +14,8 @@ Files are named by their place in the order and moved into place when complete,
 from __future__ import annotations
 
 import io
+import os
+import re
 import struct
 import uuid
 import zlib
@@ -33,45 +35,82 @@ from leafmark.llm.common import bucket_of, cut_points, fresh_path, read_table, s
 FRAME_BYTES = 1 << 18
 SKIPPABLE_INDEX, SKIPPABLE_SEEK = 0x184D2A50, 0x184D2A5E  # fixed values of the zstandard formats
 SEEK_MAGIC = 0x8F92EAB1  # fixed value of the seekable format
-CHUNK_LIMIT = 500_000
+KEPT = 150_000
+GROUP_CHARS = 1 << 20
+
+
+PIECE = re.compile(r"\s*\S+|\s+")
+UNSURE = re.compile("[\x1c-\x1f]")  # white space to Python, not to the tokenizer's pattern
 
 
 class ByteEncoder:
-    """Ids of the tokenizers library, for texts cut where its pattern always cuts: before a space between two
-    characters that are no white space. The ids of short cuts are kept."""
+    """Ids of the tokenizers library, for texts cut where its pattern always cuts: before white space that follows
+    other characters. New pieces are encoded together, one string of many, and told apart by their tokens' bytes.
+
+    The ids of short pieces are kept in two generations of at most KEPT pieces each: a piece met again moves to the
+    young one, and when that is full it becomes the old one. Texts are encoded in groups of about GROUP_CHARS.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task on each core already
         self.library = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
+        self.bytes_of = np.zeros(self.library.get_vocab_size(), np.int64)
+        for token, i in self.library.get_vocab(with_added_tokens=True).items():
+            self.bytes_of[i] = len(token)  # a byte is a character in byte-level vocabularies
+        for i, token in self.library.get_added_tokens_decoder().items():
+            self.bytes_of[i] = len(token.content.encode())
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > CHUNK_LIMIT:
-            self.known.clear()
-        cuts = [cut_text(t) for t in texts]
-        new = list(dict.fromkeys(c for text in cuts for c in text if c not in self.known))
-        fresh = {c: np.array(e.ids, np.uint32).tobytes() for c, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False))}
-        known = self.known
-        out = [np.frombuffer(b"".join([known.get(c) or fresh[c] for c in text]), np.uint32) for text in cuts]
-        known.update((c, i) for c, i in fresh.items() if len(c) <= 48)
+        out, group, size = [], [], 0
+        for t in texts:
+            group.append(t)
+            size += len(t)
+            if size >= GROUP_CHARS:
+                out += self._encode(group)
+                group, size = [], 0
+        return out + self._encode(group)
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.young) > KEPT:
+            self.old, self.young = self.young, {}
+        young, old, cuts, new = self.young, self.old, [cut_text(t) for t in texts], []
+        for c in {c for text in cuts for c in text if c not in young}:
+            if c in old:
+                young[c] = old[c]
+            else:
+                new.append(c)
+        self._learn(new)
+        out = [np.frombuffer(b"".join(map(young.__getitem__, text)), np.uint32) for text in cuts]
+        for c in new:
+            if len(c) > 48:
+                del young[c]
         return out
 
+    def _learn(self, new: list[str]) -> None:
+        joinable = [c for c in new if c[0].isspace() and not c[-1].isspace() and not UNSURE.search(c)]
+        alone = list(set(new).difference(joinable))
+        for c, e in zip(alone, self.library.encode_batch_fast(alone, add_special_tokens=False)):
+            self.young[c] = np.array(e.ids, np.uint32).tobytes()
+        for at in range(0, len(joinable), 200):
+            part = joinable[at : at + 200]
+            ids = np.array(self.library.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in part])
+            places = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends, side="left") + 1
+            raw, begin = ids.tobytes(), 0
+            for c, end in zip(part, (4 * places).tolist()):
+                self.young[c] = raw[begin:end]
+                begin = end
+
 
 def cut_text(text: str) -> list[str]:
     """Pieces of the text, whose concatenation it is."""
-    if not text:
-        return []
-    words = text.split(" ")
-    out = [words[0]]
-    loose = not words[0] or words[0][-1].isspace()  # the next space isn't a sure cut
-    for w in words[1:]:
-        if loose or not w or w[0].isspace():
-            out[-1] += " " + w
-        else:
-            out.append(" " + w)
-        loose = not w or w[-1].isspace()
-    return out
+    if UNSURE.search(text):
+        return [text]
+    return PIECE.findall(text)
 
 
 _encoders: dict[str, ByteEncoder] = {}
