@@ -35,7 +35,7 @@ from leafmark.llm.common import bucket_of, cut_points, fresh_path, read_table, s
 FRAME_BYTES = 1 << 18
 SKIPPABLE_INDEX, SKIPPABLE_SEEK = 0x184D2A50, 0x184D2A5E  # fixed values of the zstandard formats
 SEEK_MAGIC = 0x8F92EAB1  # fixed value of the seekable format
-KEPT = 150_000
+KEPT = 400_000
 GROUP_CHARS = 1 << 20
 
 
