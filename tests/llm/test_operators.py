@@ -215,3 +215,18 @@ def test_pipeline_stages(spark):
         kept = stage(spark, docs, DATA)
         assert kept.columns == columns and kept.join(docs.select("doc_id"), "doc_id", "left_anti").count() == 0
     assert corpus_pipeline.run(spark, DATA).filter(F.col("n_tokens") != F.size("ids")).count() == 0
+
+
+def test_byte_encoder_equals_the_library_across_generations(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from leafmark.llm import token_files
+
+    monkeypatch.setattr(token_files, "KEPT", 3)
+    monkeypatch.setattr(token_files, "GROUP_CHARS", 20)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["", " ", "a\x1cb!\x1c c", " x  y \n\n\n z\t", "it's  a　b   ¬ <|endoftext|> q", "w" * 300 + " \U0001f600 end", " \x1d a", "the cat\r\n the  cat"] * 2
+    found = token_files.ByteEncoder(path).encode_all(texts)
+    wanted = Tokenizer.from_file(path).encode_batch_fast(texts, add_special_tokens=False)
+    assert [f.tolist() for f in found] == [w.ids for w in wanted]
