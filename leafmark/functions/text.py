@@ -27,17 +27,17 @@ def half_up(x: Column, digits: int = 3) -> Column:
     return F.floor(x * 10**digits + 0.5) / float(10**digits)
 
 
-def tokens(c: Column) -> Column:
-    """Terms in order: array of struct(term, weight); technical terms weigh 1.25."""
+def tokens(c: Column, most: int | None = None) -> Column:
+    """Terms in order: array of struct(term, weight); technical terms weigh 1.25. most: only so many first ones."""
     raw = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(C.TOKEN_JAVA), 0)
     stop = F.lit(C.STOP_WORDS)
     made = F.transform(raw, lambda t: F.struct(F.lower(F.regexp_replace(t, C.EDGES, "")).alias("term"), t.rlike(C.TECHNICAL).alias("technical")))
     kept = F.filter(made, lambda t: (t["term"] != "") & ~F.array_contains(stop, t["term"]) & (t["technical"] | (F.length(t["term"]) >= 3)) & ~t["term"].rlike("^[0-9]+$"))
-    return F.transform(F.slice(kept, 1, C.TOKENS_PER_TEXT), lambda t: F.struct(t["term"].alias("term"), F.when(t["technical"], 1.25).otherwise(1.0).alias("weight")))
+    return F.transform(kept if most is None else F.slice(kept, 1, most), lambda t: F.struct(t["term"].alias("term"), F.when(t["technical"], 1.25).otherwise(1.0).alias("weight")))
 
 
-def term_set(c: Column) -> Column:
-    return F.array_distinct(F.transform(F.slice(tokens(c), 1, C.TOKENS_PER_SET), lambda t: t["term"]))
+def term_set(c: Column, most: int | None = None) -> Column:
+    return F.array_distinct(F.transform(tokens(c, most), lambda t: t["term"]))
 
 
 def hash_text(c: Column) -> Column:

@@ -20,41 +20,50 @@ def page_statistics(nodes: DataFrame) -> DataFrame:
     return made.withColumn("link_density", T.half_up(F.when(F.col("words") > 0, F.col("link_words") / F.col("words")).otherwise(0.0)))
 
 
-def headings(nodes: DataFrame, most: int = 260) -> DataFrame:
+def headings(nodes: DataFrame, most: int | None = None) -> DataFrame:
     """page_id, pos, level and title of the headings of three characters or more; a heading repeated next to itself
-    is taken once."""
+    is taken once. most: at most so many of each page."""
     page = Window.partitionBy("page_id").orderBy("pre")
     found = nodes.filter(F.col("tag").isin(*HEADINGS) & (F.length("text") >= 3)).withColumn("before", F.lag(F.lower("text")).over(page))
-    kept = found.filter(F.col("before").isNull() | (F.col("before") != F.lower("text"))).withColumn("rank", F.row_number().over(page))
-    return kept.filter(F.col("rank") <= most).select("page_id", F.col("pre").cast("long").alias("pos"), F.substring("tag", 2, 1).cast("int").alias("level"), F.col("text").alias("title"))
+    kept = found.filter(F.col("before").isNull() | (F.col("before") != F.lower("text")))
+    if most is not None:
+        kept = kept.withColumn("rank", F.row_number().over(page)).filter(F.col("rank") <= most)
+    return kept.select("page_id", F.col("pre").cast("long").alias("pos"), F.substring("tag", 2, 1).cast("int").alias("level"), F.col("text").alias("title"))
 
 
-def blocks(nodes: DataFrame, most: int = 850) -> DataFrame:
+def blocks(nodes: DataFrame, most: int | None = None) -> DataFrame:
     """page_id, pos, tag, words and text of the readable blocks: eight words or more (pre and table always), none inside
-    the block before it."""
+    the block before it. most: at most so many of each page."""
     page = Window.partitionBy("page_id").orderBy("pre")
     found = nodes.filter(F.col("tag").isin(*BLOCKS)).withColumn("words", T.count_words(F.col("text")))
     kept = found.filter((F.col("words") >= 8) | F.col("tag").isin("pre", "table") | ((F.col("tag") == "figure") & (F.length("text") >= 45)))
-    outer = kept.withColumn("reach", F.lag("post").over(page)).filter(F.col("reach").isNull() | (F.col("pre") > F.col("reach"))).withColumn("rank", F.row_number().over(page))
-    return outer.filter(F.col("rank") <= most).select("page_id", F.col("pre").cast("long").alias("pos"), "tag", "words", "text")
+    outer = kept.withColumn("reach", F.lag("post").over(page)).filter(F.col("reach").isNull() | (F.col("pre") > F.col("reach")))
+    if most is not None:
+        outer = outer.withColumn("rank", F.row_number().over(page)).filter(F.col("rank") <= most)
+    return outer.select("page_id", F.col("pre").cast("long").alias("pos"), "tag", "words", "text")
 
 
 def heading_sections(heads: DataFrame, found: DataFrame) -> DataFrame:
     """page_id, pos, title, words and blocks of each heading's section: the blocks up to the next heading of its level
-    or a higher one, or where there is none up to the next heading. The interval join has page_id as its equi-key."""
-    later = heads.select("page_id", F.col("pos").alias("later"), F.col("level").alias("later_level"))
-    after = heads.join(later, "page_id", "left").filter(F.col("later").isNull() | (F.col("later") > F.col("pos")))
-    ends = after.groupBy("page_id", "pos", "level", "title").agg(F.min(F.when(F.col("later_level") <= F.col("level"), F.col("later"))).alias("same"), F.min("later").alias("any"))
-    last = heads.join(ends, ["page_id", "pos", "level", "title"], "left").withColumn("until", F.coalesce("same", "any"))
-    inside = last.join(found.select("page_id", F.col("pos").alias("at"), "words"), "page_id", "left").filter(F.col("at").isNull() | ((F.col("at") >= F.col("pos")) & (F.col("until").isNull() | (F.col("at") < F.col("until")))))
-    summed = inside.groupBy("page_id", "pos", "title").agg(F.coalesce(F.sum("words"), F.lit(0)).alias("words"), F.count("at").alias("blocks"))
-    return heads.select("page_id", "pos", "title").join(summed, ["page_id", "pos", "title"], "left").na.fill(0, ["words", "blocks"])
+    or a higher one, or where there is none up to the next heading. Running sums and the next headings of each level
+    come from windows, so the work grows with a page's elements, not with their square."""
+    later = Window.partitionBy("page_id").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+    level = F.col("level")
+    same = F.coalesce(*(F.when(level == n, F.max(F.when(level <= n, -F.col("pos"))).over(later)) for n in range(1, len(HEADINGS) + 1)))
+    after = heads.withColumn("until", -F.coalesce(same, F.max(-F.col("pos")).over(later)))
+    upto = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    all_ = after.select("page_id", "pos", "title", "until", F.lit(0).cast("long").alias("w"), F.lit(0).cast("long").alias("b"), F.lit(True).alias("head")).unionByName(found.select("page_id", "pos", F.lit(None).cast("string").alias("title"), F.lit(None).cast("long").alias("until"), F.col("words").cast("long").alias("w"), F.lit(1).cast("long").alias("b"), F.lit(False).alias("head")))
+    page = Window.partitionBy("page_id")
+    summed = all_.withColumn("words", F.sum("w").over(upto)).withColumn("blocks", F.sum("b").over(upto)).withColumn("all_words", F.sum("w").over(page)).withColumn("all_blocks", F.sum("b").over(page)).filter("head")
+    ends = summed.groupBy("page_id", F.col("pos").alias("until")).agg(F.max("words").alias("end_words"), F.max("blocks").alias("end_blocks"))
+    closed = summed.join(ends, ["page_id", "until"], "left")
+    return closed.select("page_id", "pos", "title", (F.coalesce("end_words", "all_words") - F.col("words")).alias("words"), (F.coalesce("end_blocks", "all_blocks") - F.col("blocks")).alias("blocks"))
 
 
 def hierarchy(sections: DataFrame) -> DataFrame:
     """page_id, pos, parent: the nearest earlier section of a smaller level."""
-    earlier = sections.select("page_id", F.col("pos").alias("up"), F.col("level").alias("up_level"))
-    pairs = sections.join(earlier, (sections["page_id"] == earlier["page_id"]) & (earlier["up"] < sections["pos"]) & (earlier["up_level"] < sections["level"]), "left").select(sections["page_id"], "pos", "level", "up")
+    earlier = sections.select(F.col("page_id").alias("up_page"), F.col("pos").alias("up"), F.col("level").alias("up_level"))
+    pairs = sections.join(earlier, (F.col("page_id") == F.col("up_page")) & (F.col("up") < F.col("pos")) & (F.col("up_level") < F.col("level")), "left").select("page_id", "pos", "level", "up")
     return pairs.groupBy("page_id", "pos").agg(F.max("up").alias("parent"))
 
 

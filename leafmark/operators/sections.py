@@ -43,7 +43,7 @@ def text_sections(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 def section_terms(sections: DataFrame) -> DataFrame:
     """page_id, section, term, weight: summed term weights."""
-    exploded = sections.select("page_id", "section", F.explode(T.tokens(F.col("body"))).alias("t"))
+    exploded = sections.select("page_id", "section", F.explode(T.tokens(F.col("body"), C.TOKENS_PER_TEXT)).alias("t"))  # the bound is that of the SQL
     return exploded.groupBy("page_id", "section", F.col("t.term").alias("term")).agg(F.sum("t.weight").alias("weight"))
 
 
@@ -141,7 +141,7 @@ def saved_minutes(sections: DataFrame) -> DataFrame:
 
 def neighbour_similarity(sections: DataFrame) -> DataFrame:
     """Jaccard index of the terms of each section and the one before it in its page."""
-    sets = sections.select("page_id", "section", T.term_set(F.col("body")).alias("terms"))
+    sets = sections.select("page_id", "section", T.term_set(F.col("body"), C.TOKENS_PER_SET).alias("terms"))
     pairs = sets.withColumn("before", F.lag("terms").over(Window.partitionBy("page_id").orderBy("section"))).filter("before is not null")
     union = F.size(F.array_union("terms", "before"))
     return pairs.select("page_id", "section", T.half_up(F.when(union > 0, F.size(F.array_intersect("terms", "before")) / union).otherwise(0.0)).alias("similarity"))
