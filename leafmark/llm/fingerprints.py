@@ -1,7 +1,7 @@
 """Document fingerprints by winnowing.
 
 Rolling hashes of all k-grams of code points; of each window of w of them the smallest is chosen, the rightmost one
-of equals; a choice is kept once, with its position. Two texts that share w + k - 1 code points share a choice.
+of equals; a choice is kept once, with its position (from 0, in code points). Two texts that share w + k - 1 code points share a choice.
 
 Handling of special cases: a null text counts as empty; an empty text has an empty fingerprint; a text shorter than
 k has one hash, of the whole; fewer than w grams make one window. Very long texts are hashed in segments that overlap
@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from leafmark.llm.common import BASE, INVERSE, NULL_KEY, bucket_of, cut_points, mixed, powers, read_table, texts_of
 
-GRAM, WINDOW = 24, 96
+GRAM, WINDOW = 12, 20  # a shared run of 31 code points is found for certain
 SEGMENT = 1 << 22
 LOW = np.uint64((1 << 24) - 1)
 
@@ -121,31 +121,31 @@ def with_successors(docs: DataFrame, key: str = "doc_id", text: str = "text", ro
 
 def edited_likeness(docs: DataFrame, k: int = GRAM, w: int = WINDOW, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each text's fingerprint beside that of its edited text, in which the last half is replaced by the beginning
-    of the next document, and the likeness to both."""
+    of the next document, the likeness to both, and the places of the chosen hashes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None  # bucket, key, text, hashes, sorted hashes of the row that waits for its successor
+        held = None  # bucket, key, text, hashes, sorted hashes, positions of the row that waits for its successor
 
         def row(after: str, next_set: np.ndarray) -> tuple:
-            _, at, mine, hashes, own = held
+            _, at, mine, hashes, own, places = held
             half = len(mine) // 2
             edited = mine[: len(mine) - half] + after[:half]
-            changed, _ = winnow(edited, k, w)
-            return (at, len(mine), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), shown(hashes), shown(changed), likeness(own, np.unique(changed)), likeness(own, next_set), len(hashes))
+            changed, changed_places = winnow(edited, k, w)
+            return (at, len(mine), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), shown(hashes), shown(changed), likeness(own, np.unique(changed)), likeness(own, next_set), len(hashes), places, changed_places)
 
         for b in batches:
             out = []
             for bucket, tail, at, t in zip(b["bucket"].tolist(), b["tail"].tolist(), b["k"].tolist(), texts_of(b["t"])):
                 if tail and held is None:  # a further row with the same key as the first tail
                     continue
-                hashes, _ = winnow(t, k, w)
+                hashes, places = winnow(t, k, w)
                 own = np.unique(hashes)
                 if held is not None:
                     out.append(row(t, own))
-                held = None if tail else (bucket, at, t, hashes, own)
-            yield pd.DataFrame(out, columns=[key, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_selected"])
+                held = None if tail else (bucket, at, t, hashes, own, places)
+            yield pd.DataFrame(out, columns=[key, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_selected", "positions", "edited_positions"])
 
-    schema = f"{key} long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_selected long"
+    schema = f"{key} long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_selected long, positions array<long>, edited_positions array<long>"
     found = with_successors(docs, key, text).mapInPandas(run, schema)
     return found.withColumn(key, F.when(F.col(key) != NULL_KEY, F.col(key)))
 
