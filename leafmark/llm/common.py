@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 import numpy as np
@@ -18,10 +20,12 @@ INVERSE = pow(BASE, -1, 1 << 64)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a folder of our own only where it is unset."""
+    """The folder named by spark.checkpoint.dir; where it is unset a folder of our own, if all runs on one machine."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("leafmark.shared.dir", None)
     if not where:
-        where = "file:///tmp/leafmark-shared"
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+        where = f"file://{tempfile.mkdtemp(prefix='leafmark-')}"
         spark.conf.set("leafmark.shared.dir", where)
     return where.rstrip("/")
 
@@ -43,6 +47,23 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(df: DataFrame) -> None:
+    """Lets Spark hand texts to Python workers in smaller batches than its own 10,000 rows, unless told otherwise: a
+    task's memory then holds a few MB of usual texts at a time."""
+    if df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores in front as it needs to clash with no column of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 # ---------------------------------------------------------------- distributed order
 
 
@@ -101,13 +122,13 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; the longest table asked for is kept."""
+    """base**0 .. base**(n-1) modulo 2**64; the longest table of at most a million is kept."""
     have = _powers.get(base)
     if have is None or len(have) < n:
         table = np.full(max(n, 1 << 16), base, np.uint64)
         table[0] = 1
         have = np.multiply.accumulate(table)
-        if n <= 1 << 22:
+        if n <= 1 << 20:
             _powers[base] = have
     return have[:n]
 

@@ -17,17 +17,17 @@ from collections.abc import Iterator
 from itertools import chain
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmark.llm.common import read_table, texts_of
+from leafmark.llm.common import bounded_batches, read_table, texts_of
 
 SPACE_MARK = "▁"
-CHUNK_LIMIT = 400_000
-PAIR_LIMIT = 1_500_000
+CHUNK_LIMIT, PAIR_LIMIT = 150_000, 600_000  # what a Python worker keeps: about 40 and 80 MB
+FRAME_CHARS = 1 << 21  # of text, in one frame that a task sends back
 
 
 class MergeCodec:
@@ -208,30 +208,37 @@ def codec(model_path: str) -> MergeCodec:
     return _codecs[model_path]
 
 
-def encode_documents(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Adds the column of ids (array of int) to docs; each row is encoded where it lies, without a shuffle."""
-    kept = [f for f in docs.schema.fields if f.name != ids]
+def frames(batches: Iterator[pd.DataFrame], text: str) -> Iterator[pd.DataFrame]:
+    """The batches cut into frames of about FRAME_CHARS of text, so that what a task adds to them stays bounded."""
+    for b in batches:
+        sizes = np.cumsum([len(t) for t in texts_of(b[text])])
+        for _, frame in b.groupby(sizes // FRAME_CHARS, sort=False):
+            yield frame
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = codec(model_path)
-        for b in batches:
-            b[ids] = [c.encode(t) for t in texts_of(b[text])]
-            yield b
 
-    return docs.select([f.name for f in kept]).mapInPandas(run, T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+def encode_and_decode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids", n_tokens: str = "n_tokens", decoded: str = "decoded") -> DataFrame:
+    """The columns of docs without text, and ids (array of int), n_tokens and decoded, the text of the ids.
 
-
-def decode_documents(docs: DataFrame, model_path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """Adds the column of decoded texts; null ids decode to the empty text."""
-    kept = [f for f in docs.schema.fields if f.name != decoded]
+    Each row is encoded and decoded where it lies, in one pass and without a shuffle; columns of docs with the names
+    of new ones are replaced."""
+    bounded_batches(docs)
+    kept = [f for f in docs.schema.fields if f.name not in (text, ids, n_tokens, decoded)]
+    names = [f.name for f in kept]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(model_path)
-        for b in batches:
-            b[decoded] = [c.decode(list(x)) if x is not None else "" for x in b[ids]]
-            yield b
+        for b in frames(batches, text):
+            found, shown = [], []
+            for t in texts_of(b[text]):
+                got = c.encode(t)
+                shown.append(c.decode(got))
+                found.append(np.array(got, np.int32))
+            out = b[names].copy()
+            out[ids], out[n_tokens], out[decoded] = found, [len(x) for x in found], shown
+            yield out
 
-    return docs.select([f.name for f in kept]).mapInPandas(run, T.StructType([*kept, T.StructField(decoded, T.StringType())]))
+    added = [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(n_tokens, T.LongType()), T.StructField(decoded, T.StringType())]
+    return docs.select(*names, text).mapInPandas(run, T.StructType([*kept, *added]))
 
 
 def round_trip_digests(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -239,11 +246,12 @@ def round_trip_digests(docs: DataFrame, model_path: str, key: str = "doc_id", te
 
     The ids stay inside the task, so that only digests travel.
     """
+    bounded_batches(docs)
     kind = docs.schema[key].dataType
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(model_path)
-        for b in batches:
+        for b in frames(batches, text):
             rows = []
             for k, t in zip(b[key].tolist(), texts_of(b[text])):
                 got = c.encode(t)
@@ -263,10 +271,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document's ids, counts and digests, and its text as decoded from the ids."""
+    """Pipeline stage: every document's ids and their number, and in place of its text the text decoded from the ids."""
     import public_tokenizers
 
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    kept = docs.select("doc_id", "text", "lang", "source")
-    encoded = decode_documents(encode_documents(kept, model), model).withColumn("n_tokens", F.size("ids").cast("long"))
-    return encoded.select("doc_id", "lang", "source", "n_tokens", "ids", "decoded")
+    return encode_and_decode(docs, public_tokenizers.path("piece_bpe_32k.model"))
