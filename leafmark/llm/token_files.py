@@ -8,11 +8,13 @@ the frames that hold the documents it wants.
 
 Handling of special cases: a null or empty text has the end id only; rows with equal ids stay next to each other,
 ordered by text; null ids come first; very long documents fill frames of their own; an empty table writes no file.
-Files are named by their place in the order and moved into place when complete, so a repeated task replaces its file.
+The formats' counts are unsigned 32 bits: a document of over 2^30 - 1 ids, or a file of over 4 GB in one frame, is
+refused with an error. Files are named by their place in the order and moved into place when complete, so a repeated task replaces its file.
 """
 
 from __future__ import annotations
 
+import bisect
 import io
 import os
 import re
@@ -30,25 +32,24 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmark.llm.common import bucket_of, cut_points, fresh_path, read_table, stored, texts_of
+from leafmark.llm.common import MOST_BUCKETS, bounded_batches, bucket_of, cut_points, fresh_path, read_table, stored, texts_of
 
 FRAME_BYTES = 1 << 18
 SKIPPABLE_INDEX, SKIPPABLE_SEEK = 0x184D2A50, 0x184D2A5E  # fixed values of the zstandard formats
 SEEK_MAGIC = 0x8F92EAB1  # fixed value of the seekable format
 KEPT = 400_000
 GROUP_CHARS = 1 << 20
-
-
-PIECE = re.compile(r"\s*\S+|\s+")
-UNSURE = re.compile("[\x1c-\x1f]")  # white space to Python, not to the tokenizer's pattern
+FIRST = " "  # marks a text's first piece, which no space precedes; others hold none
 
 
 class ByteEncoder:
-    """Ids of the tokenizers library, for texts cut where its pattern always cuts: before white space that follows
-    other characters. New pieces are encoded together, one string of many, and told apart by their tokens' bytes.
+    """Ids of the tokenizers library, for texts cut where its pattern always cuts: before a space between characters
+    that are no white space. A piece is what follows such a space; new ones are encoded together as one string, and
+    told apart by the tokens that begin with a space, which only a piece's first token does.
 
-    The ids of short pieces are kept in two generations of at most KEPT pieces each: a piece met again moves to the
-    young one, and when that is full it becomes the old one. Texts are encoded in groups of about GROUP_CHARS.
+    The ids of pieces are kept in two generations of at most KEPT each: a piece met again moves to the young one, and
+    when that is full it becomes the old one. Texts are encoded in groups of about GROUP_CHARS. Those with a piece that
+    shows white space beside white space, a special token, or a mark that others read as white space, stay uncut.
     """
 
     def __init__(self, path: str):
@@ -56,11 +57,13 @@ class ByteEncoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task on each core already
         self.library = Tokenizer.from_file(path)
-        self.bytes_of = np.zeros(self.library.get_vocab_size(), np.int64)
+        special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        if any(" " in t for t in special):
+            raise ValueError("a special token holds a space: texts can't be cut at spaces")
+        self.uncut = re.compile("|".join([r"\A\s|\s\Z|\s\s|\A\Z|[\x1c-\x1f]", *map(re.escape, special)]))
+        self.leads = np.zeros(self.library.get_vocab_size(), bool)
         for token, i in self.library.get_vocab(with_added_tokens=True).items():
-            self.bytes_of[i] = len(token)  # a byte is a character in byte-level vocabularies
-        for i, token in self.library.get_added_tokens_decoder().items():
-            self.bytes_of[i] = len(token.content.encode())
+            self.leads[i] = token[0] == "\u0120"  # a space, in byte-level vocabularies
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -77,40 +80,47 @@ class ByteEncoder:
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.young) > KEPT:
             self.old, self.young = self.young, {}
-        young, old, cuts, new = self.young, self.old, [cut_text(t) for t in texts], []
-        for c in {c for text in cuts for c in text if c not in young}:
-            if c in old:
-                young[c] = old[c]
-            else:
-                new.append(c)
-        self._learn(new)
-        out = [np.frombuffer(b"".join(map(young.__getitem__, text)), np.uint32) for text in cuts]
-        for c in new:
-            if len(c) > 48:
-                del young[c]
+        pieces, ends = [], []
+        for t in texts:
+            if t:
+                own = t.split(" ")
+                own[0] = FIRST + own[0]
+                pieces += own[own[0] == FIRST :]  # a text may begin with a space
+            ends.append(len(pieces))
+        found = list(map(self.young.get, pieces))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        whole: set[int] = set()
+        if missing:
+            learned = self._learn({pieces[i] for i in missing})
+            for i in missing:
+                found[i] = learned.get(pieces[i])
+                if found[i] is None:
+                    whole.add(bisect.bisect_right(ends, i))
+        out, begin = [], 0
+        for i, end in enumerate(ends):
+            out.append(np.frombuffer(self._ids([texts[i]])[0] if i in whole else b"".join(found[begin:end]), np.uint32))
+            begin = end
         return out
 
-    def _learn(self, new: list[str]) -> None:
-        joinable = [c for c in new if c[0].isspace() and not c[-1].isspace() and not UNSURE.search(c)]
-        alone = list(set(new).difference(joinable))
-        for c, e in zip(alone, self.library.encode_batch_fast(alone, add_special_tokens=False)):
-            self.young[c] = np.array(e.ids, np.uint32).tobytes()
-        for at in range(0, len(joinable), 200):
-            part = joinable[at : at + 200]
-            ids = np.array(self.library.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in part])
-            places = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends, side="left") + 1
-            raw, begin = ids.tobytes(), 0
-            for c, end in zip(part, (4 * places).tolist()):
-                self.young[c] = raw[begin:end]
-                begin = end
-
-
-def cut_text(text: str) -> list[str]:
-    """Pieces of the text, whose concatenation it is."""
-    if UNSURE.search(text):
-        return [text]
-    return PIECE.findall(text)
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        """The ids of pieces that the young generation doesn't have, where they can be cut out; moves the short ones
+        there."""
+        learned = {c: self.old[c] for c in new if c in self.old}
+        fresh = [c for c in new if c not in learned and not self.uncut.search(c, c[:1] == FIRST)]
+        first = [c for c in fresh if c[0] == FIRST and len(c) > 1]
+        learned.update(zip(first, self._ids([c[1:] for c in first])))
+        others = [c for c in fresh if c[0] != FIRST]
+        if others:
+            raw = self._ids([" " + " ".join(others)])[0]
+            at = (4 * np.flatnonzero(self.leads[np.frombuffer(raw, np.uint32)])).tolist()
+            if len(at) != len(others):
+                raise ValueError("the tokenizer joins across spaces: texts can't be cut")
+            learned.update((c, raw[i:j]) for c, i, j in zip(others, at, [*at[1:], len(raw)]))
+        self.young.update((c, ids) for c, ids in learned.items() if len(c) <= 48)
+        return learned
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.uint32).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 _encoders: dict[str, ByteEncoder] = {}
@@ -136,6 +146,8 @@ class Writer:
         self.pack = zstandard.ZstdCompressor(level=1, write_checksum=True)
 
     def add(self, doc_id: int, ids: np.ndarray) -> None:
+        if len(ids) >= 1 << 30:
+            raise ValueError(f"document {doc_id} has {len(ids)} ids: more than a frame can hold")
         self.doc_ids.append(doc_id)
         self.counts.append(len(ids))
         self.pending.append(ids.astype("<u4").tobytes())
@@ -209,13 +221,28 @@ class Reader:
 MANIFEST = "bucket int, path string, n_docs long, n_tokens long"
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 0, rows_per_file: int = 4000, key: str = "doc_id", text: str = "text") -> DataFrame:
+def cuts_by_bytes(docs: DataFrame, key: str, text: str, bytes_per_file: int, rows_per_share: int) -> np.ndarray:
+    """Ascending boundaries of files of about equal bytes of text: fine shares of rows (at most MOST_BUCKETS) are
+    measured, and neighbours joined. Rows with one key are never parted."""
+    cuts = cut_points(docs, key, rows_per_share)
+    if len(cuts) == 0:
+        return cuts
+    sizes = np.zeros(len(cuts) + 1, np.int64)
+    for r in docs.groupBy(bucket_of(key, cuts).alias("share")).agg(F.sum(F.octet_length(text)).alias("b")).collect():
+        sizes[r["share"]] = r["b"] or 0
+    ends = np.cumsum(sizes)
+    most = max(bytes_per_file, int(ends[-1]) // MOST_BUCKETS)
+    return cuts[np.flatnonzero(np.diff((ends - 1) // most))]
+
+
+def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 0, bytes_per_file: int = 8_000_000, rows_per_share: int = 256, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Writes the ids of all texts in ascending order of key to files under folder; returns the manifest, a stored
     table of bucket (place of the file in the order), path, n_docs, n_tokens.
 
     Texts are dealt to their files by one shuffle; a task writes its rows as they come, a frame at a time.
     """
-    cuts = cut_points(docs, key, rows_per_file)
+    bounded_batches(docs)
+    cuts = cuts_by_bytes(docs, key, text, bytes_per_file, rows_per_share)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(tokenizer_path)
