@@ -4,7 +4,8 @@ Texts are lower-cased and all that is no letter becomes a space; the n-grams of
 A feature's value is its share of the text's n-grams times its inverse document frequency, so a text's logits are the
 mean over its n-grams of one table's rows, and very long texts are summed piece by piece. The weights come from
 follow-the-regularised-leader with an elastic-net penalty; a temperature fitted on rows kept out of it calibrates the
-probabilities.
+probabilities. The sample is drawn for each language, so rare ones are learned too, and the languages' true shares
+are weighed in afterwards. A text's answer depends on that text alone, not on the rows it is read with.
 
 Handling of special cases: a null or empty text, or one without a letter, is `und` with score 0; ties go to the
 language first in alphabetical order; without any labelled row every text is `und`; repeated rows are answered each;
@@ -22,12 +23,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmark.llm.common import fold, read_table, texts_of
-from leafmark.llm.grams import bounded_sample, chunks, gram_buckets, joined, letters_only
+from leafmark.llm.common import bounded_batches, fold, free_names, read_table, texts_of
+from leafmark.llm.grams import Pieces, bounded_sample, chunks, gram_buckets, letters_only
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
-SAMPLE_ROWS, SAMPLE_BYTES = 3000, 12_000_000  # bounds of the training sample
+SAMPLE_ROWS, SAMPLE_BYTES = 1000, 4_000_000  # bounds of the training sample, for each language
+AHEAD = ORDERS[-1] - 1
+COLDEST = 0.05  # least temperature
 UNDETERMINED = "und"
 
 
@@ -37,18 +40,20 @@ class Model:
     table: np.ndarray  # bucket x language: idf times weight, float32
     bias: np.ndarray
     temperature: float
+    prior: np.ndarray  # logarithm of each language's share over its share of the sample
 
 
-def _buckets(pieces: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Buckets by order, where each piece begins, and the number of letters in each."""
-    cp, starts = joined(pieces)
-    folded = letters_only(cp)
-    return gram_buckets(folded, ORDERS, BUCKETS), starts, np.add.reduceat((folded != 32).astype(np.int64), starts)
+def _counted(texts: list[str]) -> Iterator[tuple[np.ndarray, Pieces, list[np.ndarray], np.ndarray]]:
+    """For chunks of the texts: the pieces' places, the pieces, their buckets by order, and which points are letters."""
+    for places, held, after in chunks(texts, AHEAD):
+        pieces = Pieces([p.lower() for p in held], [a.lower() for a in after], AHEAD)
+        cp = letters_only(pieces.cp)
+        yield places, pieces, gram_buckets(cp, ORDERS, BUCKETS), cp != 32
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a text and their shares."""
-    found = np.concatenate(_buckets([text])[0])
+    found = np.concatenate([b[s:e] for _, p, buckets, _ in _counted([text]) for b in buckets for s, e in zip(p.starts, p.ends)])
     ids, counts = np.unique(found, return_counts=True)
     return ids, counts / len(found)
 
@@ -82,20 +87,24 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The temperature of least log loss, by golden-section search on its logarithm."""
+    """The temperature of least log loss, by golden-section search on its logarithm. One row's worth of doubt is spread
+    over the languages, so that rows without an error don't make it vanish."""
+    n, k = logits.shape
+    doubt = 1 / (n + 2)
 
     def loss(t: float) -> float:
-        return -np.log(np.maximum(_softmax(logits / np.exp(t))[np.arange(len(labels)), labels], 1e-300)).mean()
+        p = np.maximum(_softmax(logits / np.exp(t)), 1e-300)
+        return -((1 - doubt) * np.log(p[np.arange(n), labels]) + doubt * np.log(p).mean(1)).mean()
 
-    a, b, r = -5.0, 3.0, (5**0.5 - 1) / 2
+    a, b, r = np.log(COLDEST), 3.0, (5**0.5 - 1) / 2
     for _ in range(60):
         c, d = b - r * (b - a), a + r * (b - a)
         a, b = (a, d) if loss(c) <= loss(d) else (c, b)
     return float(np.exp((a + b) / 2))
 
 
-def train(texts: list[str], labels: list[str]) -> Model | None:
-    """A model of the labelled texts; one in five calibrates the temperature."""
+def train(texts: list[str], labels: list[str], totals: dict[str, int] | None = None) -> Model | None:
+    """A model of the labelled texts; one in five calibrates the temperature. totals: rows of each language."""
     usable = [(features(t), y) for t, y in zip(texts, labels) if t and y is not None and any(map(str.isalpha, t))]
     if not usable:
         return None
@@ -111,35 +120,38 @@ def train(texts: list[str], labels: list[str]) -> Model | None:
     w, bias = follow_leader([r for r, h in zip(scaled, held) if not h], y[~held], len(languages))
     test = held if held.any() else ~held
     logits = np.array([v @ w[i] + bias for (i, v), h in zip(scaled, test) if h])
-    return Model(languages, (w * idf[:, None] * 100).astype(np.float32), bias, fit_temperature(logits, y[test]))
+    sampled = np.bincount(y, minlength=len(languages)) / len(y)
+    rows = np.array([(totals or {}).get(c, n) for c, n in zip(languages, sampled * len(y))], np.float64)
+    return Model(languages, (w * idf[:, None] * 100).astype(np.float32), bias, fit_temperature(logits, y[test]), np.log(rows / rows.sum() / sampled))
 
 
 def predict(model: Model | None, texts: list[str]) -> tuple[list[str], np.ndarray]:
     """Language and probability of each text."""
     if model is None:
         return [UNDETERMINED] * len(texts), np.zeros(len(texts))
-    k = len(model.languages)
-    sums, grams, letters = np.zeros((len(texts), k)), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-    for places, pieces in chunks(texts):
-        found, starts, n_letters = _buckets(pieces)
-        for b in found:
-            np.add.at(sums, places, np.add.reduceat(model.table[b], starts, axis=0))
-        np.add.at(grams, places, np.diff(np.append(starts, len(found[0]))) * len(found))
-        np.add.at(letters, places, n_letters)
-    p = _softmax((sums / np.maximum(grams, 1)[:, None] + model.bias) / model.temperature)
+    sums, grams, letters = np.zeros((len(texts), len(model.languages))), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+    for places, pieces, buckets, is_letter in _counted(texts):
+        for b in buckets:
+            np.add.at(sums, places, pieces.sums(model.table[b]))
+        np.add.at(grams, places, (pieces.ends - pieces.starts) * len(buckets))
+        np.add.at(letters, places, pieces.sums(is_letter.astype(np.int64)))
+    p = _softmax((sums / np.maximum(grams, 1)[:, None] + model.bias) / model.temperature + model.prior)
     best = p.argmax(1)
     known = letters > 0
     return [model.languages[b] if ok else UNDETERMINED for b, ok in zip(best, known)], np.where(known, p[np.arange(len(texts)), best], 0.0)
 
 
 def train_on(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
-    """Learns from a bounded sample (SAMPLE_ROWS, SAMPLE_BYTES) of the labelled rows outside the held-out third."""
-    got = bounded_sample(docs, key, text, [lang], SAMPLE_ROWS, SAMPLE_BYTES, "language", (fold(key, 3) != 1) & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    return train([t for _, t, _ in got], [y for _, _, y in got])
+    """Learns from a bounded sample (SAMPLE_ROWS, SAMPLE_BYTES of each language) of the labelled rows outside the
+    held-out third."""
+    got, totals = bounded_sample(docs.filter(fold(key, 3) != 1), key, text, lang, SAMPLE_ROWS, SAMPLE_BYTES, "language")
+    return train([t for _, t, _ in got], [y for _, _, y in got], totals)
 
 
 def identify_languages(docs: DataFrame, model: Model | None, text: str = "text", lang_pred: str = "lang_pred", score: str = "lang_score") -> DataFrame:
-    """Adds the predicted language and its probability to docs, without a shuffle; the model is a few MB."""
+    """Adds the predicted language and its probability to docs, without a shuffle; the model is a few MB. Columns of
+    docs with the names of the new ones are replaced: name others to keep them."""
+    bounded_batches(docs)
     kept = [f for f in docs.schema.fields if f.name not in (lang_pred, score)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -162,5 +174,6 @@ LEAST_SCORE = 0.5
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents without a language (no letters) or with a probability below LEAST_SCORE go."""
-    found = identify_languages(docs, train_on(docs), lang_pred="_lang_pred", score="_lang_score")
-    return found.filter((F.col("_lang_pred") != UNDETERMINED) & (F.col("_lang_score") >= LEAST_SCORE)).select(docs.columns)
+    lang_pred, score = free_names(docs, "lang_pred", "lang_score")
+    found = identify_languages(docs, train_on(docs), lang_pred=lang_pred, score=score)
+    return found.filter((F.col(lang_pred) != UNDETERMINED) & (F.col(score) >= LEAST_SCORE)).select(docs.columns)

@@ -1,14 +1,15 @@
 """Quality by ordinal cumulative-link regression on graded ratings.
 
 P(grade <= k) = sigmoid(threshold_k - w.x): one vector w of weights on hashed character n-grams, shared by all grades,
-and ordered thresholds. x is the share of each bucket among the text's n-grams (case kept, digits alike), so a text's
-w.x is a mean over its n-grams. Results are the expected grade and the tail probability P(grade >= SELECT_FROM), by
+and ordered thresholds. x is the share of each bucket among the text's n-grams (case kept, digits alike) and its words,
+which are in one of two buckets as they repeat the word before or not; so a text's w.x is a mean over these. Results are the expected grade and the tail probability P(grade >= SELECT_FROM), by
 which documents are selected. Grades of `labels`: 0 for quality 0; 1 for quality 1 with toxic 1; 2 for quality 1 else.
 
 Handling of special cases: null and empty texts have x = 0 and are never selected (tail probability 0, grade 0);
 without ratings of two grades every document has tail probability 0; null ratings teach nothing; of several ratings
-the lowest counts; very long texts are summed piece by piece; repeated rows are answered each; columns of other names
-are left as they are.
+the lowest counts; very long texts are summed piece by piece; repeated rows are answered each, equal texts alike,
+whatever rows they are read with; columns of other names are left as they are, and columns of docs with the names of
+the new ones are replaced.
 """
 
 from __future__ import annotations
@@ -22,12 +23,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmark.llm.common import hashed_share, read_table, texts_of
-from leafmark.llm.grams import chunks, gram_buckets, hash_order, points
+from leafmark.llm.common import bounded_batches, read_table, texts_of
+from leafmark.llm.grams import Pieces, SpanHash, chunks, gram_buckets, labelled_sample, points
 
 ORDERS, BUCKETS = (1, 2, 3), 1 << 15
 SAMPLE_ROWS, SAMPLE_BYTES = 2500, 8_000_000  # bounds of the training sample, for each grade
 SELECT_FROM, SELECT_AT = 1, 0.5
+AHEAD = ORDERS[-1] - 1
+WORD_WEIGHT = 4  # n-grams that a word counts as, by whether it repeats the one before
 EPOCHS, RATE, SCALE, PENALTY = 6, 0.3, 30.0, 1e-5
 
 
@@ -42,8 +45,36 @@ def _folded(cp: np.ndarray) -> np.ndarray:
     return np.where((cp >= 48) & (cp <= 57), np.uint32(48), cp)
 
 
+SAME, NEW = np.unique(gram_buckets(points("SN"), (1,), BUCKETS)[0][::-1])  # buckets of words that repeat the one before, and of others
+
+
+def _repeats(cp: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """For each word of the pieces (between white space): the piece's number, and whether it is the word before it."""
+    inside = np.ones(len(cp) + 2, np.int8)
+    inside[1:-1] = (cp == 32) | (cp >= 9) & (cp <= 13) | (cp == 0xA0)
+    step = np.diff(inside)
+    begin, end = np.flatnonzero(step == -1), np.flatnonzero(step == 1)
+    of = np.searchsorted(pieces.starts, begin, side="right") - 1
+    own = begin < pieces.ends[of]  # words of what follows a piece aren't its own
+    begin, end, of = begin[own], end[own], of[own]
+    names = SpanHash(cp).of(begin, end)
+    return of, np.concatenate([[False], (names[1:] == names[:-1]) & (of[1:] == of[:-1])])[: len(of)]
+
+
+def _counted(texts: list[str]) -> Iterator[tuple[np.ndarray, Pieces, list[np.ndarray], np.ndarray]]:
+    """For chunks of the texts: the pieces' places, the pieces, the buckets of their n-grams by order, and for each
+    piece how many of its words are new and repeat the one before."""
+    for places, held, after in chunks(texts, AHEAD):
+        pieces = Pieces(held, after, AHEAD)
+        cp = _folded(pieces.cp)
+        of, same = _repeats(cp, pieces)
+        yield places, pieces, gram_buckets(cp, ORDERS, BUCKETS), np.bincount(2 * of + same, minlength=2 * len(held)).reshape(-1, 2)
+
+
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    found = np.concatenate(gram_buckets(_folded(points(text)), ORDERS, BUCKETS))
+    """Distinct buckets of a text and their shares, times SCALE."""
+    parts = [p for _, pieces, buckets, words in _counted([text]) for p in [*(b[s:e] for b in buckets for s, e in zip(pieces.starts, pieces.ends)), np.repeat([NEW, SAME], WORD_WEIGHT * words.sum(0))]]
+    found = np.concatenate(parts) if parts else np.empty(0, np.int32)
     ids, counts = np.unique(found, return_counts=True)
     return ids, counts * (SCALE / max(1, len(found)))
 
@@ -93,13 +124,11 @@ def grade(model: Model | None, texts: list[str], select_from: int = SELECT_FROM)
     sums, n = np.zeros(len(texts)), np.zeros(len(texts))
     if model is None:
         return sums, n
-    for places, pieces in chunks(texts):
-        cp = _folded(points("".join(pieces)))
-        sizes = np.array([len(p) for p in pieces])
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        for b in gram_buckets(cp, ORDERS, BUCKETS):
-            np.add.at(sums, places, np.add.reduceat(model.weights[b], starts))
-        np.add.at(n, places, sizes * len(ORDERS))
+    for places, pieces, buckets, words in _counted(texts):
+        for b in buckets:
+            np.add.at(sums, places, pieces.sums(model.weights[b]))
+        np.add.at(sums, places, WORD_WEIGHT * words @ model.weights[[NEW, SAME]])
+        np.add.at(n, places, (pieces.ends - pieces.starts) * len(ORDERS) + WORD_WEIGHT * words.sum(1))
     below = _sigmoid(model.thresholds - (sums / np.maximum(n, 1))[:, None])
     mass = np.diff(np.concatenate([np.zeros((len(texts), 1)), below, np.ones((len(texts), 1))], 1))
     levels = np.array(model.grades)
@@ -114,20 +143,15 @@ def ratings(labels: DataFrame) -> DataFrame:
 
 def train_on(docs: DataFrame, rated: DataFrame, key: str = "doc_id", text: str = "text") -> Model | None:
     """Learns from a bounded sample (SAMPLE_ROWS rows and SAMPLE_BYTES of text of each grade) of the rated rows."""
-    rows = rated.filter("grade is not null").groupBy(key).agg(F.min("grade").alias("grade"))
-    sizes = docs.agg(F.avg(F.octet_length(text)).alias("b")).first()["b"] or 1.0
-    most = min(SAMPLE_ROWS, SAMPLE_BYTES / sizes)
-    chosen = F.lit(False)
-    for r in rows.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect():
-        chosen = chosen | (F.col("grade") == r["grade"]) & hashed_share(key, most / r["n"], "quality")
-    got = docs.select(key, text).filter(F.col(text).isNotNull()).join(F.broadcast(rows.filter(chosen)), key).collect()  # a bounded sample is broadcast
-    got = sorted(((r[key], r[text], r["grade"]) for r in got if r[text]), key=lambda r: (hash_order(r[0]), r[1]))
+    lowest = rated.filter("grade is not null").groupBy(key).agg(F.min("grade").alias("_grade"))
+    got, _ = labelled_sample(docs.filter(F.length(text) > 0), lowest, key, text, "_grade", SAMPLE_ROWS, SAMPLE_BYTES, "quality")
     return train([t for _, t, _ in got], [g for _, _, g in got])
 
 
 def grade_documents(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """Adds expected_grade, tail_probability and selected to docs, without a shuffle."""
     added = [T.StructField("expected_grade", T.DoubleType()), T.StructField("tail_probability", T.DoubleType())]
+    bounded_batches(docs)
     kept = [f for f in docs.schema.fields if f.name not in ("expected_grade", "tail_probability", "selected")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
