@@ -1,18 +1,19 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over overlapping windows of words.
 
-Each word's input joins a word embedding (of the hashed lower-case word) and a character embedding (the sum over the
-hashed n-grams at the word's beginning and end); windows of WINDOW words begin every STRIDE words, so that words
+Each word's input joins a word embedding (of the hashed lower-case word) and a character embedding (the sum over all
+hashed character n-grams of the word with its two ends marked); windows of WINDOW words begin every STRIDE words, so that words
 at their seams lie in two of them, and all are scored. A text's score is a logistic function of its windows' largest and mean
 logits and shares. Training is plain numpy: back-propagation through time with Adagrad.
 
 Handling of special cases: a null or empty text, or one without a word, has one empty window; very long texts give
 their windows piece by piece; without labelled rows of both classes every score is 0; a document with several labels
-is toxic if one says so; null labels teach nothing; repeated rows are answered each; columns of other names are not
-read.
+is toxic if one says so; null labels teach nothing; repeated rows are answered each; columns of other names are left as
+they are.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,32 +22,69 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmark.llm.common import fold, hashed_share, read_table, texts_of
-from leafmark.llm.grams import SpanHash, hash_order, joined, letter_words
+from leafmark.llm.common import BASE, bounded_batches, fold, free_names, read_table, texts_of
+from leafmark.llm.grams import SpanHash, joined, labelled_sample, letter_words, letters_only
 
 WINDOW, STRIDE = 24, 16
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 8
 WORD_BUCKETS, CHAR_BUCKETS = 1 << 15, 1 << 16
-HEADS, TAILS = (4, 5, 6, 7), (3,)  # lengths of the n-grams at a word's beginning and end
-N_CHAR = len(HEADS) + len(TAILS)
+ORDERS = (3, 4, 5, 6)  # lengths of the character n-grams, the marks of the word's ends included
 SAMPLE_ROWS, SAMPLE_BYTES = 1500, 10_000_000  # bounds of the training sample, for each class
 TRAIN_WINDOWS = 24  # windows that one text teaches at most, evenly spread
+MIN_TEXTS = 3  # that have a word or n-gram which teaches
 CHUNK_CHARS = 100_000
 EPOCHS, MOST_EPOCHS, TEACH, BATCH, RATE = 3, 10, 60_000, 64, 0.1  # small samples are gone through more often
 
 
-def word_inputs(pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For all words of all pieces: bucket of the word, buckets of its character n-grams, and the piece it is in.
+class Words:
+    """Distinct words: their 64-bit names, buckets of the words, and of their character n-grams, word after word."""
 
-    Bucket 0 of either table stands for no word."""
-    cp, begin = joined(pieces)
+    def __init__(self, names: np.ndarray, grams: np.ndarray, counts: np.ndarray):
+        self.names, self.grams, self.counts = names, grams, counts
+        self.begin = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64) if len(counts) else np.empty(0, np.int64)
+        self.buckets = (1 + names % np.uint64(WORD_BUCKETS - 1)).astype(np.int32)  # bucket 0 of either table stands for no word
+
+    def __len__(self) -> int:
+        return len(self.names)
+
+    def pick(self, at: np.ndarray) -> Words:
+        counts = self.counts[at]
+        out = Words(self.names[at], self.grams[ranges(self.begin[at], counts)], counts)
+        out.buckets = self.buckets[at]
+        return out
+
+    def then(self, other: Words) -> Words:
+        return Words(*(np.concatenate([getattr(self, k), getattr(other, k)]) for k in ("names", "grams", "counts")))
+
+
+def ranges(begin: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... (counts[0] of them), begin[1], ..."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - ends + counts, counts)
+
+
+NO_WORDS = Words(np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, np.int64))
+
+
+def word_inputs(pieces: list[str]) -> tuple[Words, np.ndarray, np.ndarray]:
+    """The distinct words of all pieces, and for each word in its place its number among them and its piece."""
+    cp, begin = joined([p + " " for p in pieces])
     starts, ends = letter_words(cp)
-    spans = SpanHash(cp)
-    words = 1 + spans.of(starts, ends) % np.uint64(WORD_BUCKETS - 1)
-    chars = [spans.of(starts, np.minimum(starts + n, ends)) + np.uint64(n) for n in HEADS]
-    chars += [spans.of(np.maximum(ends - n, starts), ends) + np.uint64(1000 + n) for n in TAILS]
-    chars = 1 + (np.stack(chars, 1) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) % np.uint64(CHAR_BUCKETS - 1)
-    return words.astype(np.int32), chars.astype(np.int32), np.searchsorted(begin, starts, side="right") - 1
+    if len(starts) == 0:
+        return NO_WORDS, np.empty(0, np.int64), np.empty(0, np.int64)
+    names, first, ids = np.unique(SpanHash(cp).of(starts, ends), return_index=True, return_inverse=True)
+    marked = SpanHash(letters_only(cp))  # a word's marks are the two spaces around it
+    lead, sizes = starts[first] - 1, ends[first] - starts[first] + 2
+    each = np.stack([np.maximum(sizes - n + 1, 0) for n in ORDERS])
+    counts = each.sum(0)
+    at = np.concatenate([[0], np.cumsum(counts)[:-1]])
+    grams = np.empty(counts.sum(), np.int32)
+    for n, own, done in zip(ORDERS, each, np.cumsum(each, 0) - each):
+        places = ranges(lead, own)
+        grams[ranges(at + done, own)] = 1 + (marked.of(places, places + n) * np.uint64(BASE) >> np.uint64(20)) % np.uint64(CHAR_BUCKETS - 1)
+    of = np.searchsorted(begin, starts, side="right") - 1
+    new = np.concatenate([[True], (ids[1:] != ids[:-1]) | (of[1:] != of[:-1])])  # a word said again and again says it once
+    return Words(names, grams, counts), ids[new], of[new]
 
 
 def window_starts(n_words: int) -> np.ndarray:
@@ -54,12 +92,12 @@ def window_starts(n_words: int) -> np.ndarray:
     return np.arange(0, max(1, n_words - WINDOW + STRIDE), STRIDE)
 
 
-Chunk = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+Chunk = tuple[Words, np.ndarray, np.ndarray]
 
 
 def windows_of(texts: list[str]) -> Iterator[Chunk]:
-    """Windows in chunks: words' buckets, their n-grams' buckets, and for each window the text's number and the
-    places of its words, counted from 1 (0: after the text's end)."""
+    """Windows in chunks: distinct words, and for each window the text's number and its words' numbers among them,
+    counted from 1 (0: after the text's end)."""
     group, size = [], 0
     for i, t in enumerate(texts):
         group.append(i)
@@ -73,14 +111,14 @@ def windows_of(texts: list[str]) -> Iterator[Chunk]:
 
 
 def _windows(pieces: list[str], places: np.ndarray) -> Chunk:
-    words, chars, of = word_inputs(pieces)
+    words, ids, of = word_inputs(pieces)
     counts = np.bincount(of, minlength=len(pieces))
     first = np.concatenate([[0], np.cumsum(counts)[:-1]])
     begin = [window_starts(n) for n in counts]
     owner = np.repeat(np.arange(len(pieces)), [len(b) for b in begin])
     at = np.concatenate(begin)[:, None] + np.arange(WINDOW)
-    index = np.where(at < counts[owner][:, None], first[owner][:, None] + at + 1, 0)
-    return words, chars, places[owner], index
+    numbers = np.append(np.int64(0), ids + 1)
+    return words, places[owner], numbers[np.where(at < counts[owner][:, None], first[owner][:, None] + at + 1, 0)]
 
 
 def _long_windows(text: str, place: int) -> Iterator[Chunk]:
@@ -90,22 +128,24 @@ def _long_windows(text: str, place: int) -> Iterator[Chunk]:
         end = min(len(text), at + 10 * CHUNK_CHARS)
         while 0 < end < len(text) and text[end - 1].isalpha() and text[end].isalpha():
             end += 1
-        parts.append(text[at:end])
+        parts.append((at, end))
         at = end
-    words, chars, n = np.empty(0, np.int32), np.empty((0, N_CHAR), np.int32), 0
-    for k, p in enumerate(parts):
-        w, c, _ = word_inputs([p])
-        words, chars = np.concatenate([words, w]), np.concatenate([chars, c])
+    words, ids, n = NO_WORDS, np.empty(0, np.int64), 0
+    for k, (a, z) in enumerate(parts):
+        more, own, _ = word_inputs([text[a:z]])
+        ids = np.concatenate([ids, own + len(words)])
+        words = words.then(more)
         last = k == len(parts) - 1
-        begin = window_starts(len(words)) if last else np.arange(0, max(0, len(words) - WINDOW - STRIDE + 1), STRIDE)
-        if last and n and len(words) <= WINDOW - STRIDE:
+        begin = window_starts(len(ids)) if last else np.arange(0, max(0, len(ids) - WINDOW - STRIDE + 1), STRIDE)
+        if last and n and len(ids) <= WINDOW - STRIDE:
             begin = begin[:0]
         if len(begin) == 0:
             continue
-        index = begin[:, None] + np.arange(WINDOW) + 1
-        yield words, chars, np.full(len(begin), place), np.where(index <= len(words), index, 0)
+        at = begin[:, None] + np.arange(WINDOW) + 1
+        yield words, np.full(len(begin), place), np.append(np.int64(0), ids + 1)[np.where(at <= len(ids), at, 0)]
         n += len(begin)
-        words, chars = words[begin[-1] + STRIDE :], chars[begin[-1] + STRIDE :]
+        left, ids = np.unique(ids[begin[-1] + STRIDE :], return_inverse=True)
+        words = words.pick(left)
 
 
 def _sigmoid(x):
@@ -131,16 +171,23 @@ class Network:
             self.p[k][0] = 0
         self.squares = {k: np.full(v.shape if k not in ("word", "char") else (len(v), 1), 1e-2, np.float32) for k, v in self.p.items()}
 
-    def forward(self, words: np.ndarray, chars: np.ndarray):
-        """Logits of windows, given by their buckets, and what backward() needs."""
+    def vectors(self, words: Words) -> np.ndarray:
+        """The input of each word, after a row of zeros for no word."""
+        x = np.zeros((len(words) + 1, WORD_DIM + CHAR_DIM), np.float32)
+        if len(words):
+            x[1:, :WORD_DIM] = self.p["word"][words.buckets]
+            x[1:, WORD_DIM:] = np.add.reduceat(self.p["char"][words.grams], words.begin, axis=0) / np.sqrt(words.counts)[:, None]
+        return x
+
+    def forward(self, words: Words, index: np.ndarray):
+        """Logits of windows, given by their words' numbers, and what backward() needs."""
         p, h = self.p, HIDDEN
-        n = len(words)
-        x = np.empty((WINDOW, n, WORD_DIM + CHAR_DIM), np.float32)
-        x[:, :, :WORD_DIM] = p["word"][words.T]
-        c = p["char"][chars[:, :, 0].T]
-        for j in range(1, N_CHAR):
-            c = c + p["char"][chars[:, :, j].T]
-        x[:, :, WORD_DIM:] = c
+        n = len(index)
+        used, inverse = np.unique(index, return_inverse=True)
+        own = words.pick(used[used > 0] - 1)
+        of = np.where(index > 0, inverse.reshape(index.shape) + int(used[0] > 0), 0).T
+        x = self.vectors(own)[of]
+        absent = of == 0
         states = np.empty((WINDOW, n, 2 * h), np.float32)
         steps = []
         for side in (0, 1):
@@ -156,25 +203,18 @@ class Network:
                 s = new
                 states[t, :, side * h : (side + 1) * h] = s
         e = states @ p["attend"]
-        e[(words.T == 0)] = -30
+        e[absent] = -30
         e -= e.max(0)
         w = np.exp(e)
         w /= w.sum(0)
         pooled = np.einsum("tn,tnk->nk", w, states)
         logits = pooled @ p["out"] + p["last"][0]
-        return logits, (x, states, steps, w, pooled)
+        return logits, (own, of, x, states, steps, w, pooled)
 
-    def projected(self, words: np.ndarray, chars: np.ndarray) -> list[np.ndarray]:
+    def projected(self, words: Words) -> list[np.ndarray]:
         """For each direction the input part of the gates of every word (row 0: no word)."""
-        p = self.p
-        x = np.empty((len(words) + 1, WORD_DIM + CHAR_DIM), np.float32)
-        x[0] = 0
-        x[1:, :WORD_DIM] = p["word"][words]
-        c = p["char"][chars[:, 0]]
-        for j in range(1, N_CHAR):
-            c += p["char"][chars[:, j]]
-        x[1:, WORD_DIM:] = c
-        return [x @ p["in"][side] + p["bias"][side] for side in (0, 1)]
+        x = self.vectors(words)
+        return [x @ self.p["in"][side] + self.p["bias"][side] for side in (0, 1)]
 
     def logits_of(self, inputs: list[np.ndarray], index: np.ndarray) -> np.ndarray:
         """forward() for windows given as rows of projected() (0: no word), a block of windows at a time."""
@@ -208,24 +248,25 @@ class Network:
         w /= w.sum(0)
         return np.einsum("tn,tn->n", w, np.einsum("tkn,k->tn", states, p["out"])) + p["last"][0]
 
-    def backward(self, words, chars, kept, d_logit) -> dict:
+    def backward(self, kept, d_logit) -> dict:
         """Gradients of the loss, given its derivative by the logits."""
         p, h = self.p, HIDDEN
-        x, states, steps, w, pooled = kept
+        own, of, x, states, steps, w, pooled = kept
+        n = of.shape[1]
         g = {k: np.zeros_like(v) for k, v in p.items() if k not in ("word", "char")}
         g["out"], g["last"][0] = pooled.T @ d_logit, d_logit.sum()
         d_pooled = d_logit[:, None] * p["out"]
         d_w = np.einsum("nk,tnk->tn", d_pooled, states)
         d_e = w * (d_w - (w * d_w).sum(0))
-        d_e[(words.T == 0)] = 0
+        d_e[of == 0] = 0
         g["attend"] = np.einsum("tn,tnk->k", d_e, states)
         d_states = w[:, :, None] * d_pooled + d_e[:, :, None] * p["attend"]
         d_x = np.zeros_like(x)
-        carry = np.zeros((len(words), h), np.float32)
+        carry = np.zeros((n, h), np.float32)
         side_now = None
         for side, t, s, z, r, c in reversed(steps):
             if side != side_now:
-                carry, side_now = np.zeros((len(words), h), np.float32), side
+                carry, side_now = np.zeros((n, h), np.float32), side
             d = carry + d_states[t, :, side * h : (side + 1) * h]
             d_c = d * z * (1 - c * c)
             d_rs = d_c @ p["cand"][side].T
@@ -237,9 +278,12 @@ class Network:
             g["bias"][side] += d_a.sum(0)
             d_x[t] += d_a @ p["in"][side].T
             carry = d * (1 - z) + d_rs * r + d_zr @ p["gates"][side].T
-        g["word"] = (words.T.ravel(), d_x[:, :, :WORD_DIM].reshape(-1, WORD_DIM))
-        d_c = d_x[:, :, WORD_DIM:].reshape(-1, CHAR_DIM)
-        g["char"] = (chars.transpose(1, 0, 2).reshape(-1), np.repeat(d_c, N_CHAR, 0))
+        order = np.argsort(of, axis=None, kind="stable")
+        first = np.searchsorted(of.ravel()[order], np.arange(1, len(own) + 1))
+        if len(own):
+            d_own = np.add.reduceat(d_x.reshape(-1, d_x.shape[2])[order], first, axis=0)
+            g["word"] = (own.buckets, d_own[:, :WORD_DIM])
+            g["char"] = (own.grams, np.repeat(d_own[:, WORD_DIM:] / np.sqrt(own.counts)[:, None].astype(np.float32), own.counts, axis=0))
         return g
 
     def step(self, g: dict, rate: float) -> None:
@@ -257,15 +301,30 @@ class Network:
                 self.squares[k] += v * v
                 self.p[k] -= (rate / 3) * v / np.sqrt(self.squares[k])
 
-    def train(self, words: np.ndarray, chars: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int) -> None:
+    def restricted(self, words: Words, index: np.ndarray, owner: np.ndarray) -> Words:
+        """The words with bucket 0 for words and n-grams that fewer than MIN_TEXTS texts have: what only one text has
+        would be learned by heart. Such buckets' embeddings are zero, and stay so."""
+        texts = {"word": np.zeros(WORD_BUCKETS, np.int64), "char": np.zeros(CHAR_BUCKETS, np.int64)}
+        for at in np.split(np.arange(len(owner)), np.flatnonzero(np.diff(owner)) + 1):
+            used = np.unique(index[at])
+            own = words.pick(used[used > 0] - 1)
+            texts["word"][np.unique(own.buckets)] += 1
+            texts["char"][np.unique(own.grams)] += 1
+        for k, n in texts.items():
+            self.p[k][n < MIN_TEXTS] = 0
+        out = Words(words.names, np.where(texts["char"][words.grams] < MIN_TEXTS, 0, words.grams), words.counts)
+        out.buckets = np.where(texts["word"][words.buckets] < MIN_TEXTS, 0, words.buckets)
+        return out
+
+    def train(self, words: Words, index: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int) -> None:
         rng = np.random.default_rng(11)
         for epoch in range(epochs):
             order = rng.permutation(len(y))
             for at in range(0, len(y), BATCH):
                 k = order[at : at + BATCH]
-                logits, kept = self.forward(words[k], chars[k])
+                logits, kept = self.forward(words, index[k])
                 d = (weight[k] * (_sigmoid(logits) - y[k])).astype(np.float32) / len(k) * 8
-                self.step(self.backward(words[k], chars[k], kept, d), RATE / (1 + 3 * epoch / epochs))
+                self.step(self.backward(kept, d), RATE / (1 + 3 * epoch / epochs))
 
 
 class Model:
@@ -282,8 +341,8 @@ def pooled_logits(network: Network, texts: list[str]) -> np.ndarray:
     """For each text: the largest and mean window logit, the mean window probability, its share over many windows, 1."""
     largest, total = np.full(len(texts), -40.0), np.zeros(len(texts))
     toxic, n = np.zeros(len(texts)), np.zeros(len(texts))
-    for words, chars, owner, index in windows_of(texts):
-        logits = np.clip(network.logits_of(network.projected(words, chars), index), -12, 12).astype(np.float64)
+    for words, owner, index in windows_of(texts):
+        logits = np.clip(network.logits_of(network.projected(words), index), -12, 12).astype(np.float64)
         np.maximum.at(largest, owner, logits)
         np.add.at(total, owner, logits)
         np.add.at(toxic, owner, _sigmoid(logits))
@@ -302,6 +361,23 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
     return c
 
 
+def _taught(texts: list[str]) -> Chunk:
+    """Of each text TRAIN_WINDOWS windows at most, evenly spread, and the distinct words of them all."""
+    words, owners, indices = NO_WORDS, [], []
+    for own, owner, index in windows_of(texts):
+        count = np.bincount(owner)[owner]
+        rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
+        least = np.maximum(count, TRAIN_WINDOWS)
+        kept = (rank * TRAIN_WINDOWS // least) != ((rank - 1) * TRAIN_WINDOWS // least)
+        used, inverse = np.unique(index[kept], return_inverse=True)
+        numbers = np.where(used > 0, np.arange(len(used)) - int(used[0] == 0) + 1 + len(words), 0)
+        owners.append(owner[kept])
+        indices.append(numbers[inverse].reshape(-1, WINDOW))
+        words = words.then(own.pick(used[used > 0] - 1))
+    _, first, same = np.unique(words.names, return_index=True, return_inverse=True)
+    return words.pick(first), np.concatenate(owners), np.append(np.int64(0), same + 1)[np.concatenate(indices)]
+
+
 def train(texts: list[str], labels: list[int], weight: list[float]) -> Model | None:
     """weight: how many labelled rows each one of the sample stands for."""
     y, weight = np.array(labels, np.float64), np.array(weight, np.float64)
@@ -310,16 +386,11 @@ def train(texts: list[str], labels: list[int], weight: list[float]) -> Model | N
     held = np.arange(len(y)) % 4 == 3
     if len(y) < 40 or not ((y[held] == 1).any() and (y[held] == 0).any()):
         held[:] = False
-    parts = [(owner, np.append(np.int32(0), words)[index], np.concatenate([np.zeros((1, N_CHAR), np.int32), chars])[index]) for words, chars, owner, index in windows_of([t for t, h in zip(texts, held) if not h])]
-    owner, words, chars = (np.concatenate(v) for v in zip(*parts))
-    count = np.bincount(owner)
-    rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
-    kept = (rank * TRAIN_WINDOWS // np.maximum(count[owner], TRAIN_WINDOWS)) != ((rank - 1) * TRAIN_WINDOWS // np.maximum(count[owner], TRAIN_WINDOWS))
-    owner, words, chars = owner[kept], words[kept], chars[kept]
+    words, owner, index = _taught([t for t, h in zip(texts, held) if not h])
     of = y[~held][owner]
     balance = np.where(of == 1, len(of) / max(1, 2 * of.sum()), len(of) / max(1, 2 * (len(of) - of.sum())))
     network = Network()
-    network.train(words, chars, of, balance, min(MOST_EPOCHS, max(EPOCHS, TEACH // len(of))))
+    network.train(network.restricted(words, index, owner), index, of, balance, min(MOST_EPOCHS, max(EPOCHS, TEACH // len(of))))
     judged = held if held.any() else ~held
     x = pooled_logits(network, [t for t, j in zip(texts, judged) if j])
     return Model(network, fit_logistic(x, y[judged], weight[judged] / weight[judged].mean()))
@@ -328,24 +399,15 @@ def train(texts: list[str], labels: list[int], weight: list[float]) -> Model | N
 def train_on(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model | None:
     """Learns from a bounded sample (SAMPLE_ROWS rows and SAMPLE_BYTES of text of each class) of the labelled rows
     outside the held-out fifth."""
-    rows = labels.filter((fold(key, 5) != 0) & F.col(label).isNotNull()).groupBy(key).agg(F.max(F.col(label).cast("int")).alias("y"))
-    sizes = docs.agg(F.avg(F.octet_length(text)).alias("b")).first()["b"] or 1.0
-    counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    most = min(SAMPLE_ROWS, SAMPLE_BYTES / sizes)
-    chosen = None
-    for y, n in counts.items():
-        of = (F.col("y") == y) & hashed_share(key, most / n, "toxicity")
-        chosen = of if chosen is None else chosen | of
-    if chosen is None:
-        return None
-    sample = rows.filter(chosen)  # bounded, so it can be broadcast
-    got = docs.select(key, text).filter(F.col(text).isNotNull()).join(F.broadcast(sample), key).collect()
-    got = sorted(((r[key], r[text], r["y"]) for r in got), key=lambda r: (hash_order(r[0]), r[1]))
-    return train([t for _, t, _ in got], [y for _, _, y in got], [max(1.0, counts[y] / most) for _, _, y in got])
+    marked = labels.filter((fold(key, 5) != 0) & F.col(label).isNotNull()).groupBy(key).agg(F.max(F.col(label).cast("int")).alias("_toxic"))
+    got, counts = labelled_sample(docs, marked, key, text, "_toxic", SAMPLE_ROWS, SAMPLE_BYTES, "toxicity")
+    drawn = Counter(y for _, _, y in got)
+    return train([t for _, t, _ in got], [y for _, _, y in got], [max(1.0, counts[y] / drawn[y]) for _, _, y in got])
 
 
 def score_toxicity(docs: DataFrame, model: Model | None, text: str = "text", score: str = "toxic_score") -> DataFrame:
     """Adds the score (0 to 1) of every whole text to docs, without a shuffle; the model is broadcast (a few MB)."""
+    bounded_batches(docs)
     kept = [f for f in docs.schema.fields if f.name != score]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -366,5 +428,6 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents with a score of 0.5 or more go."""
-    found = score_toxicity(docs, train_on(docs, read_table(spark, sf_dir, "labels")), score="_toxic_score")
-    return found.filter(F.col("_toxic_score") < 0.5).select(docs.columns)
+    (score,) = free_names(docs, "toxic_score")
+    found = score_toxicity(docs, train_on(docs, read_table(spark, sf_dir, "labels")), score=score)
+    return found.filter(F.col(score) < 0.5).select(docs.columns)
