@@ -3,17 +3,21 @@ are hash-joined, and slots must be filled consistently, so that re-parameterised
 
 A text's tokens are its runs of letters and of digits. A number is a slot of kind number (thousands marks and decimals
 included), a unit word or sign after a number is a slot of kind unit, a capitalised word that begins no sentence is a
-slot of kind name; all other words stay, in lower case. A window has WORDS tokens of which LITERALS at least are words.
+slot of kind name; all other words stay, in lower case. A window has WORDS tokens. Where LITERALS at least of them are
+words it is hashed as a template, with the slots' kinds; else, as in sums and tables, with what fills the slots, so that
+verbatim copies of such passages are found too.
 
-The documents' windows first pass a bitmap of the benchmark's window hashes (a fixed size, whatever the benchmark's),
-then they are joined by hash with the benchmark's windows. Matches on one diagonal (document place minus item place)
-must fill the item's slots consistently: one value of the item stands for one value of the document. An item is found
-in a document if its windows matched so cover COVERED of the item's windows, or a run of LONG_RUN tokens.
+The documents' windows first pass a bitmap of the benchmark's window hashes (sized by their number, 32 MB at most), then
+they are joined by hash with the benchmark's windows. Matches on one diagonal (document place minus item place) must fill
+the item's slots consistently: one value of the item stands for one value of the document (two values of the item may
+become one, as new parameters may coincide). Where a diagonal's fillings clash, its windows with the item's own values
+still count. An item is found in a document if its windows matched so cover COVERED of the item's windows, or of its
+template windows, or a run of LONG_RUN tokens.
 
 Handling of special cases: null and empty texts have no windows; an item of fewer than WORDS tokens is one window of
-them all (LITERALS is then reduced in proportion); items without a token match nothing; equal items and repeated rows
-are each reported, one row for each pair of doc_id and item_id; null keys are left out; columns of other names are not
-read.
+them all (LITERALS is then reduced in proportion), and one of fewer than LEAST tokens is not looked for; equal items and
+repeated rows are each reported, one row for each pair of doc_id and item_id; null keys are left out; keys may have any
+type; very long texts are read whole; columns of other names are not read; an empty benchmark is found nowhere.
 """
 
 from __future__ import annotations
@@ -26,12 +30,15 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from leafmark.llm.common import mixed, read_table, stored, texts_of, window_hashes
+from leafmark.llm.common import bounded_batches, mixed, read_table, stored, texts_of, window_hashes
 
 WORDS, LITERALS = 8, 5
+LEAST = 3
 COVERED, LONG_RUN = 0.5, 40
-BITS = 1 << 23  # of the bitmap
+LEAST_BITS, MOST_BITS, BITS_PER_WINDOW = 1 << 20, 1 << 28, 64  # of the bitmap
+BLOCK_BITS = 1 << 20
 
 # Words and signs that are units when they follow a number.
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg t lb oz ml l gal s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years percent pct usd eur gbp dollar dollars euro euros cent cents meter meters metre metres mile miles kilometer kilometers gram grams kilogram kilograms pound pounds liter liters litre litres degree degrees hz khz mhz ghz kb mb gb tb kw mw w v a j kj n pa".split())
@@ -39,11 +46,11 @@ TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[%$€£°]|[.!?\n]")
 NUMBER, UNIT, NAME = "\x01number", "\x01unit", "\x01name"
 
 
-def template(text: str) -> tuple[list[str], dict[int, str]]:
-    """The template's tokens, and what fills each slot, by its place."""
+def template(text: str, begins: bool = True) -> tuple[list[str], dict[int, str]]:
+    """The template's tokens, and what fills each slot, by its place. begins: the text begins a sentence."""
     words: list[str] = []
     fills: dict[int, str] = {}
-    begins, after_number = True, False
+    after_number = False
     for token in TOKEN.findall(text):
         if token.islower():  # most tokens
             if after_number and token in UNITS:
@@ -85,7 +92,7 @@ def token_hashes(words: list[str]) -> np.ndarray:
     try:
         return mixed(np.fromiter(map(_hash_of.__getitem__, words), np.uint64, len(words)))
     except KeyError:
-        if len(_hash_of) > 400_000:
+        if len(_hash_of) > 200_000:
             _hash_of.clear()
         for w in words:
             if w not in _hash_of:
@@ -94,21 +101,28 @@ def token_hashes(words: list[str]) -> np.ndarray:
 
 
 def windows(words: list[str], fills: dict[int, str], size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the windows with enough words that are no slots."""
-    if len(words) < size or size == 0:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    """The hash of the window at each place, and whether it is a template's: the others hold too many slots, and are
+    hashed with what fills them."""
+    if len(words) < size or size < LEAST:
+        return np.empty(0, np.uint64), np.empty(0, bool)
     literal = np.ones(len(words), np.int64)
     literal[list(fills)] = 0
     sums = np.concatenate([[0], np.cumsum(literal)])
     enough = sums[size:] - sums[:-size] >= -(-LITERALS * size // WORDS)
-    return np.flatnonzero(enough), window_hashes(token_hashes(words), size)[enough]
+    hashes = window_hashes(token_hashes(words), size)
+    if not enough.all():
+        filled = token_hashes([w + fills[i] if i in fills else w for i, w in enumerate(words)])
+        hashes = np.where(enough, hashes, window_hashes(filled, size))
+    return hashes, enough
 
 
 def template_windows(texts: DataFrame, key: str, text: str, sizes: tuple[int, ...] | None = None, bitmap: np.ndarray | None = None) -> DataFrame:
-    """Rows of id, place, size, n_windows, h and fills of the windows of each text.
+    """Rows of id, place, size, exact (no template's), n_windows, n_templates, h and fills of each text's windows.
 
-    sizes: the window lengths; None for WORDS, or the whole text where that is shorter. bitmap: only windows whose
-    bit is set."""
+    sizes: the window lengths; None for a benchmark's items: WORDS, or the whole text where that is shorter, and the
+    first window also as it is in the middle of a sentence. bitmap: only windows whose bit is set."""
+    bounded_batches(texts)
+    bits = np.uint64(8 * len(bitmap) - 1) if bitmap is not None else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -116,45 +130,69 @@ def template_windows(texts: DataFrame, key: str, text: str, sizes: tuple[int, ..
             for key, t in zip(b["id"].tolist(), texts_of(b["t"])):
                 words, fills = template(t)
                 for size in sizes or (min(WORDS, len(words)),):
-                    places, hashes = windows(words, fills, size)
-                    total = len(places)
+                    hashes, enough = windows(words, fills, size)
+                    total, templates = len(hashes), int(enough.sum())
+                    places = np.arange(total)
                     if bitmap is not None and total:
-                        bit = hashes & np.uint64(BITS - 1)
+                        bit = hashes & bits
                         hit = bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1 == 1
-                        places, hashes = places[hit], hashes[hit]
-                    rows += [(key, int(p), size, total, h, [fills.get(i, "") for i in range(p, p + size)]) for p, h in zip(places, hashes.view(np.int64).tolist())]
-            yield pd.DataFrame(rows, columns=["id", "place", "size", "n_windows", "h", "fills"])
-
-    return texts.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).mapInPandas(run, "id long, place int, size int, n_windows int, h long, fills array<string>")
+                        places = places[hit]
+                    for p, h in zip(places.tolist(), hashes[places].view(np.int64).tolist()):
+                        rows.append((key, p, size, not enough[p], total, templates, h, [fills.get(i, "") for i in range(p, p + size)]))
+                    if sizes is None and total:
+                        inner = template(t, False)
+                        also, _ = windows(inner[0][:size], {i: v for i, v in inner[1].items() if i < size}, size)
+                        if also[0] != hashes[0]:
+                            rows.append((key, 0, size, not enough[0], total, templates, int(also.view(np.int64)[0]), [inner[1].get(i, "") for i in range(size)]))
+            yield pd.DataFrame(rows, columns=[f.name for f in schema])
+
+    schema = T.StructType([T.StructField("id", texts.schema[key].dataType)])
+    for name, kind in (("place", T.IntegerType()), ("size", T.IntegerType()), ("exact", T.BooleanType()), ("n_windows", T.IntegerType()), ("n_templates", T.IntegerType()), ("h", T.LongType()), ("fills", T.ArrayType(T.StringType()))):
+        schema = schema.add(name, kind)
+    return texts.filter(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("t")).mapInPandas(run, schema)
+
+
+def bitmap_of(hashes: DataFrame, n: int) -> np.ndarray:
+    """A bitmap of the low bits of n hashes, BITS_PER_WINDOW bits for each of them up to MOST_BITS (beyond, more of the
+    documents' windows pass it and the join does the work). Tasks make blocks of it, which the driver joins."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (n * BITS_PER_WINDOW).bit_length()))
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for block, own in b.groupby("block"):
+                at = own["bit"].to_numpy(np.int64) % BLOCK_BITS
+                marks = np.zeros(BLOCK_BITS // 8, np.uint8)
+                np.bitwise_or.at(marks, at >> 3, (1 << (at & 7)).astype(np.uint8))
+                yield pd.DataFrame({"block": [block], "marks": [marks.tobytes()]})
 
-def bitmap_of(hashes: DataFrame) -> np.ndarray:
-    """A bitmap of the hashes' low bits; at most BITS / 32 rows come to the driver."""
-    out = np.zeros(BITS // 32, np.uint32)
-    low = hashes.select(F.col("h").bitwiseAND(BITS - 1).alias("bit")).selectExpr("cast(bit >> 5 as int) as at", "shiftleft(1L, cast(bit & 31 as int)) as one")
-    for r in low.groupBy("at").agg(F.bit_or("one").alias("bits")).collect():
-        out[r["at"]] = r["bits"]
-    return out.view(np.uint8)
+    low = hashes.select(F.col("h").bitwiseAND(bits - 1).alias("bit")).distinct().withColumn("block", F.shiftright("bit", BLOCK_BITS.bit_length() - 1))
+    out = np.zeros((bits // BLOCK_BITS, BLOCK_BITS // 8), np.uint8)
+    for r in low.repartition("block").mapInPandas(run, "block long, marks binary").collect():
+        out[r["block"]] |= np.frombuffer(r["marks"], np.uint8)
+    return out.ravel()
 
 
 def contaminated(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text") -> DataFrame:
     """Rows of doc_id, item_id, coverage, longest_run (tokens) and reparameterised (a slot has another value)."""
-    asked = template_windows(items, item_key, text)
-    sizes = tuple(r["size"] for r in asked.select("size").distinct().orderBy("size").collect()) or (WORDS,)  # at most WORDS of them
-    seen = template_windows(docs, doc_key, text, sizes, bitmap_of(asked))
-    met = seen.select(F.col("id").alias("doc_id"), F.col("place").alias("at"), "size", "h", F.col("fills").alias("has")).join(asked.select(F.col("id").alias("item_id"), "place", "size", "n_windows", "h", "fills"), ["h", "size"])
-    met = met.withColumn("diagonal", F.col("at") - F.col("place")).dropDuplicates(["doc_id", "item_id", "diagonal", "place"])
+    asked = stored(template_windows(items, item_key, text), "asked")
+    sizes = {r["size"]: r["n"] for r in asked.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most WORDS of them
+    seen = template_windows(docs, doc_key, text, tuple(sorted(sizes)) or (WORDS,), bitmap_of(asked, sum(sizes.values())))
+    met = seen.select(F.col("id").alias("doc_id"), F.col("place").alias("at"), "size", "h", F.col("fills").alias("has")).join(asked.select(F.col("id").alias("item_id"), "place", "size", "exact", "n_windows", "n_templates", "h", "fills"), ["h", "size"])
+    met = met.withColumn("diagonal", F.col("at") - F.col("place")).withColumn("same", F.col("fills") == F.col("has")).dropDuplicates(["doc_id", "item_id", "diagonal", "place"])
     met = stored(met, "met")  # read twice below: the slots' and the places' sides
     line = ["doc_id", "item_id", "diagonal"]
-    slots = met.select(*line, F.explode(F.filter(F.arrays_zip("fills", "has"), lambda x: x["fills"] != "")).alias("x")).groupBy(*line, F.col("x.fills").alias("value")).agg(F.count_distinct("x.has").alias("fillings"), F.max((F.col("x.fills") != F.col("x.has")).cast("int")).alias("other"))
-    clash = slots.groupBy(*line).agg(F.max("fillings").alias("fillings"), F.max("other").alias("other"))
-    kept = met.join(clash, line, "left").filter(F.coalesce("fillings", F.lit(1)) <= 1)
-    run = kept.select(*line, "place", "size", "n_windows", "other").groupBy(*line, "size", "n_windows").agg(F.sort_array(F.collect_set("place")).alias("places"), F.max("other").alias("other"))  # an item's places: bounded by its length
+    slots = met.select(*line, F.explode(F.filter(F.arrays_zip("fills", "has"), lambda x: x["fills"] != "")).alias("x")).groupBy(*line, F.col("x.fills").alias("value")).agg(F.min("x.has").alias("one"), F.max("x.has").alias("other"))
+    clash = slots.groupBy(*line).agg(F.max((F.col("one") != F.col("other")).cast("int")).alias("clash"))
+    kept = met.join(clash, line, "left").filter((F.coalesce("clash", F.lit(0)) == 0) | F.col("same"))
+    place = F.struct("place", "exact")
+    run = kept.groupBy(*line, "size", "n_windows", "n_templates").agg(F.sort_array(F.collect_set(place)).alias("places"), F.max((~F.col("same")).cast("int")).alias("other"))  # an item's places: bounded by its length
     gap = F.col("size")
-    longest = F.aggregate("places", F.struct(F.lit(-(1 << 30)).alias("first"), F.lit(-(1 << 30)).alias("last"), F.lit(0).alias("best")), lambda a, p: F.when(p - a["last"] <= gap, F.struct(a["first"].alias("first"), p.alias("last"), F.greatest(a["best"], p - a["first"] + gap).alias("best"))).otherwise(F.struct(p.alias("first"), p.alias("last"), F.greatest(a["best"], gap).alias("best"))), lambda a: a["best"])
-    per_line = run.select("doc_id", "item_id", "n_windows", "places", longest.alias("longest"), "other")
-    pair = per_line.groupBy("doc_id", "item_id", "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("hit"), F.max("longest").alias("longest_run"), F.coalesce(F.max("other"), F.lit(0)).alias("other"))
-    found = pair.withColumn("coverage", F.col("hit") / F.col("n_windows")).filter((F.col("coverage") >= COVERED) | (F.col("longest_run") >= LONG_RUN))
+    longest = F.aggregate("places.place", F.struct(F.lit(-(1 << 30)).alias("first"), F.lit(-(1 << 30)).alias("last"), F.lit(0).alias("best")), lambda a, p: F.when(p - a["last"] <= gap, F.struct(a["first"].alias("first"), p.alias("last"), F.greatest(a["best"], p - a["first"] + gap).alias("best"))).otherwise(F.struct(p.alias("first"), p.alias("last"), F.greatest(a["best"], gap).alias("best"))), lambda a: a["best"])
+    per_line = run.select("doc_id", "item_id", "n_windows", "n_templates", "places", longest.alias("longest"), "other")
+    pair = per_line.groupBy("doc_id", "item_id", "n_windows", "n_templates").agg(F.array_distinct(F.flatten(F.collect_set("places"))).alias("hit"), F.max("longest").alias("longest_run"), F.max("other").alias("other"))
+    templates = F.size(F.filter("hit", lambda x: ~x["exact"]))
+    covered = F.greatest(F.size("hit") / F.col("n_windows"), F.coalesce(F.try_divide(templates, F.col("n_templates")), F.lit(0.0)))
+    found = pair.withColumn("coverage", covered).filter((F.col("coverage") >= COVERED) | (F.col("longest_run") >= LONG_RUN))
     return found.select("doc_id", "item_id", "coverage", F.col("longest_run").cast("long").alias("longest_run"), (F.col("other") == 1).alias("reparameterised"))
 
 
@@ -165,5 +203,5 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that hold a benchmark item go; those without a key stay."""
-    found = contaminated(docs, read_table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(found, docs["doc_id"] == found["_found"], "left_anti")
+    found = contaminated(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
