@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmark.llm.common import BASE, INVERSE, NULL_KEY, bucket_of, cut_points, mixed, powers, read_table, texts_of
+from leafmark.llm.common import BASE, INVERSE, NULL_KEY, bounded_batches, bucket_of, cut_points, mixed, powers, read_table, texts_of
 
 GRAM, WINDOW = 12, 20  # a shared run of 31 code points is found for certain
 SEGMENT = 1 << 22
@@ -84,6 +84,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 def fingerprint_documents(docs: DataFrame, k: int = GRAM, w: int = WINDOW, text: str = "text") -> DataFrame:
     """Adds fp_hashes and fp_positions (arrays of long) to docs, without a shuffle."""
+    bounded_batches(docs)
     kept = [f for f in docs.schema.fields if f.name not in ("fp_hashes", "fp_positions")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -146,6 +147,7 @@ def edited_likeness(docs: DataFrame, k: int = GRAM, w: int = WINDOW, key: str =
             yield pd.DataFrame(out, columns=[key, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_selected", "positions", "edited_positions"])
 
     schema = f"{key} long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_selected long, positions array<long>, edited_positions array<long>"
+    bounded_batches(docs)
     found = with_successors(docs, key, text).mapInPandas(run, schema)
     return found.withColumn(key, F.when(F.col(key) != NULL_KEY, F.col(key)))
 

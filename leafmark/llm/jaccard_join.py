@@ -10,10 +10,15 @@ found by rare-first prefix filtering and verified once per pair, and the groups
 3. A document whose unique shingles exceed what the threshold allows has no partner and stops here.
 4. The rest order their shingles rare-first. The first |x| - ceil(t|x|) + 1 are the prefix; two sets that pass share a
    shingle of their prefixes. Prefix rows meet by shingle, under the length and the positional filter.
-5. Copies of one text would meet all in all. So first each document meets one hub of each shingle's group; what
-   these verified pairs link is one component, and later rounds pair only documents of different components, which
-   keeps every component (a link inside a component changes none).
-6. Each pair is verified once, after the suffix filter, on the two whole sets.
+5. Copies of one text would meet all in all. So first each document meets one hub, the one it shares most prefix
+   shingles with; what these verified pairs link is one component, and later rounds pair only documents of different
+   components, which keeps every component (a link inside a component changes none). Shingles whose documents are all
+   of one component leave after each round. The last round pairs all that is left, of near lengths.
+6. Each pair is verified once, after the suffix filter, on the two whole sets. Equality of words stands for 64-bit
+   hashes of five words each: a wrong link would take hundreds of collisions in one pair.
+
+At scale: ranges and partitions are at most MOST_RANGES, blocks grow with their number, and a range whose shingles exceed
+PASS_SHINGLES is counted in several passes over parts of it, so that a task's memory is that of its packed blocks.
 
 Handling of special cases: null, empty and white-space texts have an empty set and link with nothing; fewer words
 than k make one shingle; each row gets an answer, and rows with one key count as one document (with all their
@@ -30,13 +35,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmark.llm.common import hashed_share, mixed, read_table, shingle_set, stored, texts_of
+from leafmark.llm.common import bounded_batches, hashed_share, mixed, read_table, shingle_set, stored, texts_of
 
 WORDS, THRESHOLD = 5, 75  # shingle length; the least Jaccard index in hundredths
-HUB_ROUNDS = 2
+HUB_ROUNDS = 3
 BYTES_PER_RANGE = 12_000_000  # of text, for each range of hashes
+MOST_RANGES = 1 << 16
 HOT_SAMPLE, HOT_SHARE, HOT_LEAST = 2000, 0.02, 20  # documents; a hot shingle is in this share and number of them
-BLOCK_SHINGLES = 400_000
+BLOCK_SHINGLES, MOST_BLOCK, ROW_SHINGLES = 400_000, 4_000_000, 64  # of a block; a block's rows have as many on average
+PASS_SHINGLES = 4_000_000
+FEW_IDS = 300_000  # documents whose numbers are broadcast
 
 
 def least_overlap(a, b, percent: int):
@@ -80,6 +88,7 @@ def sets_of(docs: DataFrame, k: int, percent: int, ranges: int, hot: np.ndarray)
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["part", "docs", "sizes", "hashes"]
+        most = min(MOST_BLOCK, max(BLOCK_SHINGLES, ROW_SHINGLES * ranges))
         ids, sets_in, size, firsts = [], [], 0, {}
 
         def blocks() -> pd.DataFrame:
@@ -109,7 +118,7 @@ def sets_of(docs: DataFrame, k: int, percent: int, ranges: int, hot: np.ndarray)
                         sets_in.append(rest)
                         size += len(rest)
                 own.append((-1 - i % ranges, np.array([i, first], np.int64).tobytes(), np.array([len(s)], np.int64).tobytes(), common.tobytes()))
-                if size >= BLOCK_SHINGLES:
+                if size >= most:
                     yield blocks()
                     ids, sets_in, size, firsts = [], [], 0, {}
             yield pd.DataFrame(own, columns=columns)
@@ -121,33 +130,35 @@ def sets_of(docs: DataFrame, k: int, percent: int, ranges: int, hot: np.ndarray)
         held: list[tuple] = []
         part = None
 
-        def counted() -> pd.DataFrame:
-            docs_in = np.concatenate([np.repeat(np.frombuffer(d, np.int64), np.frombuffer(n, np.uint16)) for d, n, _ in held])
-            d, h, many = shared_of(docs_in, np.concatenate([whole(x, part) for _, _, x in held]))
-            bucket = bucket_of_doc(d, ranges)
-            order = np.lexsort((d, bucket))
-            d, h, many, bucket = d[order], h[order], many[order], bucket[order]
-            cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(d) else np.empty(0, np.int64)
-            rows = []
-            for a, z in zip(cuts, np.append(cuts[1:], len(d))):
-                docs_in, sizes = runs(d[a:z])
-                rows.append((int(bucket[a]), False, docs_in.tobytes(), sizes.tobytes(), h[a:z].tobytes(), many[a:z].tobytes()))
-            return pd.DataFrame(rows, columns=columns)
+        def counted() -> Iterator[pd.DataFrame]:
+            passes = 1 + sum(len(h) for _, _, h in held) // 6 // PASS_SHINGLES
+            for k in range(passes):
+                parts = [(np.repeat(np.frombuffer(d, np.int64), np.frombuffer(n, np.uint16)), whole(h, part)) for d, n, h in held] if passes == 1 else [some(d, n, h, part, k, passes) for d, n, h in held]
+                d, h, many = shared_of(*(np.concatenate(x) for x in zip(*parts)))
+                bucket = bucket_of_doc(d, ranges)
+                order = np.lexsort((d, bucket))
+                d, h, many, bucket = d[order], h[order], many[order], bucket[order]
+                cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(d) else np.empty(0, np.int64)
+                rows = []
+                for a, z in zip(cuts, np.append(cuts[1:], len(d))):
+                    docs_in, sizes = runs(d[a:z])
+                    rows.append((int(bucket[a]), False, docs_in.tobytes(), sizes.tobytes(), h[a:z].tobytes(), many[a:z].tobytes()))
+                yield pd.DataFrame(rows, columns=columns)
 
         for b in batches:
             own = []
             for p, d, n, h in zip(b["part"].tolist(), b["docs"], b["sizes"], b["hashes"]):
                 if p < 0:
-                    own.append((int(bucket_of_doc(np.frombuffer(d, np.int64)[1:], ranges)[0]), True, d, n, h, b""))
+                    own.append((int(bucket_of_doc(np.frombuffer(d, np.int64)[:1], ranges)[0]), True, d, n, h, b""))
                     continue
                 if p != part and held:
-                    yield counted()
+                    yield from counted()
                     held = []
                 part = p
                 held.append((d, n, h))
             yield pd.DataFrame(own, columns=columns)
         if held:
-            yield counted()
+            yield from counted()
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["doc_id", "first", "n", "shingles", "set_key", "n_unique", "prefix"]
@@ -223,6 +234,13 @@ def whole(low: bytes, part: int) -> np.ndarray:
     return out.view("<u8").ravel() | np.uint64((part & 0xFFFF) << 48)
 
 
+def some(docs: bytes, sizes: bytes, low: bytes, part: int, turn: int, turns: int) -> tuple[np.ndarray, np.ndarray]:
+    """The documents and names of the shingles of a block that are a pass's, by their lowest bits."""
+    h = whole(low, part)
+    mine = h % np.uint64(turns) == turn
+    return np.repeat(np.frombuffer(docs, np.int64), np.frombuffer(sizes, np.uint16))[mine], h[mine]
+
+
 def named(hashes: np.ndarray, ranges: int) -> np.ndarray:
     """The same names from whole hashes."""
     return hashes & LOW_48 | (range_of(hashes, ranges).astype(np.uint64) & np.uint64(0xFFFF)) << np.uint64(48)
@@ -289,6 +307,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the distinct pairs (a, b) that link. a's set goes once to each of its salted shares of at most about
     PARTNERS partners, b's set to the pair."""
     sets = sets.select("doc_id", "n", "shingles")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    if ids.count() <= FEW_IDS:  # then only their sets are shuffled
+        sets = sets.join(F.broadcast(ids), "doc_id", "left_semi")
     dealt = pairs.join(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m")), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / PARTNERS)).alias("salt"))
     second = dealt.join(sets.withColumnRenamed("doc_id", "b"), "b").select("a", "salt", "b", "n", "shingles")
     first = dealt.select("a", "salt").distinct().join(sets.withColumnRenamed("doc_id", "a"), "a").select("a", "salt", F.lit(-1).cast("long").alias("b"), "n", "shingles", F.lit(0).alias("turn"))
@@ -312,10 +333,11 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 # ---------------------------------------------------------------- components
 
 
-def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
+def components(links: DataFrame, most_rounds: int = 1000) -> DataFrame:
     """Rows of doc_id, component_id (the smallest doc_id reachable) for all documents in links (a, b).
 
-    Alternating large-star and small-star rounds until nothing changes; each round is a few shuffles of the links,
+    Alternating large-star and small-star rounds until nothing changes (their number grows with the logarithm of the
+    longest chain; most_rounds only ends what would never end); each round is a few shuffles of the links,
     pre-aggregated, and is written to the shared folder."""
     spark = links.sparkSession
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
@@ -354,7 +376,16 @@ def passes(n1: Column, p1: Column, n2: Column, p2: Column, percent: int) -> Colu
     return (least * 100 >= longest * percent) & (F.least(n1 - p1, n2 - p2) >= need)
 
 
-ROW = ("doc_id", "n", "place", "c")
+def near_lengths(one: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of rows with one token and different components that pass the filters, the shorter set's row first.
+    Rows meet by token and class of length: a class reaches from a length to what the length filter allows with it."""
+    length = F.floor(F.log("n") / float(np.log(100 / percent)))
+    classed = one.withColumn("class", length)
+    longer = one.withColumn("class", F.explode(F.array(length, length - 1)))
+    left, right = (x.select("token", "class", *(F.col(c).alias(c + k) for c in ("doc_id", "n", "place", "c"))) for x, k in ((classed, "1"), (longer, "2")))
+    ordered = (F.col("n1") < F.col("n2")) | (F.col("n1") == F.col("n2")) & (F.col("doc_id1") < F.col("doc_id2"))
+    met = left.join(right, ["token", "class"]).filter(ordered & (F.col("c1") != F.col("c2")) & passes(F.col("n1"), F.col("place1"), F.col("n2"), F.col("place2"), percent))
+    return met.select(F.least("doc_id1", "doc_id2").alias("a"), F.greatest("doc_id1", "doc_id2").alias("b"))
 
 
 def links_of(sets: DataFrame, percent: int) -> DataFrame | None:
@@ -363,22 +394,26 @@ def links_of(sets: DataFrame, percent: int) -> DataFrame | None:
     equal = sets.select("doc_id", "set_key").join(same, "set_key").filter("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     links = stored(equal, "links")
     lone = sets.select("doc_id", "n", "n_unique", "prefix").join(links.select(F.col("a").alias("doc_id")), "doc_id", "left_anti")
-    rows = stored(lone.select("doc_id", "n", "n_unique", F.posexplode("prefix").alias("at", "token")).select("token", "doc_id", "n", (F.col("n_unique") + F.col("at")).alias("place")), "prefixes")
+    rows = lone.select("doc_id", "n", "n_unique", F.posexplode("prefix").alias("at", "token")).select("token", "doc_id", "n", (F.col("n_unique") + F.col("at")).alias("place"))
     found = components(links) if links.head(1) else None
     tried = None
     for turn in range(HUB_ROUNDS + 1):
         placed = rows.withColumn("c", F.col("doc_id")) if found is None else rows.join(found, "doc_id", "left").select("token", "doc_id", "n", "place", F.coalesce("component_id", "doc_id").alias("c"))
-        mixed = placed.groupBy("token").agg(F.min("c").alias("least_c"), F.max("c").alias("most_c"), F.min(F.struct(*ROW)).alias("hub"), F.max(F.struct(*ROW)).alias("other")).filter("least_c != most_c")
+        hub = F.struct("doc_id", "n", "place", "c")
+        groups = placed.groupBy("token").agg(F.min("c").alias("least_c"), F.max("c").alias("most_c"), (F.max if turn % 2 else F.min)(hub).alias("h")).filter("least_c != most_c")
+        opened = stored(placed.join(groups.select("token", "h"), "token"), "open")  # the only rows that later rounds need
+        if not opened.head(1):
+            break
         if turn < HUB_ROUNDS:
-            near = placed.join(mixed.select("token", F.col("hub" if turn == 0 else "other").alias("h")), "token").filter((F.col("c") != F.col("h.c")) & passes(F.col("n"), F.col("place"), F.col("h.n"), F.col("h.place"), percent))
-            pairs = near.select(F.least("doc_id", "h.doc_id").alias("a"), F.greatest("doc_id", "h.doc_id").alias("b"))
+            near = opened.filter((F.col("c") != F.col("h.c")) & passes(F.col("n"), F.col("place"), F.col("h.n"), F.col("h.place"), percent))
+            near = near.groupBy("doc_id", F.col("h.doc_id").alias("h")).agg(F.count(F.lit(1)).alias("shared")).select("doc_id", "shared", F.least("doc_id", "h").alias("a"), F.greatest("doc_id", "h").alias("b"))
+            near = near if tried is None else near.join(tried, ["a", "b"], "left_anti")
+            pairs = near.groupBy("doc_id").agg(F.max(F.struct("shared", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
         else:
-            open_rows = placed.join(mixed.select("token"), "token", "left_semi")
-            one, two = (open_rows.select("token", *(F.col(c).alias(c + k) for c in ROW)) for k in ("1", "2"))
-            near = one.join(two, "token").filter((F.col("doc_id1") < F.col("doc_id2")) & (F.col("c1") != F.col("c2")) & passes(F.col("n1"), F.col("place1"), F.col("n2"), F.col("place2"), percent))
-            pairs = near.select(F.col("doc_id1").alias("a"), F.col("doc_id2").alias("b"))
-        pairs = pairs.distinct()
-        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+            pairs = near_lengths(opened.drop("h"), percent).distinct()
+            pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+        rows = opened.select("token", "doc_id", "n", "place")
+        pairs = stored(pairs, "pairs")
         if not pairs.head(1):
             continue
         tried = pairs if tried is None else tried.unionByName(pairs)
@@ -392,9 +427,10 @@ def links_of(sets: DataFrame, percent: int) -> DataFrame | None:
 def jaccard_groups(docs: DataFrame, k: int = WORDS, percent: int = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself
     included) and n_members (documents of the component)."""
+    bounded_batches(docs)
     rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("b")).first()
-    ranges = max(1, -(-size["b"] // BYTES_PER_RANGE))
+    ranges = min(MOST_RANGES, max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-size["b"] // BYTES_PER_RANGE)))
     sets = stored(sets_of(rows, k, percent, ranges, hot_shingles(rows, k, size["n"])), "sets")
     found = links_of(sets.filter("shingles is not null").select("doc_id", "n", "shingles", "set_key", "n_unique", "prefix"), percent)
     members = sets.select("doc_id", F.col("n").alias("n_shingles"), "first")
@@ -414,6 +450,14 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group the document with the smallest doc_id stays; documents without words stay."""
-    kept = jaccard_groups(docs).filter("component_id = doc_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
+    """Pipeline stage: of each group the document with the smallest doc_id stays; documents without words stay. Of rows
+    with one doc_id the least (by all columns) stays, and rows without a doc_id, which no group can name, all stay."""
+    kept = jaccard_groups(docs).filter("component_id = doc_id").select("doc_id").distinct()
+    keyed = docs.filter("doc_id is not null")
+    many = keyed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("doc_id")
+    one = keyed.join(kept, "doc_id", "left_semi")
+    out = one.select(docs.columns)
+    if many.head(1):  # repeated keys: only those rows are grouped whole
+        repeated = one.join(many, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*")
+        out = one.join(many, "doc_id", "left_anti").select(docs.columns).unionByName(repeated)
+    return out.unionByName(docs.filter("doc_id is null"))

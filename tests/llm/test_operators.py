@@ -3,6 +3,8 @@
 import collections
 import hashlib
 import math
+import random
+import re
 import zlib
 
 import numpy as np
@@ -10,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafmark.llm import decontamination, fingerprints, html_extraction, jaccard_join, language_id, license_scan, quality, queries, sentencepiece_codec, token_files, toxicity
-from leafmark.llm.common import fresh_path, shingle_set
+from leafmark.llm.common import fresh_path
 
 DATA = "/root/testdata/sf0.001"
 ODD = [None, "", " ", "\n", "a", "Ünï  cödé ▁ <s> \U0001f600", "x" * 3000, "the same words " * 400]
@@ -22,8 +24,19 @@ def docs(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, score long")
 
 
+def word_set(text):
+    """Shingles as tuples of words, by the contract's own words."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
 def brute_components(rows):
-    sets = {i: set(shingle_set(t).tolist()) for i, t in rows}
+    sets = collections.defaultdict(set)
+    sizes = collections.Counter()
+    for i, t in rows:
+        own = word_set(t)
+        sets[i] |= own
+        sizes[i] = max(sizes[i], len(own))
     parent = {i: i for i in sets}
 
     def find(x):
@@ -40,7 +53,7 @@ def brute_components(rows):
             if 100 * n >= 75 * (len(s) + len(sets[j]) - n):
                 a, b = find(i), find(j)
                 parent[max(a, b)] = min(a, b)
-    return {i: (len(s), find(i)) for i, s in sets.items()}
+    return {i: (sizes[i], find(i)) for i in sets}
 
 
 def test_jaccard_join_equals_brute_force(spark, docs):
@@ -51,6 +64,41 @@ def test_jaccard_join_equals_brute_force(spark, docs):
 
 def test_jaccard_join_of_no_rows(spark, docs):
     assert jaccard_join.jaccard_groups(docs.limit(0)).count() == 0
+    assert jaccard_join.keep_one_of_each_group(spark, docs.limit(0), "").count() == 0
+
+
+def edited(rng, words, n):
+    words = list(words)
+    for _ in range(n):
+        words[rng.randrange(len(words))] = f"w{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
+def test_jaccard_join_of_hot_groups_equals_brute_force(spark, monkeypatch):
+    """Copies, near copies at and about the threshold, a line that all share, and ranges counted in several passes."""
+    monkeypatch.setattr(jaccard_join, "PASS_SHINGLES", 500)
+    monkeypatch.setattr(jaccard_join, "BYTES_PER_RANGE", 20_000)
+    rng = random.Random(3)
+    line = " ".join(f"common{i}" for i in range(30))
+    bases = [[f"b{k}x{i}" for i in range(rng.randint(8, 150))] for k in range(12)]
+    texts = [" ".join(bases[0])] * 60 + [edited(rng, bases[1], rng.randint(0, 6)) for _ in range(80)]
+    texts += [edited(rng, rng.choice(bases), rng.randint(0, 5)) for _ in range(150)] + [line + " " + edited(rng, rng.choice(bases), 8) for _ in range(80)]
+    texts += [line + f" t{i}" for i in range(25)] + ["x" * 20_000, None, "", " ", "One two", "one TWO", "one two three"]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_members) for r in jaccard_join.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_components(rows)
+    assert {i: g[:2] for i, g in got.items()} == want
+    sizes = collections.Counter(c for _, c in want.values())
+    assert all(g[2] == sizes[g[1]] for g in got.values())
+
+
+def test_the_stage_keeps_one_of_each_group(spark):
+    rows = [(2, "a b c d e f g", "x", 1), (1, "a b c d e f g", "x", 1), (1, "a b c d e f g", "x", 1), (1, "a b c d e f g", "w", 1), (3, None, "x", 1), (3, None, "x", 1), (None, "a b c d e f g", "x", 1), (None, None, "x", 1), (4, "other words are in this one", "x", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, component_id int")
+    kept = jaccard_join.keep_one_of_each_group(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(1, "a b c d e f g", "w", 1), (3, None, "x", 1), (4, "other words are in this one", "x", 1), rows[6], rows[7]], key=str)
 
 
 def test_suffix_bound_is_an_upper_bound():
@@ -91,20 +139,27 @@ def test_pieces_of_long_texts_sum_up():
     assert language_id.predict(model, [long])[0] == ["fr"]
 
 
+def slope(net, words, index, name, at):
+    net.p[name][at] += 1e-2
+    up = net.forward(words, index)[0].sum()
+    net.p[name][at] -= 2e-2
+    down = net.forward(words, index)[0].sum()
+    net.p[name][at] += 1e-2
+    return (up - down) / 2e-2
+
+
 def test_toxicity_gradient_and_learning():
     net = toxicity.Network()
-    words, chars, owner, index = next(toxicity.windows_of(["some words are here to see " * 6, "b"]))
-    w, c = np.append(np.int32(0), words)[index], np.concatenate([np.zeros((1, toxicity.N_CHAR), np.int32), chars])[index]
-    logits, kept = net.forward(w, c)
-    assert np.allclose(logits, net.logits_of(net.projected(words, chars), index), atol=1e-5)
-    g = net.backward(w, c, kept, np.ones(len(w), np.float32))
+    words, owner, index = next(toxicity.windows_of(["some words are here to see " * 6, "b"]))
+    logits, kept = net.forward(words, index)
+    assert np.allclose(logits, net.logits_of(net.projected(words), index), atol=1e-5)
+    g = net.backward(kept, np.ones(len(index), np.float32))
+    gram = int(words.grams[4])
+    for name, row in (("word", int(words.buckets[1])), ("char", gram)):
+        ids, d = g[name]
+        assert math.isclose(d[ids == row, 2].sum(), slope(net, words, index, name, (row, 2)), rel_tol=0.05, abs_tol=2e-3)
     for name, at in (("out", 3), ("gates", (0, 2, 5)), ("cand", (1, 3, 4)), ("attend", 2)):
-        net.p[name][at] += 1e-2
-        up = net.forward(w, c)[0].sum()
-        net.p[name][at] -= 2e-2
-        down = net.forward(w, c)[0].sum()
-        net.p[name][at] += 1e-2
-        assert math.isclose((up - down) / 2e-2, g[name][at], rel_tol=0.05, abs_tol=2e-3)
+        assert math.isclose(slope(net, words, index, name, at), g[name][at], rel_tol=0.05, abs_tol=2e-3)
     good, bad = ["the fine day went on well " * 8] * 60, ["the fine day idiot went on " * 8] * 60
     model = toxicity.train(good + bad, [0] * 60 + [1] * 60, [1.0] * 120)
     scores = model.scores([good[0], bad[0], "", "x" * 50_000])
@@ -113,9 +168,9 @@ def test_toxicity_gradient_and_learning():
 
 def test_long_texts_give_the_same_windows(monkeypatch):
     text = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for i in range(3000))
-    whole = np.concatenate([np.append(np.int32(0), w)[i] for w, _, _, i in toxicity.windows_of([text])])
+    whole = np.concatenate([np.append(np.uint64(0), w.names)[i] for w, _, i in toxicity.windows_of([text])])
     monkeypatch.setattr(toxicity, "CHUNK_CHARS", 200)
-    cut = np.concatenate([np.append(np.int32(0), w)[i] for w, _, _, i in toxicity.windows_of([text])])
+    cut = np.concatenate([np.append(np.uint64(0), w.names)[i] for w, _, i in toxicity.windows_of([text])])
     assert np.array_equal(whole, cut)
 
 
@@ -196,7 +251,7 @@ def test_token_files_round_trip(spark, docs):
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(tokenizers.path("byte_bpe_50k.json"))
-    manifest = token_files.write_token_files(docs, tokenizers.path("byte_bpe_50k.json"), fresh_path(spark, "t"), rows_per_file=4)
+    manifest = token_files.write_token_files(docs, tokenizers.path("byte_bpe_50k.json"), fresh_path(spark, "t"), bytes_per_file=400, rows_per_share=2)
     start = 0
     got = sorted(token_files.digests_of_files(manifest).collect(), key=lambda r: r.doc_id)
     for r, d in zip(got, sorted(docs.collect(), key=lambda d: d.doc_id), strict=True):
