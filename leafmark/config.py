@@ -1,9 +1,10 @@
 """Fixed values of the document-analytics operators: limits, word lists, patterns and weights."""
 
+import re
+
 # Limits and thresholds
 READING_WORDS_PER_MINUTE = 235
 CHUNK_WORDS, CHUNK_LEAST_WORDS = 190, 14
-TOKENS_PER_TEXT, TOKENS_PER_SET = 900, 180
 STRONG, POSSIBLE, WEAK, MARGIN = 58, 34, 18, 7
 SNIPPET_CHARS, SNIPPET_LEAD = 180, 58
 QUERY_CHARS, QUERY_TOKENS = 120, 16
@@ -16,6 +17,7 @@ ZERO_WIDTH = r"[\x{200B}-\x{200D}\x{FEFF}]"
 WORD = r"[A-Za-z0-9_'-]*[A-Za-z0-9_][A-Za-z0-9_'-]*"
 TOKEN_JAVA = r"[A-Za-z][A-Za-z0-9_./+#-]+|(?<![A-Za-z0-9_])[0-9]+[A-Za-z](?:[A-Za-z0-9./+#-]*[A-Za-z0-9])?(?![A-Za-z0-9_])"
 TOKEN_RE2 = r"[A-Za-z][A-Za-z0-9_./+#-]+|\b[0-9]+[A-Za-z][A-Za-z0-9./+#-]*\b"
+PLAIN_TOKEN = r"^[A-Za-z][a-z]*+[-_./+#]*+$"  # never technical
 TECHNICAL = r"[A-Z]{2,}|[A-Za-z][A-Z][A-Za-z0-9]|[A-Za-z][-_./+#][A-Za-z0-9]|[A-Za-z][0-9]|[0-9][A-Za-z]"
 EDGES = r"^[^A-Za-z0-9+#]+|[^A-Za-z0-9+#]+$"
 
@@ -105,6 +107,26 @@ SHORT_CONFIRMATION = r"^(yes|no|ok|okay|sure|done|got it|sounds good|correct|tha
 CODE_BLOCK = r"```"
 
 
+_LEFT, _RIGHT = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+_EITHER = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+
+
+def _alternatives(pattern: str) -> list[str]:
+    """The pattern's alternatives outside of brackets."""
+    out, depth = [""], 0
+    for c in pattern:
+        depth += (c == "(") - (c == ")")
+        if c == "|" and depth == 0:
+            out.append("")
+        else:
+            out[-1] += c
+    return out
+
+
 def bounded(pattern: str) -> str:
-    """The pattern between ASCII word bounds, for Java, whose own bounds are Unicode's."""
-    return rf"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))(?:{pattern})(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+    """The pattern between ASCII word bounds, for Java, whose own bounds are Unicode's. Alternatives that begin and end
+    with word characters need one look at either side; others may begin or end a word on any side."""
+    plain = [a for a in _alternatives(pattern) if re.fullmatch(r"[a-z0-9].*(?:[a-z0-9][?]?|[a-z0-9]\)[?]?|[a-z0-9]\)?)", a)]
+    others = [a for a in _alternatives(pattern) if a not in plain]
+    parts = ([f"{_LEFT}(?:{'|'.join(plain)}){_RIGHT}"] if plain else []) + ([f"{_EITHER}(?:{'|'.join(others)}){_EITHER}"] if others else [])
+    return "|".join(parts)

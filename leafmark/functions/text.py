@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmark import config as C
@@ -27,13 +27,31 @@ def half_up(x: Column, digits: int = 3) -> Column:
     return F.floor(x * 10**digits + 0.5) / float(10**digits)
 
 
+def _term(t: Column) -> Column:
+    """The term of a raw token: a token begins with a letter or digit, so only its end may need trimming."""
+    return F.lower(F.rtrim(t, F.lit("_./-")))
+
+
+def _technical(t: Column) -> Column:
+    return ~t.rlike(C.PLAIN_TOKEN) & t.rlike(C.TECHNICAL)
+
+
+def raw_tokens(c: Column) -> Column:
+    return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(C.TOKEN_JAVA), 0)
+
+
 def tokens(c: Column, most: int | None = None) -> Column:
     """Terms in order: array of struct(term, weight); technical terms weigh 1.25. most: only so many first ones."""
-    raw = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(C.TOKEN_JAVA), 0)
-    stop = F.lit(C.STOP_WORDS)
-    made = F.transform(raw, lambda t: F.struct(F.lower(F.regexp_replace(t, C.EDGES, "")).alias("term"), t.rlike(C.TECHNICAL).alias("technical")))
-    kept = F.filter(made, lambda t: (t["term"] != "") & ~F.array_contains(stop, t["term"]) & (t["technical"] | (F.length(t["term"]) >= 3)) & ~t["term"].rlike("^[0-9]+$"))
-    return F.transform(kept if most is None else F.slice(kept, 1, most), lambda t: F.struct(t["term"].alias("term"), F.when(t["technical"], 1.25).otherwise(1.0).alias("weight")))
+    made = F.transform(raw_tokens(c), lambda t: F.struct(_term(t).alias("term"), F.when(_technical(t), 1.25).otherwise(1.0).alias("weight")))
+    kept = F.filter(made, lambda t: ((F.length(t["term"]) >= 3) | (t["weight"] > 1)) & ~t["term"].isin(C.STOP_WORDS))
+    return kept if most is None else F.slice(kept, 1, most)
+
+
+def exploded_tokens(rows: DataFrame, *keep: str, text: str) -> DataFrame:
+    """A row for each term of each row's text, with the columns keep, term and weight: tokens() in compiled code."""
+    raw = rows.select(*keep, F.explode(raw_tokens(F.col(text))).alias("t"))
+    made = raw.select(*keep, _term(F.col("t")).alias("term"), F.when(_technical(F.col("t")), 1.25).otherwise(1.0).alias("weight"))
+    return made.filter(((F.length("term") >= 3) | (F.col("weight") > 1)) & ~F.col("term").isin(C.STOP_WORDS))
 
 
 def term_set(c: Column, most: int | None = None) -> Column:
@@ -41,9 +59,11 @@ def term_set(c: Column, most: int | None = None) -> Column:
 
 
 def hash_text(c: Column) -> Column:
-    """31-multiplier signed 32-bit hash over code points, its absolute value in base 36."""
+    """31-multiplier signed 32-bit hash over UTF-16 units, its absolute value in base 36."""
     codes = F.transform(F.split(F.coalesce(c, F.lit("")), ""), lambda x: F.ascii(x).cast("long"))
-    wrapped = F.aggregate(codes, F.lit(0).cast("long"), lambda a, x: F.pmod(a * 31 + x, F.lit(1 << 32)))
+    low, high = F.lit(0xDC00), F.lit(0xD800 - 0x40)  # of the two units of a code point beyond the basic plane
+    pair = lambda a, x: (a * 31 + high + F.shiftright(x, 10)) * 31 + low + x.bitwiseAND(0x3FF)
+    wrapped = F.aggregate(codes, F.lit(0).cast("long"), lambda a, x: F.pmod(F.when(x < 0x10000, a * 31 + x).otherwise(pair(a, x)), F.lit(1 << 32)))
     return F.lower(F.conv(F.abs(F.when(wrapped >= 1 << 31, wrapped - (1 << 32)).otherwise(wrapped)).cast("string"), 10, 36))
 
 
@@ -80,14 +100,20 @@ def trigram_similarity(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(x, y)) / F.greatest(F.size(x), F.size(y))
 
 
+def are_synonyms(a: Column, b: Column) -> Column:
+    """Whether two different terms stand in one group of synonyms."""
+    groups = F.create_map(*(F.lit(x) for i, g in enumerate(C.SYNONYMS) for w in g for x in (w, i)))
+    return F.coalesce((F.try_element_at(groups, a) == F.try_element_at(groups, b)) & (a != b), F.lit(False))
+
+
 def is_minor_typo(a: Column, b: Column) -> Column:
     """One substitution, insertion, deletion or adjacent transposition between words of seven letters or more with
-    the same first letter and different stems."""
+    the same first letter and different stems that aren't synonyms."""
     n, m = F.length(a), F.length(b)
     at = F.aggregate(F.sequence(F.lit(1), F.least(n, m)), F.lit(0), lambda s, i: F.when((s == 0) & (a.substr(i, F.lit(1)) != b.substr(i, F.lit(1))), i).otherwise(s))
     swapped = F.concat(a.substr(F.lit(1), at - 1), a.substr(at + 1, F.lit(1)), a.substr(at, F.lit(1)), a.substr(at + 2, n))
     near = (F.levenshtein(a, b) <= 1) | ((n == m) & (at > 0) & (swapped == b))
-    return (n >= 7) & (m >= 7) & (a != b) & (F.abs(n - m) <= 1) & (F.substring(a, 1, 1) == F.substring(b, 1, 1)) & (stem(a) != stem(b)) & near
+    return (n >= 7) & (m >= 7) & (a != b) & (F.abs(n - m) <= 1) & (F.substring(a, 1, 1) == F.substring(b, 1, 1)) & (stem(a) != stem(b)) & ~are_synonyms(a, b) & near
 
 
 def ocr_comparable(c: Column) -> Column:

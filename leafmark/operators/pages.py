@@ -14,8 +14,8 @@ BLOCKS = ("p", "li", "pre", "blockquote", "table", "figure")
 def page_statistics(nodes: DataFrame) -> DataFrame:
     """page_id, paragraphs, list_items, links, headings, words (of the body), link_words, link_density."""
     n = lambda *tags: F.coalesce(F.sum(F.col("tag").isin(*tags).cast("long")), F.lit(0))
-    body = F.max(F.when(F.col("tag") == "body", T.count_words(F.col("text"))))
-    linked = F.max(F.when(F.col("tag") == "body", T.count_words(F.col("link_text"))))
+    body = F.max(F.when(F.col("tag") == "body", F.col("words").cast("long")))
+    linked = F.max(F.when(F.col("tag") == "body", F.col("link_words").cast("long")))
     made = nodes.groupBy("page_id").agg(n("p").alias("paragraphs"), n("li").alias("list_items"), n("a").alias("links"), n(*HEADINGS).alias("headings"), body.alias("words"), linked.alias("link_words"))
     return made.withColumn("link_density", T.half_up(F.when(F.col("words") > 0, F.col("link_words") / F.col("words")).otherwise(0.0)))
 
@@ -35,7 +35,7 @@ def blocks(nodes: DataFrame, most: int | None = None) -> DataFrame:
     """page_id, pos, tag, words and text of the readable blocks: eight words or more (pre and table always), none inside
     the block before it. most: at most so many of each page."""
     page = Window.partitionBy("page_id").orderBy("pre")
-    found = nodes.filter(F.col("tag").isin(*BLOCKS)).withColumn("words", T.count_words(F.col("text")))
+    found = nodes.filter(F.col("tag").isin(*BLOCKS)).withColumn("words", F.col("words").cast("long"))
     kept = found.filter((F.col("words") >= 8) | F.col("tag").isin("pre", "table") | ((F.col("tag") == "figure") & (F.length("text") >= 45)))
     outer = kept.withColumn("reach", F.lag("post").over(page)).filter(F.col("reach").isNull() | (F.col("pre") > F.col("reach")))
     if most is not None:
@@ -61,10 +61,11 @@ def heading_sections(heads: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def hierarchy(sections: DataFrame) -> DataFrame:
-    """page_id, pos, parent: the nearest earlier section of a smaller level."""
-    earlier = sections.select(F.col("page_id").alias("up_page"), F.col("pos").alias("up"), F.col("level").alias("up_level"))
-    pairs = sections.join(earlier, (F.col("page_id") == F.col("up_page")) & (F.col("up") < F.col("pos")) & (F.col("up_level") < F.col("level")), "left").select("page_id", "pos", "level", "up")
-    return pairs.groupBy("page_id", "pos").agg(F.max("up").alias("parent"))
+    """page_id, pos, parent: the nearest earlier section of a smaller level (1 to 6)."""
+    before = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    level = F.col("level")
+    parent = F.coalesce(*(F.when(level == n, F.max(F.when(level < n, F.col("pos"))).over(before)) for n in range(2, 7)))
+    return sections.select("page_id", "pos", parent.alias("parent"))
 
 
 def merged_sections(primary: DataFrame, fallback: DataFrame) -> DataFrame:

@@ -19,32 +19,31 @@ def sentence_parts(c: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(T.clean_text(c), "([.!?]) ([A-Z0-9])", "$1" + MARK + "$2"), MARK), lambda p: p != "")
 
 
-def greedy_groups(sizes: Column, budget: int) -> Column:
-    """For each size the number of its group; a group closes once its sum reaches the budget."""
-    start = F.struct(F.lit(0).alias("group"), F.lit(0).cast("long").alias("sum"), F.array().cast("array<int>").alias("out"))
+def greedy_sections(parts: Column, budget: int) -> Column:
+    """Array of struct(body, words): the parts joined in order; a section closes once its words reach the budget."""
+    kind = "struct<body:string,words:bigint,out:array<struct<body:string,words:bigint>>>"
+    start = F.struct(F.lit(None).cast("string").alias("body"), F.lit(0).cast("bigint").alias("words"), F.array().cast("array<struct<body:string,words:bigint>>").alias("out")).cast(kind)
+    one = lambda a: F.struct(a["body"].alias("body"), a["words"].alias("words"))
 
-    def step(a: Column, n: Column) -> Column:
-        closed = a["sum"] >= budget
-        group = F.when(closed, a["group"] + 1).otherwise(a["group"])
-        return F.struct(group.alias("group"), F.when(closed, n).otherwise(a["sum"] + n).alias("sum"), F.concat(a["out"], F.array(group)).alias("out"))
+    def step(a: Column, p: Column) -> Column:
+        closed = a["words"] >= budget
+        out = F.when(closed, F.concat(a["out"], F.array(one(a)))).otherwise(a["out"])
+        return F.struct(F.when(closed | a["body"].isNull(), p["text"]).otherwise(F.concat(a["body"], F.lit(" "), p["text"])).alias("body"), F.when(closed, p["words"]).otherwise(a["words"] + p["words"]).alias("words"), out.alias("out"))
 
-    return F.aggregate(sizes, start, step, lambda a: a["out"])
+    sized = F.transform(parts, lambda t: F.struct(t.alias("text"), T.count_words(t).alias("words")))
+    return F.aggregate(sized, start, step, lambda a: F.when(a["body"].isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(one(a)))))
 
 
 def text_sections(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """page_id, section (from 0), body and words of each document's chunks; chunks of few words are left out, their
-    numbers stay."""
-    parts = docs.select(F.col(key).alias("page_id"), sentence_parts(F.col(text)).alias("parts"))
-    sized = parts.select("page_id", "parts", F.transform("parts", T.count_words).alias("sizes"))
-    grouped = sized.select("page_id", F.explode(F.arrays_zip("parts", greedy_groups(F.col("sizes"), C.CHUNK_WORDS).alias("groups"), F.sequence(F.lit(1), F.size("parts")).alias("at"))).alias("x")).filter("x.parts is not null")
-    joined = grouped.groupBy("page_id", F.col("x.groups").alias("section")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x.at", "x.parts"))), lambda p: p["parts"]), " ").alias("body"))
-    return joined.withColumn("words", T.count_words(F.col("body"))).filter(F.col("words") >= C.CHUNK_LEAST_WORDS)
+    numbers stay. A document's sections are made inside its row, without a shuffle."""
+    made = docs.select(F.col(key).alias("page_id"), F.posexplode(greedy_sections(sentence_parts(F.col(text)), C.CHUNK_WORDS)).alias("section", "s"))
+    return made.select("page_id", "section", "s.body", "s.words").filter(F.col("words") >= C.CHUNK_LEAST_WORDS)
 
 
 def section_terms(sections: DataFrame) -> DataFrame:
     """page_id, section, term, weight: summed term weights."""
-    exploded = sections.select("page_id", "section", F.explode(T.tokens(F.col("body"), C.TOKENS_PER_TEXT)).alias("t"))  # the bound is that of the SQL
-    return exploded.groupBy("page_id", "section", F.col("t.term").alias("term")).agg(F.sum("t.weight").alias("weight"))
+    return T.exploded_tokens(sections, "page_id", "section", text="body").groupBy("page_id", "section", "term").agg(F.sum("weight").alias("weight"))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -65,23 +64,31 @@ def distinctive_terms(terms: DataFrame, most: int = 40) -> DataFrame:
     return ranked.filter(F.col("rank") <= most).select("page_id", "term", "df", "weight", F.col("rank").cast("long").alias("rank"))
 
 
+MOST_QUERY_TERMS = 10_000  # of all queries together
+
+
 def search(sections: DataFrame, queries: DataFrame) -> DataFrame:
     """For each query (query_id, query) and page the best section: score, margin to the next, status and snippet.
 
-    Scores are BM25 over the page's sections, with bonuses for the phrase and for coverage. The queries are few and
-    bounded (QUERY_TOKENS terms of QUERY_CHARS characters), so they are broadcast; only terms that occur in a query go
-    through the score's shuffle."""
+    Scores are BM25 over the page's sections, with bonuses for the phrase and for coverage. Texts are read once: a
+    section's length and the terms it shares with any query are found in its row, so what is shuffled are lengths, and
+    bodies only of sections with such a term. The queries' terms come to the driver: MOST_QUERY_TERMS at most, of
+    QUERY_TOKENS terms and QUERY_CHARS characters each."""
     asked = queries.select("query_id", F.lower(T.clean_text(F.col("query")).substr(1, C.QUERY_CHARS)).alias("phrase"), F.slice(F.array_distinct(F.transform(T.tokens(F.col("query")), lambda t: t["term"])), 1, C.QUERY_TOKENS).alias("wanted"))
     wanted = asked.select("query_id", "phrase", F.size("wanted").alias("n_wanted"), "wanted", F.explode("wanted").alias("term"))
-    terms = section_terms(sections)
-    lengths = terms.groupBy("page_id", "section").agg(F.greatest(F.lit(1.0), F.sum("weight")).alias("length"))
-    pages = lengths.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("average"))
-    hit = terms.join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi")
+    known = [r["term"] for r in wanted.select("term").distinct().limit(MOST_QUERY_TERMS + 1).collect()]
+    if len(known) > MOST_QUERY_TERMS:
+        raise ValueError(f"more than {MOST_QUERY_TERMS} different terms are asked for at once: search in several calls")
+    page = Window.partitionBy("page_id")
+    read = sections.select("page_id", "section", "body", T.tokens(F.col("body")).alias("t")).filter(F.size("t") > 0)
+    sized = read.select("page_id", "section", "body", F.greatest(F.lit(1.0), F.aggregate("t", F.lit(0.0), lambda a, t: a + t["weight"])).alias("length"), F.filter("t", lambda t: t["term"].isin(known) if known else F.lit(False)).alias("hits"))
+    small = sized.select("page_id", "section", F.when(F.size("hits") > 0, F.col("body")).alias("body"), "length", "hits")
+    placed = small.withColumn("n", F.count(F.lit(1)).over(page)).withColumn("average", F.avg("length").over(page)).filter(F.size("hits") > 0)
+    hit = placed.select("*", F.explode("hits").alias("h")).groupBy("page_id", "section", "n", "average", "length", "body", F.col("h.term").alias("term")).agg(F.sum("h.weight").alias("weight"))
     counted = hit.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("page_id", "term")))
-    raw = counted.join(F.broadcast(wanted), "term").join(lengths, ["page_id", "section"]).join(pages, "page_id")
+    raw = counted.join(F.broadcast(wanted), "term")  # bounded by MOST_QUERY_TERMS terms
     gain = bm25(F.col("weight"), F.col("length"), F.col("average")) * F.greatest(F.lit(C.IDF_FLOOR), idf(F.col("n"), F.col("df")))
-    entry = raw.groupBy("query_id", "phrase", "n_wanted", "wanted", "page_id", "section").agg(F.sum(gain).alias("raw"), F.count(F.lit(1)).alias("matches"))
-    entry = entry.join(sections.select("page_id", "section", "body"), ["page_id", "section"])
+    entry = raw.groupBy("query_id", "phrase", "n_wanted", "wanted", "page_id", "section", "body").agg(F.sum(gain).alias("raw"), F.count(F.lit(1)).alias("matches"))
     in_body = (F.length("phrase") >= 4) & F.contains(F.lower("body"), F.col("phrase"))
     coverage = F.least(F.lit(18.0), 16 * F.col("matches") / F.col("n_wanted") + F.when(F.col("matches") >= 3, 4).otherwise(0))
     score = F.col("raw") * 18 + F.when(in_body, 12).otherwise(0) + coverage
@@ -117,10 +124,13 @@ def scores(flagged: DataFrame) -> DataFrame:
     return made.select("page_id", "section", "words", F.greatest("u", F.lit(0)).cast("long").alias("useful"), F.greatest("i", F.lit(0)).cast("long").alias("importance"), F.col("fluff").cast("long").alias("fluff"), F.floor(0.86 * F.col("u") + 0.48 * F.col("i") - F.col("fluff") + 0.5).cast("long").alias("score"))
 
 
-def ranked(scored: DataFrame, best_from: int = 42, cutoff_floor: int = 34, most: int = 180) -> DataFrame:
-    """Marks each page's best section and its important ones (about the top 28 %, three to nine)."""
+def ranked(scored: DataFrame, best_from: int = 42, cutoff_floor: int = 34, most: int | None = None) -> DataFrame:
+    """Marks each page's best section and its important ones (about the top 28 %, three to nine). most: of so many first
+    sections of each page."""
     page = Window.partitionBy("page_id")
-    kept = scored.filter("words >= 18").withColumn("place", F.row_number().over(page.orderBy("section"))).filter(F.col("place") <= most)
+    kept = scored.filter("words >= 18")
+    if most is not None:
+        kept = kept.withColumn("place", F.row_number().over(page.orderBy("section"))).filter(F.col("place") <= most)
     open_ = (F.col("fluff") < 82) | (F.col("score") >= 96)
     order = page.orderBy(F.desc("open"), F.desc("score"), "section")
     placed = kept.withColumn("open", open_).withColumn("rank", F.row_number().over(order)).withColumn("n", F.count(F.lit(1)).over(page)).withColumn("n_open", F.sum(F.col("open").cast("int")).over(page))
@@ -141,7 +151,7 @@ def saved_minutes(sections: DataFrame) -> DataFrame:
 
 def neighbour_similarity(sections: DataFrame) -> DataFrame:
     """Jaccard index of the terms of each section and the one before it in its page."""
-    sets = sections.select("page_id", "section", T.term_set(F.col("body"), C.TOKENS_PER_SET).alias("terms"))
+    sets = sections.select("page_id", "section", T.term_set(F.col("body")).alias("terms"))
     pairs = sets.withColumn("before", F.lag("terms").over(Window.partitionBy("page_id").orderBy("section"))).filter("before is not null")
     union = F.size(F.array_union("terms", "before"))
     return pairs.select("page_id", "section", T.half_up(F.when(union > 0, F.size(F.array_intersect("terms", "before")) / union).otherwise(0.0)).alias("similarity"))
@@ -178,6 +188,17 @@ def next_section(marked: DataFrame, similar: DataFrame) -> DataFrame:
     return best.select("page_id", F.col("section").cast("long").alias("section"), "utility")
 
 
+def neighbours(words: DataFrame, word: str) -> DataFrame:
+    """Each word and the one before it in order among those with its first letter (before). Windows are by the first
+    three characters, and a window's first word takes the last one of the window before, from a table of a row for
+    each beginning."""
+    begin = F.substring(word, 1, 3)
+    placed = words.withColumn("before", F.lag(word).over(Window.partitionBy(begin).orderBy(word)))
+    ends = words.groupBy(begin.alias("begin")).agg(F.max(word).alias("end"))
+    ends = ends.select("begin", F.lag("end").over(Window.partitionBy(F.substring("begin", 1, 1)).orderBy("begin")).alias("end"))
+    return placed.withColumn("begin", begin).join(ends, "begin").select(word, F.coalesce("before", "end").alias("before")).filter("before is not null")
+
+
 def query_expansion(terms: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, term, other, kind: words of the vocabulary that a query's terms also mean, as another word form, a
     synonym or a slip of spelling. Equi-joins: by stem, by synonym, and by first letter and length for slips."""

@@ -34,7 +34,7 @@ def half_up(x: str) -> str:
 
 def tokens(c: str) -> str:
     made = f"list_transform(regexp_extract_all(coalesce({c}, ''), {_lit(C.TOKEN_RE2)}), lambda t: {{'term': lower(regexp_replace(t, {_lit(C.EDGES)}, '', 'g')), 'technical': regexp_matches(t, {_lit(C.TECHNICAL)})}})"
-    return f"list_filter({made}, lambda t: t.term <> '' and not list_contains({_quoted(C.STOP_WORDS)}, t.term) and (t.technical or length(t.term) >= 3) and not regexp_full_match(t.term, '[0-9]+'))[1:{C.TOKENS_PER_TEXT}]"
+    return f"list_filter({made}, lambda t: t.term <> '' and not list_contains({_quoted(C.STOP_WORDS)}, t.term) and (t.technical or length(t.term) >= 3) and not regexp_full_match(t.term, '[0-9]+'))"
 
 
 def stem(v: str) -> str:
@@ -47,6 +47,7 @@ def stem(v: str) -> str:
       when length({v}) > 5 and ends_with({v}, 'ed') then {undouble(f"left({v}, length({v}) - 2)")} when length({v}) > 5 and ends_with({v}, 'es') then left({v}, length({v}) - 2) when length({v}) > 4 and ends_with({v}, 's') then left({v}, length({v}) - 1) else {v} end"""
 
 
+SYNONYMOUS = " or ".join(f"term in ({', '.join(_lit(w) for w in g)}) and before in ({', '.join(_lit(w) for w in g)})" for g in C.SYNONYMS)
 VOCABULARY = f"vocabulary as (select distinct unnest(list_transform({tokens('text')}, lambda t: t.term)) as term from documents)"
 PAIRS = VOCABULARY + ", pairs as (select * from (select term, lag(term) over (partition by left(term, 1) order by term) as before from vocabulary) where before is not null)"
 SECTIONS = f"""parts as (select doc_id as page_id, list_filter(string_split(regexp_replace({clean('text')}, '([.!?]) ([A-Z0-9])', '\\1␞\\2', 'g'), '␞'), lambda p: p <> '') as parts from documents),
@@ -70,13 +71,13 @@ IMPORTANCE = _sum((f"s_{n}", i) for n, _, _, i in C.SIGNALS if i)
 FLUFF = _sum([(f"f_{n}", w) for n, _, w in C.FLUFF] + [(f"s_{n}", w) for n, w in C.FLUFF_OF_SIGNALS.items()])
 SCORES = FLAGS + f""", made as (select page_id, section, words, {USEFUL} as u, {IMPORTANCE} as i, {FLUFF} as fl from flagged),
 scores as (select page_id, section, words, greatest(u, 0)::bigint as useful, greatest(i, 0)::bigint as importance, fl::bigint as fluff, floor(0.86::double * u + 0.48::double * i - fl + 0.5)::bigint as score from made)"""
-RANKED = SCORES + """, o as (select *, (fluff < 82 or score >= 96) as open from (select *, row_number() over (partition by page_id order by section) as place from scores where words >= 18) where place <= 180),
+RANKED = SCORES + """, o as (select *, (fluff < 82 or score >= 96) as open from scores where words >= 18),
 r as (select *, row_number() over (partition by page_id order by open desc, score desc, section) as rk, count(*) over (partition by page_id) as n, sum(open::int) over (partition by page_id) as n_open from o),
 c as (select *, least(least(9, greatest(3, ceil(n * 0.28::double))), n_open) as cut_rank from r),
 k as (select *, greatest(34, coalesce(max(case when rk = cut_rank then score end) over (partition by page_id), 34)) as cutoff, min(case when open and score >= 42 and useful >= 26 then rk end) over (partition by page_id) as best_rank from c),
 b as (select *, coalesce(rk = best_rank, false) as is_best from k),
 ranked as (select page_id, section, score, is_best, ((score >= cutoff or is_best) and (words >= 28 or is_best) and useful >= 20 and (fluff < 82 or is_best)) as is_important from b)"""
-SETS = f"sets as (select page_id, section, list_distinct(list_transform({tokens('body')}[1:{C.TOKENS_PER_SET}], lambda t: t.term)) as terms from kept)"
+SETS = f"sets as (select page_id, section, list_distinct(list_transform({tokens('body')}, lambda t: t.term)) as terms from kept)"
 SIMILAR = SETS + f""", near as (select page_id, section, terms, lag(terms) over (partition by page_id order by section) as before from sets),
 similar_ as (select page_id, section, {half_up("case when len(list_distinct(list_concat(terms, before))) > 0 then len(list_intersect(terms, before)) / len(list_distinct(list_concat(terms, before))) else 0.0 end")} as similarity from near where before is not null)"""
 TURNS = f"""base as (select conv_id as page_id, turn, role, text, {words('text')} as words, coalesce(contains(text, '{C.CODE_BLOCK}'), false) as has_code, {', '.join(f'{has("text", p)} as {n}' for n, p in C.TURN_FLAGS)} from conversations),
@@ -94,7 +95,7 @@ _CLEANED = clean("body")
 ORACLE_SQL = {
     "word_count": f"select doc_id, {words('text')} as words, greatest(1, ceil({words('text')} / {C.READING_WORDS_PER_MINUTE}))::bigint as minutes from documents",
     "clean_text": f"select doc_id, length({clean('text')}) as n, md5({clean('text')}) as digest from documents",
-    "hash_text": f"""with h as (select doc_id, list_reduce(list_transform(list_prepend('', string_split(left({clean('text')}, 280), '')), lambda x: case when x = '' then 0 else unicode(x) end::hugeint), lambda a, x: (a * 31 + x) % 4294967296) as v from documents),
+    "hash_text": f"""with h as (select doc_id, list_reduce(list_transform(list_prepend('', string_split({clean('text')}, '')), lambda x: case when x = '' then 0 else unicode(x) end::hugeint), lambda a, x: (case when x < 65536 then a * 31 + x else (a * 31 + 55232 + (x >> 10)) * 31 + 56320 + x % 1024 end) % 4294967296) as v from documents),
       a as (select doc_id, abs(case when v >= 2147483648 then v - 4294967296 else v end)::bigint as v from h)
       select doc_id, case when v = 0 then '0' else ltrim(list_aggregate(list_transform(range(7), lambda i: substr('0123456789abcdefghijklmnopqrstuvwxyz', ((v // (36 ** (6 - i))::bigint) % 36)::int + 1, 1)), 'string_agg', ''), '0') end as hash from a""",
     "tokenize": f"with t as (select doc_id, {tokens('text')} as t from documents) select doc_id, len(t) as tokens, md5(array_to_string(list_transform(t, lambda x: x.term), ' ')) as digest, coalesce(list_sum(list_transform(t, lambda x: case when x.technical then 1.25 else 1.0 end::double)), 0.0) as weight from t",
@@ -103,13 +104,27 @@ ORACLE_SQL = {
       select term, before, {half_up('len(list_intersect(x, y)) / greatest(len(x), len(y))')} as similarity from g""",
     "edit_distance": f"with {PAIRS} select term, before, levenshtein(term, before) as distance from pairs",
     "minor_typo": f"""with {PAIRS}, s as (select term, before, {stem('term')} as s1, {stem('before')} as s2, list_filter(range(1, least(length(term), length(before)) + 1), lambda i: substr(before, i, 1) <> substr(term, i, 1)) as diffs from pairs)
-      select term, before, (length(term) >= 7 and length(before) >= 7 and abs(length(term) - length(before)) <= 1 and s1 <> s2 and (levenshtein(term, before) <= 1 or (length(term) = length(before) and len(diffs) = 2 and diffs[2] = diffs[1] + 1 and substr(before, diffs[1], 1) = substr(term, diffs[2], 1) and substr(before, diffs[2], 1) = substr(term, diffs[1], 1)))) as typo from s""",
+      select term, before, (length(term) >= 7 and length(before) >= 7 and abs(length(term) - length(before)) <= 1 and s1 <> s2 and not ({SYNONYMOUS}) and (levenshtein(term, before) <= 1 or (length(term) = length(before) and len(diffs) = 2 and diffs[2] = diffs[1] + 1 and substr(before, diffs[1], 1) = substr(term, diffs[2], 1) and substr(before, diffs[2], 1) = substr(term, diffs[1], 1)))) as typo from s""",
     "ocr_normalize": r"select doc_id, md5(trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '-[ \t\n\r\f]+', '', 'g'), '[^a-z0-9]+', ' ', 'g'))) as comparable, md5(regexp_replace(replace(translate(lower(coalesce(text, '')), '0i1', 'oll'), 'rn', 'm'), '[^a-z0-9]+', '', 'g')) as term from documents",
     "page_titles": f"""with t as (select page_id, regexp_replace({clean("regexp_extract(coalesce(html, ''), '<h1>([^<]*)</h1>', 1)")}, '^#+ *', '') as v from pages) select page_id, case when length(v) <= 40 then v else rtrim(left(v, 37)) || '...' end as title from t""",
     "url_features": r"""with u as (select page_id, coalesce(url, '') as u, regexp_extract(coalesce(url, ''), '^[a-z]+://[^/?#]*([^?#]*)', 1) as path from pages)
       select page_id, regexp_extract(u, '^[a-z]+://([^/?#]*)', 1) as host, regexp_matches(lower(path), '\.pdf$') as is_pdf, regexp_matches(u, '[?&](q|query|search)=') as is_search, array_to_string(list_filter(string_split(lower(regexp_replace(path, '[^A-Za-z]+', ' ', 'g')), ' '), lambda w: length(w) >= 3)[1:16], ' ') as terms from u""",
     "page_statistics": r"""with b as (select page_id, regexp_replace(coalesce(html, ''), '<script>.*?</script>', '', 'gs') as h from pages)
       select page_id, len(regexp_extract_all(h, '<p[ >]')) as paragraphs, len(regexp_extract_all(h, '<li[ >]')) as list_items, len(regexp_extract_all(h, '<a[ >]')) as links, len(regexp_extract_all(h, '<h[1-4][ >]')) as headings from b""",
+    "page_density": rf"""with h as (select page_id, regexp_replace(regexp_replace(coalesce(html, ''), '<head>.*?</head>|<script>.*?</script>|<style>.*?</style>|<!--.*?-->|<!DOCTYPE[^>]*>', '', 'gs'), '</?(p|li|ul|div|h1|h2|h3|h4|nav|article|footer|br|body|html)( [^>]*)?>', ' ', 'g') as h, coalesce(html, '') as raw from pages),
+      t as (select page_id, raw, regexp_replace(regexp_replace(h, '<[^>]*>', '', 'g'), '&[a-z]+;', ' ', 'g') as body, array_to_string(list_transform(regexp_extract_all(h, '(?s)<a [^>]*>(.*?)</a>', 1), lambda x: regexp_replace(x, '&[a-z]+;', ' ', 'g')), ' ') as linked, regexp_replace(raw, '(?s)<script>.*?</script>', '', 'g') as b from h),
+      c as (select page_id, len(regexp_extract_all(b, '<p[ >]')) as paragraphs, len(regexp_extract_all(b, '<li[ >]')) as list_items, len(regexp_extract_all(b, '<a[ >]')) as links, len(regexp_extract_all(b, '<h[1-4][ >]')) as headings, {words('body')} as words, {words('linked')} as link_words from t)
+      select *, {half_up('case when words > 0 then link_words / words else 0.0 end')} as link_density from c where links + paragraphs > 0""",
+    "turn_groups": f"""with recursive t as (select conv_id, turn, role, {words('text')} as words, row_number() over (partition by conv_id order by turn) as nr from conversations),
+      g as (select conv_id, nr, turn as first, role, words, 1::bigint as merged, turn as last, 1::bigint as k from t where nr = 1
+        union all select t.conv_id, t.nr, case when j then g.first else t.turn end, t.role, case when j then g.words + t.words else t.words end, case when j then g.merged + 1 else 1 end, t.turn, case when j then g.k else g.k + 1 end
+        from g join (select * from t) t on t.conv_id = g.conv_id and t.nr = g.nr + 1, lateral (select g.role = t.role and (t.turn - g.last) * 800 between 0 and 900 and not (g.words > 260 and t.words > 220) and ((t.turn - g.last) * 800 <= 360 or g.words < 80 or t.words < 80) as j))
+      select conv_id as page_id, first as turn, role, max(words) as words, max(merged) as merged from g group by conv_id, k, first, role""",
+    "query_expansion": f"""with {VOCABULARY}, asked as (select distinct query_id, unnest(list_transform({tokens('query')}, lambda t: t.term)) as term from (values ('q1', 'license fees'), ('q2', 'applying erations'), ('q3', 'stupids')) as v(query_id, query)),
+      pairs as (select query_id, asked.term, vocabulary.term as before from asked, vocabulary where asked.term <> vocabulary.term),
+      stems as (select *, {stem('term')} as s1, {stem('before')} as s2, list_filter(range(1, least(length(term), length(before)) + 1), lambda i: substr(before, i, 1) <> substr(term, i, 1)) as diffs, ({SYNONYMOUS}) as same from pairs),
+      typos as (select *, length(term) >= 7 and length(before) >= 7 and left(term, 1) = left(before, 1) and abs(length(term) - length(before)) <= 1 and s1 <> s2 and not same and (levenshtein(term, before) <= 1 or (length(term) = length(before) and len(diffs) = 2 and diffs[2] = diffs[1] + 1 and substr(before, diffs[1], 1) = substr(term, diffs[2], 1) and substr(before, diffs[2], 1) = substr(term, diffs[1], 1))) as typo from stems)
+      select query_id, term, before as other, 'word_form' as kind from typos where s1 = s2 union select query_id, term, before, 'synonym' from typos where same and not list_contains({_quoted(C.STOP_WORDS)}, term) union select query_id, term, before, 'typo' from typos where typo""",
     "text_sections": f"with {SECTIONS} select page_id, section, words, md5(body) as digest from kept",
     "section_terms": f"with {TERMS} select page_id, section, count(*) as terms, sum(weight) as length from terms group by all",
     "doc_frequency": f"with t as (select distinct doc_id, unnest(list_transform({tokens('text')}, lambda t: t.term)) as term from documents), f as (select term, count(*) as df from t group by term), c as (select count(*) as n from documents) select term, df, {half_up(IDF)} as idf from f, c",

@@ -31,17 +31,14 @@ def _sections(spark: SparkSession, d: str) -> DataFrame:
     return sections.text_sections(_docs(spark, d))
 
 
-def _vocabulary(spark: SparkSession, d: str, most: int | None = C.TOKENS_PER_TEXT) -> DataFrame:
-    """The documents' distinct terms; most: of so many first terms of each, as in the SQL, or of all for None."""
-    return _docs(spark, d).select(F.explode(F.transform(T.tokens(F.col("text"), most), lambda t: t["term"])).alias("term")).distinct()
+def _vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    """The documents' distinct terms."""
+    return T.exploded_tokens(_docs(spark, d), text="text").select("term").distinct()
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
     """Each word of the vocabulary and the one after it among those with its first letter."""
-    from pyspark.sql import Window
-
-    before = F.lag("term").over(Window.partitionBy(F.substring("term", 1, 1)).orderBy("term"))
-    return _vocabulary(spark, d).withColumn("before", before).filter("before is not null")
+    return sections.neighbours(_vocabulary(spark, d), "term")
 
 
 def _searches(spark: SparkSession) -> DataFrame:
@@ -62,12 +59,12 @@ def clean_text(spark, d):
 
 @query
 def hash_text(spark, d):
-    return _docs(spark, d).select("doc_id", T.hash_text(F.substring(T.clean_text(F.col("text")), 1, 280)).alias("hash"))
+    return _docs(spark, d).select("doc_id", T.hash_text(T.clean_text(F.col("text"))).alias("hash"))
 
 
 @query
 def tokenize(spark, d):
-    t = T.tokens(F.col("text"), C.TOKENS_PER_TEXT)
+    t = T.tokens(F.col("text"))
     made = _docs(spark, d).select("doc_id", t.alias("t"))
     return made.select("doc_id", F.size("t").cast("long").alias("tokens"), F.md5(F.array_join(F.transform("t", lambda x: x["term"]), " ")).alias("digest"), F.aggregate("t", F.lit(0.0), lambda a, x: a + x["weight"]).alias("weight"))
 
@@ -143,7 +140,7 @@ def section_terms(spark, d):
 def doc_frequency(spark, d):
     docs = _docs(spark, d)
     n = docs.agg(F.count(F.lit(1)).alias("n"))
-    t = docs.select("doc_id", F.explode(F.array_distinct(F.transform(T.tokens(F.col("text"), C.TOKENS_PER_TEXT), lambda x: x["term"]))).alias("term"))
+    t = docs.select("doc_id", F.explode(F.array_distinct(F.transform(T.tokens(F.col("text")), lambda x: x["term"]))).alias("term"))
     df = t.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return df.join(F.broadcast(n)).select("term", "df", T.half_up(sections.idf(F.col("n"), F.col("df"))).alias("idf"))
 
@@ -161,7 +158,7 @@ def bm25_search(spark, d):
 @query
 def query_expansion(spark, d):
     asked = spark.createDataFrame([("q1", "license fees"), ("q2", "applying erations"), ("q3", "stupids")], "query_id string, query string")
-    return sections.query_expansion(_vocabulary(spark, d, None), asked)
+    return sections.query_expansion(_vocabulary(spark, d), asked)
 
 
 @query

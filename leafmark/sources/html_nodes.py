@@ -1,43 +1,65 @@
-"""Node tables of web pages: one row for each element, with its place, interval, text and links.
+"""Node tables of web pages: one row for each element, with its place, interval, text and numbers of words.
 
 Parsing is the one step that needs Python; it runs inside the tasks, in Arrow batches, page by page.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from leafmark import config as C
+
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 SKIPPED = frozenset("script style noscript svg canvas template title".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table ul".split())
-SCHEMA = "page_id long, pre int, post int, tag string, parent int, level int, text string, link_text string"
+BREAKS = CLOSES_P | frozenset("br dd dt li td th tr".split())  # where lines break
+TEXTS = frozenset("h1 h2 h3 h4 h5 h6 p li pre blockquote table figure".split())  # elements whose text is kept
+WORD = re.compile(C.WORD)
+SCHEMA = "page_id long, pre int, post int, tag string, parent int, level int, text string, words int, link_words int"
 
 
 class Nodes(HTMLParser):
-    """Elements in document order; post is the number of the last element inside."""
+    """Elements in document order; post is the number of the last element inside. Texts are gathered for the elements of
+    TEXTS and the body only, so a page's text isn't repeated for all its ancestors."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.rows: list[list] = []
         self.stack: list[int] = []
-        self.skip = 0
+        self.skip = self.links = 0
+
+    def parse_marked_section(self, i, report=1):
+        """Sections such as <![if x]> are comments up to their end."""
+        end = self.rawdata.find(">", i)
+        return end + 1 if end >= 0 else -1
 
     def handle_starttag(self, tag, attrs):
         if tag in CLOSES_P and self.stack and self.rows[self.stack[-1]][1] == "p" or tag == "li" and self.stack and self.rows[self.stack[-1]][1] == "li":
             self._close(self.rows[self.stack[-1]][1])
+        if tag in BREAKS:
+            self._broken()
         at = len(self.rows)
         self.rows.append([at, tag, self.stack[-1] if self.stack else -1, len(self.stack), [], []])
         if tag not in VOID:
             self.stack.append(at)
             self.skip += tag in SKIPPED
+            self.links += tag == "a"
 
     def handle_endtag(self, tag):
+        if tag in BREAKS:
+            self._broken()
         self._close(tag)
 
+    def _broken(self):
+        for i in self.stack:
+            self.rows[i][4].append("\n")
+            self.rows[i][5].append("\n")
+
     def _close(self, tag):
         if not any(self.rows[i][1] == tag for i in self.stack):
             return
@@ -45,17 +67,18 @@ class Nodes(HTMLParser):
             i = self.stack.pop()
             self.rows[i][0] = len(self.rows) - 1
             self.skip -= self.rows[i][1] in SKIPPED
+            self.links -= self.rows[i][1] == "a"
             if self.rows[i][1] == tag:
                 return
 
     def handle_data(self, data):
         if self.skip:
             return
-        linked = any(self.rows[i][1] == "a" for i in self.stack)
         for i in self.stack:
-            self.rows[i][4].append(data)
-            if linked:
-                self.rows[i][5].append(data)
+            if self.rows[i][1] in TEXTS or self.rows[i][1] == "body":
+                self.rows[i][4].append(data)
+                if self.links:
+                    self.rows[i][5].append(data)
 
     def done(self) -> list[list]:
         self.close()
@@ -73,7 +96,9 @@ def html_nodes(pages: DataFrame) -> DataFrame:
             for page, source in zip(b["page_id"].tolist(), b["html"].tolist()):
                 parser = Nodes()
                 parser.feed(source or "")
-                out += [(page, i, max(i, post), tag, parent, level, " ".join("".join(t).split()), " ".join("".join(a).split())) for i, (post, tag, parent, level, t, a) in enumerate(parser.done())]
-            yield pd.DataFrame(out, columns=["page_id", "pre", "post", "tag", "parent", "level", "text", "link_text"])
+                for i, (post, tag, parent, level, texts, links) in enumerate(parser.done()):
+                    text, linked = "".join(texts), "".join(links)
+                    out.append((page, i, max(i, post), tag, parent, level, " ".join(text.split()) if tag in TEXTS else "", len(WORD.findall(text)), len(WORD.findall(linked))))
+            yield pd.DataFrame(out, columns=["page_id", "pre", "post", "tag", "parent", "level", "text", "words", "link_words"])
 
     return pages.select("page_id", "html").mapInPandas(run, SCHEMA)
