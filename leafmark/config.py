@@ -130,3 +130,8 @@ def bounded(pattern: str) -> str:
     others = [a for a in _alternatives(pattern) if a not in plain]
     parts = ([f"{_LEFT}(?:{'|'.join(plain)}){_RIGHT}"] if plain else []) + ([f"{_EITHER}(?:{'|'.join(others)}){_EITHER}"] if others else [])
     return "|".join(parts)
+
+
+def java_bounds(pattern: str) -> str:
+    """The pattern with {B} as an ASCII word bound of Java."""
+    return pattern.replace("{B}", _EITHER)

@@ -58,6 +58,13 @@ def term_set(c: Column, most: int | None = None) -> Column:
     return F.array_distinct(F.transform(tokens(c, most), lambda t: t["term"]))
 
 
+def repeats(c: Column) -> Column:
+    """How many sentences of 18 to 180 characters begin, in their first 90, as one before; 0 for fewer than four."""
+    parts = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"[.!?][ \n\t\r]+|\n+"), lambda p: F.substring(F.lower(clean_text(p)), 1, 181)), lambda p: (F.length(p) >= 18) & (F.length(p) <= 180))
+    keys = F.transform(parts, lambda p: F.substring(p, 1, 90))
+    return F.when(F.size(keys) >= 4, F.size(keys) - F.size(F.array_distinct(keys))).otherwise(0).cast("long")
+
+
 def hash_text(c: Column) -> Column:
     """31-multiplier signed 32-bit hash over UTF-16 units, its absolute value in base 36."""
     codes = F.transform(F.split(F.coalesce(c, F.lit("")), ""), lambda x: F.ascii(x).cast("long"))

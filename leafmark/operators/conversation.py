@@ -20,6 +20,13 @@ def turn_flags(turns: DataFrame) -> DataFrame:
     return flagged.withColumn("is_complete", F.coalesce(complete, F.lit(False)))
 
 
+def with_last_turns(flagged: DataFrame) -> DataFrame:
+    """Adds last_mine and last_user: the last turns of the assistant and of the user (-1 for none) in each conversation."""
+    conv = Window.partitionBy("page_id")
+    last = lambda role: F.max(F.when(F.col("role") == role, F.col("turn"))).over(conv)
+    return flagged.withColumn("last_mine", last("assistant")).withColumn("last_user", F.coalesce(last("user"), F.lit(-1)))
+
+
 def turn_priorities(turns: DataFrame) -> DataFrame:
     """page_id, turn, superseded, priority (0 to 88) of the assistant's turns: one window by conversation."""
     conv = Window.partitionBy("page_id")

@@ -102,10 +102,8 @@ def search(sections: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def repeated_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """page_id, repeats: sentences of 18 to 180 characters whose first 90 occurred before, if there are four at least."""
-    parts = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"[.!?][ \n\t\r]+|\n+"), lambda p: F.substring(F.lower(T.clean_text(p)), 1, 181)), lambda p: (F.length(p) >= 18) & (F.length(p) <= 180))
-    keys = docs.select(F.col(key).alias("page_id"), F.transform(parts, lambda p: F.substring(p, 1, 90)).alias("keys"))
-    return keys.select("page_id", F.when(F.size("keys") >= 4, F.size("keys") - F.size(F.array_distinct("keys"))).otherwise(0).cast("long").alias("repeats"))
+    """page_id, repeats: how many sentences of a document repeat one before."""
+    return docs.select(F.col(key).alias("page_id"), T.repeats(F.col(text)).alias("repeats"))
 
 
 def signals(sections: DataFrame) -> DataFrame:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from leafmark import config as C
 from leafmark.functions import text as T
-from leafmark.operators import conversation, ocr, pages, sections
-from leafmark.plans.oracle import ORACLE_SQL as ORACLE_SQL
+from leafmark import lexicon as L
+from leafmark.operators import analysis, conversation, ocr, pages, sections
+from leafmark.plans import analysis_sql, oracle
 from leafmark.sources.html_nodes import html_nodes
 from leafmark.sources.tables import table
 from leafmark.streaming import state
@@ -16,6 +17,7 @@ from leafmark.streaming import state
 FLAGSHIP = "bm25_search"
 SEARCHES = [("q1", "apache license version"), ("q2", "general public license"), ("q3", "worthless pathetic loser"), ("q4", "copyright"), ("q5", "thanedble attion")]
 QUERIES: dict = {}
+ORACLE_SQL = oracle.ORACLE_SQL | analysis_sql.ANALYSIS_SQL
 
 
 def query(f):
@@ -287,3 +289,51 @@ def line_geometry(spark, d):
     p = table(spark, d, "part")
     lines = p.select(F.pmod("p_partkey", F.lit(50)).alias("chunk_id"), F.pmod("p_partkey", F.lit(2)).cast("string").alias("variant"), *(F.pmod(F.col("p_partkey") * m, F.lit(n)).cast("double").alias(c) for c, m, n in (("x0", 7, 97), ("y0", 11, 89), ("x1", 13, 211), ("y1", 17, 193))))
     return ocr.line_geometry(lines)
+
+
+def _units(spark, d) -> DataFrame:
+    """Sections of documents as units: page types by document, numbers of blocks made from the words."""
+    s = _sections(spark, d)
+    return s.selectExpr("page_id", "section", *(f"{rule} as {name}" for name, rule in analysis_sql.SECTION_UNITS.items()))
+
+
+def _turns(spark, d) -> DataFrame:
+    """Turns of conversations as units of chat pages."""
+    turns = conversation.with_last_turns(conversation.turn_flags(table(spark, d, "conversations")))
+    return turns.selectExpr("page_id", "turn as section", *(f"{rule} as {name}" for name, rule in analysis_sql.TURN_UNITS.items()))
+
+
+@query
+def unit_flags(spark, d):
+    return analysis.flags(_units(spark, d)).select("page_id", "section", "content_type", *L.FLAGS)
+
+
+@query
+def unit_scores(spark, d):
+    return analysis.scored(_units(spark, d)).selectExpr(*analysis_sql.SCORE_COLUMNS.split(", "))
+
+
+@query
+def unit_ranking(spark, d):
+    return analysis.ranked(analysis.scored(_units(spark, d))).select("page_id", "section", "score", "is_best", "is_important")
+
+
+@query
+def page_recommendation(spark, d):
+    found = analysis.recommendations(analysis.ranked(analysis.scored(_units(spark, d))))
+    return found.select(*analysis_sql.BEST_COLUMNS.split(", "), *(F.col(n).cast("long").alias(n) for n in ("structural", "role_family", "intent_kept", "adapter_family", "negative")))
+
+
+@query
+def chat_unit_flags(spark, d):
+    return analysis.flags(_turns(spark, d)).select("page_id", "section", *L.FLAGS)
+
+
+@query
+def chat_unit_scores(spark, d):
+    return analysis.scored(_turns(spark, d)).selectExpr(*analysis_sql.SCORE_COLUMNS.split(", "))
+
+
+@query
+def chat_recommendation(spark, d):
+    return analysis.recommendations(analysis.ranked(analysis.scored(_turns(spark, d)))).selectExpr(*analysis_sql.BEST_COLUMNS.split(", "))
