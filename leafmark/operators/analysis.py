@@ -100,3 +100,65 @@ def recommendations(placed: DataFrame) -> DataFrame:
     first = candidates.withColumn("order", F.row_number().over(page.orderBy(F.desc("is_best"), F.desc("score"), "section"))).withColumn("second", F.max(F.when(F.col("order") > 1, F.col("score"))).over(page))
     top = first.filter("order = 1 and not quiet").withColumn("has_second", F.col("second").isNotNull()).withColumn("margin", F.coalesce(F.col("score") - F.col("second"), F.lit(28)))
     return through(top, CONFIDENCE_LAYERS).filter("strong or tier <> 'none'")
+
+
+EXPLAIN_LAYERS = [
+    [("kind_label", L.KIND_LABEL), ("reason", L.REASON), ("role_confidence", L.ROLE_CONFIDENCE), ("skipped", L.SKIPPED), ("progress", L.PROGRESS_ROLE)],
+    [("label", L.SIGNAL_LABEL), ("next_able", L.NEXT_ABLE), ("strong_content", L.STRONG_CONTENT), ("progress_at", L.PROGRESS_AT)],
+    [("askable", L.ASKABLE)],
+]
+
+
+def explained(placed: DataFrame) -> DataFrame:
+    """The ranked units with kind_label, label (by signals), reason, role_confidence, progress (their role in the page's
+    progression), and whether they may be a next section (next_able) and answer a query (askable)."""
+    return through(placed, EXPLAIN_LAYERS)
+
+
+def important_units(placed: DataFrame) -> DataFrame:
+    """page_id, section, place: the best unit and the highest important ones, 9 in all (12 of a chat), in page order."""
+    page = Window.partitionBy("page_id")
+    chosen = placed.filter("(is_important or is_best) and not quiet").withColumn("k", F.row_number().over(page.orderBy(F.desc("is_best"), F.desc("score"), "section")))
+    kept = chosen.filter("k <= case when page_type = 'chat' then 12 else 9 end")
+    return kept.select("page_id", "section", F.row_number().over(page.orderBy("section")).cast("long").alias("place"))
+
+
+def skip_targets(placed: DataFrame, important: DataFrame, intro: int = 420, height: int = 800) -> DataFrame:
+    """page_id, target: where to go past an introduction: the first important unit further down than intro, else the
+    first that isn't the page's first, else the first; without one the page's second unit. Units lie height apart."""
+    page = Window.partitionBy("page_id")
+    listed = placed.select("page_id", "section", "index", F.min("section").over(page).alias("top")) if "index" in placed.columns else placed.select("page_id", "section", F.row_number().over(page.orderBy("section")).alias("index"), F.min("section").over(page).alias("top"))
+    joined = listed.join(important.select("page_id", "section", F.lit(True).alias("important")), ["page_id", "section"], "left")
+    low = F.min(F.when(F.col("important") & ((F.col("section") - F.col("top")) * height > intro), F.col("section")))
+    later = F.min(F.when(F.col("important") & (F.col("section") > 0), F.col("section")))
+    second = F.coalesce(F.min(F.when(F.col("index") == 2, F.col("section"))), F.min("section"))
+    return joined.groupBy("page_id").agg(F.coalesce(low, later, F.min(F.when(F.col("important"), F.col("section"))), second).alias("target"))
+
+
+def next_units(known: DataFrame, similar: DataFrame) -> DataFrame:
+    """page_id, section, utility: from the page's first unit on, the unit of the greatest utility (usefulness, the
+    progression of roles, distance, likeness to the current one), if that is 8 or more. similar: page_id, section and
+    similarity, to the first unit."""
+    page = Window.partitionBy("page_id")
+    order = page.orderBy("section")
+    placed = known.withColumn("nr", F.row_number().over(order)).withColumn("now_at", F.first("progress_at").over(order)).withColumn("now_role", F.first("progress").over(order)).withColumn("gap", F.col("nr") - 1)
+    after = placed.filter("nr > 1 and next_able and not quiet").join(similar, ["page_id", "section"], "left")
+    utility = F.expr(f"floor(({L.NEXT_USEFUL} + {L.PROGRESS_BONUS} + {L.NEXT_DISTANCE} - least(32e0, 26e0 * coalesce(similarity, 0e0))) * 1e3 + 5e-1) / 1e3")
+    best = after.withColumn("utility", utility).withColumn("k", F.row_number().over(page.orderBy(F.desc("utility"), "section"))).filter("k = 1 and utility >= 8")
+    return best.select("page_id", "section", "utility")
+
+
+def first_similarity(sections: DataFrame) -> DataFrame:
+    """page_id, section, similarity: Jaccard index of the terms of each section and of its page's first one."""
+    sets = sections.select("page_id", F.col("section").cast("bigint").alias("section"), T.term_set(F.col("body")).alias("terms"))
+    first = F.first("terms").over(Window.partitionBy("page_id").orderBy("section"))
+    union = F.size(F.array_union("terms", "first"))
+    return sets.withColumn("first", first).select("page_id", "section", F.when(union > 0, F.size(F.array_intersect("terms", "first")) / union).otherwise(0.0).alias("similarity"))
+
+
+def status_records(placed: DataFrame, best: DataFrame) -> DataFrame:
+    """One flat record for each page: its type, units, important ones, words, minutes, best unit, tier and confidence."""
+    pages = placed.groupBy("page_id").agg(F.max("page_type").alias("page_type"), F.count(F.lit(1)).alias("units"), F.sum(F.col("is_important").cast("long")).alias("important"), F.sum("words").alias("words"))
+    found = best.select("page_id", F.col("section").alias("best_section"), "kind", "confidence", "tier", "strong")
+    joined = pages.join(found, "page_id", "left")
+    return joined.select("page_id", "page_type", "units", "important", "words", F.greatest(F.lit(1), F.ceil(F.col("words") / C.READING_WORDS_PER_MINUTE)).cast("long").alias("minutes"), F.when(F.col("strong"), F.col("best_section")).alias("best_section"), F.coalesce("kind", F.lit("")).alias("kind"), F.coalesce("confidence", F.lit(0)).alias("confidence"), F.coalesce("tier", F.lit("none")).alias("tier"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from leafmark import config as C
 from leafmark import lexicon as L
 from leafmark.operators import analysis as A
-from leafmark.plans.oracle import SECTIONS, TURNS, _lit, clean, words
+from leafmark.plans.oracle import SECTIONS, TURNS, _lit, clean, tokens, words
 
 
 def _found(where: str, pattern: str) -> str:
@@ -77,3 +77,16 @@ ANALYSIS_SQL = {
     "chat_unit_scores": f"with {CHAT_ANALYSIS} select {SCORE_COLUMNS} from scored_2",
     "chat_recommendation": f"with {CHAT_ANALYSIS}, {RANKED}, {BEST} select {BEST_COLUMNS} from top_{len(A.CONFIDENCE_LAYERS) - 1} where strong or tier <> 'none'",
 }
+
+EXPLAINED = _layers("placed", A.EXPLAIN_LAYERS)
+IMPORTANT = "i1 as (select *, row_number() over (partition by page_id order by is_best desc, score desc, section) as k from placed where (is_important or is_best) and not quiet), important as (select page_id, section, row_number() over (partition by page_id order by section) as place from i1 where k <= case when page_type = 'chat' then 12 else 9 end)"
+_LAST = f"placed_{len(A.EXPLAIN_LAYERS) - 1}"
+_TERMS_OF = f"sets as (select page_id, section, list_distinct(list_transform({tokens('body')}, lambda t: t.term)) as terms from kept), likeness as (select page_id, section, case when len(list_distinct(list_concat(terms, f))) > 0 then len(list_intersect(terms, f)) / len(list_distinct(list_concat(terms, f))) else 0.0 end as similarity from (select *, first_value(terms) over (partition by page_id order by section) as f from sets))"
+ANALYSIS_SQL |= {
+    "unit_labels": f"with {DOC_ANALYSIS}, {RANKED}, {EXPLAINED} select page_id, section, kind_label, label, reason, role_confidence, progress, next_able, askable from {_LAST}",
+    "chat_unit_labels": f"with {CHAT_ANALYSIS}, {RANKED}, {EXPLAINED} select page_id, section, kind_label, label, role_confidence, progress, next_able, askable from {_LAST}",
+    "important_units": f"with {DOC_ANALYSIS}, {RANKED}, {IMPORTANT} select * from important",
+    "skip_targets": f"with {DOC_ANALYSIS}, {RANKED}, {IMPORTANT}, l as (select p.page_id, p.section, row_number() over (partition by p.page_id order by p.section) as nr, min(p.section) over (partition by p.page_id) as top, i.place is not null as imp from placed p left join important i using (page_id, section)) select page_id, coalesce(min(case when imp and (section - top) * 800 > 420 then section end), min(case when imp and section > 0 then section end), min(case when imp then section end), min(case when nr = 2 then section end), min(section)) as target from l group by page_id",
+    "next_units": f"with {DOC_ANALYSIS}, {RANKED}, {EXPLAINED}, {_TERMS_OF}, n as (select *, row_number() over o as nr, first_value(progress_at) over o as now_at, first_value(progress) over o as now_role, row_number() over o - 1 as gap from {_LAST} window o as (partition by page_id order by section)), u as (select page_id, section, floor(({L.NEXT_USEFUL} + {L.PROGRESS_BONUS} + {L.NEXT_DISTANCE} - least(32e0, 26e0 * coalesce(similarity, 0e0))) * 1e3 + 5e-1) / 1e3 as utility from n left join likeness using (page_id, section) where nr > 1 and next_able and not quiet) select page_id, section, utility from u where utility >= 8 qualify row_number() over (partition by page_id order by utility desc, section) = 1",
+    "status_records": f"with {DOC_ANALYSIS}, {RANKED}, {BEST}, p as (select page_id, max(page_type) as page_type, count(*) as units, sum(is_important::bigint)::bigint as important, sum(words)::bigint as words from placed group by page_id), b as (select page_id, section as best_section, kind, confidence, tier, strong from top_{len(A.CONFIDENCE_LAYERS) - 1} where strong or tier <> 'none') select page_id, page_type, units, important, words, greatest(1, ceil(words / {C.READING_WORDS_PER_MINUTE}))::bigint as minutes, case when strong then best_section end as best_section, coalesce(kind, '') as kind, coalesce(confidence, 0) as confidence, coalesce(tier, 'none') as tier from p left join b using (page_id)",
+}

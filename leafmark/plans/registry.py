@@ -337,3 +337,39 @@ def chat_unit_scores(spark, d):
 @query
 def chat_recommendation(spark, d):
     return analysis.recommendations(analysis.ranked(analysis.scored(_turns(spark, d)))).selectExpr(*analysis_sql.BEST_COLUMNS.split(", "))
+
+
+def _placed(spark, d) -> DataFrame:
+    return analysis.ranked(analysis.scored(_units(spark, d)))
+
+
+@query
+def unit_labels(spark, d):
+    return analysis.explained(_placed(spark, d)).select("page_id", "section", "kind_label", "label", "reason", "role_confidence", "progress", "next_able", "askable")
+
+
+@query
+def chat_unit_labels(spark, d):
+    return analysis.explained(analysis.ranked(analysis.scored(_turns(spark, d)))).select("page_id", "section", "kind_label", "label", "role_confidence", "progress", "next_able", "askable")
+
+
+@query
+def important_units(spark, d):
+    return analysis.important_units(_placed(spark, d))
+
+
+@query
+def skip_targets(spark, d):
+    placed = _placed(spark, d)
+    return analysis.skip_targets(placed, analysis.important_units(placed))
+
+
+@query
+def next_units(spark, d):
+    return analysis.next_units(analysis.explained(_placed(spark, d)), analysis.first_similarity(_sections(spark, d)))
+
+
+@query
+def status_records(spark, d):
+    placed = _placed(spark, d)
+    return analysis.status_records(placed, analysis.recommendations(placed))
