@@ -43,6 +43,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+FEW_IDS = 1_000_000  # keys that are broadcast, some 20 MB; more of them are joined by a shuffle
+
+
+def few(keys: DataFrame) -> DataFrame:
+    """The keys, stored, and marked for broadcast where they are at most FEW_IDS."""
+    keys = stored(keys, "keys")
+    return F.broadcast(keys) if keys.count() <= FEW_IDS else keys
+
+
+def without(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """docs without the rows whose key is in gone; rows without a key stay. Texts aren't shuffled for a few keys."""
+    return docs.join(few(gone.select(key).distinct()), key, "left_anti").select(docs.columns)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmark.llm.common import bounded_batches, mixed, read_table, stored, texts_of, window_hashes
+from leafmark.llm.common import bounded_batches, mixed, read_table, stored, texts_of, window_hashes, without
 
 WORDS, LITERALS = 8, 5
 LEAST = 3
@@ -203,5 +203,4 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that hold a benchmark item go; those without a key stay."""
-    found = contaminated(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    return without(docs, contaminated(docs, read_table(spark, sf_dir, "benchmark")), "doc_id")

@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmark.llm.common import bounded_batches, hashed_share, mixed, read_table, shingle_set, stored, texts_of
+from leafmark.llm.common import FEW_IDS, bounded_batches, few, hashed_share, mixed, read_table, shingle_set, stored, texts_of, without
 
 WORDS, THRESHOLD = 5, 75  # shingle length; the least Jaccard index in hundredths
 HUB_ROUNDS = 3
@@ -44,7 +44,6 @@ MOST_RANGES = 1 << 16
 HOT_SAMPLE, HOT_SHARE, HOT_LEAST = 2000, 0.02, 20  # documents; a hot shingle is in this share and number of them
 BLOCK_SHINGLES, MOST_BLOCK, ROW_SHINGLES = 400_000, 4_000_000, 64  # of a block; a block's rows have as many on average
 PASS_SHINGLES = 4_000_000
-FEW_IDS = 300_000  # documents whose numbers are broadcast
 
 
 def least_overlap(a, b, percent: int):
@@ -452,12 +451,10 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group the document with the smallest doc_id stays; documents without words stay. Of rows
     with one doc_id the least (by all columns) stays, and rows without a doc_id, which no group can name, all stay."""
-    kept = jaccard_groups(docs).filter("component_id = doc_id").select("doc_id").distinct()
-    keyed = docs.filter("doc_id is not null")
-    many = keyed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("doc_id")
-    one = keyed.join(kept, "doc_id", "left_semi")
-    out = one.select(docs.columns)
-    if many.head(1):  # repeated keys: only those rows are grouped whole
-        repeated = one.join(many, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*")
-        out = one.join(many, "doc_id", "left_anti").select(docs.columns).unionByName(repeated)
-    return out.unionByName(docs.filter("doc_id is null"))
+    one = without(docs, jaccard_groups(docs).filter("component_id <> doc_id"), "doc_id")
+    many = one.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("doc_id")
+    if not many.head(1):
+        return one
+    many = few(many)  # repeated keys: only their rows are grouped whole
+    repeated = one.join(many, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*")
+    return one.join(many, "doc_id", "left_anti").select(docs.columns).unionByName(repeated)
