@@ -1,10 +1,13 @@
 """License scan: a trained paragraph classifier on word n-grams, in DataFrame operations only.
 
 Sparse multinomial logistic regression on all word n-grams (1 to 3) of a candidate paragraph tells licence families
-apart; an unknown class and a calibrated least probability keep doubtful paragraphs `unknown`. A prediction is confirmed
-if a share CONFIRM of the paragraph's n-grams that hold a licence word (STEMS) occurs in the family's templates. The
-model learns from the templates below and from variants of them, on the driver, and never sees the corpus; its
-vocabulary is bounded by the templates, so it is broadcast; n-grams that it doesn't hold have no weight.
+apart; an unknown class and a least probability keep doubtful paragraphs `unknown`. Probabilities are calibrated by a
+temperature, and the least one is chosen, on templates that the judging model hasn't seen (FOLDS of whole templates);
+below it a prediction stands only if it is confirmed.
+A prediction is confirmed if one template of the family has a share CONFIRM of the n-grams with a licence word (STEMS),
+of the template's own or of the paragraph's, whichever are fewer. The model learns from the templates below, variants of
+them and lines of prose, on the driver, and never sees the corpus; its vocabulary is bounded by the templates, so it is
+broadcast; n-grams that it doesn't hold have no weight.
 
 A paragraph ends at a blank line and at a line's end; but a line break inside an unfinished sentence, before a small
 letter or after WRAPPED characters, is a space. Paragraphs are numbered from 0, blank lines included. Candidates are
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from leafmark.llm.common import read_table
 
 UNKNOWN = "unknown"
-CONFIRM = 0.6
+CONFIRM, LIKELY = 0.6, 0.4  # share of n-grams; probability that a confirmed prediction needs
 MOST_WORDS = 3
 
 # Stems of legal words, and short notices of well-known licences.
@@ -87,27 +90,36 @@ def _variants(text: str, rng: np.random.Generator) -> list[str]:
     return out
 
 
+LINES = [(f, t) for f in FAMILIES for t in TEMPLATES[f]]  # templates by number
+FOLDS = 4
+
+
 @lru_cache
-def model() -> tuple[dict[str, tuple[list[float], list[int]]], list[float], float]:
-    """For each n-gram of the vocabulary its weights and whether each family's templates have it; biases; the least probability."""
+def model() -> tuple[dict[str, tuple[list[float], list[int]]], list[float], float, float]:
+    """For each n-gram of the vocabulary its weights and whether each template has it; biases; the temperature; the least
+    probability."""
     rng = np.random.default_rng(17)
-    rows = [(ngrams(tokens(v)), FAMILIES.index(f)) for f in FAMILIES for t in TEMPLATES[f] for v in _variants(t, rng)]
-    vocabulary = sorted({g for ts in TEMPLATES.values() for t in ts for g in ngrams(tokens(t))} | set(PROSE))
+    made = [(ngrams(tokens(v)), FAMILIES.index(f), i % FOLDS) for i, (f, t) in enumerate(LINES) for v in _variants(t, rng)]
+    made += [(ngrams([str(w) for w in rng.choice(PROSE, int(rng.integers(5, 40)))]), FAMILIES.index(UNKNOWN), i % FOLDS) for i in range(60)]
+    vocabulary = sorted({g for _, t in LINES for g in ngrams(tokens(t))} | set(PROSE))
     at = {g: i for i, g in enumerate(vocabulary)}
-    rows = [(own, k) for gs, k in rows if (own := [g for g in gs if g in at])]
+    rows = [(own, k, fold) for gs, k, fold in made if (own := [g for g in gs if g in at])]
     x = np.zeros((len(rows), len(vocabulary)), np.float32)
-    for i, (gs, _) in enumerate(rows):
+    for i, (gs, _, _) in enumerate(rows):
         x[i, [at[g] for g in gs]] = 1 / math.sqrt(len(gs))
-    y = np.array([k for _, k in rows])
-    test = np.arange(len(rows)) % 4 == 3
-    w, b = _fit(x[~test], y[~test])
-    p = _softmax(x[test] @ w + b)
-    right, best = p.argmax(1) == y[test], p.max(1)
-    # the least probability above which nine of ten held-out predictions are right
+    y, fold = np.array([k for _, k, _ in rows]), np.array([f for _, _, f in rows])
+    judged = np.zeros((len(rows), len(FAMILIES)))
+    for f in range(FOLDS):
+        w, b = _fit(x[fold != f], y[fold != f], rounds=150)
+        judged[fold == f] = x[fold == f] @ w + b
+    temperature = min(np.exp(np.linspace(-3, 2, 101)), key=lambda t: -np.log(np.maximum(_softmax(judged / t)[np.arange(len(y)), y], 1e-12)).mean())
+    p = _softmax(judged / temperature)
+    right, best = p.argmax(1) == y, p.max(1)
+    # the least probability above which nine of ten predictions on unseen templates are right
     least = next((t for t in np.arange(0.2, 0.95, 0.05) if right[best >= t].mean() >= 0.9), 0.95)
     w, b = _fit(x, y)
-    own = {f: {g for t in TEMPLATES[f] for g in ngrams(tokens(t))} for f in FAMILIES}
-    return {g: ([round(float(v), 6) for v in w[i]], [int(g in own[f]) for f in FAMILIES]) for g, i in at.items()}, [round(float(v), 6) for v in b], round(float(least), 2)
+    own = [set(ngrams(tokens(t))) for _, t in LINES]
+    return {g: ([round(float(v), 6) for v in w[i]], [int(g in o) for o in own]) for g, i in at.items()}, [round(float(v), 6) for v in b], round(float(temperature), 4), round(float(least), 2)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -136,7 +148,7 @@ def has_stem(text: Column) -> Column:
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of doc_id, paragraph (its number from 0), family, probability, template_share and confirmed."""
     spark = docs.sparkSession
-    table, bias, least = model()
+    table, bias, temperature, least = model()
     vocabulary = spark.createDataFrame([(g, w, t) for g, (w, t) in sorted(table.items())], "gram string, w array<double>, t array<int>")
     lines = docs.filter(has_stem(F.col(text))).select(F.col(key).alias("doc_id"), F.posexplode(F.split(F.regexp_replace(text, BREAK, " "), "\n")).alias("paragraph", "line")).filter(has_stem(F.col("line"))).dropDuplicates(["doc_id", "paragraph", "line"])
     plain = F.trim(F.regexp_replace(F.lower("line"), "[^a-z0-9]+", " "))
@@ -151,14 +163,16 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     met = featured.join(F.broadcast(vocabulary), "gram", "left")
     k = len(FAMILIES)
     known = F.col("w").isNotNull().cast("int")
-    sums = met.groupBy("doc_id", "paragraph", "line").agg(F.greatest(F.lit(1), F.sum(known)).alias("n"), F.greatest(F.lit(1), F.sum("legal")).alias("m"), *(F.coalesce(F.sum(F.col("w")[i]), F.lit(0.0)).alias(f"w{i}") for i in range(k)), *(F.coalesce(F.sum(F.col("t")[i] * F.col("legal")), F.lit(0)).alias(f"t{i}") for i in range(k)))
-    logits = sums.select("doc_id", "paragraph", F.array(*(F.struct((F.col(f"w{i}") / F.sqrt("n") + bias[i]).alias("z"), F.lit(-i).alias("k"), F.lit(f).alias("family"), (F.col(f"t{i}") / F.col("m")).alias("share")) for i, f in enumerate(FAMILIES))).alias("z"))
+    sums = met.groupBy("doc_id", "paragraph", "line").agg(F.greatest(F.lit(1), F.sum(known)).alias("n"), F.greatest(F.lit(1), F.sum("legal")).alias("m"), *(F.coalesce(F.sum(F.col("w")[i]), F.lit(0.0)).alias(f"w{i}") for i in range(k)), *(F.coalesce(F.sum(F.col("t")[i] * F.col("legal")), F.lit(0)).alias(f"t{i}") for i in range(len(LINES))))
+    sizes = [max(1, sum(is_legal(g) for g in ngrams(tokens(t)))) for _, t in LINES]
+    share = lambda f: F.greatest(F.lit(0.0), *(F.col(f"t{j}") / F.least(F.col("m"), F.lit(sizes[j])) for j, (g, _) in enumerate(LINES) if g == f))
+    logits = sums.select("doc_id", "paragraph", F.array(*(F.struct(((F.col(f"w{i}") / F.sqrt("n") + bias[i]) / temperature).alias("z"), F.lit(-i).alias("k"), F.lit(f).alias("family"), share(f).alias("share")) for i, f in enumerate(FAMILIES))).alias("z"))
     best = F.array_max("z")
     total = F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x["z"] - best["z"]))
     scored = logits.select("doc_id", "paragraph", best.alias("best"), (1 / total).alias("p"))
-    sure = (F.col("p") >= least) & (F.col("best.family") != UNKNOWN)
-    share = F.when(sure, F.col("best.share")).otherwise(0.0)
-    return scored.select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), F.when(sure, F.col("best.family")).otherwise(UNKNOWN).alias("family"), F.round("p", 6).alias("probability"), F.round(share, 6).alias("template_share"), (share >= CONFIRM).alias("confirmed"))
+    sure = (F.col("best.family") != UNKNOWN) & ((F.col("p") >= least) | (F.col("p") >= LIKELY) & (F.col("best.share") >= CONFIRM))
+    agreed = F.when(sure, F.col("best.share")).otherwise(0.0)
+    return scored.select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), F.when(sure, F.col("best.family")).otherwise(UNKNOWN).alias("family"), F.round("p", 6).alias("probability"), F.round(agreed, 6).alias("template_share"), (agreed >= CONFIRM).alias("confirmed"))
 
 
 def _any(tests: list[Column]) -> Column:

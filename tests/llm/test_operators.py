@@ -194,13 +194,22 @@ def test_license_scan_is_native_and_finds_families(spark, docs):
 
 
 def test_license_scores_equal_brute_force(spark):
-    table, bias, _ = license_scan.model()
-    for line in (x for v in license_scan.TEMPLATES.values() for x in v):
+    table, bias, temperature, least = license_scan.model()
+    legal = [{g for g in license_scan.ngrams(license_scan.tokens(t)) if license_scan.is_legal(g)} for _, t in license_scan.LINES]
+    lines = [t for _, t in license_scan.LINES] + ["A license for the museum and its garden", "text Licensed under the Apache License and the MIT License text"]
+    found = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    assert len(found) == len(lines)
+    for i, line in enumerate(lines):
         grams = license_scan.ngrams(license_scan.tokens(line))
-        z = np.array(bias) + sum((np.array(table[g][0]) for g in grams if g in table), np.zeros(len(bias))) / math.sqrt(max(1, len(grams)))
+        known = [g for g in grams if g in table]
+        z = (np.array(bias) + sum((np.array(table[g][0]) for g in known), np.zeros(len(bias))) / math.sqrt(max(1, len(known)))) / temperature
         p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
-        rows = license_scan.scan(spark.createDataFrame([(1, line)], "doc_id long, text string")).collect() if line.startswith(("SPDX", "Released")) else []
-        assert all(math.isclose(r.probability, p.max(), abs_tol=1e-5) for r in rows)
+        family, own = license_scan.FAMILIES[int(p.argmax())], {g for g in grams if license_scan.is_legal(g)}
+        share = max(len(own & t) / max(1, min(len(own), len(t))) for (f, _), t in zip(license_scan.LINES, legal) if f == family)
+        if family == license_scan.UNKNOWN or p.max() < least and not (p.max() >= license_scan.LIKELY and share >= license_scan.CONFIRM):
+            family, share = license_scan.UNKNOWN, 0
+        assert math.isclose(found[i].probability, p.max(), abs_tol=1e-5) and found[i].family == family
+        assert math.isclose(found[i].template_share, share, abs_tol=1e-5) and found[i].confirmed == (share >= license_scan.CONFIRM)
 
 
 def test_quality_tells_junk_from_prose(spark):
