@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet to the shared folder
 and read again as the next stage's docs. All but the last return the columns of documents.
+
+Handling of special cases, by stage: toxicity keeps null and empty texts and rows without a key; language ID drops
+texts without a letter, null ones among them; the Jaccard join keeps documents without words and rows without a key, and
+of rows with one doc_id the least; decontamination keeps null texts and rows without a key; encoding gives null texts no
+ids. Extra columns of any name go through all stages but the text, ids, n_tokens and decoded of the last. An empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ STAGES = [
     ("benchmark decontamination", keep_uncontaminated),
     ("SentencePiece encoding and decoding", encode_stage),
 ]
-ORACLE_SQL = None  # trained models and a tokenizer are no SQL; tests hold the stages against brute force
+ORACLE_SQL = None  # trained models and a tokenizer are no SQL; tests hold each operator against brute force, libraries or held-out rows
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
