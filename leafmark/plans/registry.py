@@ -11,7 +11,7 @@ from leafmark import lexicon as L
 from leafmark.operators import analysis, conversation, ocr, pages, sections
 from leafmark.plans import analysis_sql, oracle
 from leafmark.sources.html_nodes import html_nodes
-from leafmark.sources.tables import table
+from leafmark.sources.tables import spread, table
 from leafmark.streaming import state
 
 FLAGSHIP = "bm25_search"
@@ -26,7 +26,7 @@ def query(f):
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"))
 
 
 def _sections(spark: SparkSession, d: str) -> DataFrame:
@@ -108,22 +108,22 @@ def url_features(spark, d):
 
 @query
 def page_statistics(spark, d):
-    return pages.page_statistics(html_nodes(table(spark, d, "pages"))).select("page_id", "paragraphs", "list_items", "links", "headings")
+    return pages.page_statistics(html_nodes(spread(table(spark, d, "pages")))).select("page_id", "paragraphs", "list_items", "links", "headings")
 
 
 @query
 def page_density(spark, d):
-    return pages.page_statistics(html_nodes(table(spark, d, "pages")))
+    return pages.page_statistics(html_nodes(spread(table(spark, d, "pages"))))
 
 
 @query
 def page_blocks(spark, d):
-    return pages.blocks(html_nodes(table(spark, d, "pages"))).select("page_id", "pos", "tag", "words")
+    return pages.blocks(html_nodes(spread(table(spark, d, "pages")))).select("page_id", "pos", "tag", "words")
 
 
 @query
 def heading_sections(spark, d):
-    nodes = html_nodes(table(spark, d, "pages"))
+    nodes = html_nodes(spread(table(spark, d, "pages")))
     return pages.heading_sections(pages.headings(nodes), pages.blocks(nodes))
 
 

@@ -17,3 +17,13 @@ def file_bytes(spark: SparkSession, path: str, most: int = MOST_BYTES) -> DataFr
     files = spark.read.format("binaryFile").load(path)
     error = F.when(F.col("length") == 0, "empty").when(F.col("length") > most, "too large")
     return files.select("path", "length", F.when(error.isNull(), F.base64("content")).alias("body"), error.alias("error"))
+
+
+SMALL = 1 << 30  # bytes
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table dealt to all cores: its file may be one row group, which one task reads. Larger ones, whose texts
+    shouldn't be shuffled for that, stay as they are."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL else df
