@@ -5,6 +5,7 @@ from __future__ import annotations
 from leafmark.llm.decontamination import op2_decontamination
 from leafmark.llm.fingerprints import op8_fingerprints
 from leafmark.llm.html_extraction import op6_html_extraction
+from leafmark.llm.importance import op11_importance
 from leafmark.llm.jaccard_join import op5_jaccard_join
 from leafmark.llm.language_id import op3_language_id
 from leafmark.llm.license_scan import op1_license_scan
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_token_files": op10_token_files,
+    "op11_importance": op11_importance,
 }
 
 ORACLE_SQL: dict[str, str] = {}
