@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from leafmark.llm.alignment import op12_alignment
 from leafmark.llm.decontamination import op2_decontamination
 from leafmark.llm.fingerprints import op8_fingerprints
 from leafmark.llm.html_extraction import op6_html_extraction
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_token_files": op10_token_files,
     "op11_importance": op11_importance,
+    "op12_alignment": op12_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {}
