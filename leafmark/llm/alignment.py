@@ -82,7 +82,7 @@ class Aligner:
         self.b_bytes = [bytes([int(self.b.id_to_piece(i)[1:-1], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode() for i in range(n)]
         self.a_size, self.b_size = (np.array([len(x) for x in y], np.int64) for y in (self.a_bytes, self.b_bytes))
         plain = [self.b.id_to_piece(i) for i in range(n) if not self.b.is_control(i)]
-        self.parted = not any("▁" in p.lstrip("▁") for p in plain) and not any(b" " in x.lstrip(b" ") for x in self.a_bytes)
+        self.parted = not any("▁" in p.lstrip("▁") for p in plain) and not any(" " in x.decode(errors="replace").lstrip() for x in self.a_bytes)
         self.uncut = re.compile(r"\A\s|\s\Z|\s\s|\A\Z|[\x00\x1c-\x1f▁]")
 
     def learn(self, new: list[str], words: Words, keep: bool = True) -> list[int]:
