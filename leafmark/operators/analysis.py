@@ -73,7 +73,7 @@ def flags(units: DataFrame) -> DataFrame:
     read = read.withColumn("page_label", F.lower("page_label")).withColumn("class_trail", F.lower("class_trail"))
     found = [F.col(where).rlike(C.bounded(p)).alias(n) for n, where, p in L.PATTERNS] + [F.col("joint").rlike(C.bounded(p)).alias(f"f_{n}") for n, p, _ in C.FLUFF] + [F.lower("ocr_quality").rlike(C.bounded(L.LOW_OCR)).alias("low_ocr")]
     found += [F.col(where).rlike(C.java_bounds(p)).alias(n) for n, where, p in L.FREE_PATTERNS] + [F.regexp_count(where, F.lit(C.java_bounds(p))).cast("long").alias(n) for n, where, p in L.COUNTED]
-    return through(read.select("*", *found).drop("text", "head", "low", "joint", "body", "start_180", "start_800", "start_900"), FLAG_LAYERS)
+    return through(read.select("*", *found).drop("text", "head", "low", "joint", "start_180", "start_800", "start_900"), FLAG_LAYERS)
 
 
 def scored(units: DataFrame) -> DataFrame:

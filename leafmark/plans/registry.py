@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from leafmark import config as C
 from leafmark.functions import text as T
 from leafmark import lexicon as L
-from leafmark.operators import analysis, conversation, ocr, pages, sections
-from leafmark.plans import analysis_sql, oracle
+from leafmark.operators import analysis, conversation, ocr, pages, sections, topics
+from leafmark.plans import analysis_sql, oracle, topics_sql
 from leafmark.sources.html_nodes import html_nodes
 from leafmark.sources.tables import spread, table
 from leafmark.streaming import state
@@ -17,7 +17,7 @@ from leafmark.streaming import state
 FLAGSHIP = "bm25_search"
 SEARCHES = [("q1", "apache license version"), ("q2", "general public license"), ("q3", "worthless pathetic loser"), ("q4", "copyright"), ("q5", "thanedble attion")]
 QUERIES: dict = {}
-ORACLE_SQL = oracle.ORACLE_SQL | analysis_sql.ANALYSIS_SQL
+ORACLE_SQL = oracle.ORACLE_SQL | analysis_sql.ANALYSIS_SQL | topics_sql.TOPICS_SQL
 
 
 def query(f):
@@ -373,3 +373,46 @@ def next_units(spark, d):
 def status_records(spark, d):
     placed = _placed(spark, d)
     return analysis.status_records(placed, analysis.recommendations(placed))
+
+
+def _titled(rows: DataFrame) -> DataFrame:
+    """page_id, title and url of texts: their first eight words, and no address."""
+    return rows.select("page_id", F.regexp_extract(T.clean_text(F.col("text")), topics_sql.FIRST_WORDS, 0).alias("title"), F.lit("").alias("url"))
+
+
+def _doc_sources(spark, d) -> DataFrame:
+    return _titled(table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), "text"))
+
+
+def _chat_sources(spark, d) -> DataFrame:
+    return _titled(table(spark, d, "conversations").filter("turn = 0").select(F.col("conv_id").alias("page_id"), "text"))
+
+
+def _lifted(spark, d) -> DataFrame:
+    return topics.lifted(_units(spark, d), _doc_sources(spark, d))
+
+
+@query
+def theme_terms(spark, d):
+    return topics.theme_terms(_units(spark, d), _doc_sources(spark, d))
+
+
+@query
+def chat_theme_terms(spark, d):
+    return topics.theme_terms(_turns(spark, d), _chat_sources(spark, d))
+
+
+@query
+def theme_boosts(spark, d):
+    return _lifted(spark, d).select("page_id", "section", "theme_boost", "intent_match", F.array_join("matched", ",").alias("matched"), "score", "useful", "importance")
+
+
+@query
+def document_salience(spark, d):
+    return topics.salience(_lifted(spark, d), _doc_sources(spark, d))
+
+
+@query
+def topical_recommendation(spark, d):
+    units = topics.topical(_lifted(spark, d), _doc_sources(spark, d))
+    return analysis.recommendations(analysis.ranked(units)).select(*analysis_sql.BEST_COLUMNS.split(", "), F.col("document_family").cast("long").alias("document_family"), F.col("intent_family").cast("long").alias("intent_family"))
