@@ -5,12 +5,15 @@ form groups, of which one document is kept.
    first DEPTHS[level] of a tree name its region, the next ones order the region.
 2. All trees' labels are sorted. Neighbours in a region have the longest common prefixes: they are the first candidates, so
    that a group of thousands of near copies is linked by a chain, not by all its pairs.
-3. Candidates pass a length filter and a sketch (one bit of each min-hash; six standard deviations are allowed), and are
-   confirmed on the whole sets of both texts. Links form components.
-4. Regions that still hold several components pair their documents across components, if they are of at most
-   REGION_DOCS documents. The documents of denser regions go to the next level, with longer labels and more trees, so that
-   depth adapts to each region; at the last level regions of any size pair all, in blocks.
-5. Each level has so many trees that a link of just the threshold has no common region in any with a chance of at most MISS.
+3. Candidates pass a length filter and a sketch (one bit of each min-hash; DEVIATIONS are allowed), and are confirmed on the
+   whole sets of both texts. Links form components.
+4. In regions that still hold several components each document meets a hub, its region's first or last document, the one
+   of its trees that is likest to it: copies of one text, however many, are linked through it.
+5. What is left over meets the rest of its region with its whole set, if at most REGION_DOCS documents are left over there:
+   blocks of sets give all their intersections at once, and only links between components leave the task. The documents of
+   denser regions go to the next level, with longer labels and more trees, so that depth adapts to each region; at the last
+   level this is done for regions of any size.
+6. Each level has so many trees that a link of just the threshold has no common region in any with a chance of at most MISS.
 
 Handling of special cases: null, empty and white-space texts have an empty set, link with nothing and are kept; fewer words
 than k make one shingle; rows that repeat a key are one document that links with whatever either row links with, and each
@@ -36,8 +39,9 @@ DEPTHS = (3, 6, 12)  # min-hashes that name a region, by level
 ORDER = 5  # further min-hashes that order a region, of ORDER_BITS each
 ORDER_BITS = 12
 MISS = 1e-6
-SKETCH_BITS, DEVIATIONS = 120, 6
-REGION_DOCS = 512
+SKETCH_BITS, DEVIATIONS = 120, 4.5
+HUB_ROUNDS = 2
+REGION_DOCS, BLOCK_DOCS, STREAMED = 2048, 512, 64  # left over in a region; in a block; met by a block at a time
 CHUNK = 200_000  # shingles hashed at a time
 PARTNERS = 64  # that meet one copy of a text
 ROWS_PER_SORT_TASK = 500_000
@@ -184,40 +188,80 @@ def neighbours(sets: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInPandas(run, PLACED).withColumn("before", F.when(F.col("before") != -1, F.col("before")))
 
 
-def across(opened: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of documents of one region and of different components c that may link. Regions of m documents are cut
-    into blocks of about REGION_DOCS, each pair of which is one group."""
-    blocks = F.ceil(F.col("m") / REGION_DOCS)
-    mine = F.pmod(F.xxhash64("doc_id"), blocks)
-    dealt = opened.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    dealt = dealt.select("region", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "doc_id", "n", "s1", "s2", "c")
-    met = dealt.repartition("region", "lo", "hi").sortWithinPartitions("region", "lo", "hi", "doc_id")
-
-    def of(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        lo, hi, mine, doc, n, s1, s2, c = g.T
-        if len(doc) == 2:
-            i, j = np.array([0]), np.array([1])
-        else:
-            i, j = np.triu_indices(len(doc), 1)
-        ok = c[i] != c[j]
-        if lo[0] != hi[0]:
-            ok &= mine[i] != mine[j]
-        i, j = i[ok], j[ok]
-        ok = alike(n[i], n[j], equal_bits(s1[i], s2[i], s1[j], s2[j]), percent)
-        return doc[i[ok]], doc[j[ok]]
+def hubs(opened: DataFrame, last: bool, percent: int) -> DataFrame:
+    """Pairs (a, b): each document of an open region and the region's first or last one, if that is of another component and
+    may link; of all its regions the likest."""
+    hub = F.struct("doc_id", "n", "s1", "s2", "c")
+    chosen = opened.groupBy("region").agg((F.max if last else F.min)(hub).alias("h"))
+    equal = SKETCH_BITS - F.bit_count(F.col("s1").bitwiseXOR(F.col("h.s1"))) - F.bit_count(F.col("s2").bitwiseXOR(F.col("h.s2")))
+    near = (100 * F.least("n", "h.n") >= percent * F.greatest("n", "h.n")) & (F.col("equal") >= least_bits(percent))
+    met = opened.join(chosen, "region").filter(F.col("c") != F.col("h.c")).withColumn("equal", equal).filter(near)
+    return met.groupBy("doc_id").agg(F.max(F.struct("equal", F.col("h.doc_id").alias("h"))).alias("x")).select(F.col("doc_id").alias("a"), F.col("x.h").alias("b"))
+
+
+def sets_of(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, n and set (packed) of rows (k, t)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
         for b in batches:
-            rows = b[["region", "lo", "hi", "mine", "doc_id", "n", "s1", "s2", "c"]].to_numpy(np.int64)
-            rows = rows if held is None else np.concatenate([held, rows])
-            cuts = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(1)) + 1
-            held = rows[cuts[-1] :] if len(cuts) else rows
-            found = [of(g[:, 1:]) for g in np.split(rows, cuts)[:-1] if len(g) > 1]
-            if found:
-                yield pd.DataFrame({"a": np.concatenate([x for x, _ in found]), "b": np.concatenate([y for _, y in found])})
-        if held is not None and len(held) > 1:
-            yield pd.DataFrame(dict(zip("ab", of(held[:, 1:]))))
+            sets = [shingle_set(t, k) for t in texts_of(b["t"])]
+            yield pd.DataFrame({"doc_id": b["k"], "n": [len(s) for s in sets], "set": [s.tobytes() for s in sets]})
+
+    return docs.select("k", "t").mapInPandas(run, "doc_id long, n long, set binary")
+
+
+def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The sizes of the intersections of all sets of left and right: a product of their incidences over shared elements."""
+    sides = [(np.concatenate(x), np.repeat(np.arange(len(x)), [len(s) for s in x])) for x in (left, right)]
+    shared = np.intersect1d(sides[0][0], sides[1][0])
+    out = np.zeros((len(left), len(right)), np.int64)
+    for at in range(0, len(shared), 1 << 15):
+        part = shared[at : at + (1 << 15)]
+        filled = []
+        for (h, owner), x in zip(sides, (left, right)):
+            place = np.minimum(np.searchsorted(part, h), len(part) - 1)
+            mine = part[place] == h
+            m = np.zeros((len(x), len(part)), np.float32)
+            m[owner[mine], place[mine]] = 1
+            filled.append(m)
+        out += (filled[0] @ filled[1].T).astype(np.int64)  # whole numbers below 2**15
+    return out
+
+
+def across(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of documents of one region and of different components c, one for two components and group: rows left
+    over (whose component isn't the region's least, c1; rest of them in all) with all m rows of the region, a group being a
+    block of either. A group's left block is held, its right one comes as a stream."""
+    blocks, parts = F.ceil(F.col("m") / BLOCK_DOCS), F.ceil(F.col("rest") / BLOCK_DOCS)
+    of = lambda k: F.pmod(F.xxhash64("doc_id"), k)
+    every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), k - 1))
+    rows = opened.drop("n", "s1", "s2").join(sets, "doc_id")
+    right = rows.withColumn("lo", every(parts)).withColumn("hi", of(blocks)).withColumn("side", F.lit(1))
+    left = rows.filter("c <> c1").withColumn("lo", of(parts)).withColumn("hi", every(blocks)).withColumn("side", F.lit(0))
+    columns = ["region", "lo", "hi", "side", "doc_id", "c", "n", "set"]
+    met = left.unionByName(right).select(*columns).repartition("region", "lo", "hi").sortWithinPartitions("region", "lo", "hi", "side")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, left, right = None, [], []
+
+        def links() -> list[tuple]:
+            sizes = [np.array([r[2] for r in x]) for x in (left, right)]
+            both = sizes[0][:, None] + sizes[1]
+            ok = intersections([r[3] for r in left], [r[3] for r in right]) * (100 + percent) >= percent * both
+            ok &= np.array([r[1] for r in left])[:, None] != np.array([r[1] for r in right])
+            found = {(left[i][1], right[j][1]): (left[i][0], right[j][0]) for i, j in zip(*np.nonzero(ok))}
+            return list(found.values())
+
+        for b in batches:
+            out = []
+            for r, lo, hi, side, *row, s in zip(*(b[c].tolist() for c in columns)):
+                if (r, lo, hi) != group or len(right) == STREAMED:
+                    out += links() if left and right else []
+                    left, right, group = left if (r, lo, hi) == group else [], [], (r, lo, hi)
+                (right if side else left).append((*row, np.frombuffer(s, np.uint64)))
+            yield pd.DataFrame(out, columns=["a", "b"])
+        if left and right:
+            yield pd.DataFrame(links(), columns=["a", "b"])
 
     return met.mapInPandas(run, "a long, b long")
 
@@ -251,7 +295,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
                     out.append((a, b))
             yield pd.DataFrame(out, columns=["a", "b"])
 
-    return met.mapInPandas(run, "a long, b long").distinct()
+    return met.mapInPandas(run, "a long, b long")
 
 
 class Forest:
@@ -269,7 +313,11 @@ class Forest:
         if not pairs.head(1):
             return
         self.tried = pairs if self.tried is None else self.tried.unionByName(pairs)
-        links = stored(confirmed(pairs, self.docs, self.k, self.percent), "links")
+        self.link(confirmed(pairs, self.docs, self.k, self.percent))
+
+    def link(self, links: DataFrame) -> None:
+        """Extends the components by confirmed links."""
+        links = stored(links.distinct(), "links")
         if links.head(1):
             known = links if self.found is None else links.unionByName(self.found.filter("doc_id <> component_id").toDF("a", "b"))
             self.found = components(known)
@@ -280,10 +328,16 @@ class Forest:
         return rows.join(self.found, "doc_id", "left").withColumn("c", F.coalesce("component_id", "doc_id")).drop("component_id")
 
     def still_open(self, rows: DataFrame) -> DataFrame:
-        """rows of regions that hold several components, with c and m, the region's documents."""
+        """rows of regions that hold several components, with their component c."""
         placed = self.with_components(rows)
-        groups = placed.groupBy("region").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count(F.lit(1)).alias("m")).filter("c1 <> c2")
-        return placed.join(groups.select("region", "m"), "region")
+        groups = placed.groupBy("region").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 <> c2")
+        return placed.join(groups.select("region"), "region", "left_semi")
+
+
+def counted(opened: DataFrame) -> DataFrame:
+    """opened with m, the region's documents, c1, its least component, and rest, its documents of others."""
+    least = opened.groupBy("region", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("region").agg(F.sum("k").alias("m"), F.min(F.struct("c", "k")).alias("x"))
+    return opened.join(least.select("region", "m", F.col("x.c").alias("c1"), (F.col("m") - F.col("x.k")).alias("rest")), "region")
 
 
 def near_groups(docs: DataFrame, k: int = WORDS, percent: int = THRESHOLD, depths: tuple[int, ...] = DEPTHS, region_docs: int = REGION_DOCS, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -301,11 +355,21 @@ def near_groups(docs: DataFrame, k: int = WORDS, percent: int = THRESHOLD, depth
         placed = stored(neighbours(level, percent), "placed")
         forest.join(placed.filter("before is not null").select(F.col("doc_id").alias("a"), F.col("before").alias("b")))
         opened = stored(forest.still_open(placed.drop("before")), "open")
-        last = at + 1 == len(depths)
-        forest.join(across(opened if last else opened.filter(F.col("m") <= region_docs), percent))
+        for turn in range(HUB_ROUNDS):
+            if not opened.head(1):
+                break
+            forest.join(hubs(opened, turn % 2 == 1, percent))
+            opened = stored(forest.still_open(opened.drop("c")), "open")
+        if not opened.head(1):
+            break
+        left, last = stored(counted(opened), "left"), at + 1 == len(depths)
+        met = left if last else left.filter(F.col("rest") <= region_docs)
+        if met.head(1):
+            ids = met.select(F.col("doc_id").alias("k")).distinct()
+            forest.link(across(met, sets_of(rows.join(few(ids), "k", "left_semi"), k), percent))
         if last:
             break
-        dense = stored(forest.still_open(opened.filter(F.col("m") > region_docs).drop("c", "m")).select(F.col("doc_id").alias("k")).distinct(), "dense")
+        dense = stored(left.filter(F.col("rest") > region_docs).select(F.col("doc_id").alias("k")).distinct(), "dense")
         if not dense.head(1):
             break
         level = labelled(rows.join(few(dense), "k", "left_semi"), k, depths[at + 1], percent).filter("digest is not null")
