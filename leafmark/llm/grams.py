@@ -86,14 +86,6 @@ def joined(pieces: list[str], lead: str = " ") -> tuple[np.ndarray, np.ndarray]:
     return points("".join(lowered)), np.concatenate([[0], np.cumsum(sizes)[:-1]])
 
 
-def letter_words(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of letters."""
-    inside = np.zeros(len(cp) + 2, np.int8)
-    inside[1:-1] = letters_only(cp) != 32
-    step = np.diff(inside)
-    return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-
-
 class SpanHash:
     """Polynomial hashes of any spans of a code-point array."""
 

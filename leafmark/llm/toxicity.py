@@ -1,7 +1,8 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over overlapping windows of words.
 
-Each word's input joins a word embedding (of the hashed lower-case word) and a character embedding (the sum over all
-hashed character n-grams of the word with its two ends marked); windows of WINDOW words begin every STRIDE words, so that words
+A word is a run of letters and digits with the marks inside it (one or two between letters or digits, as in `f*ck`), and
+every word counts, repeated ones too. Its input joins a word embedding (of the hashed lower-case word) and a character
+embedding (the sum over all hashed character n-grams of the word with its two ends marked); windows of WINDOW words begin every STRIDE words, so that words
 at their seams lie in two of them, and all are scored. A text's score is a logistic function of its windows' largest and mean
 logits and shares. Training is plain numpy: back-propagation through time with Adagrad.
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafmark.llm.common import BASE, bounded_batches, fold, free_names, read_table, texts_of
-from leafmark.llm.grams import SpanHash, joined, labelled_sample, letter_words, letters_only
+from leafmark.llm.grams import LAST_POINT, SpanHash, joined, labelled_sample
 
 WINDOW, STRIDE = 24, 16
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 8
@@ -66,14 +67,32 @@ def ranges(begin: np.ndarray, counts: np.ndarray) -> np.ndarray:
 NO_WORDS = Words(np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, np.int64))
 
 
+_kinds: list[np.ndarray] = []
+
+
+def in_words(cp: np.ndarray) -> np.ndarray:
+    """Which code points (the first and last are spaces) are inside words."""
+    if not _kinds:
+        _kinds.append(np.array([2 if chr(i).isalnum() else 0 if chr(i).isspace() else 1 for i in range(LAST_POINT + 1)], np.int8))
+    kind = np.concatenate([_kinds[0][cp], np.zeros(2, np.int8)])
+    inside = kind == 2
+    marks = np.flatnonzero(kind == 1)
+    one = marks[inside[marks - 1] & inside[marks + 1]]
+    two = marks[inside[marks - 1] & (kind[marks + 1] == 1) & inside[marks + 2]]
+    inside[np.concatenate([one, two, two + 1])] = True
+    return inside[:-2]
+
+
 def word_inputs(pieces: list[str]) -> tuple[Words, np.ndarray, np.ndarray]:
     """The distinct words of all pieces, and for each word in its place its number among them and its piece."""
     cp, begin = joined([p + " " for p in pieces])
-    starts, ends = letter_words(cp)
+    inside = in_words(cp)
+    step = np.diff(inside.astype(np.int8), prepend=0, append=0)
+    starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
     if len(starts) == 0:
         return NO_WORDS, np.empty(0, np.int64), np.empty(0, np.int64)
     names, first, ids = np.unique(SpanHash(cp).of(starts, ends), return_index=True, return_inverse=True)
-    marked = SpanHash(letters_only(cp))  # a word's marks are the two spaces around it
+    marked = SpanHash(np.where(inside, cp, np.uint32(32)))  # a word's marks are the two spaces around it
     lead, sizes = starts[first] - 1, ends[first] - starts[first] + 2
     each = np.stack([np.maximum(sizes - n + 1, 0) for n in ORDERS])
     counts = each.sum(0)
@@ -82,9 +101,7 @@ def word_inputs(pieces: list[str]) -> tuple[Words, np.ndarray, np.ndarray]:
     for n, own, done in zip(ORDERS, each, np.cumsum(each, 0) - each):
         places = ranges(lead, own)
         grams[ranges(at + done, own)] = 1 + (marked.of(places, places + n) * np.uint64(BASE) >> np.uint64(20)) % np.uint64(CHAR_BUCKETS - 1)
-    of = np.searchsorted(begin, starts, side="right") - 1
-    new = np.concatenate([[True], (ids[1:] != ids[:-1]) | (of[1:] != of[:-1])])  # a word said again and again says it once
-    return Words(names, grams, counts), ids[new], of[new]
+    return Words(names, grams, counts), ids, np.searchsorted(begin, starts, side="right") - 1
 
 
 def window_starts(n_words: int) -> np.ndarray:
@@ -122,11 +139,11 @@ def _windows(pieces: list[str], places: np.ndarray) -> Chunk:
 
 
 def _long_windows(text: str, place: int) -> Iterator[Chunk]:
-    """The windows of one very long text: words are gathered part by part, cut between words."""
+    """The windows of one very long text: words are gathered part by part, cut at white space."""
     parts, at = [], 0
     while at < len(text):
         end = min(len(text), at + 10 * CHUNK_CHARS)
-        while 0 < end < len(text) and text[end - 1].isalpha() and text[end].isalpha():
+        while end < len(text) and not text[end].isspace():
             end += 1
         parts.append((at, end))
         at = end
@@ -337,12 +354,23 @@ class Model:
         return _sigmoid(pooled_logits(self.network, texts) @ self.coefficients)
 
 
+NOTHING = -4.0  # the logit of a window that says nothing
+
+
+def told(index: np.ndarray) -> np.ndarray:
+    """The share of different words among each window's words."""
+    ordered = np.sort(index, axis=1)
+    return (np.diff(ordered, axis=1, prepend=0) > 0).sum(1) / np.maximum(1, (index > 0).sum(1))
+
+
 def pooled_logits(network: Network, texts: list[str]) -> np.ndarray:
-    """For each text: the largest and mean window logit, the mean window probability, its share over many windows, 1."""
+    """For each text: the largest and mean window logit, the mean window probability, its share over many windows, 1. What a
+    window says counts by its share of different words: one word again and again says next to nothing."""
     largest, total = np.full(len(texts), -40.0), np.zeros(len(texts))
     toxic, n = np.zeros(len(texts)), np.zeros(len(texts))
     for words, owner, index in windows_of(texts):
-        logits = np.clip(network.logits_of(network.projected(words), index), -12, 12).astype(np.float64)
+        share = np.where(index[:, 0] > 0, told(index), 1)
+        logits = NOTHING + share * (np.clip(network.logits_of(network.projected(words), index), -12, 12).astype(np.float64) - NOTHING)
         np.maximum.at(largest, owner, logits)
         np.add.at(total, owner, logits)
         np.add.at(toxic, owner, _sigmoid(logits))
@@ -379,7 +407,8 @@ def _taught(texts: list[str]) -> Chunk:
 
 
 def train(texts: list[str], labels: list[int], weight: list[float]) -> Model | None:
-    """weight: how many labelled rows each one of the sample stands for."""
+    """weight: how many labelled rows each one of the sample stands for. A window of few different words teaches less: by the
+    square of their share."""
     y, weight = np.array(labels, np.float64), np.array(weight, np.float64)
     if not (y == 1).any() or not (y == 0).any():
         return None
@@ -390,7 +419,7 @@ def train(texts: list[str], labels: list[int], weight: list[float]) -> Model | N
     of = y[~held][owner]
     balance = np.where(of == 1, len(of) / max(1, 2 * of.sum()), len(of) / max(1, 2 * (len(of) - of.sum())))
     network = Network()
-    network.train(network.restricted(words, index, owner), index, of, balance, min(MOST_EPOCHS, max(EPOCHS, TEACH // len(of))))
+    network.train(network.restricted(words, index, owner), index, of, balance * told(index) ** 2, min(MOST_EPOCHS, max(EPOCHS, TEACH // len(of))))
     judged = held if held.any() else ~held
     x = pooled_logits(network, [t for t, j in zip(texts, judged) if j])
     return Model(network, fit_logistic(x, y[judged], weight[judged] / weight[judged].mean()))

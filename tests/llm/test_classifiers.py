@@ -138,3 +138,51 @@ def test_toxicity_of_a_text_is_its_own_and_odd_tables(spark):
     got = toxicity.score_toxicity(docs, model, score="s").collect()
     assert len(got) == 3 and got[0].toxic_score == 1.5 and toxicity.score_toxicity(docs.limit(0), model).count() == 0
     assert {r.s for r in toxicity.score_toxicity(docs, None, score="s").collect()} == {0.0}
+
+
+def test_toxicity_of_whole_texts_equals_a_plain_version():
+    """Words by a regular expression, each window alone through a plain recurrent network, all windows of the whole text."""
+    import re
+
+    from leafmark.llm import toxicity
+
+    def words_of(text):
+        return re.findall(r"[^\W_]+(?:[^\s\w]{1,2}[^\W_]+)*", text.lower())
+
+    assert words_of("F*ck, 1d10t! don't -- a--b c---d") == ["f*ck", "1d10t", "don't", "a--b", "c", "d"]
+    good, bad = ["what a fine day for a walk"] * 60, ["you stupid worthless idiot"] * 60
+    model = toxicity.train(good + bad, [0] * 60 + [1] * 60, [1.0] * 120)
+    net, p, h = model.network, model.network.p, toxicity.HIDDEN
+    of_word = {}
+
+    def vector(w):
+        if w not in of_word:
+            own, ids, _ = toxicity.word_inputs([w])
+            assert len(own) == 1 and ids.tolist() == [0]
+            of_word[w] = net.vectors(own)[1]
+        return of_word[w]
+
+    def logit(window):
+        x = [vector(w) for w in window] + [np.zeros(toxicity.WORD_DIM + toxicity.CHAR_DIM, np.float32)] * (toxicity.WINDOW - len(window))
+        states = np.zeros((len(x), 2 * h))
+        for side in (0, 1):
+            s = np.zeros(h)
+            for t in range(len(x)) if side == 0 else reversed(range(len(x))):
+                a = x[t] @ p["in"][side] + p["bias"][side]
+                zr = 1 / (1 + np.exp(-(a[: 2 * h] + s @ p["gates"][side])))
+                g = np.tanh(a[2 * h :] + (zr[h:] * s) @ p["cand"][side])
+                s = s + zr[:h] * (g - s)
+                states[t, side * h : (side + 1) * h] = s
+        e = np.where(np.arange(len(x)) < len(window), states @ p["attend"], -30)
+        w = np.exp(e - e.max())
+        said = float(np.clip((w / w.sum()) @ states @ p["out"] + p["last"][0], -12, 12))
+        share = len(set(window)) / len(window) if window else 1
+        return share * said + (1 - share) * toxicity.NOTHING
+
+    texts = ["", "a fine day", "idiot " * 70, "you st*pid w0rthless idiot, what a day! " * 9, "walk " * 15 + "you stupid idiot " * 20 + "walk " * 40]
+    for text, got in zip(texts, model.scores(texts)):
+        words = words_of(text)
+        logits = np.array([logit(words[i : i + toxicity.WINDOW]) for i in range(0, max(1, len(words) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE)])
+        x = [logits.max() / 4, logits.mean() / 4, 4 * (1 / (1 + np.exp(-logits))).mean(), np.log(len(logits)) / 4, 1]
+        assert abs(got - 1 / (1 + np.exp(-(np.array(x) @ model.coefficients)))) < 1e-3
+    assert len(list(toxicity.windows_of(["same " * 100]))[0][1]) == 6
