@@ -1,14 +1,18 @@
 """Node tables of web pages: one row for each element, with its place, interval, text and numbers of words.
 
-Parsing is the one step that needs Python; it runs inside the tasks, in Arrow batches, page by page.
+Parsing is the one step that needs Python; it runs inside the tasks, in Arrow batches, page by page, in time that grows
+with the page's size: a page's text is gathered once, as pieces in order, each element remembers which pieces are its own,
+and numbers of words are differences of running sums. Only a lone word cut by a tag takes a look at both sides.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -20,18 +24,28 @@ CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure fo
 BREAKS = CLOSES_P | frozenset("br dd dt li td th tr".split())  # where lines break
 TEXTS = frozenset("h1 h2 h3 h4 h5 h6 p li pre blockquote table figure".split())  # elements whose text is kept
 WORD = re.compile(C.WORD)
-SCHEMA = "page_id long, pre int, post int, tag string, parent int, level int, text string, words int, link_words int"
+WORD_CHARS = re.compile(r"[A-Za-z0-9_'-]")
+SCHEMA = "page_id long, pre int, post int, tag string, parent int, level int, text string, words int, link_words int, names string"
+MOST_COPIES = 64  # kept texts of elements within elements are so many times the page's text at most; only absurd nesting goes beyond
 
 
 class Nodes(HTMLParser):
-    """Elements in document order; post is the number of the last element inside. Texts are gathered for the elements of
-    TEXTS and the body only, so a page's text isn't repeated for all its ancestors."""
+    """Elements in document order; post is the number of the last element inside."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.rows: list[list] = []
+        self.tags: list[str] = []
+        self.parents: list[int] = []
+        self.levels: list[int] = []
+        self.posts: list[int] = []
+        self.begins: list[int] = []  # the piece of text with which an element begins, and the one after its end
+        self.ends: list[int] = []
+        self.names: list[str] = []
+        self.pieces: list[str] = []
+        self.linked: list[bool] = []
         self.stack: list[int] = []
-        self.skip = self.links = 0
+        self.opened: Counter = Counter()
+        self.skip = 0
 
     def parse_marked_section(self, i, report=1):
         """Sections such as <![if x]> are comments up to their end."""
@@ -39,66 +53,96 @@ class Nodes(HTMLParser):
         return end + 1 if end >= 0 else -1
 
     def handle_starttag(self, tag, attrs):
-        if tag in CLOSES_P and self.stack and self.rows[self.stack[-1]][1] == "p" or tag == "li" and self.stack and self.rows[self.stack[-1]][1] == "li":
-            self._close(self.rows[self.stack[-1]][1])
+        top = self.tags[self.stack[-1]] if self.stack else ""
+        if tag in CLOSES_P and top == "p" or tag == "li" and top == "li":
+            self._close(top)
         if tag in BREAKS:
-            self._broken()
-        at = len(self.rows)
-        self.rows.append([at, tag, self.stack[-1] if self.stack else -1, len(self.stack), [], []])
+            self._piece("\n")
+        at = len(self.tags)
+        self.tags.append(tag)
+        self.parents.append(self.stack[-1] if self.stack else -1)
+        self.levels.append(len(self.stack))
+        self.posts.append(at)
+        self.begins.append(len(self.pieces))
+        self.ends.append(len(self.pieces))
+        self.names.append(" ".join(v for k, v in attrs if v and k in ("class", "id", "role")).lower())
         if tag not in VOID:
             self.stack.append(at)
+            self.opened[tag] += 1
             self.skip += tag in SKIPPED
-            self.links += tag == "a"
 
     def handle_endtag(self, tag):
         if tag in BREAKS:
-            self._broken()
+            self._piece("\n")
         self._close(tag)
 
-    def _broken(self):
-        for i in self.stack:
-            self.rows[i][4].append("\n")
-            self.rows[i][5].append("\n")
+    def _piece(self, text):
+        self.pieces.append(text)
+        self.linked.append(self.opened["a"] > 0 and text != "\n")
 
     def _close(self, tag):
-        if not any(self.rows[i][1] == tag for i in self.stack):
+        if not self.opened[tag]:
             return
         while self.stack:
             i = self.stack.pop()
-            self.rows[i][0] = len(self.rows) - 1
-            self.skip -= self.rows[i][1] in SKIPPED
-            self.links -= self.rows[i][1] == "a"
-            if self.rows[i][1] == tag:
+            self._end(i)
+            if self.tags[i] == tag:
                 return
 
+    def _end(self, i):
+        self.posts[i], self.ends[i] = len(self.tags) - 1, len(self.pieces)
+        self.opened[self.tags[i]] -= 1
+        self.skip -= self.tags[i] in SKIPPED
+
     def handle_data(self, data):
-        if self.skip:
-            return
-        for i in self.stack:
-            if self.rows[i][1] in TEXTS or self.rows[i][1] == "body":
-                self.rows[i][4].append(data)
-                if self.links:
-                    self.rows[i][5].append(data)
+        if not self.skip:
+            self._piece(data)
 
-    def done(self) -> list[list]:
+    def done(self) -> list[tuple]:
+        """Rows of post, tag, parent, level, text, words, link_words and names."""
         self.close()
-        for i in self.stack:
-            self.rows[i][0] = len(self.rows) - 1
-        return self.rows
+        while self.stack:
+            self._end(self.stack.pop())
+        words = self._running(self.pieces)
+        links = self._running([p if own else "\n" for p, own in zip(self.pieces, self.linked)])
+        out, left = [], MOST_COPIES * (1 + sum(map(len, self.pieces)))
+        for i, tag in enumerate(self.tags):
+            a, z = self.begins[i], self.ends[i]
+            text = ""
+            if tag in TEXTS and left > 0:
+                text = " ".join("".join(self.pieces[a:z]).split())
+                left -= len(text) + z - a
+            out.append((self.posts[i], tag, self.parents[i], self.levels[i], text, self._between(words, self.pieces, a, z), self._between(links, None, a, z), self.names[i]))
+        return out
+
+    @staticmethod
+    def _running(pieces: list[str]) -> np.ndarray:
+        """Before each piece, the words that began before it in the joined text."""
+        whole = "".join(pieces)
+        at = np.cumsum([0, *map(len, pieces)])
+        found = np.array([m.start() for m in WORD.finditer(whole)], np.int64)
+        return np.searchsorted(found, at)
+
+    def _between(self, sums: np.ndarray, pieces: list[str] | None, a: int, z: int) -> int:
+        """Words of pieces a to z: those that begin there, and one that began before and goes on."""
+        n = int(sums[z] - sums[a])
+        if pieces is not None and 0 < a < z and n >= 0 and pieces[a - 1] and pieces[a] and WORD_CHARS.match(pieces[a - 1][-1]) and WORD_CHARS.match(pieces[a][0]):
+            head = WORD.match(pieces[a])
+            n += head is not None
+        return n
 
 
 def html_nodes(pages: DataFrame) -> DataFrame:
-    """The node table of pages (page_id, html); null html has no node."""
+    """The node table of pages (page_id, html); null html has no node. names: the element's class, id and role."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [c.split(" ")[0] for c in SCHEMA.split(", ")]
         for b in batches:
             out = []
             for page, source in zip(b["page_id"].tolist(), b["html"].tolist()):
                 parser = Nodes()
                 parser.feed(source or "")
-                for i, (post, tag, parent, level, texts, links) in enumerate(parser.done()):
-                    text, linked = "".join(texts), "".join(links)
-                    out.append((page, i, max(i, post), tag, parent, level, " ".join(text.split()) if tag in TEXTS else "", len(WORD.findall(text)), len(WORD.findall(linked))))
-            yield pd.DataFrame(out, columns=["page_id", "pre", "post", "tag", "parent", "level", "text", "words", "link_words"])
+                out += [(page, i, post, tag, parent, level, text, words, linked, names) for i, (post, tag, parent, level, text, words, linked, names) in enumerate(parser.done())]
+            yield pd.DataFrame(out, columns=columns)
 
     return pages.select("page_id", "html").mapInPandas(run, SCHEMA)
