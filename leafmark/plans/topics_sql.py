@@ -46,7 +46,7 @@ def _themes(units: str, sources: str, chat: bool) -> str:
     asked = "(select page_id, section, 0 - section as place, case when body <> '' then body else title end as text from units_u where role = 'user' qualify row_number() over (partition by page_id order by section desc) <= 2)"
     two = lambda n: f"{n}2 as (select *, {_ordered_distinct(_pairs(2))} as two from {n})"
     tech = f"list_filter(list_transform(regexp_extract_all(text, {_lit(C.THEME_TECHNICAL.replace('{B}', chr(92) + 'b'))}), lambda w: {_term('w')}), lambda w: w <> '')"
-    return f"""units_u as (select page_id, section, title, body, concat_ws(' ', title, body) as text, {'role' if chat else "''"} as role from {units}),
+    return f"""units_u as materialized (select page_id, section, title, body, concat_ws(' ', title, body) as text, {'role' if chat else "''"} as role from {units}),
       {_tokens('tt', sources, 'page_id', 'title')}, {two('tt')}, {_tokens('hh', "(select * from units_u where title <> '')", 'page_id, section', 'title')}, {two('hh')},
       {_tokens('bb', 'units_u', 'page_id, section', 'text')}, bb2 as (select page_id, section, {_ordered_distinct(_pairs(2))} as two, {_ordered_distinct(_pairs(3))} as three from bb),
       {_tokens('qq', asked, 'page_id, place', 'text')}, {two('qq')},
@@ -57,19 +57,19 @@ def _themes(units: str, sources: str, chat: bool) -> str:
         union all select page_id, term, least(5, 2 + n), 3, row_number() over (partition by page_id order by n desc, length(term) desc, place), 0, 0, 'repeated_phrase' from often
         union all select page_id, term, {w['technical']}, 4, place, 0, 0, 'technical' from tech_m union all {_added('qq2', 'latest_question', 5, 'place', w['latest_question'])}),
       merged as (select page_id, term, max(weight)::bigint as weight, min(struct_pack(a := s1, b := s2, c := s3, d := s4)) as place, array_to_string(list_sort(list(distinct source)), ',') as sources from all_terms group by all),
-      themes as (select page_id, term, weight, sources, row_number() over (partition by page_id order by weight desc, length(term) desc, place) as rank from merged qualify rank <= {C.MOST_THEMES})"""
+      themes as materialized (select page_id, term, weight, sources, row_number() over (partition by page_id order by weight desc, length(term) desc, place) as rank from merged qualify rank <= {C.MOST_THEMES})"""
 
 
 _DOC_SOURCES = f"(select doc_id as page_id, regexp_extract({clean('text')}, '{FIRST_WORDS}', 0) as title from documents)"
 _CHAT_SOURCES = f"(select conv_id as page_id, regexp_extract({clean('text')}, '{FIRST_WORDS}', 0) as title from conversations where turn = 0)"
 _HAY = f"array_to_string(list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(lower(concat_ws(' ', title, body)), 'https?://[^ ]+', ' ', 'g'), '[_-]+', ' ', 'g'), '[^a-z0-9./+#]+', ' ', 'g'), ' '), lambda p: p <> '' and not list_contains({_STOP}, p)), ' ')"
 _IN = r"case when contains(term, ' ') then contains(hay, ' ' || term || ' ') else regexp_matches(hay, '\b' || regexp_replace(term, '([.+])', '\\\1', 'g') || '\b') end"
-_LIFT = f"""hays as (select page_id, section, ' ' || {_HAY} || ' ' as hay from scored_2 where not ({L.UNLIFTED})),
+_LIFT = f"""sc as materialized (select * from scored_2), hays as (select page_id, section, ' ' || {_HAY} || ' ' as hay from sc where not ({L.UNLIFTED})),
   hits as (select page_id, section, term, weight, rank from hays join themes using (page_id) where contains(hay, term) and {_IN} qualify row_number() over (partition by page_id, section order by rank) <= {C.MOST_MATCHED}),
   gains as (select page_id, section, least(8.0, sum(greatest(1, weight)) * 0.7::double) as gain, string_agg(term, ',' order by rank) as matched from hits group by all),
-  intents as (select *, case when {L.UNLIFTED} then 0 else {L.INTENT_WEIGHT.replace("search_block <> '' and search_block = wanted_block", 'false')} end as iw from scored_2),
+  intents as (select *, case when {L.UNLIFTED} then 0 else {L.INTENT_WEIGHT.replace("search_block <> '' and search_block = wanted_block", 'false')} end as iw from sc),
   boosted as (select i.*, coalesce(matched, '') as matched, iw > 0 as is_intent, case when score >= 30 or useful >= 24 or importance >= 20 or signals > 0 then least(18, floor(coalesce(gain, 0) + iw + 0.5)) else least(4, floor(coalesce(gain, 0) + iw + 0.5)) end as boost from intents i left join gains using (page_id, section)),
-  lifted as (select * exclude (score, useful, importance, theme_boost, intent_match), {L.KIND_LABEL} as kind_label, boost::bigint as theme_boost, is_intent as intent_match, (score + boost)::bigint as score, (useful + least(10, ceil(boost * 0.56::double)))::bigint as useful, (importance + least(8, ceil(boost * 0.44::double)))::bigint as importance from boosted)"""
+  lifted as materialized (select * exclude (score, useful, importance, theme_boost, intent_match), {L.KIND_LABEL} as kind_label, boost::bigint as theme_boost, is_intent as intent_match, (score + boost)::bigint as score, (useful + least(10, ceil(boost * 0.56::double)))::bigint as useful, (importance + least(8, ceil(boost * 0.44::double)))::bigint as importance from boosted)"""
 
 
 def _weigh(c: str, weight: float, title: bool) -> str:
@@ -77,18 +77,18 @@ def _weigh(c: str, weight: float, title: bool) -> str:
 
 
 _IDF = "greatest(0.0, ln(1 + (n - df + 0.5) / (df + 0.5)))"
-_SALIENCE = f"""able as (select * from lifted where not ({L.UNSALIENT})),
+_SALIENCE = f"""able as materialized (select * from lifted where not ({L.UNSALIENT})),
   spread_terms as ({_weigh('title', C.TITLE_WEIGHT, True)} union all {_weigh('body', 1.0, False)} union all {_weigh('kind_label', C.LABEL_WEIGHT, False)}),
-  st as (select page_id, section, term, sum(w)::double as w, bool_or(in_title) as in_title from spread_terms group by all),
-  lens as (select page_id, section, greatest(1.0, coalesce(sum(w), 0)) as length from able left join st using (page_id, section) group by all),
-  pg as (select page_id, count(*) as n, avg(length) as average from lens group by all having count(*) >= 2),
+  st as materialized (select page_id, section, term, sum(w)::double as w, bool_or(in_title) as in_title from spread_terms group by all),
+  lens as materialized (select page_id, section, greatest(1.0, coalesce(sum(w), 0)) as length from able left join st using (page_id, section) group by all),
+  pg as materialized (select page_id, count(*) as n, avg(length) as average from lens group by all having count(*) >= 2),
   cnt as (select page_id, term, count(*) as df, sum(w) as total, any_value(n) as n, any_value(average) as average from st join pg using (page_id) group by all),
-  val as (select *, {_IDF} as idf, {_IDF} * sqrt(total) as weight from cnt),
-  dis as (select page_id, term, row_number() over (partition by page_id order by weight desc, idf desc, term) as rank from val where df < n and weight > 0.18 qualify rank <= 40),
+  val as materialized (select *, {_IDF} as idf, {_IDF} * sqrt(total) as weight from cnt),
+  dis as materialized (select page_id, term, row_number() over (partition by page_id order by weight desc, idf desc, term) as rank from val where df < n and weight > 0.18 qualify rank <= 40),
   labels as (select page_id, kind_label as text, min(section) as s from lifted where kind_label <> '' and not regexp_matches(lower(kind_label), {_lit(L.PLAIN_LABELS)}) group by page_id, kind_label qualify row_number() over (partition by page_id order by min(section), kind_label) <= 12),
   told as (select page_id, title as text from SOURCES union all select page_id, text from labels),
-  topic as (select page_id, t.term as term, sum(case when t.technical then 1.25 else 1.0 end) * {C.TOPIC_WEIGHT} as topic from (select page_id, unnest({tokens('text')}) as t from told) group by all),
-  led as (select page_id, term, topic from topic union all select page_id, term, {C.FALLBACK_WEIGHT} from dis where rank <= {C.FALLBACK_TOPICS} and page_id not in (select page_id from topic)),
+  topic as materialized (select page_id, t.term as term, sum(case when t.technical then 1.25 else 1.0 end) * {C.TOPIC_WEIGHT} as topic from (select page_id, unnest({tokens('text')}) as t from told) group by all),
+  led as materialized (select page_id, term, topic from topic union all select page_id, term, {C.FALLBACK_WEIGHT} from dis where rank <= {C.FALLBACK_TOPICS} and page_id not in (select page_id from topic)),
   ev as (select s.page_id, s.section, s.term, dis.rank is not null as distinctive, coalesce(topic, 0)::double as topic, s.page_id in (select page_id from led) as has_led,
     (w * 2.2::double / (w + 1.2::double * (1 - 0.72::double + 0.72::double * greatest(0.25::double, length / greatest(1.0, v.average))))) * idf * case when in_title then 1.45::double else 1.0 end * (0.62::double + least(1.8::double, coalesce(topic, 0)::double * 0.38::double) + least(0.6::double, case when dis.rank is not null then greatest(0.45::double, v.weight) else 0 end * 0.12::double)) as base
     from st s join val v using (page_id, term) join lens using (page_id, section) left join dis using (page_id, term) left join led using (page_id, term)),
