@@ -5,11 +5,11 @@ form groups, of which one document is kept.
    first DEPTHS[level] of a tree name its region, the next ones order the region.
 2. All trees' labels are sorted. Neighbours in a region have the longest common prefixes: they are the first candidates, so
    that a group of thousands of near copies is linked by a chain, not by all its pairs.
-3. Candidates pass a length filter and a sketch (one bit of each min-hash; DEVIATIONS are allowed), and are confirmed on the
+3. Each document also meets two hubs, the first document of a region and the last of one, of all its regions the likest
+   ones: copies of one text, however many, are linked through them.
+4. Candidates pass a length filter and a sketch (one bit of each min-hash; DEVIATIONS are allowed), and are confirmed on the
    whole sets of both texts. Links form components.
-4. In regions that still hold several components each document meets a hub, its region's first or last document, the one
-   of its trees that is likest to it: copies of one text, however many, are linked through it.
-5. What is left over meets the rest of its region with its whole set, if at most REGION_DOCS documents are left over there:
+5. In regions that still hold several components, what is left over meets the rest of its region with its whole set, if at most REGION_DOCS documents are left over there:
    blocks of sets give all their intersections at once, and only links between components leave the task. The documents of
    denser regions go to the next level, with longer labels and more trees, so that depth adapts to each region; at the last
    level this is done for regions of any size.
@@ -40,7 +40,6 @@ ORDER = 5  # further min-hashes that order a region, of ORDER_BITS each
 ORDER_BITS = 12
 MISS = 1e-6
 SKETCH_BITS, DEVIATIONS = 120, 4.5
-HUB_ROUNDS = 2
 REGION_DOCS, BLOCK_DOCS, STREAMED = 2048, 512, 64  # left over in a region; in a block; met by a block at a time
 CHUNK = 200_000  # shingles hashed at a time
 PARTNERS = 64  # that meet one copy of a text
@@ -188,14 +187,13 @@ def neighbours(sets: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInPandas(run, PLACED).withColumn("before", F.when(F.col("before") != -1, F.col("before")))
 
 
-def hubs(opened: DataFrame, last: bool, percent: int) -> DataFrame:
-    """Pairs (a, b): each document of an open region and the region's first or last one, if that is of another component and
-    may link; of all its regions the likest."""
-    hub = F.struct("doc_id", "n", "s1", "s2", "c")
-    chosen = opened.groupBy("region").agg((F.max if last else F.min)(hub).alias("h"))
+def hubs(placed: DataFrame, last: bool, percent: int) -> DataFrame:
+    """Pairs (a, b): each document and its region's first or last one, if they may link; of all its regions the likest."""
+    hub = F.struct("doc_id", "n", "s1", "s2")
+    chosen = placed.groupBy("region").agg((F.max if last else F.min)(hub).alias("h"))
     equal = SKETCH_BITS - F.bit_count(F.col("s1").bitwiseXOR(F.col("h.s1"))) - F.bit_count(F.col("s2").bitwiseXOR(F.col("h.s2")))
     near = (100 * F.least("n", "h.n") >= percent * F.greatest("n", "h.n")) & (F.col("equal") >= least_bits(percent))
-    met = opened.join(chosen, "region").filter(F.col("c") != F.col("h.c")).withColumn("equal", equal).filter(near)
+    met = placed.join(chosen, "region").filter(F.col("doc_id") != F.col("h.doc_id")).withColumn("equal", equal).filter(near)
     return met.groupBy("doc_id").agg(F.max(F.struct("equal", F.col("h.doc_id").alias("h"))).alias("x")).select(F.col("doc_id").alias("a"), F.col("x.h").alias("b"))
 
 
@@ -353,13 +351,9 @@ def near_groups(docs: DataFrame, k: int = WORDS, percent: int = THRESHOLD, depth
     level = new.join(equal.select(F.col("a").alias("doc_id")), "doc_id", "left_anti")
     for at, depth in enumerate(depths):
         placed = stored(neighbours(level, percent), "placed")
-        forest.join(placed.filter("before is not null").select(F.col("doc_id").alias("a"), F.col("before").alias("b")))
+        near = placed.filter("before is not null").select(F.col("doc_id").alias("a"), F.col("before").alias("b"))
+        forest.join(near.unionByName(hubs(placed, False, percent)).unionByName(hubs(placed, True, percent)))
         opened = stored(forest.still_open(placed.drop("before")), "open")
-        for turn in range(HUB_ROUNDS):
-            if not opened.head(1):
-                break
-            forest.join(hubs(opened, turn % 2 == 1, percent))
-            opened = stored(forest.still_open(opened.drop("c")), "open")
         if not opened.head(1):
             break
         left, last = stored(counted(opened), "left"), at + 1 == len(depths)

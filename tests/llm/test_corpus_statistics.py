@@ -209,8 +209,8 @@ def test_near_dedup_equals_brute_force(spark, rows):
 
 
 def test_near_dedup_of_dense_regions(spark, monkeypatch):
-    """No neighbours or hubs, so that blocks of all levels do the work."""
-    monkeypatch.setattr(near_dedup, "HUB_ROUNDS", 0)
+    """No hubs, so that blocks of all levels do the work."""
+    monkeypatch.setattr(near_dedup, "hubs", lambda placed, last, percent: placed.limit(0).selectExpr("doc_id as a", "doc_id as b"))
     monkeypatch.setattr(near_dedup, "BLOCK_DOCS", 8)
     monkeypatch.setattr(near_dedup, "STREAMED", 3)
     many = families(2)
