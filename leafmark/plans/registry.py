@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 from leafmark import config as C
 from leafmark.functions import text as T
 from leafmark import lexicon as L
-from leafmark.operators import analysis, conversation, ocr, pages, sections, topics
-from leafmark.plans import analysis_sql, oracle, topics_sql
+from leafmark.operators import analysis, conversation, fuzzy, ocr, pages, profile, sections, topics
+from leafmark.plans import analysis_sql, fuzzy_sql, oracle, topics_sql
 from leafmark.sources.html_nodes import html_nodes
+from leafmark.sources.storage import stored
 from leafmark.sources.tables import spread, table
 from leafmark.streaming import state
 
 FLAGSHIP = "bm25_search"
 SEARCHES = [("q1", "apache license version"), ("q2", "general public license"), ("q3", "worthless pathetic loser"), ("q4", "copyright"), ("q5", "thanedble attion")]
 QUERIES: dict = {}
-ORACLE_SQL = oracle.ORACLE_SQL | analysis_sql.ANALYSIS_SQL | topics_sql.TOPICS_SQL
+ORACLE_SQL = oracle.ORACLE_SQL | analysis_sql.ANALYSIS_SQL | topics_sql.TOPICS_SQL | fuzzy_sql.FUZZY_SQL
 
 
 def query(f):
@@ -416,3 +417,53 @@ def document_salience(spark, d):
 def topical_recommendation(spark, d):
     units = topics.topical(_lifted(spark, d), _doc_sources(spark, d))
     return analysis.recommendations(analysis.ranked(units)).select(*analysis_sql.BEST_COLUMNS.split(", "), F.col("document_family").cast("long").alias("document_family"), F.col("intent_family").cast("long").alias("intent_family"))
+
+
+def _profiled(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The pages' profiles, and their sections scored under these: parsed once, and profiled by their scored sections."""
+    source = table(spark, d, "pages")
+    nodes = stored(html_nodes(spread(source)), "nodes")
+    units = stored(profile.page_units(nodes), "units")
+    first = profile.page_profiles(profile.evidence(nodes, source)).select("page_id", F.col("first_type").alias("page_type"))
+    judged = analysis.scored(units.join(first, "page_id")).select("page_id", "section", "score", "fluff", "useful")
+    found = stored(profile.page_profiles(profile.evidence(nodes, source, stored(judged, "judged"))), "profiles")
+    typed = units.join(found.select("page_id", "page_type", F.col("confidence").cast("long").alias("page_confidence"), "quiet"), "page_id")
+    return found, typed
+
+
+@query
+def page_profile(spark, d):
+    found, _ = _profiled(spark, d)
+    return found.select("page_id", "page_type", F.col("confidence").cast("long").alias("confidence"), "quiet", "quiet_reason", "first_type", *(F.col(c).cast("long").alias(c) for c in ("sections", "strong_sections", "article_evidence", "quiet_evidence", "conversation_evidence")))
+
+
+@query
+def page_sections(spark, d):
+    """The sections of pages, ranked under their page's own type: from the elements of the pages alone."""
+    _, units = _profiled(spark, d)
+    return analysis.ranked(analysis.scored(units)).select("page_id", "section", "page_type", "kind", "score", "is_best", "is_important")
+
+
+@query
+def html_recommendation(spark, d):
+    """The best section of each page and the confidence in it, lifted by the page's themes and salience."""
+    _, units = _profiled(spark, d)
+    source = table(spark, d, "pages").select("page_id", "url")
+    titles = units.groupBy("page_id").agg(F.min(F.struct("section", "title")).alias("x")).select("page_id", F.col("x.title").alias("title"))
+    sources = titles.join(source, "page_id", "left").select("page_id", "title", "url")
+    return analysis.recommendations(analysis.ranked(topics.topical(topics.lifted(units, sources), sources))).select(*analysis_sql.BEST_COLUMNS.split(", "))
+
+
+def _fuzzy(spark, d) -> DataFrame:
+    """The terms of the benchmark's texts and the words of documents that they may stand for."""
+    return fuzzy.fuzzy_matches(T.exploded_tokens(table(spark, d, "benchmark"), text="text").select("term"), _vocabulary(spark, d))
+
+
+@query
+def fuzzy_terms(spark, d):
+    return _fuzzy(spark, d)
+
+
+@query
+def fuzzy_best(spark, d):
+    return fuzzy.best_matches(_fuzzy(spark, d))

@@ -22,10 +22,10 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 SKIPPED = frozenset("script style noscript svg canvas template title".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table ul".split())
 BREAKS = CLOSES_P | frozenset("br dd dt li td th tr".split())  # where lines break
-TEXTS = frozenset("h1 h2 h3 h4 h5 h6 p li pre blockquote table figure".split())  # elements whose text is kept
+TEXTS = frozenset("body h1 h2 h3 h4 h5 h6 p li pre blockquote table figure".split())  # elements whose text is kept
 WORD = re.compile(C.WORD)
 WORD_CHARS = re.compile(r"[A-Za-z0-9_'-]")
-SCHEMA = "page_id long, pre int, post int, tag string, parent int, level int, text string, words int, link_words int, names string"
+SCHEMA = "page_id long, pre int, post int, tag string, parent int, level int, text string, words int, link_words int, classes string, role string"
 MOST_COPIES = 64  # kept texts of elements within elements are so many times the page's text at most; only absurd nesting goes beyond
 
 
@@ -40,7 +40,7 @@ class Nodes(HTMLParser):
         self.posts: list[int] = []
         self.begins: list[int] = []  # the piece of text with which an element begins, and the one after its end
         self.ends: list[int] = []
-        self.names: list[str] = []
+        self.names: list[tuple[str, str]] = []
         self.pieces: list[str] = []
         self.linked: list[bool] = []
         self.stack: list[int] = []
@@ -65,7 +65,8 @@ class Nodes(HTMLParser):
         self.posts.append(at)
         self.begins.append(len(self.pieces))
         self.ends.append(len(self.pieces))
-        self.names.append(" ".join(v for k, v in attrs if v and k in ("class", "id", "role")).lower())
+        of = dict(attrs)
+        self.names.append(((of.get("class") or "").lower(), (of.get("role") or "").lower()))
         if tag not in VOID:
             self.stack.append(at)
             self.opened[tag] += 1
@@ -99,7 +100,7 @@ class Nodes(HTMLParser):
             self._piece(data)
 
     def done(self) -> list[tuple]:
-        """Rows of post, tag, parent, level, text, words, link_words and names."""
+        """Rows of post, tag, parent, level, text, words, link_words, classes and role."""
         self.close()
         while self.stack:
             self._end(self.stack.pop())
@@ -112,7 +113,7 @@ class Nodes(HTMLParser):
             if tag in TEXTS and left > 0:
                 text = " ".join("".join(self.pieces[a:z]).split())
                 left -= len(text) + z - a
-            out.append((self.posts[i], tag, self.parents[i], self.levels[i], text, self._between(words, self.pieces, a, z), self._between(links, None, a, z), self.names[i]))
+            out.append((self.posts[i], tag, self.parents[i], self.levels[i], text, self._between(words, self.pieces, a, z), self._between(links, None, a, z), *self.names[i]))
         return out
 
     @staticmethod
@@ -133,7 +134,7 @@ class Nodes(HTMLParser):
 
 
 def html_nodes(pages: DataFrame) -> DataFrame:
-    """The node table of pages (page_id, html); null html has no node. names: the element's class, id and role."""
+    """The node table of pages (page_id, html); null html has no node."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [c.split(" ")[0] for c in SCHEMA.split(", ")]
@@ -142,7 +143,7 @@ def html_nodes(pages: DataFrame) -> DataFrame:
             for page, source in zip(b["page_id"].tolist(), b["html"].tolist()):
                 parser = Nodes()
                 parser.feed(source or "")
-                out += [(page, i, post, tag, parent, level, text, words, linked, names) for i, (post, tag, parent, level, text, words, linked, names) in enumerate(parser.done())]
+                out += [(page, i, *row) for i, row in enumerate(parser.done())]
             yield pd.DataFrame(out, columns=columns)
 
     return pages.select("page_id", "html").mapInPandas(run, SCHEMA)
