@@ -10,13 +10,18 @@ article, main, or a body of that name, whichever has most of the text, with larg
 
 In the main element a recurring subtree goes only if it is a container with links or few words: paragraphs that many
 articles share are text. Of a header in it, headings and paragraphs stay. A class or id is a page part's name if all its
-words are (NOT_ARTICLE), or are words of place beside one (BESIDE): `ad-slot` is, `ad-hoc` and `related-work` aren't.
+words are (NOT_ARTICLE), or are words of place or kind beside one (BESIDE), written apart, in camel case or together:
+`ad-slot`, `adBox` and `cookiebar` are, `ad-hoc` and `related-work` aren't. Names alone don't decide where an article uses
+them too: a section called `discussion` or `notice` (DOUBTFUL) stays in the main element if it is prose (few links, no
+controls, no run of like items), and other containers whose names hold such a word go if links, controls or like items
+show what they are; what holds reader comments by any class goes, unless it holds half of the page.
 
 The templates found are few where sites repeat themselves much: up to FEW_TEMPLATES they are broadcast and no page is
 shuffled; beyond, the pages' subtrees are joined with them by host and hash, and each page meets its own.
 
 Handling of special cases: null or empty html gives the empty text; unclosed, misplaced and unknown tags are accepted,
-and a quote that isn't closed before white space or the tag's end ends with the tag; reading takes time in proportion to
+and a quote that isn't closed before white space or the tag's end ends with the tag; an element of media or scripts that isn't
+closed is read as if it were empty; an unclosed comment ends with the page; reading takes time in proportion to
 the page; a null url has a host of its own (the empty name); pages without a main element or without any tag give the
 text of all they have; a form that holds half of the page's words is no form; repeated rows are answered each; very long
 pages are whole; columns of other names are left out.
@@ -28,6 +33,7 @@ import html as entities
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from heapq import nlargest
 
 import numpy as np
@@ -52,6 +58,9 @@ ENDS_P = BLOCK - frozenset("td th tr tbody thead tfoot option optgroup body html
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NOT_ARTICLE = frozenset("nav navbar navigation menu submenu sidebar aside ad ads advert adverts advertisement advertisements adsense banner promo promotion sponsor sponsored cookie cookies consent notice notices gdpr alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations comment comments commentlist commentform commentarea respond replies disqus discussion breadcrumb breadcrumbs pagination pager widget toolbar login search searchbox searchform skip footer complementary contentinfo dialog".split())
 BESIDE = frozenset("area bar block bottom box col column container content divider entry footer global group header holder inner item items left lg link links list main md mobile module outer page panel post primary region right row secondary section sections site slot sm story thread top unit wrap wrapper xs".split())
+BESIDE_KINDS = frozenset("reader readers user users article articles blog fb facebook author post posts stories button buttons btn icon icons policy inline google video native sticky mega drop dropdown side text form forms head".split())
+DOUBTFUL = frozenset("discussion search related recommended recommendations notice notices alert menu share social skip login promo promotion".split())
+COMMENTS = frozenset("comment comments commentlist commentform commentarea replies disqus".split())
 ONLY_OUTSIDE = frozenset("header masthead topbar".split())
 MAIN_NAMES = frozenset("article articlebody articlecontent post postbody postcontent entry entrycontent story storybody maincontent main content".split())
 CONTAINERS = frozenset("div section ul ol dl table figure details center header nav aside footer form".split())
@@ -62,7 +71,10 @@ NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 STOP = re.compile(r"""=\s*(["'])|>""")
 ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 WORDS = re.compile(r"[a-z]+|[0-9]+")
-RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
+HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
+TO_END = frozenset("script style textarea title".split())  # whose unclosed text goes on to the page's end
+RAW_END = {name: re.compile(rf"<(/?){name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
+FEW_LINKS, PROSE = 0.2, 8  # share of linked words, and words, of prose
 
 
 def tag_end(source: str, at: int) -> int:
@@ -80,10 +92,21 @@ def tag_end(source: str, at: int) -> int:
         at = close + 1
 
 
+@lru_cache(1 << 16)
+def part_words(token: str, names: frozenset = NOT_ARTICLE) -> tuple[frozenset, bool]:
+    """The names of page parts in a class, id or role, and whether it has no other words."""
+    known, found, whole = names | BESIDE | BESIDE_KINDS, set(), True
+    for w in WORDS.findall(HUMP.sub("-", token).lower()):
+        joint = [w] if w in known else next(([w[:k], w[k:]] for k in range(2, len(w) - 1) if w[:k] in known and w[k:] in known and not names.isdisjoint((w[:k], w[k:]))), [])
+        found.update(names.intersection(joint))
+        whole &= bool(joint) or w.isdigit()
+    return frozenset(found), whole
+
+
 def is_part(token: str, names: frozenset = NOT_ARTICLE) -> bool:
     """Whether a class, id or role names a page part."""
-    words = WORDS.findall(token)
-    return not names.isdisjoint(words) and all(w in names or w in BESIDE or w.isdigit() for w in words)
+    found, whole = part_words(token, names)
+    return bool(found) and whole
 
 
 class Page:
@@ -93,6 +116,7 @@ class Page:
         self.tags, self.attributes, self.parents, self.items = ["html"], [""], [-1], [[]]
         stack, opened = [0], Counter({"html": 1})
         last = source.rfind(">")
+        unclosed: set[str] = set()
         begin = at = 0
         while 0 <= (lt := source.find("<", at)) < last:
             after = source[lt + 1 : lt + 2]
@@ -103,8 +127,7 @@ class Page:
             if lt > begin:
                 self._text(stack[-1], source[begin:lt])
             if not found:
-                end = source.find("-->", lt + 4) + 2 if source.startswith("<!--", lt) else source.find(">", lt)
-                begin = at = end + 1 if end >= lt else len(source)
+                begin = at = self._past_comment(source, lt)
                 continue
             end = tag_end(source, found.end())
             begin = at = end + 1 if end >= 0 else len(source)
@@ -128,13 +151,41 @@ class Page:
             if name in VOID or own.endswith("/") and name in RAW:
                 continue
             if name in RAW:
-                close = RAW_END[name].search(source, at)
-                begin = at = close.end() if close else len(source)
+                begin = at = self._past_raw(source, name, at, unclosed)
                 continue
             stack.append(new)
             opened[name] += 1
         if begin < len(source):
-            self._text(stack[-1], source[begin:])
+            self._text(stack[-1], source[begin:].partition("<!--")[0])
+
+    @staticmethod
+    def _past_comment(source: str, at: int) -> int:
+        """The place after a comment or declaration."""
+        if not source.startswith("<!--", at):
+            end, mark = source.find(">", at), 1
+        elif source.startswith(("<!-->", "<!--->"), at):
+            return source.index(">", at) + 1
+        else:
+            end, mark = source.find("-->", at + 4), 3
+        return end + mark if end >= 0 else len(source)
+
+    @staticmethod
+    def _past_raw(source: str, name: str, at: int, unclosed: set[str]) -> int:
+        """The place after the end of an element that isn't read, elements of its name inside it included; unclosed: names
+        of which no end comes any more."""
+        depth, first = 1, -1
+        if name not in unclosed:
+            for m in RAW_END[name].finditer(source, at):
+                if m[1]:
+                    depth, first = depth - 1, m.end() if first < 0 else first
+                elif name not in TO_END and not m[0].endswith("/>"):
+                    depth += 1
+                if depth == 0 or m[1] and name in TO_END:
+                    return m.end()
+            if first >= 0:
+                return first
+            unclosed.add(name)
+        return len(source) if name in TO_END else at
 
     def _text(self, element: int, text: str) -> None:
         self.items[element].append(entities.unescape(text) if "&" in text else text)
@@ -161,15 +212,22 @@ class Page:
                     return
 
     def named(self, i: int) -> tuple[list[str], list[str]]:
-        """The classes and itemprops of an element, and its ids and roles, in lower case."""
+        """The classes and itemprops of an element, and its ids and roles."""
         out: tuple[list[str], list[str]] = ([], [])
         for m in ATTRIBUTE.finditer(self.attributes[i]):
-            out[m[1].lower() in ("id", "role")].extend((m[2] or m[3] or m[4] or "").lower().split())
+            out[m[1].lower() in ("id", "role")].extend((m[2] or m[3] or m[4] or "").split())
         return out
 
-    def parts(self, words: list[int]) -> list[int]:
-        """Of each element: 2 if it is no article by its tag or name, 1 for a header, 0 else."""
-        out = [0] * len(self.tags)
+    def parts(self, words: list[int], linked: list[int]) -> list[int]:
+        """Of each element: 2 if it is no article by its tag, name or features, 3 if a doubtful name holds prose, 1 for a
+        header, 0 else."""
+        n = len(self.tags)
+        out, controls, items = [0] * n, [0] * n, [0] * n
+        for i in range(n - 1, 0, -1):
+            controls[i] += self.tags[i] in ("input", "button", "select", "textarea")
+            controls[self.parents[i]] += controls[i]
+            if self.tags[i] in CONTAINERS or self.tags[i] in ("li", "article"):
+                items[self.parents[i]] += 1
         for i, tag in enumerate(self.tags):
             if tag in DROPPED:
                 out[i] = 0 if tag == "form" and 2 * words[i] >= words[0] else 2
@@ -178,7 +236,14 @@ class Page:
             elif self.attributes[i] and tag not in NEVER:
                 classes, ids = self.named(i)
                 wide = tag in CONTAINERS
-                if any(map(is_part, classes)) or wide and any(map(is_part, ids)):
+                names = [part_words(x) for x in (classes + ids if wide else classes)]
+                told = linked[i] > FEW_LINKS * words[i] or controls[i] > 0 or items[i] >= 3
+                prose = words[i] >= PROSE and not told
+                if any(whole and found - DOUBTFUL for found, whole in names) or wide and 2 * words[i] < words[0] and any(found & COMMENTS for found, _ in map(part_words, classes)):
+                    out[i] = 2
+                elif any(whole and found for found, whole in names):
+                    out[i] = 3 if prose else 2 if wide or told else 0
+                elif wide and told and 2 * words[i] < words[0] and any(found for found, _ in map(part_words, classes)):
                     out[i] = 2
                 elif wide and any(is_part(x, ONLY_OUTSIDE) for x in classes + ids):
                     out[i] = 1
@@ -211,11 +276,11 @@ class Page:
         kinds: dict[int, list[int]] = {3: [], 2: [], 1: []}
         for i, tag in enumerate(self.tags):
             up = self.parents[i]
-            gone[i] = i > 0 and (gone[up] or parts[i] == 2)
+            gone[i] = i > 0 and (gone[up] or parts[i] == 2)  # a doubtful name's prose counts where an article is looked for
             inside[i] = inside[up] if i else 0
             if gone[i] or words[i] == 0 or i == 0:
                 continue
-            names = {re.sub("[^a-z]", "", x) for x in sum(self.named(i), [])} if self.attributes[i] else set()
+            names = {re.sub("[^a-z]", "", x.lower()) for x in sum(self.named(i), [])} if self.attributes[i] else set()
             kind = 3 if tag == "article" or "articlebody" in names else 2 if tag == "main" else 1 if tag in ("div", "section", "td") and names & MAIN_NAMES else 0
             if kind and inside[up] < kind:
                 kinds[kind].append(i)
@@ -270,12 +335,12 @@ def extract(source: str, template: frozenset | set = frozenset()) -> str:
     """Main text of a page; template: hashes of the subtrees that its site repeats."""
     page = Page(source)
     hashes, words, linked = page.measured()
-    parts = page.parts(words)
+    parts = page.parts(words, linked)
     roots = page.roots(words, parts)
 
     def deleted(i: int) -> int:
-        if parts[i]:
-            return 2 if parts[i] == 2 or roots == [0] else 1
+        if parts[i] and not (parts[i] == 3 and roots != [0]):
+            return 2 if parts[i] >= 2 or roots == [0] else 1
         recurs = hashes[i] in template and (roots == [0] or page.tags[i] in CONTAINERS and (words[i] <= FEW_WORDS or linked[i] >= LINKED * words[i]))
         return 2 if recurs else 0
 
@@ -289,8 +354,8 @@ def host_of(url: str) -> F.Column:
 def subtrees(page: Page) -> dict[int, int]:
     """Hashes of the blocks with text, the main elements left out, and for each that of the longest block of the main
     elements outside of it (of the two longest; 0 if it holds both)."""
-    hashes, words, _ = page.measured()
-    roots = set(page.roots(words, page.parts(words)))
+    hashes, words, linked = page.measured()
+    roots = set(page.roots(words, page.parts(words, linked)))
     inner, leaf, last = [False] * len(page.tags), [True] * len(page.tags), list(range(len(page.tags)))
     for i, tag in enumerate(page.tags):
         inner[i] = i in roots or i > 0 and inner[page.parents[i]]

@@ -1,5 +1,6 @@
 """Main text of pages: page parts by name and by recurrence, malformed pages, a plain reading, both template look-ups."""
 
+import random
 import time
 from html.parser import HTMLParser
 
@@ -90,3 +91,58 @@ def test_a_sites_template_goes_both_ways(spark, monkeypatch):
         got = H.extract_pages(rows).collect()
         assert len(got) == 64 and {r.page_id: r.text for r in got} == want
         assert H.extract_pages(rows.limit(0)).count() == 0
+
+
+ARTICLE = "<p>" + " ".join(f"word{i}" for i in range(30)) + ".</p>"
+SENTENCE = "Here the article goes on with a sentence that says something of its own."
+
+
+@pytest.mark.parametrize("name", "reader-comments user-comments article-comments blog-comments fb-comments author-comments commentSection related-posts related-articles share-buttons social-icons cookie-policy-notice cookiebar inline-ad google-ad video-ad adbox user-menu topnav login-form".split())
+def test_parts_by_common_class_names_go(name):
+    assert "REMOVE" not in H.extract(f"<html><body><main>{ARTICLE}<div class={name}><p>REMOVE me</p></div></main></body></html>")
+
+
+@pytest.mark.parametrize("tag", ['section class="search"', 'div class="discussion"', 'div class="related"', 'section id="related-work"', 'div class="ad-hoc"', 'p class="notice"', 'span class="menu"'])
+def test_article_sections_under_doubtful_names_stay(tag):
+    assert SENTENCE in H.extract(f"<html><body><article>{ARTICLE}<{tag}>{SENTENCE}</{tag.split()[0]}></article></body></html>")
+
+
+def test_comments_of_any_name_and_lists_of_links_go():
+    comments = "".join(f"<div class=item><b>Ann {i}</b><p>{SENTENCE}</p></div>" for i in range(4))
+    for part in (f"<div class='thread-xyz-comments'>{comments}</div>", f"<div class='search'><a href=x>{SENTENCE}</a></div>", "<div class='related'><input><p>ask here for all that you want to know</p></div>", f"<div class='related-xyz'>{comments}</div>"):
+        assert SENTENCE not in H.extract(f"<body><article>{ARTICLE * 3}{part}</article></body>"), part
+    both = f"<div class=discussion><p>{SENTENCE}</p></div><div class=notice><p>{SENTENCE}</p></div>"
+    assert H.extract(f"<article>{both}</article>") == f"{SENTENCE} {SENTENCE}"
+
+
+@pytest.mark.parametrize("tag", "video svg object canvas noscript audio".split())
+def test_what_follows_an_unclosed_element_is_read(tag):
+    assert H.extract(f"<article>{ARTICLE}<{tag} src=x><p>rest of it</p></article>").endswith("rest of it")
+
+
+def test_comments_scripts_and_nested_drawings():
+    assert H.extract("<article><svg><svg>in</svg>leak</svg><p>a b</p></article>") == "a b"
+    assert H.extract("<article><!--><p>a b</p><!-- x --></article>") == "a b"
+    assert H.extract("<!-- never closed") == "" and H.extract("<article>a<!-- never") == "a"
+    assert H.extract("<article>a<script>x</script>b<script>c") == "ab"
+
+
+def test_generated_pages_keep_their_articles_and_lose_the_rest():
+    """Articles between parts under many names, each page of a host of its own: names and features alone."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(400)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    kept = lost = noise = 0
+    for _ in range(60):
+        paragraphs = [text(rng.randint(12, 60)) for _ in range(rng.randint(3, 8))]
+        parts = []
+        for name in rng.sample("reader-comments commentSection userComments related-posts shareBar social-links cookie-notice adSlot top-menu newsletter-signup".split(), 4):
+            inner = "".join(f"<div class=i><a href=#>NOISE{rng.randint(0, 99)}</a> NOISE {'NOISE ' * rng.randint(0, 9)}</div>" for _ in range(rng.randint(3, 5)))
+            parts.append(f"<div class='{name}'>{inner}</div>")
+        blocks = [f"<p>{p}</p>" for p in paragraphs] + [f"<section class='{rng.choice(['discussion', 'search', 'related'])}'><p>{(last := text(30))}</p></section>"]
+        got = H.extract(f"<body>{parts[0]}<main>{parts[1]}{''.join(blocks)}{parts[2]}</main>{parts[3]}</body>")
+        want = " ".join([*paragraphs, last])
+        kept += sum(w in got.split() for w in want.split())
+        lost += len(want.split())
+        noise += got.count("NOISE")
+    assert kept == lost and noise == 0
