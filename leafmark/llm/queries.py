@@ -11,6 +11,7 @@ from leafmark.llm.jaccard_join import op5_jaccard_join
 from leafmark.llm.language_id import op3_language_id
 from leafmark.llm.license_scan import op1_license_scan
 from leafmark.llm.near_dedup import op13_near_dedup
+from leafmark.llm.oracle import ORACLE_SQL
 from leafmark.llm.quality import op7_quality
 from leafmark.llm.sentencepiece_codec import op9_sentencepiece
 from leafmark.llm.token_files import op10_token_files
@@ -32,4 +33,4 @@ QUERIES = {
     "op13_near_dedup": op13_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
