@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leafmark import config as C
 from leafmark.functions import text as T
 from leafmark import lexicon as L
-from leafmark.operators import analysis, conversation, fuzzy, ocr, pages, profile, sections, topics
+from leafmark.operators import analysis, conversation, fuzzy, ocr, pages, profile, sections, topics, tree
 from leafmark.plans import analysis_sql, fuzzy_sql, oracle, topics_sql
 from leafmark.sources.html_nodes import html_nodes
 from leafmark.sources.storage import stored
@@ -467,3 +467,29 @@ def fuzzy_terms(spark, d):
 @query
 def fuzzy_best(spark, d):
     return fuzzy.best_matches(_fuzzy(spark, d))
+
+
+@query
+def content_root(spark, d):
+    return tree.content_root(html_nodes(spread(table(spark, d, "pages"))))
+
+
+@query
+def visible_nodes(spark, d):
+    """How many elements of each page, and words of its blocks, are in no part of little value."""
+    left = tree.visible(html_nodes(spread(table(spark, d, "pages"))))
+    return left.groupBy("page_id").agg(F.count(F.lit(1)).alias("nodes"), F.sum(F.when(F.col("tag").isin(*pages.BLOCKS), F.col("words")).otherwise(0)).cast("long").alias("words"))
+
+
+@query
+def visible_headings(spark, d):
+    """The headings of pages that are under none of every fourth heading of the first three levels, taken as collapsed."""
+    heads = pages.headings(html_nodes(spread(table(spark, d, "pages"))))
+    return tree.visible_sections(heads.withColumn("collapsed", (F.col("level") < 4) & (F.pmod("pos", F.lit(4)) == 0)))
+
+
+@query
+def message_blocks(spark, d):
+    """The elements of pages that stand for whole messages: paragraphs, list items, quotes and what holds them, each once."""
+    nodes = html_nodes(spread(table(spark, d, "pages"))).filter(F.col("tag").isin("p", "li", "blockquote", "pre", "article", "section") & (F.col("words") >= 3))
+    return tree.without_nested(nodes.withColumn("has_role", F.col("tag").isin("p", "blockquote")))

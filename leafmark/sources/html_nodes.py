@@ -25,7 +25,7 @@ BREAKS = CLOSES_P | frozenset("br dd dt li td th tr".split())  # where lines bre
 TEXTS = frozenset("body h1 h2 h3 h4 h5 h6 p li pre blockquote table figure".split())  # elements whose text is kept
 WORD = re.compile(C.WORD)
 WORD_CHARS = re.compile(r"[A-Za-z0-9_'-]")
-SCHEMA = "page_id long, pre int, post int, tag string, parent int, level int, text string, words int, link_words int, classes string, role string"
+SCHEMA = "page_id long, pre int, post int, tag string, parent int, level int, text string, words int, link_words int, classes string, role string, ident string"
 MOST_COPIES = 64  # kept texts of elements within elements are so many times the page's text at most; only absurd nesting goes beyond
 
 
@@ -40,7 +40,7 @@ class Nodes(HTMLParser):
         self.posts: list[int] = []
         self.begins: list[int] = []  # the piece of text with which an element begins, and the one after its end
         self.ends: list[int] = []
-        self.names: list[tuple[str, str]] = []
+        self.names: list[tuple[str, str, str]] = []
         self.pieces: list[str] = []
         self.linked: list[bool] = []
         self.stack: list[int] = []
@@ -66,7 +66,7 @@ class Nodes(HTMLParser):
         self.begins.append(len(self.pieces))
         self.ends.append(len(self.pieces))
         of = dict(attrs)
-        self.names.append(((of.get("class") or "").lower(), (of.get("role") or "").lower()))
+        self.names.append(tuple((of.get(k) or "").lower() for k in ("class", "role", "id")))
         if tag not in VOID:
             self.stack.append(at)
             self.opened[tag] += 1
@@ -100,7 +100,7 @@ class Nodes(HTMLParser):
             self._piece(data)
 
     def done(self) -> list[tuple]:
-        """Rows of post, tag, parent, level, text, words, link_words, classes and role."""
+        """Rows of post, tag, parent, level, text, words, link_words, classes, role and ident."""
         self.close()
         while self.stack:
             self._end(self.stack.pop())
