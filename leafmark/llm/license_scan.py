@@ -4,8 +4,10 @@ Sparse multinomial logistic regression on all word n-grams (1 to 3) of a candida
 apart; an unknown class and a least probability keep doubtful paragraphs `unknown`. Probabilities are calibrated by a
 temperature, and the least one is chosen, on templates that the judging model hasn't seen (FOLDS of whole templates);
 below it a prediction stands only if it is confirmed.
-A prediction is confirmed if one template of the family has a share CONFIRM of the n-grams with a licence word (STEMS),
-of the template's own or of the paragraph's, whichever are fewer. The model learns from the templates below, variants of
+A prediction is confirmed if one template of the family has a share CONFIRM of the telling n-grams, of the template's own or
+of the paragraph's, whichever are fewer, and no other family has as many n-grams of its own in the paragraph. Telling are
+n-grams with a licence word (STEMS) that templates of at most FEW_FAMILIES families hold, and in a paragraph also those
+that none holds: what all notices say confirms nothing. Other licences (OTHERS) teach the unknown class. The model learns from the templates below, variants of
 them and lines of prose, on the driver, and never sees the corpus; its vocabulary is bounded by the templates, so it is
 broadcast; n-grams that it doesn't hold have no weight.
 
@@ -31,8 +33,9 @@ from pyspark.sql import functions as F
 from leafmark.llm.common import read_table
 
 UNKNOWN = "unknown"
-CONFIRM, LIKELY = 0.6, 0.4  # share of n-grams; probability that a confirmed prediction needs
+CONFIRM, LIKELY = 0.6, 0.35  # share of n-grams; probability that a confirmed prediction needs
 MOST_WORDS = 3
+FEW_FAMILIES = 4
 
 # Stems of legal words, and short notices of well-known licences.
 STEMS = ("licen", "copyright", "warrant", "redistribut", "permission", "permit", "creative commons", "cc by", "cc0", "public domain", "rights reserved", "spdx", "gnu", "apache", "mozilla", "bsd", " gpl", " lgpl", " agpl", " mpl", "sharealike", "noncommercial", "noderiv", "attribution non", "attribution share", "attribution no ")
@@ -57,6 +60,14 @@ TEMPLATES = {
     "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "If a copy of the MPL was not distributed with this file, you can obtain one at the Mozilla site; this license applies.", "SPDX-License-Identifier: MPL-2.0", "Released under the Mozilla Public License 2.0.", "MPL 2.0", "Released under MPL 2.0."],
     UNKNOWN: ["All rights reserved.", "Copyright by the authors. All rights reserved.", "The driver lost the licence after the accident.", "A fishing license costs ten dollars and is valid for one year.", "Please ask for permission before you enter the room.", "The city council permitted the construction of the bridge.", "The warranty covers parts and labour for two years.", "He studied at the MIT laboratory before the war.", "The apache helicopter landed near the village.", "The gnu crossed the river with the herd.", "Copyright law protects authors for seventy years.", "Police had a warrant for the house.", "The song entered the public domain last year, the museum said.", "A licence fee pays for the programme.", "License plate numbers were written down.", "The license was renewed.", "Licensed under a contract.", "It is licensed under other terms.", "Licensed under seal.", "Released under licence.", "Available under license.", "See the license for details.", "A license is needed here.", "The author holds the copyright.", "You may read the license agreement.", "With permission of the author.", "Reproduction without written permission is forbidden.", "This document is distributed under a license agreement between the parties."],
 }
+# Notices of licences of other families, which are unknown here.
+OTHERS = """
+SPDX-License-Identifier: {}
+Licensed under the {}.
+Released under the {} license.
+"""
+OTHER_NAMES = ["EPL-2.0", "EUPL, Version 1.2", "EUPL-1.2", "Zlib", "MIT-0", "BSD-2-Clause", "2-clause BSD", "0BSD", "CC BY-NC-ND 4.0", "CC-BY-NC-ND-4.0", "Unlicense", "Artistic-2.0", "MS-PL", "Microsoft Public License", "ODbL-1.0", "Open Database License", "GFDL-1.3", "GNU Free Documentation License, Version 1.3", "OFL-1.1", "BSL-1.0", "Boost Software License", "WTFPL", "CDDL-1.0", "Eclipse Public License, Version 2.0", "European Union Public Licence", "Python-2.0", "PostgreSQL"]
+TEMPLATES[UNKNOWN] += [OTHERS.strip().split("\n")[i % 3].format(name) for i, name in enumerate(OTHER_NAMES)]
 FAMILIES = sorted(TEMPLATES)
 PROSE = "the of and to a in is that it was for on as with he be at by this had not are but from have they which you were all an there been one who their more if no out so said what up its about into than them can only other new some time could these two may then do first any my now such like our over me even most made after also did many before must through years where much your way well down should because each just those people how too little state good very make world still own see men work long here get both between life being under never day same another know".split()
 
@@ -91,9 +102,20 @@ def _variants(text: str, rng: np.random.Generator) -> list[str]:
 
 
 LINES = [(f, t) for f in FAMILIES for t in TEMPLATES[f]]  # templates by number
+KNOWN = [(f, t) for f, t in LINES if f != UNKNOWN]  # those that confirm
 FOLDS = 4
 
 
+@lru_cache
+def telling() -> dict[str, int]:
+    """The n-grams with a licence word that templates of few families hold: the family's number, or -1 if there are several."""
+    found: dict[str, set[int]] = {}
+    for f, t in KNOWN:
+        for g in ngrams(tokens(t)):
+            found.setdefault(g, set()).add(FAMILIES.index(f))
+    return {g: min(k) if len(k) == 1 else -1 for g, k in found.items() if len(k) <= FEW_FAMILIES and is_legal(g)}
+
+
 @lru_cache
 def model() -> tuple[dict[str, tuple[list[float], list[int]]], list[float], float, float]:
     """For each n-gram of the vocabulary its weights and whether each template has it; biases; the temperature; the least
@@ -118,7 +140,7 @@ def model() -> tuple[dict[str, tuple[list[float], list[int]]], list[float], floa
     # the least probability above which nine of ten predictions on unseen templates are right
     least = next((t for t in np.arange(0.2, 0.95, 0.05) if right[best >= t].mean() >= 0.9), 0.95)
     w, b = _fit(x, y)
-    own = [set(ngrams(tokens(t))) for _, t in LINES]
+    own = [telling().keys() & set(ngrams(tokens(t))) for _, t in KNOWN]
     return {g: ([round(float(v), 6) for v in w[i]], [int(g in o) for o in own]) for g, i in at.items()}, [round(float(v), 6) for v in b], round(float(temperature), 4), round(float(least), 2)
 
 
@@ -149,7 +171,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of doc_id, paragraph (its number from 0), family, probability, template_share and confirmed."""
     spark = docs.sparkSession
     table, bias, temperature, least = model()
-    vocabulary = spark.createDataFrame([(g, w, t) for g, (w, t) in sorted(table.items())], "gram string, w array<double>, t array<int>")
+    tells = telling()
+    vocabulary = spark.createDataFrame([(g, w, t, tells.get(g, -1), g in tells) for g, (w, t) in sorted(table.items())], "gram string, w array<double>, t array<int>, tells int, few boolean")
     lines = docs.filter(has_stem(F.col(text))).select(F.col(key).alias("doc_id"), F.posexplode(F.split(F.regexp_replace(text, BREAK, " "), "\n")).alias("paragraph", "line")).filter(has_stem(F.col("line"))).dropDuplicates(["doc_id", "paragraph", "line"])
     plain = F.trim(F.regexp_replace(F.lower("line"), "[^a-z0-9]+", " "))
     padded = F.concat(F.lit(" "), plain, F.lit(" "))
@@ -163,10 +186,10 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     met = featured.join(F.broadcast(vocabulary), "gram", "left")
     k = len(FAMILIES)
     known = F.col("w").isNotNull().cast("int")
-    sums = met.groupBy("doc_id", "paragraph", "line").agg(F.greatest(F.lit(1), F.sum(known)).alias("n"), F.greatest(F.lit(1), F.sum("legal")).alias("m"), *(F.coalesce(F.sum(F.col("w")[i]), F.lit(0.0)).alias(f"w{i}") for i in range(k)), *(F.coalesce(F.sum(F.col("t")[i] * F.col("legal")), F.lit(0)).alias(f"t{i}") for i in range(len(LINES))))
-    sizes = [max(1, sum(is_legal(g) for g in ngrams(tokens(t)))) for _, t in LINES]
-    share = lambda f: F.greatest(F.lit(0.0), *(F.col(f"t{j}") / F.least(F.col("m"), F.lit(sizes[j])) for j, (g, _) in enumerate(LINES) if g == f))
-    logits = sums.select("doc_id", "paragraph", F.array(*(F.struct(((F.col(f"w{i}") / F.sqrt("n") + bias[i]) / temperature).alias("z"), F.lit(-i).alias("k"), F.lit(f).alias("family"), share(f).alias("share")) for i, f in enumerate(FAMILIES))).alias("z"))
+    sums = met.groupBy("doc_id", "paragraph", "line").agg(F.greatest(F.lit(1), F.sum(known)).alias("n"), F.greatest(F.lit(1), F.sum(F.when(F.col("w").isNull() | F.col("few"), F.col("legal")).otherwise(0))).alias("m"), *(F.sum((F.col("tells") == i).cast("int")).alias(f"f{i}") for i in range(k)), *(F.coalesce(F.sum(F.col("w")[i]), F.lit(0.0)).alias(f"w{i}") for i in range(k)), *(F.coalesce(F.sum(F.col("t")[i] * F.col("legal")), F.lit(0)).alias(f"t{i}") for i in range(len(KNOWN))))
+    sizes = [max(1, len(tells.keys() & set(ngrams(tokens(t))))) for _, t in KNOWN]
+    share = lambda f: F.greatest(F.lit(0.0), F.lit(-1.0), *(F.col(f"t{j}") / F.least(F.col("m"), F.lit(sizes[j])) for j, (g, _) in enumerate(KNOWN) if g == f))
+    logits = sums.select("doc_id", "paragraph", F.array(*(F.struct(((F.col(f"w{i}") / F.sqrt("n") + bias[i]) / temperature).alias("z"), F.lit(-i).alias("k"), F.lit(f).alias("family"), F.when(_leads(i, k), share(f)).otherwise(0.0).alias("share")) for i, f in enumerate(FAMILIES))).alias("z"))
     best = F.array_max("z")
     total = F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x["z"] - best["z"]))
     scored = logits.select("doc_id", "paragraph", best.alias("best"), (1 / total).alias("p"))
@@ -175,6 +198,13 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return scored.select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), F.when(sure, F.col("best.family")).otherwise(UNKNOWN).alias("family"), F.round("p", 6).alias("probability"), F.round(agreed, 6).alias("template_share"), (agreed >= CONFIRM).alias("confirmed"))
 
 
+def _leads(i: int, k: int) -> Column:
+    """Whether no other family has as many n-grams of its own in the paragraph as family i."""
+    count = lambda j: F.coalesce(F.col(f"f{j}"), F.lit(0))
+    most = F.greatest(F.lit(0), F.lit(0), *(count(j) for j in range(k) if j != i))
+    return (most == 0) | (count(i) > most)
+
+
 def _any(tests: list[Column]) -> Column:
     out = tests[0]
     for t in tests[1:]:

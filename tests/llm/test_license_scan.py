@@ -27,3 +27,22 @@ def test_wrapped_and_surrounded_notices(spark):
     prose = "the day was long and the people of the town said that it was good " * 4
     got = families(spark, [wrapped, comment, prose + "Licensed under the MIT license. " + prose, "license qqq zzz", "an example of simple things", "licensed under qqq"])
     assert got == {(0, 0): "cc-by-nc", (1, 0): "apache-2.0", (2, 0): "mit", (3, 0): "unknown", (5, 0): "unknown"}
+
+
+OTHERS = ["Licensed under the EUPL, Version 1.2.", "SPDX-License-Identifier: EPL-2.0", "SPDX-License-Identifier: Zlib", "SPDX-License-Identifier: BSD-2-Clause", "Licensed under CC BY-NC-ND 4.0.", "SPDX-License-Identifier: Ruby", "Licensed under the Sleepycat License."]
+
+
+def test_other_licences_confirm_no_family(spark):
+    found = license_scan.scan(spark.createDataFrame(list(enumerate(OTHERS)), "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.family, r.confirmed) for r in found} == {i: ("unknown", False) for i in range(len(OTHERS))}
+
+
+def test_a_sentence_about_two_licences_is_no_notice(spark):
+    (row,) = license_scan.scan(spark.createDataFrame([(1, "The Apache License is often compared with the MIT License.")], "doc_id long, text string")).collect()
+    assert not row.confirmed
+
+
+def test_ties_repeats_and_clashing_columns(spark):
+    rows = [(1, "Released under the MIT License.", "a", 0.5)] * 2 + [(2, "Released under the MIT License.", "b", 0.1)]
+    found = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, family string, probability double")).collect()
+    assert sorted((r.doc_id, r.family, r.confirmed) for r in found) == [(1, "mit", True), (2, "mit", True)]

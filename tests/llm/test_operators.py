@@ -195,7 +195,11 @@ def test_license_scan_is_native_and_finds_families(spark, docs):
 
 def test_license_scores_equal_brute_force(spark):
     table, bias, temperature, least = license_scan.model()
-    legal = [{g for g in license_scan.ngrams(license_scan.tokens(t)) if license_scan.is_legal(g)} for _, t in license_scan.LINES]
+    held = {}
+    for f, t in license_scan.LINES:
+        for g in license_scan.ngrams(license_scan.tokens(t)):
+            held.setdefault(g, set()).update({f} - {"unknown"})
+    legal = [{g for g in license_scan.ngrams(license_scan.tokens(t)) if license_scan.is_legal(g) and len(held[g]) <= 4} for f, t in license_scan.LINES]
     lines = [t for _, t in license_scan.LINES] + ["A license for the museum and its garden", "text Licensed under the Apache License and the MIT License text"]
     found = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
     assert len(found) == len(lines)
@@ -204,8 +208,11 @@ def test_license_scores_equal_brute_force(spark):
         known = [g for g in grams if g in table]
         z = (np.array(bias) + sum((np.array(table[g][0]) for g in known), np.zeros(len(bias))) / math.sqrt(max(1, len(known)))) / temperature
         p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
-        family, own = license_scan.FAMILIES[int(p.argmax())], {g for g in grams if license_scan.is_legal(g)}
+        family, own = license_scan.FAMILIES[int(p.argmax())], {g for g in grams if license_scan.is_legal(g) and (g not in table or 1 <= len(held.get(g, ())) <= 4)}
+        told = collections.Counter(min(held[g]) for g in own if len(held.get(g, ())) == 1)
         share = max(len(own & t) / max(1, min(len(own), len(t))) for (f, _), t in zip(license_scan.LINES, legal) if f == family)
+        others = max([0, *(n for f, n in told.items() if f != family)])
+        share *= others == 0 or told[family] > others
         if family == license_scan.UNKNOWN or p.max() < least and not (p.max() >= license_scan.LIKELY and share >= license_scan.CONFIRM):
             family, share = license_scan.UNKNOWN, 0
         assert math.isclose(found[i].probability, p.max(), abs_tol=1e-5) and found[i].family == family
