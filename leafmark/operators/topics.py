@@ -34,18 +34,32 @@ def theme_term(c: Column) -> Column:
 
 def theme_tokens(c: Column) -> Column:
     """The distinct theme terms of a text's words, in order."""
-    return F.array_distinct(F.filter(F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(C.THEME_TOKEN), 0), theme_term), lambda t: t.isNotNull()))
+    return F.array_distinct(F.filter(F.transform(F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(C.THEME_TOKEN), 0), F.lower), _theme_word), lambda t: t.isNotNull()))
 
 
-def phrases(tokens: Column, size: int) -> Column:
-    """Distinct runs of so many of the terms that are single words."""
-    single = F.filter(tokens, lambda t: ~F.contains(t, F.lit(" ")))
-    made = F.transform(F.sequence(F.lit(1), F.size(single) - (size - 1)), lambda i: F.array_join(F.slice(single, i, size), " "))
-    return F.array_distinct(F.when(F.size(single) >= size, made).otherwise(F.array().cast("array<string>")))
+def _theme_word(t: Column) -> Column:
+    """theme_term() of a word of three characters or more in lower case; most have nothing to be split at."""
+    return F.when(F.contains(t, F.lit("-")) | F.contains(t, F.lit("_")), theme_term(t)).when(~t.isin(C.THEME_STOP_WORDS), t)
+
+
+def single_words(tokens: Column) -> Column:
+    return F.filter(tokens, lambda t: ~F.contains(t, F.lit(" ")))
+
+
+def phrases(single: Column, size: int) -> Column:
+    """Distinct runs of so many of the single words: neighbours meet by shifted arrays, so the work grows with the words.
+    single should be a column of a table, since it is read several times."""
+    n = F.greatest(F.lit(0), F.size(single) - (size - 1))
+    made = F.slice(single, F.lit(1), n)
+    for k in range(1, size):
+        made = F.zip_with(made, F.slice(single, F.lit(k + 1), n), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.array_distinct(made)
 
 
 def technical_terms(c: Column) -> Column:
-    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(C.java_bounds(C.THEME_TECHNICAL)), 0)
+    # such terms begin a word, and after small letters go on with none: this is asked first
+    pattern = C.java_bounds(C.THEME_TECHNICAL.replace("{B}", r"(?<!\w)(?=[a-z]*+[A-Z0-9_.-])", 1))
+    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(pattern), 0)
     return F.array_distinct(F.filter(F.transform(found, theme_term), lambda t: t.isNotNull()))
 
 
@@ -55,11 +69,16 @@ def url_text(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(bare, r"(?i)\.[a-z]{2,}(?:/|$)", " "), "[/_-]+", " ")
 
 
-def _entries(c: Column, weight: int, at: Column) -> Column:
-    """Array of (term, weight, at) of a text's tokens and, one heavier, of its first phrases of two."""
-    tokens = theme_tokens(c)
-    one = lambda w, shift: lambda t, i: F.struct(t.alias("term"), F.lit(w).alias("weight"), (at + shift + i).alias("at"))
-    return F.concat(F.transform(tokens, one(weight, 0)), F.transform(F.slice(phrases(tokens, 2), 1, C.MOST_PHRASES), one(weight + 1, 1 << 20)))
+def with_tokens(rows: DataFrame, text: Column, name: str) -> DataFrame:
+    """rows with a text's theme terms (name) and those of one word (name_single) as columns, made once."""
+    return rows.withColumn(name, theme_tokens(text)).withColumn(f"{name}_single", single_words(F.col(name)))
+
+
+def _entries(name: str, weight: int, at: Column) -> Column:
+    """Array of (term, weight, at) of a text's tokens (as with_tokens() names them) and, one heavier, of its first phrases
+    of two."""
+    one = lambda w, shift: lambda t, i: F.struct(t.alias("term"), F.lit(w).cast("long").alias("weight"), (at + shift + i).alias("at"))
+    return F.concat(F.transform(F.col(name), one(weight, 0)), F.transform(F.slice(phrases(F.col(f"{name}_single"), 2), 1, C.MOST_PHRASES), one(weight + 1, 1 << 20)))
 
 
 # ---------------------------------------------------------------- themes of a page
@@ -75,31 +94,35 @@ def theme_terms(sections: DataFrame, sources: DataFrame) -> DataFrame:
     """page_id, term, weight, sources and rank of at most MOST_THEMES terms of each page. sections: page_id, section, title,
     body and, for conversations, role; sources: page_id, title, url (a row for each page)."""
     w = C.THEME_WEIGHTS
-    read = sections.select("page_id", "section", F.coalesce("title", F.lit("")).alias("title"), F.concat_ws(" ", "title", "body").alias("text"), F.coalesce("body", F.lit("")).alias("body"), F.col("role") if "role" in sections.columns else F.lit("").alias("role"))
+    top = lambda *order: F.row_number().over(Window.partitionBy("page_id").orderBy(*order))
 
     def listed(rows: DataFrame, entries: Column, source: str) -> DataFrame:
         return rows.select("page_id", F.explode(entries).alias("e")).select("page_id", "e.term", F.col("e.weight").cast("long").alias("weight"), F.col("e.at").cast("long").alias("at"), F.lit(source).alias("source"))
 
-    parts = [listed(sources, _entries(F.col("title"), w["title"], _stage(0)), "title")]
-    address = theme_tokens(url_text(F.col("url")))
-    in_url = F.slice(F.concat(address, phrases(address, 2)), 1, C.MOST_URL_TERMS)
-    parts.append(listed(sources, F.transform(in_url, lambda t, i: F.struct(t.alias("term"), F.lit(w["url"]).alias("weight"), (_stage(1) + i).alias("at"))), "url"))
-    parts.append(listed(read.filter("title <> ''"), _entries(F.col("title"), w["heading"], _stage(2, F.col("section"))), "heading"))
-    # phrases that two sections or more share
-    tokens = theme_tokens(F.col("text"))
-    met = read.select("page_id", "section", F.posexplode(F.concat(phrases(tokens, 2), phrases(tokens, 3))).alias("i", "term"))
-    shared = met.groupBy("page_id", "term").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("section", "i")).alias("first")).filter("n >= 2")
-    top = lambda *order: F.row_number().over(Window.partitionBy("page_id").orderBy(*order))
-    kept = shared.withColumn("k", top(F.desc("n"), F.desc(F.length("term")), "first")).filter(F.col("k") <= C.MOST_REPEATED)
-    parts.append(kept.select("page_id", "term", F.least(F.lit(5), F.col("n") + 2).cast("long").alias("weight"), (_stage(3) + F.col("k")).cast("long").alias("at"), F.lit("repeated_phrase").alias("source")))
-    named = read.select("page_id", "section", F.posexplode(technical_terms(F.col("text"))).alias("i", "term")).groupBy("page_id", "term").agg(F.min(F.struct("section", "i")).alias("first"))
-    first = named.withColumn("k", top("first")).filter(F.col("k") <= C.MOST_TECHNICAL)
-    parts.append(first.select("page_id", "term", F.lit(w["technical"]).cast("long").alias("weight"), (_stage(4) + F.col("k")).cast("long").alias("at"), F.lit("technical").alias("source")))
-    asked = read.filter("role = 'user'").withColumn("k", top(F.desc("section"))).filter("k <= 2")
-    parts.append(listed(asked, _entries(F.when(F.col("body") != "", F.col("body")).otherwise(F.col("title")), w["latest_question"], _stage(5, F.col("k"))), "latest_question"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    named = with_tokens(with_tokens(sources, F.col("title"), "in_title"), url_text(F.col("url")), "in_url")
+    address = F.slice(F.concat("in_url", phrases(F.col("in_url_single"), 2)), 1, C.MOST_URL_TERMS)
+    found = listed(named, _entries("in_title", w["title"], _stage(0)), "title")
+    found = found.unionByName(listed(named, F.transform(address, lambda t, i: F.struct(t.alias("term"), F.lit(w["url"]).alias("weight"), (_stage(1) + i).alias("at"))), "url"))
+    # Sections are read once and meet by page; each gives the terms of its title, its phrases and its technical terms,
+    # whose first place is their section's number and their place in it.
+    title = F.coalesce("title", F.lit(""))
+    read = sections.select("page_id", "section", title.alias("title"), F.concat_ws(" ", "title", "body").alias("text")).repartition("page_id")
+    split = with_tokens(with_tokens(read, F.col("title"), "heading"), F.col("text"), "words").withColumn("technical", technical_terms(F.col("text")))
+    place = F.shiftleft(F.col("section").cast("long"), 32)
+    bare = lambda k: lambda t, i: F.struct(F.lit(k).alias("kind"), t.alias("term"), F.lit(0).cast("long").alias("weight"), (place + i).alias("at"))
+    heads = F.transform(_entries("heading", w["heading"], _stage(2, F.col("section"))), lambda e: F.struct(F.lit("heading").alias("kind"), e["term"].alias("term"), e["weight"].alias("weight"), e["at"].alias("at")))
+    runs = F.transform(F.concat(phrases(F.col("words_single"), 2), phrases(F.col("words_single"), 3)), bare("repeated_phrase"))
+    met = split.select("page_id", F.explode(F.concat(heads, runs, F.transform("technical", bare("technical")))).alias("e")).select("page_id", "e.*")
+    counted = met.groupBy("page_id", "kind", "term").agg(F.count(F.lit(1)).alias("n"), F.max("weight").alias("weight"), F.min("at").alias("at")).filter("kind <> 'repeated_phrase' or n >= 2")
+    shared = F.col("kind") == "repeated_phrase"
+    order = Window.partitionBy("page_id", "kind").orderBy(F.when(shared, -F.col("n")), F.when(shared, -F.length("term")), "at")
+    kept = counted.withColumn("k", F.row_number().over(order).cast("long")).filter(f"k <= case kind when 'repeated_phrase' then {C.MOST_REPEATED} when 'technical' then {C.MOST_TECHNICAL} else k end")
+    weight = F.when(shared, F.least(F.lit(5), F.col("n") + 2)).when(F.col("kind") == "technical", w["technical"]).otherwise(F.col("weight"))
+    at = F.when(shared, _stage(3) + F.col("k")).when(F.col("kind") == "technical", _stage(4) + F.col("k")).otherwise(F.col("at"))
+    found = found.unionByName(kept.select("page_id", "term", weight.cast("long").alias("weight"), at.cast("long").alias("at"), F.col("kind").alias("source")))
+    if "role" in sections.columns:
+        asked = sections.filter("role = 'user'").select("page_id", "section", F.when(F.col("body") != "", F.col("body")).otherwise(title).alias("text")).withColumn("k", top(F.desc("section"))).filter("k <= 2")
+        found = found.unionByName(listed(with_tokens(asked, F.col("text"), "asked"), _entries("asked", w["latest_question"], _stage(5, F.col("k"))), "latest_question"))
     best = found.groupBy("page_id", "term").agg(F.max("weight").alias("weight"), F.min("at").alias("at"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
     ranked = best.withColumn("rank", top(F.desc("weight"), F.desc(F.length("term")), "at")).filter(F.col("rank") <= C.MOST_THEMES)
     return ranked.select("page_id", "term", "weight", "sources", F.col("rank").cast("long").alias("rank"))
@@ -108,13 +131,14 @@ def theme_terms(sections: DataFrame, sources: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- lifts
 
 
-def _haystack(c: Column) -> Column:
-    """A text as theme terms are written, between spaces."""
+def _with_haystack(rows: DataFrame, c: Column) -> DataFrame:
+    """rows with a text as theme terms are written, between spaces (hay)."""
     low = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"https?://[^ ]+", " ")
     plain = F.regexp_replace(F.regexp_replace(low, "[_-]+", " "), r"[^a-z0-9./+#]+", " ")
     parts = F.filter(F.split(plain, " +"), lambda p: (p != "") & ~p.isin(C.THEME_STOP_WORDS))
-    joined = F.array_join(parts, " ")
-    return F.when(F.length(joined) >= F.when(F.size(parts) == 1, 3).otherwise(7), F.concat(F.lit(" "), joined, F.lit(" "))).otherwise("  ")
+    joined = rows.withColumn("parts", parts).withColumn("joined", F.array_join("parts", " "))
+    enough = F.length("joined") >= F.when(F.size("parts") == 1, 3).otherwise(7)
+    return joined.withColumn("hay", F.when(enough, F.concat(F.lit(" "), "joined", F.lit(" "))).otherwise("  ")).drop("parts", "joined")
 
 
 def _stands_in(term: Column, hay: Column) -> Column:
@@ -127,7 +151,7 @@ def lifted_by_themes(scored: DataFrame, themes: DataFrame) -> DataFrame:
     terms = themes.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("rank", "term", "weight"))).alias("themes"))
     blocks = Window.partitionBy("page_id")
     wanted = F.coalesce(*(F.max(F.when(F.col("search_block") == b, F.lit(b))).over(blocks) for b in L.WANTED_BLOCKS[:-1]), F.lit(L.WANTED_BLOCKS[-1]))
-    read = scored.join(terms, "page_id", "left").withColumn("wanted_block", wanted).withColumn("hay", _haystack(F.concat_ws(" ", "title", "body")))
+    read = _with_haystack(scored.join(terms, "page_id", "left").withColumn("wanted_block", wanted), F.concat_ws(" ", "title", "body"))
     skip = F.expr(L.UNLIFTED)
     matched = F.when(~skip & F.col("themes").isNotNull(), F.slice(F.filter("themes", lambda t: _stands_in(t["term"], F.col("hay"))), 1, C.MOST_MATCHED)).otherwise(F.array().cast("array<struct<rank:bigint,term:string,weight:bigint>>"))
     made = read.withColumn("matched_themes", matched).withColumn("intent_weight", F.when(~skip, F.expr(L.INTENT_WEIGHT)).otherwise(0))
