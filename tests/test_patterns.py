@@ -45,3 +45,10 @@ def test_plan_of_recommendations_stays_small(spark):
     units = spark.createDataFrame([(1, 0, "a", "b")], "page_id long, section long, title string, body string")
     plan = analysis.recommendations(analysis.ranked(analysis.scored(units)))._jdf.queryExecution().optimizedPlan()
     assert len(plan.toString()) < 100_000
+
+
+def test_distinctive_terms_are_dealt_by_page_only(spark):
+    from leafmark.plans.registry import QUERIES
+
+    plan = QUERIES["distinctive_terms"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(page_id" in plan and "section#" not in "".join(x.split(")")[0] for x in plan.split("hashpartitioning(")[1:])
