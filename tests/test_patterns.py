@@ -52,3 +52,36 @@ def test_distinctive_terms_are_dealt_by_page_only(spark):
 
     plan = QUERIES["distinctive_terms"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(page_id" in plan and "section#" not in "".join(x.split(")")[0] for x in plan.split("hashpartitioning(")[1:])
+
+
+def test_patterns_searched_together_equal_each_one_alone(spark):
+    rng = random.Random(6)
+    tests = [(f"p{k}", "t", P.bounded(f"w{k}(?:x|y z)?")) for k in range(19)] + [("free", "t", P.free("^w1{B}"))]
+    rows = [(i, " ".join(f"w{rng.randint(0, 60)}{rng.choice(['', 'x', 'y z', '_'])}" for _ in range(rng.randint(0, 6)))) for i in range(1500)]
+    made = P.found({"t": F.col("t")}, tests)
+    for i, t, f in spark.createDataFrame(rows, "i long, t string").select("i", "t", made.alias("f")).collect():
+        assert tuple(f) == tuple(re.search(p, t, re.A) is not None for _, _, p in tests)
+
+
+def test_repeats_of_clean_texts_equal_those_of_any(spark):
+    rng = random.Random(7)
+    rows = [("".join(rng.choice(["This is one sentence here", "another SENTENCE of İ words", "ΑΣ short", "third one ​ with ‌ gaps in it"]) + rng.choice([". ", "! ", "?\n", ".", " ​. ", ".​ ", " . ﻿ "]) for _ in range(rng.randint(0, 9))),) for _ in range(1500)]
+    clean = T.clean_text(F.col("t"))
+    read = spark.createDataFrame(rows, "t string").select("t", T.repeats(clean).alias("a"), T.repeats_of_clean(F.lower(clean)).alias("b"))
+    assert read.filter("a <> b").count() == 0 and read.filter("b > 0").count() > 100
+
+
+def test_titles_need_no_more_than_the_first_words(spark):
+    from leafmark.plans import registry, topics_sql
+
+    rng = random.Random(8)
+    rows = [(i, "".join(rng.choice(["ab", "c.", " ", "\n", "​", "　", "﻿", "\x1c", "é"]) for _ in range(rng.randint(0, 60)))) for i in range(3000)] + [(-1, None)]
+    texts = spark.createDataFrame(rows, "page_id long, text string")
+    whole = texts.select("page_id", F.regexp_extract(T.clean_text(F.col("text")), topics_sql.FIRST_WORDS, 0).alias("plain"))
+    assert registry._titled(texts).join(whole, "page_id").filter("title <> plain").count() == 0
+
+
+def test_words_of_units_are_those_of_title_and_body(spark):
+    units = spark.createDataFrame([(1, 0, "It's a", "well-known  x_1 ​ é 'q -"), (1, 1, None, None), (1, 2, "", "b")], "page_id long, section long, title string, body string")
+    got = analysis.flags(units).orderBy("section").select("words", "body_words").collect()
+    assert [tuple(r) for r in got] == [(5, 3), (0, 0), (1, 1)]
