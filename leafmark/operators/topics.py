@@ -47,13 +47,36 @@ def single_words(tokens: Column) -> Column:
 
 
 def phrases(single: Column, size: int) -> Column:
-    """Distinct runs of so many of the single words: neighbours meet by shifted arrays, so the work grows with the words.
-    single should be a column of a table, since it is read several times."""
+    """Runs of so many of the single words, which are distinct and so are they: neighbours meet by shifted arrays, so the work
+    grows with the words. single should be a column of a table, since it is read several times."""
     n = F.greatest(F.lit(0), F.size(single) - (size - 1))
     made = F.slice(single, F.lit(1), n)
     for k in range(1, size):
         made = F.zip_with(made, F.slice(single, F.lit(k + 1), n), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.array_distinct(made)
+    return made
+
+
+def _pairs(single: Column) -> Column:
+    """Hashes of neighbouring single words, as many as phrases(single, 2)."""
+    n = F.greatest(F.lit(0), F.size(single) - 1)
+    return F.zip_with(F.slice(single, F.lit(1), n), F.slice(single, F.lit(2), n), lambda a, b: F.xxhash64(a, b))
+
+
+def _repeated_pairs(split: DataFrame) -> DataFrame:
+    """page_id and pair of the neighbouring words that two sections of a page or more have, as hashes: a clash of two only
+    makes phrases be counted that needn't be."""
+    met = split.select("page_id", "words_single").repartition("page_id").select("page_id", F.explode(_pairs(F.col("words_single"))).alias("pair"))
+    return met.groupBy("page_id", "pair").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select("page_id", "pair")
+
+
+def _repeated_runs(split: DataFrame) -> DataFrame:
+    """page_id, section, term and i (its place) of each section's phrases of two and three words that may be repeated on its
+    page: those that begin with a repeated pair."""
+    single, again = F.col("words_single"), stored(_repeated_pairs(split), "pairs")
+    rows = split.select("page_id", "section", "words_single").join(again.select("page_id").distinct(), "page_id", "left_semi").withColumn("pairs", _pairs(single))
+    led = F.concat("pairs", F.slice("pairs", F.lit(1), F.greatest(F.lit(0), F.size(single) - 2)))
+    runs = F.zip_with(F.concat(phrases(single, 2), phrases(single, 3)), led, lambda t, p: F.struct(t.alias("term"), p.alias("pair")))
+    return rows.select("page_id", "section", F.posexplode(runs).alias("i", "e")).select("page_id", "section", "i", "e.term", "e.pair").join(again, ["page_id", "pair"], "left_semi").drop("pair")
 
 
 def technical_terms(c: Column) -> Column:
@@ -103,16 +126,18 @@ def theme_terms(sections: DataFrame, sources: DataFrame) -> DataFrame:
     address = F.slice(F.concat("in_url", phrases(F.col("in_url_single"), 2)), 1, C.MOST_URL_TERMS)
     found = listed(named, _entries("in_title", w["title"], _stage(0)), "title")
     found = found.unionByName(listed(named, F.transform(address, lambda t, i: F.struct(t.alias("term"), F.lit(w["url"]).alias("weight"), (_stage(1) + i).alias("at"))), "url"))
-    # Sections are read once and meet by page; each gives the terms of its title, its phrases and its technical terms,
-    # whose first place is their section's number and their place in it.
+    # Sections are read once; each gives the terms of its title, its technical terms and those of its phrases that may be
+    # repeated; their first place is their section's number and their place in it.
     title = F.coalesce("title", F.lit(""))
-    read = sections.select("page_id", "section", title.alias("title"), F.concat_ws(" ", "title", "body").alias("text")).repartition("page_id")
+    read = sections.select("page_id", "section", title.alias("title"), F.concat_ws(" ", "title", "body").alias("text"))
     split = with_tokens(with_tokens(read, F.col("title"), "heading"), F.col("text"), "words").withColumn("technical", technical_terms(F.col("text")))
+    split = stored(split.select("page_id", "section", "heading", "heading_single", "words_single", "technical"), "split")
     place = F.shiftleft(F.col("section").cast("long"), 32)
     bare = lambda k: lambda t, i: F.struct(F.lit(k).alias("kind"), t.alias("term"), F.lit(0).cast("long").alias("weight"), (place + i).alias("at"))
     heads = F.transform(_entries("heading", w["heading"], _stage(2, F.col("section"))), lambda e: F.struct(F.lit("heading").alias("kind"), e["term"].alias("term"), e["weight"].alias("weight"), e["at"].alias("at")))
-    runs = F.transform(F.concat(phrases(F.col("words_single"), 2), phrases(F.col("words_single"), 3)), bare("repeated_phrase"))
-    met = split.select("page_id", F.explode(F.concat(heads, runs, F.transform("technical", bare("technical")))).alias("e")).select("page_id", "e.*")
+    met = split.select("page_id", F.explode(F.concat(heads, F.transform("technical", bare("technical")))).alias("e"))
+    repeated = _repeated_runs(split).select("page_id", bare("repeated_phrase")(F.col("term"), F.col("i")).alias("e"))
+    met = met.unionByName(repeated).select("page_id", "e.*")
     counted = met.groupBy("page_id", "kind", "term").agg(F.count(F.lit(1)).alias("n"), F.max("weight").alias("weight"), F.min("at").alias("at")).filter("kind <> 'repeated_phrase' or n >= 2")
     shared = F.col("kind") == "repeated_phrase"
     order = Window.partitionBy("page_id", "kind").orderBy(F.when(shared, -F.col("n")), F.when(shared, -F.length("term")), "at")

@@ -85,3 +85,15 @@ def test_words_of_units_are_those_of_title_and_body(spark):
     units = spark.createDataFrame([(1, 0, "It's a", "well-known  x_1 ​ é 'q -"), (1, 1, None, None), (1, 2, "", "b")], "page_id long, section long, title string, body string")
     got = analysis.flags(units).orderBy("section").select("words", "body_words").collect()
     assert [tuple(r) for r in got] == [(5, 3), (0, 0), (1, 1)]
+
+
+def test_phrases_are_counted_where_their_first_pair_is_repeated(spark):
+    """Phrases whose first two words meet in one section only never reach the count by terms; no repeated one is lost."""
+    texts = {1: ["alpha beta gamma", "delta epsilon zeta"], 2: ["alpha beta gamma", "zeta alpha beta gamma", "beta gamma"], 3: ["lonely section words"], 4: [None, ""]}
+    units = spark.createDataFrame([(p, k, "", t) for p, parts in texts.items() for k, t in enumerate(parts)], "page_id long, section long, title string, body string")
+    sources = spark.createDataFrame([(p, "", "") for p in texts], "page_id long, title string, url string")
+    split = topics.with_tokens(units, F.col("body"), "words")
+    runs = sorted((r.page_id, r.section, r.term, r.i) for r in topics._repeated_runs(split).collect())
+    assert runs == [(2, 0, "alpha beta", 0), (2, 0, "alpha beta gamma", 2), (2, 0, "beta gamma", 1), (2, 1, "alpha beta", 1), (2, 1, "alpha beta gamma", 4), (2, 1, "beta gamma", 2), (2, 2, "beta gamma", 0)]
+    got = {(r.page_id, r.term, r.weight) for r in topics.theme_terms(units, sources).collect()}
+    assert got == {(2, "beta gamma", 5), (2, "alpha beta gamma", 4), (2, "alpha beta", 4)}
