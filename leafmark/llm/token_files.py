@@ -14,8 +14,8 @@ refused with an error. Files are named by their place in the order and moved int
 
 from __future__ import annotations
 
-import bisect
 import io
+import json
 import os
 import re
 import struct
@@ -25,6 +25,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyarrow import fs
@@ -38,22 +40,26 @@ FRAME_BYTES = 1 << 18
 SKIPPABLE_INDEX, SKIPPABLE_SEEK = 0x184D2A50, 0x184D2A5E  # fixed values of the zstandard formats
 SEEK_MAGIC = 0x8F92EAB1  # fixed value of the seekable format
 KEPT = 400_000
-GROUP_CHARS = 1 << 20
+GROUP_CHARS = 1 << 23
 FIRST = " "  # marks a text's first piece, which no space precedes; others hold none
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+PLAIN = rf"\A(?P<word>[{LETTERS}]+)(?P<marks>[!-&(-/:-@\[-`{{-~]*)\z"  # letters, then marks but the apostrophe: the pattern cuts between them only
 
 
 class ByteEncoder:
     """Ids of the tokenizers library, for texts cut where its pattern always cuts: before a space between characters
-    that are no white space. A piece is what follows such a space; new ones are encoded together as one string, and
-    told apart by the tokens that begin with a space, which only a piece's first token does.
+    that are no white space. A piece is what follows such a space. Arrow cuts a group of about GROUP_CHARS and numbers its
+    different pieces; new ones are encoded together as one string, and told apart by the tokens that begin with a space,
+    which only a piece's first token does. Plain pieces, nearly all, reach the library's model already cut and in its
+    byte characters, which spares its pattern and its alignments.
 
     The ids of pieces are kept in two generations of at most KEPT each: a piece met again moves to the young one, and
-    when that is full it becomes the old one. Texts are encoded in groups of about GROUP_CHARS. Those with a piece that
-    shows white space beside white space, a special token, or a mark that others read as white space, stay uncut.
+    when that is full it becomes the old one. Texts with a piece that shows white space beside white space, a special
+    token, or a mark that others read as white space, stay uncut.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task on each core already
         self.library = Tokenizer.from_file(path)
@@ -64,6 +70,17 @@ class ByteEncoder:
         self.leads = np.zeros(self.library.get_vocab_size(), bool)
         for token, i in self.library.get_vocab(with_added_tokens=True).items():
             self.leads[i] = token[0] == "\u0120"  # a space, in byte-level vocabularies
+        form = json.loads(self.library.to_str())
+        cut = form["pre_tokenizer"] or {}
+        usual = form["normalizer"] is None and cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space")
+        self.plain = PLAIN if usual and not any(re.fullmatch(rf"[{LETTERS}]*[!-/:-@\[-`{{-~]*", t) for t in special) else None
+        self.model = Tokenizer(self.library.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes that stand for themselves in such vocabularies
+        self.byte_chars = np.zeros(256, np.uint32)
+        self.byte_chars[shown] = shown
+        self.byte_chars[[i for i in range(256) if i not in shown]] = np.arange(256, 512 - len(shown))
+        self.byte_chars[0x0A] = 0x0A  # parts the words
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -78,49 +95,81 @@ class ByteEncoder:
         return out + self._encode(group)
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        if not texts:
+            return []
         if len(self.young) > KEPT:
             self.old, self.young = self.young, {}
-        pieces, ends = [], []
-        for t in texts:
-            if t:
-                own = t.split(" ")
-                own[0] = FIRST + own[0]
-                pieces += own[own[0] == FIRST :]  # a text may begin with a space
-            ends.append(len(pieces))
+        cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        begin = cut.offsets.to_numpy().astype(np.int64)
+        numbered = cut.flatten().dictionary_encode()
+        seq = numbered.indices.to_numpy().copy()
+        pieces = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        own = {}  # numbers of first pieces
+        seq[begin[:-1]] = [own.setdefault(FIRST + pieces[i], len(pieces) + len(own)) for i in seq[begin[:-1]].tolist()]
+        pieces += own
+        used = np.zeros(len(pieces), bool)
+        used[seq] = True
         found = list(map(self.young.get, pieces))
-        missing = [i for i, ids in enumerate(found) if ids is None]
-        whole: set[int] = set()
-        if missing:
-            learned = self._learn({pieces[i] for i in missing})
-            for i in missing:
-                found[i] = learned.get(pieces[i])
-                if found[i] is None:
-                    whole.add(bisect.bisect_right(ends, i))
-        out, begin = [], 0
-        for i, end in enumerate(ends):
-            out.append(np.frombuffer(self._ids([texts[i]])[0] if i in whole else b"".join(found[begin:end]), np.uint32))
-            begin = end
-        return out
-
-    def _learn(self, new: set[str]) -> dict[str, bytes]:
-        """The ids of pieces that the young generation doesn't have, where they can be cut out; moves the short ones
-        there."""
-        learned = {c: self.old[c] for c in new if c in self.old}
-        fresh = [c for c in new if c not in learned and not self.uncut.search(c, c[:1] == FIRST)]
+        absent = [i for i, ids in enumerate(found) if ids is None]
+        missing = [i for i, u in zip(absent, used[absent].tolist()) if u]
+        learned = self._learn([pieces[i] for i in missing]) if missing else {}
+        for i in absent:
+            found[i] = b""
+        lacks = np.zeros(len(pieces), bool)
+        for i in missing:
+            if (ids := learned.get(pieces[i])) is None:
+                lacks[i] = pieces[i] != FIRST  # of empty texts, and of those that begin with a space
+            else:
+                found[i] = ids
+        blob = np.frombuffer(b"".join(found), np.uint32)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        each = sizes[seq]
+        at = np.concatenate([[0], np.cumsum(each)])
+        ids = blob[np.repeat((np.cumsum(sizes) - sizes)[seq] - at[:-1], each) + np.arange(at[-1])]
+        whole = np.add.reduceat(lacks[seq], begin[:-1], dtype=np.int64) > 0
+        bounds = at[begin].tolist()
+        return [np.frombuffer(self._ids([texts[i]])[0], np.uint32) if w else ids[a:z] for i, (w, a, z) in enumerate(zip(whole.tolist(), bounds, bounds[1:]))]
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """The ids of different pieces that the young generation doesn't have, where they can be cut out; moves the short
+        ones there."""
+        learned = {c: ids for c in new if (ids := self.old.get(c)) is not None}
+        fresh = [c for c in new if c not in learned]
+        if self.plain and fresh:
+            fresh = self._learn_plain(fresh, learned)
+        fresh = [c for c in fresh if not self.uncut.search(c, c[:1] == FIRST)]
         first = [c for c in fresh if c[0] == FIRST and len(c) > 1]
         learned.update(zip(first, self._ids([c[1:] for c in first])))
         others = [c for c in fresh if c[0] != FIRST]
         if others:
-            raw = self._ids([" " + " ".join(others)])[0]
-            at = (4 * np.flatnonzero(self.leads[np.frombuffer(raw, np.uint32)])).tolist()
-            if len(at) != len(others):
-                raise ValueError("the tokenizer joins across spaces: texts can't be cut")
-            learned.update((c, raw[i:j]) for c, i, j in zip(others, at, [*at[1:], len(raw)]))
-        self.young.update((c, ids) for c, ids in learned.items() if len(c) <= 48)
+            learned.update(self._parted(others, self._ids([" " + " ".join(others)])[0]))
+        self.young.update(learned)
+        for c in [c for c in learned if len(c) > 48]:
+            del self.young[c]
         return learned
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def _learn_plain(self, fresh: list[str], learned: dict[str, bytes]) -> list[str]:
+        """Adds the ids of the plain pieces to learned; returns the other pieces."""
+        parts = pc.extract_regex(pa.array(fresh, pa.large_string()), self.plain)
+        fits = parts.is_valid()
+        word, marks = (parts.field(k).filter(fits) for k in (0, 1))
+        if not len(word):
+            return fresh
+        space, line, none = (pa.scalar(c, pa.large_string()) for c in (" ", "\n", ""))
+        shown = pc.binary_join_element_wise(space, word, line, marks, line, none)
+        sent = self.byte_chars[np.frombuffer(shown.buffers()[2], np.uint8, int(pc.sum(pc.binary_length(shown)).as_py()))]
+        fit = fits.to_pylist()
+        learned.update(self._parted([c for c, p in zip(fresh, fit) if p], self._ids([sent.tobytes().decode("utf-32")], self.model)[0]))
+        return [c for c, p in zip(fresh, fit) if not p]
+
+    def _parted(self, pieces: list[str], raw: bytes) -> Iterator[tuple[str, bytes]]:
+        at = (4 * np.flatnonzero(self.leads[np.frombuffer(raw, np.uint32)])).tolist()
+        if len(at) != len(pieces):
+            raise ValueError("the tokenizer joins across spaces: texts can't be cut")
+        return ((c, raw[i:j]) for c, i, j in zip(pieces, at, [*at[1:], len(raw)]))
+
+    def _ids(self, texts: list[str], by=None) -> list[bytes]:
+        return [np.array(e.ids, np.uint32).tobytes() for e in (by or self.library).encode_batch_fast(texts, add_special_tokens=False)]
 
 
 _encoders: dict[str, ByteEncoder] = {}
@@ -235,6 +284,20 @@ def cuts_by_bytes(docs: DataFrame, key: str, text: str, bytes_per_file: int, row
     return cuts[np.flatnonzero(np.diff((ends - 1) // most))]
 
 
+def _grouped(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list[int], list[int], list[str]]]:
+    """Keys, buckets and texts of batches, joined to groups of about GROUP_CHARS."""
+    keys, places, texts, size = [], [], [], 0
+    for b in batches:
+        keys += b["k"].tolist()
+        places += b["bucket"].tolist()
+        texts += texts_of(b["t"])
+        size += sum(map(len, texts[len(texts) - len(b) :]))
+        if size >= GROUP_CHARS:
+            yield keys, places, texts
+            keys, places, texts, size = [], [], [], 0
+    yield keys, places, texts
+
+
 def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 0, bytes_per_file: int = 8_000_000, rows_per_share: int = 256, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Writes the ids of all texts in ascending order of key to files under folder; returns the manifest, a stored
     table of bucket (place of the file in the order), path, n_docs, n_tokens.
@@ -256,8 +319,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
             store.move(temporary, f"{root}/ids-{bucket:08d}.zst")
             return pd.DataFrame({"bucket": [bucket], "path": [f"{folder}/ids-{bucket:08d}.zst"], "n_docs": [docs_in], "n_tokens": [tokens]})
 
-        for b in batches:
-            for doc, place, ids in zip(b["k"].tolist(), b["bucket"].tolist(), enc.encode_all(texts_of(b["t"]))):
+        for keys, places, texts in _grouped(batches):
+            for doc, place, ids in zip(keys, places, enc.encode_all(texts)):
                 if place != bucket:
                     if writer:
                         yield finished()

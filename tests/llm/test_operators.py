@@ -301,3 +301,26 @@ def test_byte_encoder_equals_the_library_across_generations(monkeypatch):
     found = token_files.ByteEncoder(path).encode_all(texts)
     wanted = Tokenizer.from_file(path).encode_batch_fast(texts, add_special_tokens=False)
     assert [f.tolist() for f in found] == [w.ids for w in wanted]
+
+
+def test_plain_pieces_spare_the_pattern_and_equal_the_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(path)
+    enc = token_files.ByteEncoder(path)
+    sent = []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **kw):
+            sent.extend(texts)
+            return lib.encode_batch_fast(texts, **kw)
+
+    enc.library = Counted()
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}é{'%%%' if i % 3 else ','}" for i in range(600)]
+    texts = ["at " + " ".join(words)] * 3 + [" a" + chr(c) + "b x" + chr(c) for c in range(1, 0x260)] + ["it's don't, x'y ×a a÷ ª1 ǀ! ɐ.", "", " ", "  a"]
+    found = enc.encode_all(texts[:3])
+    assert sum(map(len, sent)) < 10  # the texts' first word alone
+    found += enc.encode_all(texts[3:])
+    assert [f.tolist() for f in found] == [w.ids for w in lib.encode_batch_fast(texts, add_special_tokens=False)]
