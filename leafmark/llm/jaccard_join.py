@@ -332,14 +332,65 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 # ---------------------------------------------------------------- components
 
 
+LINKS_PER_TASK = 1 << 18  # that one task contracts at a time
+
+
+def contracted(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The documents of links (u, v), ascending, and for each the smallest one that these links reach from it."""
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    u, v = np.split(at, 2)
+    root = np.arange(len(ids))
+    while True:
+        u, v = root[u], root[v]
+        apart = u != v
+        if not apart.any():
+            return ids, ids[root]
+        u, v = u[apart], v[apart]
+        np.minimum.at(root, np.maximum(u, v), np.minimum(u, v))  # roots hang on smaller roots
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def forests(links: DataFrame) -> DataFrame:
+    """Edges (u, v) that join the same documents as the links (a, b) do: each task replaces LINKS_PER_TASK of its links at a
+    time by one edge for each of their documents, to the smallest one that they reach."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+
+        def edges() -> pd.DataFrame:
+            u, v = contracted(*(np.concatenate([b[c].to_numpy(np.int64) for b in held]) for c in ("a", "b")))
+            return pd.DataFrame({"u": u, "v": v})
+
+        for b in batches:
+            for at in range(0, len(b), LINKS_PER_TASK):
+                part = b.iloc[at : at + LINKS_PER_TASK]
+                if n and n + len(part) > LINKS_PER_TASK:
+                    yield edges()
+                    held, n = [], 0
+                held.append(part)
+                n += len(part)
+        if n:
+            yield edges()
+
+    return links.mapInPandas(run, "u long, v long")
+
+
 def components(links: DataFrame, most_rounds: int = 1000) -> DataFrame:
-    """Rows of doc_id, component_id (the smallest doc_id reachable) for all documents in links (a, b).
+    """Rows of doc_id, component_id (the smallest doc_id reachable) for all documents in the stored links (a, b).
 
-    Alternating large-star and small-star rounds until nothing changes (their number grows with the logarithm of the
-    longest chain; most_rounds only ends what would never end); each round is a few shuffles of the links,
+    Tasks contract their own shares of the links first. Up to LINKS_PER_TASK links are one share, and done then; of more,
+    alternating large-star and small-star rounds go on until nothing changes (their number grows with the logarithm of the
+    longest chain; most_rounds only ends what would never end); each round is a few shuffles of the edges,
     pre-aggregated, and is written to the shared folder."""
-    spark = links.sparkSession
-    edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    links = links.select("a", "b")
+    one = links.count() <= LINKS_PER_TASK
+    edges = stored(forests(links.coalesce(1) if one else links), "edges")
+    if not one and edges.count() <= LINKS_PER_TASK:
+        one, edges = True, stored(forests(edges.toDF("a", "b").coalesce(1)), "edges")
+    if one:
+        return edges.toDF("doc_id", "component_id")
+    edges = edges.filter("u <> v")
 
     def large_star(e: DataFrame) -> DataFrame:
         both = e.union(e.select("v", "u")).toDF("u", "v")
