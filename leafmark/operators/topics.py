@@ -3,8 +3,9 @@ give to its units.
 
 Theme terms come from several sources (title, address, headings, phrases that sections share, technical terms, the latest
 questions of a conversation); each term takes its largest weight. Two passes lift the units: themes and intent first, then
-salience, a BM25 over the page's own sections that favours the page's topic terms. Counts meet by (page, term), so no page
-is gathered whole; what returns to the units are at most MOST_THEMES terms and one number for each unit.
+salience, a BM25 over the page's own sections that favours the page's topic terms. Theme terms meet by (page, term); for
+salience a page's texts go to one task, which groups and sorts their terms and may spill. What returns to the units are at
+most MOST_THEMES terms and one number for each unit.
 
 Null titles, texts and addresses are empty; a page without terms has no row among the themes and lifts nothing; ties go to
 the term met first; rows that repeat a page and section share their sums.
@@ -157,18 +158,21 @@ def theme_terms(sections: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def _with_haystack(rows: DataFrame, c: Column) -> DataFrame:
-    """rows with a text as theme terms are written, between spaces (hay)."""
-    low = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"https?://[^ ]+", " ")
-    plain = F.regexp_replace(F.regexp_replace(low, "[_-]+", " "), r"[^a-z0-9./+#]+", " ")
-    parts = F.filter(F.split(plain, " +"), lambda p: (p != "") & ~p.isin(C.THEME_STOP_WORDS))
-    joined = rows.withColumn("parts", parts).withColumn("joined", F.array_join("parts", " "))
+    """rows with a text as theme terms are written, between spaces (hay): the runs of their characters, without addresses and
+    stop words."""
+    lower = rows.withColumn("low", F.lower(F.coalesce(c, F.lit(""))))
+    bare = F.when(F.contains("low", F.lit("://")), F.regexp_replace("low", r"https?://[^ ]+", " ")).otherwise(F.col("low"))
+    parts = F.filter(F.regexp_extract_all(bare, F.lit("[a-z0-9./+#]+"), F.lit(0)), lambda p: ~p.isin(C.THEME_STOP_WORDS))
+    joined = lower.withColumn("parts", parts).withColumn("joined", F.array_join("parts", " "))
     enough = F.length("joined") >= F.when(F.size("parts") == 1, 3).otherwise(7)
-    return joined.withColumn("hay", F.when(enough, F.concat(F.lit(" "), "joined", F.lit(" "))).otherwise("  ")).drop("parts", "joined")
+    return joined.withColumn("hay", F.when(enough, F.concat(F.lit(" "), "joined", F.lit(" "))).otherwise("  ")).drop("low", "parts", "joined")
 
 
 def _stands_in(term: Column, hay: Column) -> Column:
+    """Whether a term is in the text, between word bounds; most stand between spaces, which needs no pattern."""
     pattern = F.concat(F.lit(r"\b"), F.regexp_replace(term, r"([.+])", r"\\$1"), F.lit(r"\b"))
-    return F.contains(hay, term) & F.when(F.contains(term, F.lit(" ")), F.contains(hay, F.concat(F.lit(" "), term, F.lit(" ")))).otherwise(F.rlike(hay, pattern))
+    spaced = F.contains(hay, F.concat(F.lit(" "), term, F.lit(" ")))
+    return F.contains(hay, term) & F.when(F.contains(term, F.lit(" ")), spaced).otherwise((spaced & term.rlike("^[a-z0-9](.*[a-z0-9])?$")) | F.rlike(hay, pattern))
 
 
 def lifted_by_themes(scored: DataFrame, themes: DataFrame) -> DataFrame:
@@ -190,43 +194,55 @@ def lifted_by_themes(scored: DataFrame, themes: DataFrame) -> DataFrame:
     return out.withColumn("matched", F.transform("matched_themes", lambda t: t["term"])).drop("hay", "themes", "matched_themes", "wanted_block", "intent_weight")
 
 
-def _weighed(c: Column, weight: float, is_title: bool) -> Column:
-    return F.transform(T.tokens(c), lambda t: F.struct(t["term"].alias("term"), (t["weight"] * weight).alias("w"), F.lit(is_title).alias("in_title")))
+def _page_terms(able: DataFrame, told: DataFrame) -> DataFrame:
+    """page_id, section, told, term, w, in_title and times (rows summed) of the units' terms (able: page_id, section, title,
+    kind_label, body) and, with told set and without a section, of those of texts about the page (told: page_id, text). A row
+    of the empty term stands for each unit. Texts are shuffled by page once and cut where they then are, so that whatever is
+    grouped or ordered within a page afterwards needs no shuffle."""
+    none = F.lit(None).cast("string")
+    about = told.select("page_id", F.lit(None).cast("long").alias("section"), F.lit(True).alias("told"), none.alias("title"), none.alias("kind_label"), F.col("text").alias("body"))
+    texts = able.select("page_id", F.col("section").cast("long").alias("section"), F.lit(False).alias("told"), "title", "kind_label", "body").unionByName(about)
+    read = texts.filter(F.col("page_id").isNotNull()).repartition("page_id").withColumn("heads", T.raw_tokens(F.col("title"))).withColumn("labels", T.raw_tokens(F.col("kind_label")))
+    every = F.posexplode(F.concat("heads", "labels", T.raw_tokens(F.col("body")), F.array(F.lit("")))).alias("i", "t")
+    raw = read.select("page_id", "section", "told", F.size("heads").alias("n_heads"), (F.size("heads") + F.size("labels")).alias("n_named"), every)
+    in_title, part = F.col("i") < F.col("n_heads"), F.when(F.col("i") < F.col("n_heads"), C.TITLE_WEIGHT).when(F.col("i") < F.col("n_named"), C.LABEL_WEIGHT).otherwise(1.0)
+    made = T.terms_of(raw.select("page_id", "section", "told", "t", in_title.alias("in_title"), part.alias("part")), F.col("t") == "")
+    return made.groupBy("page_id", "section", "told", "term").agg(F.sum(F.when(F.col("term") == "", 0.0).otherwise(F.col("weight") * F.col("part"))).alias("w"), F.max("in_title").alias("in_title"), F.count(F.lit(1)).alias("times"))
 
 
 def salience(units: DataFrame, sources: DataFrame) -> DataFrame:
     """page_id, section, raw, title_overlap, n_terms, n_title and contribution of the units that salience can lift (units as
     lifted_by_themes() gives them, with kind_label), on pages that have two of them or more."""
-    able = units.filter(~F.expr(L.UNSALIENT)).select("page_id", "section", "title", "body", "kind_label", "score", "useful", "signals", "search_block", "role", "theme_boost")
-    page, by_term = ["page_id"], ["page_id", "term"]
-    exploded = able.select("page_id", "section", F.explode(F.concat(_weighed(F.col("title"), C.TITLE_WEIGHT, True), _weighed(F.col("body"), 1.0, False), _weighed(F.col("kind_label"), C.LABEL_WEIGHT, False))).alias("t"))
-    terms = exploded.groupBy("page_id", "section", F.col("t.term").alias("term")).agg(F.sum("t.w").alias("w"), F.max("t.in_title").alias("in_title"))
-    sizes = terms.groupBy("page_id", "section").agg(F.greatest(F.lit(1.0), F.sum("w")).alias("length"))
-    placed = able.select("page_id", "section", "score", "useful", "signals", "search_block", "role", "theme_boost").join(sizes, ["page_id", "section"], "left").withColumn("length", F.coalesce("length", F.lit(1.0)))
-    pages = placed.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("average")).filter("n >= 2")
-    counts = terms.groupBy(*by_term).agg(F.count(F.lit(1)).alias("df"), F.sum("w").alias("total")).join(pages, page)
-    valued = counts.withColumn("idf", idf(F.col("n"), F.col("df"))).withColumn("weight", F.col("idf") * F.sqrt("total"))
-    order = Window.partitionBy("page_id").orderBy(F.desc("telling"), F.desc("weight"), F.desc("idf"), "term")
-    telling = valued.withColumn("telling", (F.col("df") < F.col("n")) & (F.col("weight") > 0.18)).withColumn("rank", F.row_number().over(order)).withColumn("distinctive", F.col("telling") & (F.col("rank") <= 40))
+    able = units.filter(~F.expr(L.UNSALIENT))
     # the page's topic: its title and the labels of its units, or else its most telling terms
     labels = units.filter(~F.lower("kind_label").rlike(L.PLAIN_LABELS) & (F.col("kind_label") != "")).groupBy("page_id", "kind_label").agg(F.min("section").alias("s"))
     first = labels.withColumn("k", F.row_number().over(Window.partitionBy("page_id").orderBy("s", "kind_label"))).filter("k <= 12").select("page_id", F.col("kind_label").alias("text"))
     told = sources.select("page_id", F.col("title").alias("text")).unionByName(first)
-    topic = T.exploded_tokens(told, "page_id", text="text").groupBy(*by_term).agg((F.sum("weight") * C.TOPIC_WEIGHT).alias("topic"))
-    known = telling.join(topic, by_term, "left").join(topic.groupBy("page_id").agg(F.lit(True).alias("has_topic")), page, "left")
-    weighed = known.withColumn("topic", F.coalesce("topic", F.when(F.col("has_topic").isNull() & F.col("distinctive") & (F.col("rank") <= C.FALLBACK_TOPICS), C.FALLBACK_WEIGHT), F.lit(0.0))).withColumn("led", F.col("has_topic").isNotNull() | (F.max("distinctive").over(Window.partitionBy("page_id"))))
-    each = terms.join(weighed.select(*by_term, "n", "average", "idf", "weight", "distinctive", "topic", "led"), by_term).join(sizes, ["page_id", "section"])
+    page, section, term = (Window.partitionBy(*keys) for keys in (["page_id"], ["page_id", "section"], ["page_id", "term"]))
+    unit, in_unit = F.col("term") == "", ~F.col("told")
+    sized = _page_terms(able, told).withColumn("length", F.greatest(F.lit(1.0), F.sum("w").over(section)))
+    paged = sized.withColumn("n", F.sum(F.when(unit & in_unit, F.col("times"))).over(page)).withColumn("lengths", F.sum(F.when(unit & in_unit, F.col("times") * F.col("length"))).over(page)).withColumn("has_topic", F.max(F.col("told") & ~unit).over(page))
+    counted = paged.filter("n >= 2").withColumn("df", F.sum(in_unit.cast("long")).over(term)).withColumn("total", F.sum(F.when(in_unit, F.col("w"))).over(term)).withColumn("topic", F.sum(F.when(F.col("told"), F.col("w"))).over(term) * C.TOPIC_WEIGHT)
+    valued = counted.filter(in_unit).withColumn("idf", idf(F.col("n"), F.col("df"))).withColumn("weight", F.col("idf") * F.sqrt("total"))
+    telling = valued.withColumn("telling", ~unit & (F.col("df") < F.col("n")) & (F.col("weight") > 0.18))
+    order = page.orderBy(F.desc("telling"), F.desc("weight"), F.desc("idf"), "term")
+    ranked = telling.withColumn("rank", F.dense_rank().over(order)).withColumn("distinctive", F.col("telling") & (F.col("rank") <= 40))
+    fallback = F.when(~F.col("has_topic") & F.col("distinctive") & (F.col("rank") <= C.FALLBACK_TOPICS), C.FALLBACK_WEIGHT)
+    each = ranked.withColumn("topic", F.coalesce("topic", fallback, F.lit(0.0))).withColumn("led", F.col("has_topic") | F.max("distinctive").over(page))
     favour = 0.62 + F.least(F.lit(1.8), F.col("topic") * 0.38) + F.least(F.lit(0.6), F.when(F.col("distinctive"), F.greatest(F.lit(0.45), F.col("weight"))).otherwise(0.0) * 0.12)
-    base = bm25(F.col("w"), F.col("length"), F.col("average")) * F.col("idf") * F.when(F.col("in_title"), 1.45).otherwise(1.0) * favour
+    base = bm25(F.col("w"), F.col("length"), F.col("lengths") / F.col("n")) * F.col("idf") * F.when(F.col("in_title"), 1.45).otherwise(1.0) * favour
     value = F.when(F.col("topic") > 0, base * 1.75).when(F.col("led") & ~F.col("term").rlike("[0-9]|[-_./+#]"), base * 0.18).otherwise(base)
-    on_topic = F.col("topic") > 0
-    summed = each.withColumn("value", value).filter("value > 0.04").groupBy("page_id", "section").agg(F.sum("value").alias("sum"), F.coalesce(F.sum(F.when(on_topic, F.least(F.lit(1.8), F.col("value") * 0.38 + F.col("topic") * 0.18))), F.lit(0.0)).alias("overlap"), F.sum((F.col("distinctive") | on_topic).cast("long")).alias("n_terms"), F.sum(on_topic.cast("long")).alias("n_title"))
-    joined = placed.join(pages.select("page_id"), page, "left_semi").join(summed, ["page_id", "section"], "left").fillna(0, ["sum", "overlap", "n_terms", "n_title"])
+    # the units' own rows stay for the sums: their value is 0
+    on_topic, counts = F.col("topic") > 0, F.col("value") > 0.04
+    kept = each.select("page_id", "section", "topic", "distinctive", "term", F.when(unit, 0.0).otherwise(value).alias("value")).filter(counts | unit)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    summed = kept.groupBy("page_id", "section").agg(F.sum("value").alias("sum"), zero(F.sum(F.when(counts & on_topic, F.least(F.lit(1.8), F.col("value") * 0.38 + F.col("topic") * 0.18)))).cast("double").alias("overlap"), F.sum((counts & (F.col("distinctive") | on_topic)).cast("long")).alias("n_terms"), F.sum((counts & on_topic).cast("long")).alias("n_title"))
+    evident = F.expr("score >= 30 or useful >= 24 or signals > 0 or search_block <> '' or role = 'assistant'")
+    joined = able.select("page_id", "section", "theme_boost", evident.alias("evident")).join(summed, ["page_id", "section"])
     raw = F.col("sum") * F.when((F.col("n_terms") < 2) & (F.col("n_title") < 2), 0.35).otherwise(1.0) * F.when(F.col("n_terms") >= 4, 1.12).otherwise(1.0)
     full = F.floor(F.least(F.lit(float(C.SALIENCE_MOST)), F.col("raw") * 1.9 + F.least(F.lit(4), F.col("n_terms")) + F.least(F.lit(3), F.col("n_title"))) + 0.5)
     within = F.greatest(F.lit(0), F.least(full, F.greatest(F.lit(0), C.LOCAL_MOST - F.col("theme_boost"))))
-    evident = F.expr("score >= 30 or useful >= 24 or signals > 0 or search_block <> '' or role = 'assistant'")
-    made = joined.withColumn("raw", raw).withColumn("contribution", F.when(evident, within).otherwise(F.least(F.lit(4), within)).cast("long"))
+    made = joined.withColumn("raw", raw).withColumn("contribution", F.when(F.col("evident"), within).otherwise(F.least(F.lit(4), within)).cast("long"))
     return made.select("page_id", "section", T.half_up(F.col("raw")).alias("raw"), T.half_up(F.col("overlap")).alias("title_overlap"), "n_terms", "n_title", "contribution")
 
 
