@@ -23,6 +23,14 @@ from leafmark.operators import analysis
 from leafmark.operators.sections import bm25, idf
 from leafmark.sources.storage import stored
 
+
+
+def by_page(rows: DataFrame) -> DataFrame:
+    """rows dealt by page to as many tasks as the session has shuffle partitions: where texts are cut after a shuffle, tasks
+    merged by its bytes would be few and long, since the work is many times what the bytes tell."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "page_id")
+
+
 # ---------------------------------------------------------------- terms of a text
 
 
@@ -66,7 +74,7 @@ def _pairs(single: Column) -> Column:
 def _repeated_pairs(split: DataFrame) -> DataFrame:
     """page_id and pair of the neighbouring words that two sections of a page or more have, as hashes: a clash of two only
     makes phrases be counted that needn't be."""
-    met = split.select("page_id", "words_single").repartition("page_id").select("page_id", F.explode(_pairs(F.col("words_single"))).alias("pair"))
+    met = by_page(split.select("page_id", "words_single")).select("page_id", F.explode(_pairs(F.col("words_single"))).alias("pair"))
     return met.groupBy("page_id", "pair").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select("page_id", "pair")
 
 
@@ -180,7 +188,7 @@ def lifted_by_themes(scored: DataFrame, themes: DataFrame) -> DataFrame:
     terms = themes.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("rank", "term", "weight"))).alias("themes"))
     blocks = Window.partitionBy("page_id")
     wanted = F.coalesce(*(F.max(F.when(F.col("search_block") == b, F.lit(b))).over(blocks) for b in L.WANTED_BLOCKS[:-1]), F.lit(L.WANTED_BLOCKS[-1]))
-    read = _with_haystack(scored.join(terms, "page_id", "left").withColumn("wanted_block", wanted), F.concat_ws(" ", "title", "body"))
+    read = _with_haystack(by_page(scored).join(terms, "page_id", "left").withColumn("wanted_block", wanted), F.concat_ws(" ", "title", "body"))
     skip = F.expr(L.UNLIFTED)
     matched = F.when(~skip & F.col("themes").isNotNull(), F.slice(F.filter("themes", lambda t: _stands_in(t["term"], F.col("hay"))), 1, C.MOST_MATCHED)).otherwise(F.array().cast("array<struct<rank:bigint,term:string,weight:bigint>>"))
     made = read.withColumn("matched_themes", matched).withColumn("intent_weight", F.when(~skip, F.expr(L.INTENT_WEIGHT)).otherwise(0))
@@ -202,7 +210,7 @@ def _page_terms(able: DataFrame, told: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
     about = told.select("page_id", F.lit(None).cast("long").alias("section"), F.lit(True).alias("told"), none.alias("title"), none.alias("kind_label"), F.col("text").alias("body"))
     texts = able.select("page_id", F.col("section").cast("long").alias("section"), F.lit(False).alias("told"), "title", "kind_label", "body").unionByName(about)
-    read = texts.filter(F.col("page_id").isNotNull()).repartition("page_id").withColumn("heads", T.raw_tokens(F.col("title"))).withColumn("labels", T.raw_tokens(F.col("kind_label")))
+    read = by_page(texts.filter(F.col("page_id").isNotNull())).withColumn("heads", T.raw_tokens(F.col("title"))).withColumn("labels", T.raw_tokens(F.col("kind_label")))
     every = F.posexplode(F.concat("heads", "labels", T.raw_tokens(F.col("body")), F.array(F.lit("")))).alias("i", "t")
     raw = read.select("page_id", "section", "told", F.size("heads").alias("n_heads"), (F.size("heads") + F.size("labels")).alias("n_named"), every)
     in_title, part = F.col("i") < F.col("n_heads"), F.when(F.col("i") < F.col("n_heads"), C.TITLE_WEIGHT).when(F.col("i") < F.col("n_named"), C.LABEL_WEIGHT).otherwise(1.0)

@@ -48,3 +48,11 @@ def test_haystack_reads_as_the_plain_one(spark):
     plain_in = F.contains("hay", "term") & F.when(F.contains("term", F.lit(" ")), F.contains("hay", F.concat(F.lit(" "), "term", F.lit(" ")))).otherwise(F.rlike(F.col("hay"), pattern))
     met = read.crossJoin(terms).withColumn("a", topics._stands_in(F.col("term"), F.col("hay"))).withColumn("b", plain_in)
     assert met.filter("a <> b").count() == 0 and met.filter("a").count() > 1000
+
+
+def test_tasks_that_cut_texts_are_not_merged(spark):
+    """Few bytes, much work: tasks stay as many as the shuffle has partitions, instead of one for a small shuffle."""
+    units = _units(spark, [(p, k, "", f"alpha beta w{p}x") for p in range(40) for k in range(2)])
+    told = spark.createDataFrame([(1, "t")], "page_id long, title string")
+    able = units.select("page_id", "section", "title", "body", "kind_label")
+    assert topics._page_terms(able, told.withColumnRenamed("title", "text")).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
